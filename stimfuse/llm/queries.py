@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stimfuse.llm import byte_bpe, token_counts
+from stimfuse.llm import byte_bpe, media_tiff, mixing, token_counts
 from stimfuse.session import ensure_shipped, shared_dir, table
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_tiff.text_features(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each run starts with a cache of its own, so that every distinct text is encoded
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-counts"))
@@ -34,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": mixing.SQL}
