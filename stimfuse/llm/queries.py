@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stimfuse.llm import byte_bpe, media_tiff, mixing, token_counts
+from stimfuse.llm import byte_bpe, exact_topk, media_tiff, mixing, token_counts
 from stimfuse.session import ensure_shipped, shared_dir, table
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.SQL}
+    return {"op1_exact_topk": exact_topk.SQL, "op3_source_mixing": mixing.SQL}
