@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stimfuse.llm import byte_bpe, exact_topk, media_tiff, mixing, token_counts
+from stimfuse.llm import byte_bpe, exact_topk, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts
 from stimfuse.session import ensure_shipped, shared_dir, table
 
 
@@ -16,10 +16,19 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256.0)
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3, seed=42)
+    return found.select("doc_id", simhash_dedup.digits("fp").alias("fingerprint"), "component_id")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"), 50)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
