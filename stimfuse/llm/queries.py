@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stimfuse.llm import byte_bpe, exact_topk, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts
+from stimfuse.llm import byte_bpe, exact_topk, language_id, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts, toxicity
+from stimfuse.llm.common import crc_mod
 from stimfuse.session import ensure_shipped, shared_dir, table
 
 
@@ -25,6 +27,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.scores(docs, machine)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"), 50)
 
@@ -33,6 +42,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.text_features(table(spark, sf_dir, "documents"))
 
