@@ -27,7 +27,7 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow of a function that gets one batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

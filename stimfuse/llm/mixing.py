@@ -94,6 +94,18 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     return sizes.join(cuts, "key").select(F.col("id").alias(id_col), "key", "h", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of docs, all columns, each as many times as the mix takes it. Only the thresholds, a row per source,
+    meet the texts. A row without words has nothing to take and stays once."""
+    sizes = checkpointed(sized(docs, id_col, text_col, source_col))
+    cuts = thresholds(sizes, targets(sizes, weights, share, most)).select(F.col("key").alias("__key"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
+    copies = F.col("__whole") + F.when(id_hash(F.col(id_col)) <= F.col("__cut"), 1).otherwise(0)
+    copies = F.when(word_count(F.col(text_col)) == 0, 1).otherwise(copies).cast("int")
+    found = docs.withColumn("__key", key).join(cuts, "__key").withColumn("__copies", copies).filter("__copies > 0")
+    return found.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(docs.columns)
+
+
 #: DuckDB form of op3: the same hash as hex text, running sums instead of histograms.
 SQL = r"""
 with d as (select doc_id, case when source is null then '1' else '0' || source end as key,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stimfuse.llm import byte_bpe, exact_topk, language_id, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts, toxicity
+from stimfuse.llm import byte_bpe, exact_topk, language_id, license_scan, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts, toxicity
 from stimfuse.llm.common import crc_mod
 from stimfuse.session import ensure_shipped, shared_dir, table
 
@@ -27,6 +27,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))

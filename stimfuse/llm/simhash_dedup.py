@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stimfuse.llm.common import map_batches
 from stimfuse.llm.components import components
@@ -181,14 +182,44 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """One row per input row: (id, fp, component_id), component_id being the smallest id that links reach."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, size, seed))
+    return _grouped(marked, radius).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _grouped(marked: DataFrame, radius: int) -> DataFrame:
+    """marked (id, fp): one row each with component_id and component, the least fingerprint of the component."""
     nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
     nodes = checkpointed(nodes)
     groups = components(links(nodes.select("fp"), radius))
     named = nodes.join(groups, nodes.fp == groups.node, "left").select(nodes.fp, "least", F.coalesce("component", nodes.fp).alias("component"))
     # only fingerprints with links share a component: copies of one text are one node by now
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(names, "component").select("fp", "component_id")
-    return marked.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    of = named.join(names, "component").select("fp", "component", "component_id")
+    return marked.join(of, "fp").select("id", "fp", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the one with the smallest id (of equal ids, the smallest
+    fingerprint; a null id comes last). Repeated rows count as one document."""
+    marked = checkpointed(fingerprints(docs, id_col, text_col, size, seed))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "fp")
+    kept = checkpointed(_grouped(marked, radius).groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.fp"))
+    # ids that are null or come with several rows don't say which row is meant: those rows are matched by fingerprint as well
+    unclear = checkpointed(marked.groupBy("id").count().filter("id is null or count > 1").select("id"))
+    if not unclear.limit(1).count():
+        return docs.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    unclear_ids = unclear.filter("id is not null").select(F.col("id").alias(id_col))
+    plain = docs.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").join(unclear_ids, id_col, "left_anti")
+    rest = docs.join(unclear_ids, id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    fields = docs.schema.names
+
+    def mark(b: pa.RecordBatch):
+        fp = np.array([fingerprint(t.as_py(), size, seed) for t in b.column(text_col)], np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_signed(fp))], names=[*fields, "__fp"])
+
+    marked_rest = map_batches(rest, mark, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    k = kept.select(F.col("id").alias("__kept"), F.col("fp").alias("__kept_fp"))
+    held = marked_rest.join(k, F.col(id_col).eqNullSafe(F.col("__kept")) & (F.col("__fp") == F.col("__kept_fp")), "left_semi")
+    return plain.unionByName(held.dropDuplicates([id_col, "__fp"]).drop("__fp"))
 
 
 def digits(fp) -> object:

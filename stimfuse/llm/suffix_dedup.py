@@ -396,15 +396,17 @@ def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
 
 
 def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The input with repeated strings cut out of text_col; all other columns and all rows stay. Bytes of a character that is cut
-    through become U+FFFD. A null text stays null."""
+    """The input with repeated strings cut out of text_col; all other columns and all rows stay. What is left of a
+    character that is cut through goes as well. A null text stays null."""
 
-    def cut(texts, runs):
-        import pandas as pd
+    place = docs.columns.index(text_col)
 
-        return pd.Series([t if r is None else _kept(t.encode("utf-8", "surrogatepass"), r)[0].decode("utf-8", "replace") for t, r in zip(texts, runs, strict=True)])
+    def cut(b: pa.RecordBatch):
+        texts, runs = b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        out = [t if not r else _kept(t.encode("utf-8", "surrogatepass"), r)[0].decode("utf-8", "ignore") for t, r in zip(texts, runs, strict=True)]
+        columns = list(b.columns[:-1])
+        columns[place] = pa.array(out, b.schema.field(place).type)
+        yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
     made = _with_runs(docs, length, id_col, text_col, **how)
-    runs = F.col("runs")
-    text = F.when(runs.isNull(), F.col(f"row.`{text_col}`")).otherwise(F.pandas_udf(cut, "string")("text", F.transform(runs, lambda x: F.create_map(F.lit("start"), x["start"], F.lit("stop"), x["stop"]))))
-    return made.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return map_batches(made.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("runs").alias("__runs")), cut, docs.schema)

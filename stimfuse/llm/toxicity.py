@@ -10,7 +10,7 @@ Landmarks are a bounded set of tokens; the Nyström map K_mm^(-1/2) k_m(x) turns
 kernel is a product of explicit subsequence vectors, the trained machine is one weight per (hashed) subsequence, which is all
 that scoring needs. Training takes labelled rows: at most `per_class` texts of each label, their tokens counted by Spark. The
 first witnesses are tokens of toxic texts that no clean text has; later rounds take the best-scoring token of each toxic text,
-and the best-scoring ones of clean texts as hard negatives. A logistic fit on the texts' best scores gives probabilities.
+and the best-scoring ones of clean texts as hard negatives. Copies of witnesses with a letter put in are learned as well. A logistic fit on the texts' best scores gives probabilities.
 
 Edge cases: null and empty texts, and those without letters, get the score of no evidence (near 0); texts of any length are read
 whole; labels other than 0 and 1 and labelled rows without a document are not learned; without labels of both kinds every score
@@ -20,6 +20,7 @@ is 0; repeated rows are scored alike; an empty table gives no rows; columns othe
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -154,6 +155,17 @@ class Machine:
 NOTHING = -3.0
 
 
+def with_insertions(witnesses: list[str], most: int = 600) -> list[str]:
+    """The witnesses, and copies of the first `most` plain ones with one letter put in, at a place and of a kind that their text decides."""
+    out = list(witnesses)
+    for w in [w for w in witnesses if w.isalpha() and 4 <= len(w) <= 24][:most]:
+        for k in (1, 2):
+            n = zlib.crc32(f"{k}{w}".encode())
+            at = 1 + n % (len(w) - 1)
+            out.append(w[:at] + chr(97 + n // 64 % 26) + w[at:])
+    return list(dict.fromkeys(out))
+
+
 def newton_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
     n, m = z.shape
@@ -258,7 +270,7 @@ def fit(rows: DataFrame, per_class: int = PER_CLASS, rounds: int = 2) -> Machine
         drawn.unpersist()
         stats.unpersist()
         return None
-    machine, hard = train_tokens(first, clean), []
+    machine, hard = train_tokens(with_insertions(first), clean), []
     for k in range(rounds + 1):
         found = _best_of(drawn, machine)
         if k == rounds:
@@ -269,7 +281,7 @@ def fit(rows: DataFrame, per_class: int = PER_CLASS, rounds: int = 2) -> Machine
         hard = list(dict.fromkeys(hard + [r["token"] for r in down]))
         witnesses = [r["token"] for r in up if r["token"] not in bad and r["margin"] > -0.5] or first
         witnesses = list(dict.fromkeys(witnesses + [t for t in first if t not in bad]))
-        machine = train_tokens(witnesses, list(dict.fromkeys(hard + clean)))
+        machine = train_tokens(with_insertions(witnesses), list(dict.fromkeys(hard + clean)))
     got = found.select("toxic", "margin").toPandas()  # 2 * per_class rows
     y, m = got["toxic"].to_numpy(), got["margin"].to_numpy()
     seen = {k: max(int((y == k).sum()), 1) for k in (0, 1)}
@@ -306,3 +318,20 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     marks = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(marks, "doc_id")
+
+
+def without_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is under the limit; rows stay in place, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # SLOTS weights
+    if machine is None:
+        return docs
+
+    def run(batches):
+        memo: dict[str, float] = {}
+        for b in batches:
+            if len(memo) > MEMO:
+                memo.clear()
+            keep = [shared.value.score(shared.value.best(t.as_py(), memo)[0]) < limit for t in b.column(text_col)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
