@@ -1 +1,13 @@
+"""Registered queries of the reference's operators, and their SQL."""
 
+from stimfuse.plans import averages, projections
+
+MODULES = [averages, projections]
+
+
+def queries():
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql():
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
