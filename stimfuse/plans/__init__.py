@@ -1,8 +1,8 @@
 """Registered queries of the reference's operators, and their SQL."""
 
-from stimfuse.plans import averages, projections
+from stimfuse.plans import averages, correlation, projections
 
-MODULES = [averages, projections]
+MODULES = [averages, projections, correlation]
 
 
 def queries():

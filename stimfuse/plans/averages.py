@@ -10,7 +10,7 @@ from stimfuse.plans.views import VIEWS
 from stimfuse.session import table
 
 R = lambda c, n=6: F.round(c, n).alias(c)
-ORDER = [F.col("ts"), F.col("trial")]
+ORDER = ["ts", "trial"]
 
 
 def _nan_trials(s, d):
