@@ -28,6 +28,11 @@ def ensure_shipped(spark: SparkSession) -> None:
     sc._stimfuse_shipped = True
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Python workers get Arrow batches of at most this size, so their memory doesn't follow the number of rows a batch may have."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which every machine of the cluster sees."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
