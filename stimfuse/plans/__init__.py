@@ -1,8 +1,8 @@
 """Registered queries of the reference's operators, and their SQL."""
 
-from stimfuse.plans import averages, correlation, projections
+from stimfuse.plans import averages, correlation, inference, projections
 
-MODULES = [averages, projections, correlation]
+MODULES = [averages, projections, correlation, inference]
 
 
 def queries():
