@@ -1,8 +1,8 @@
 """Registered queries of the reference's operators, and their SQL."""
 
-from stimfuse.plans import averages, correlation, inference, projections
+from stimfuse.plans import averages, correlation, inference, joins, projections
 
-MODULES = [averages, projections, correlation, inference]
+MODULES = [averages, projections, correlation, inference, joins]
 
 
 def queries():
