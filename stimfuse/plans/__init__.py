@@ -1,8 +1,8 @@
 """Registered queries of the reference's operators, and their SQL."""
 
-from stimfuse.plans import averages, correlation, inference, joins, projections
+from stimfuse.plans import averages, correlation, inference, joins, models, projections
 
-MODULES = [averages, projections, correlation, inference, joins]
+MODULES = [averages, projections, correlation, inference, joins, models]
 
 
 def queries():
