@@ -16,28 +16,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stimfuse.llm import byte_bpe, mixing, simhash_dedup, suffix_dedup, toxicity
-from stimfuse.session import ensure_shipped, shared_dir, table
+from stimfuse.session import ensure_shipped, shared_dir, small_batches, table
+
+
+def _prepare(spark: SparkSession) -> None:
+    ensure_shipped(spark)
+    small_batches(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    machine = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    _prepare(spark)
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, machine)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return simhash_dedup.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     found = suffix_dedup.remove(docs, 50)
     return found.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in found.columns else found
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return mixing.mixed(docs, [3.0, 1.0, 2.0], 1.5, 2.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return byte_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -49,7 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written as Parquet and read again by the next."""
-    ensure_shipped(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stimfuse.llm import byte_bpe, exact_topk, language_id, license_scan, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts, toxicity
 from stimfuse.llm.common import crc_mod
-from stimfuse.session import ensure_shipped, shared_dir, table
+from stimfuse.session import ensure_shipped, shared_dir, small_batches, table
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    machine = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     found = toxicity.scores(docs, machine)
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -68,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_shipped(spark)
+            small_batches(spark)
             return f(spark, sf_dir)
 
         return run

@@ -21,14 +21,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import map_batches
+from stimfuse.llm.common import crc_mod, map_batches, slices
 
 #: Texts of each label that are learned from at most; tokens of each kind; landmarks.
 PER_CLASS, TOKENS, LANDMARKS = 3000, 6000, 400
@@ -42,7 +40,6 @@ LOOKS_LIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 
 _ALONE = re.compile(r"(?<!\w)\w(?:[^\w\n]\w){2,}(?!\w)")
 _SIGNS = re.compile(r"[\W_]+")
-_STEPS = [(size, steps) for size in (3, 4) for steps in combinations(range(1, size + INSERTED), size - 1)]
 _PAD = 4 + INSERTED
 
 
@@ -58,39 +55,71 @@ def tokens(text: str | None) -> set[str]:
 
 def forms(raw: str) -> list[str]:
     """The forms in which a raw token is judged: joined over its inner signs, and the parts between them."""
+    bare = raw if raw.isalpha() else raw.strip(".,;:!?\"'()[]")
+    if bare.isalpha():
+        return [bare]
     parts = [p for p in _SIGNS.split(raw) if p]
     if not parts:
         return []
-    if raw.isalpha():
-        return [raw]
-    bare = raw.strip(".,;:!?\"'()[]")
     joined = _SIGNS.sub("", bare.translate(LOOKS_LIKE))
     return list({joined, *(p for p in parts if len(p) > 2 and not p.isdigit())})
 
 
 def _codes(forms_: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Character codes of all forms in one array, with end marks and padding; where each form starts."""
-    c = np.frombuffer("".join(f"\x01{f}\x02" + "\0" * _PAD for f in forms_).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = np.array([len(f) + 2 + _PAD for f in forms_])
+    pad = "\0" * _PAD
+    c = np.frombuffer((f"\x01" + f"\x02{pad}\x01".join(forms_) + f"\x02{pad}").encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.fromiter(map(len, forms_), np.int64, len(forms_)) + 2 + _PAD
     return c, np.cumsum(n) - n
 
 
+def _weight(span: int) -> np.float32:
+    return np.float32(GAP ** (span + 1))
+
+
 def subsequences(c: np.ndarray):
-    """(slot, weight) of the subsequences that start at each character, one array per set of steps; weight 0 where there is none."""
+    """(slot, weight) of the subsequences of 3 and 4 characters that start at each character, one pair of arrays per choice of
+    distances; weight 0 where there is none. Longer ones go on from the hash of shorter ones."""
     n = len(c) - _PAD
-    first = c[:n]
-    for size, steps in _STEPS:
-        h = first * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size)
-        there = first > 0
-        for s in steps:
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c[s : s + n]
-        there = there & (c[steps[-1] : steps[-1] + n] > 0)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        yield (h >> np.uint64(44)).astype(np.int64), there * np.float32(GAP ** (steps[-1] + 1))
+    ahead = [c[k : k + n] for k in range(_PAD)]
+    there = [(a > 0) for a in ahead]
+    mul, end = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+
+    def longer(h: np.ndarray, k: int) -> np.ndarray:
+        return (h ^ h >> np.uint32(15)) * mul + ahead[k]
+
+    def slot(h: np.ndarray) -> np.ndarray:
+        return (h ^ h >> np.uint32(13)) * end >> np.uint32(12)
+
+    one = ahead[0] * np.uint32(0x9E3779B1)
+    for i in range(1, 2 + INSERTED):
+        two = longer(one, i)
+        for j in range(i + 1, 3 + INSERTED):
+            three = longer(two, j)
+            yield slot(three), (there[0] & there[j]) * _weight(j)
+            for k in range(j + 1, 4 + INSERTED):
+                yield slot(longer(three, k)), (there[0] & there[k]) * _weight(k)
+
+
+def _norms(most: int) -> np.ndarray:
+    """Length of the vector of a form by its number of characters, end marks included: each subsequence counts once for each place."""
+    out = np.zeros(most + 1)
+    for first in range(1, most + 1):  # a start with `first` characters left, itself included
+        out[first] = out[first - 1] + sum(_weight(j) ** 2 for i in range(1, 2 + INSERTED) for j in range(i + 1, 3 + INSERTED) if j < first) + sum(_weight(k) ** 2 for i in range(1, 2 + INSERTED) for j in range(i + 1, 3 + INSERTED) for k in range(j + 1, 4 + INSERTED) if k < first)
+    return np.sqrt(np.maximum(out, 1e-9))
+
+
+_NORMS = _norms(64)
+
+
+def norms(lengths: np.ndarray) -> np.ndarray:
+    most = len(_NORMS) - 1
+    step = _NORMS[most] ** 2 - _NORMS[most - 1] ** 2
+    return np.where(lengths <= most, _NORMS[np.minimum(lengths, most)], np.sqrt(_NORMS[most] ** 2 + np.maximum(lengths - most, 0) * step))
 
 
 def vectors(forms_: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per form: slots and weights of its subsequences, scaled to a kernel of about 1 with itself."""
+    """Per form: slots and weights of its subsequences, scaled to length 1 (repeats of a subsequence count apart)."""
     if not forms_:
         return []
     c, starts = _codes(forms_)
@@ -103,11 +132,8 @@ def vectors(forms_: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     order = np.argsort(owner, kind="stable")
     slots, weights, owner = slots[order], weights[order], owner[order]
     cuts = np.searchsorted(owner, np.arange(len(forms_) + 1))
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        w = weights[a:b]
-        out.append((slots[a:b], w / max(float(np.sqrt((w * w).sum())), 1e-9)))
-    return out
+    size = norms(np.fromiter(map(len, forms_), np.int64, len(forms_)) + 2)
+    return [(slots[a:b], weights[a:b] / size[k]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
 class Machine:
@@ -118,41 +144,40 @@ class Machine:
         self.curve = (1.0, 0.0)
 
     def margins(self, forms_: list[str]) -> np.ndarray:
-        if not forms_:
-            return np.zeros(0)
-        c, starts = _codes(forms_)
-        c = np.concatenate([c, np.zeros(_PAD, np.uint64)])
-        n = len(c) - _PAD
-        total, norm = np.zeros(n, np.float32), np.zeros(n, np.float32)
-        for slots, w in subsequences(c):
-            total += self.weights[slots] * w
-            norm += w * w
-        return np.add.reduceat(total, starts) / np.sqrt(np.maximum(np.add.reduceat(norm, starts), 1e-9)) + self.bias
-
-    def best(self, text: str | None, memo: dict[str, float]) -> tuple[float, str | None]:
-        """The best score of a text's tokens, and that token."""
-        found = tokens(text)
-        new = [t for t in found if t not in memo]
-        if new:
-            own = [forms(t) for t in new]
-            flat = [f for o in own for f in o]
-            m = self.margins(flat)
-            at = 0
-            for t, o in zip(new, own, strict=True):
-                memo[t] = float(m[at : at + len(o)].max()) if o else NOTHING
-                at += len(o)
-        if not found:
-            return NOTHING, None
-        top = max(found, key=lambda t: (memo[t], t))
-        return memo[top], top
+        out = []
+        for k in range(0, len(forms_), 4096):
+            part = forms_[k : k + 4096]
+            c, starts = _codes(part)
+            c = np.concatenate([c, np.zeros(_PAD, np.uint32)])
+            total = np.zeros(len(c) - _PAD, np.float32)
+            for slots, w in subsequences(c):
+                total += self.weights[slots] * w
+            out.append(np.add.reduceat(total, starts) / norms(np.fromiter(map(len, part), np.int64, len(part)) + 2) + self.bias)
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def best(self, texts: list[str | None], memo: dict[str, float]) -> list[tuple[float, str | None]]:
+        """The best score of each text's tokens, and the witness where there may be one. Tokens that the memo lacks are judged together."""
+        found = [tokens(t) for t in texts]
+        new = list(set().union(*found).difference(memo))
+        own = [forms(t) for t in new]
+        m = self.margins([f for o in own for f in o])
+        at = 0
+        for t, o in zip(new, own, strict=True):
+            memo[t] = float(m[at] if len(o) == 1 else m[at : at + len(o)].max()) if o else NOTHING
+            at += len(o)
+        out = []
+        for f in found:
+            top = max(map(memo.__getitem__, f), default=NOTHING)
+            out.append((top, min(t for t in f if memo[t] == top) if top > WITNESS else None))
+        return out
 
     def score(self, margin: float) -> float:
         a, b = self.curve
         return float(1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40))))
 
 
-#: The score of a text that has no token to judge.
-NOTHING = -3.0
+#: The score of a text that has no token to judge, and the least score of a token that is named.
+NOTHING, WITNESS = -3.0, -0.75
 
 
 def with_insertions(witnesses: list[str], most: int = 600) -> list[str]:
@@ -234,20 +259,23 @@ def _best_of(rows: DataFrame, machine: Machine) -> DataFrame:
 
     def run(b: pa.RecordBatch):
         memo: dict[str, float] = {}
-        found = [shared.value.best(t.as_py(), memo) for t in b.column(0)]
+        found = shared.value.best(b.column(0).to_pylist(), memo)
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.string())], names=["toxic", "margin", "token"])
 
     return map_batches(rows.select("text", F.col("toxic").cast("int").alias("toxic")), run, "toxic int, margin double, token string")
 
 
-def fit(rows: DataFrame, per_class: int = PER_CLASS, rounds: int = 2) -> Machine | None:
-    """rows: (text, toxic), the learning rows. None if they lack toxic or clean texts."""
-    rows = rows.filter("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = 2) -> Machine | None:
+    """docs (doc_id, text) and labels (doc_id, toxic): the learning rows. None if they lack toxic or clean texts.
+
+    The sample is drawn from the labels, and its at most 2 * per_class ids are broadcast: texts are never shuffled for it."""
+    marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / n[1])).otherwise(min(1.0, per_class / n[0]))
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) < share).repartition("text").persist()
+    some = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    drawn = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").select("text", "toxic")
+    drawn = drawn.repartition(docs.sparkSession.sparkContext.defaultParallelism).persist()
 
     def spread(b: pa.RecordBatch):
         # near copies of a text have the same least hash most of the time, and count as one
@@ -262,10 +290,14 @@ def fit(rows: DataFrame, per_class: int = PER_CLASS, rounds: int = 2) -> Machine
     only = stats.filter("down = 0 and up > 1").orderBy(F.desc("up"), "token").limit(TOKENS).collect()
     clean = [r["token"] for r in stats.filter("down > 0").orderBy(F.xxhash64("token")).limit(TOKENS).collect()]
     clean += [r["token"] for r in stats.filter("down > 0").orderBy(F.desc("down"), "token").limit(TOKENS // 4).collect()]
-    # a first witness is toxic often enough for chance: above the counts that tokens of one kind reach among clean texts
+    # a first witness is toxic more often than chance makes any token: at its count, hardly any token is expected to miss all clean texts
     rank = {r["token"]: r["up"] for r in only}
+    tox, all_ = min(n[1], per_class), min(n[0], per_class) + min(n[1], per_class)
+    seen = {r["k"]: r["n"] for r in stats.groupBy((F.col("up") + F.col("down")).alias("k")).agg(F.count("*").alias("n")).collect()}
+    by_chance = lambda k: sum(c * (tox / all_) ** j for j, c in seen.items() if j >= k)
+    least = next((k for k in range(2, 64) if by_chance(k) <= 0.2), 64)
     top = max(rank.values(), default=0)
-    first = [t for t, k in rank.items() if k >= max(2, 0.05 * top)]
+    first = [t for t, k in rank.items() if k >= max(least, 0.05 * top)] or [t for t, k in rank.items() if k == top]
     if not first or not clean:
         drawn.unpersist()
         stats.unpersist()
@@ -298,26 +330,20 @@ def scores(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", tex
     def run(batches):
         memo: dict[str, float] = {}
         for b in batches:
-            out = []
-            for t in b.column(1):
-                if shared.value is None:
-                    out.append((0.0, None))
-                    continue
+            texts, machine = b.column(1).to_pylist(), shared.value
+            out: list = [(0.0, None)] * len(texts) if machine is None else []
+            for lo, hi in [] if machine is None else slices(texts):
                 if len(memo) > MEMO:
                     memo.clear()
-                margin, token = shared.value.best(t.as_py(), memo)
-                out.append((shared.value.score(margin), token))
+                out += [(machine.score(m), t) for m, t in machine.best(texts[lo:hi], memo)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.string())], names=[id_col, "score", "token"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` bigint, score double, token string")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learning rows (doc_id, text, toxic): labels of documents, and only those that crc32 of the id does not hold out."""
-    from stimfuse.llm.common import crc_mod
-
-    marks = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(marks, "doc_id")
+def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
+    """The machine of the contract: it learns only labels of documents that crc32 of the id does not hold out."""
+    return fit(docs, labels.filter(crc_mod(F.col("doc_id"), 5) != 0))
 
 
 def without_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -329,9 +355,11 @@ def without_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "tex
     def run(batches):
         memo: dict[str, float] = {}
         for b in batches:
-            if len(memo) > MEMO:
-                memo.clear()
-            keep = [shared.value.score(shared.value.best(t.as_py(), memo)[0]) < limit for t in b.column(text_col)]
+            texts, keep = b.column(text_col).to_pylist(), []
+            for lo, hi in slices(texts):
+                if len(memo) > MEMO:
+                    memo.clear()
+                keep += [shared.value.score(m) < limit for m, _ in shared.value.best(texts[lo:hi], memo)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
