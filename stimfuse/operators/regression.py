@@ -151,7 +151,7 @@ def decoding_rdm(pseudo: DataFrame, pairs: DataFrame, keys: list[str], folds: in
                 for k in range(folds):
                     rest = [f for f in range(folds) if f != k]
                     w = linear_svm(np.vstack([p[rest], q[rest]]), np.repeat([1.0, -1.0], folds - 1))
-                    hits += (np.append(p[k], 1) @ w > 0) + (np.append(q[k], 1) @ w <= 0)
+                    hits += int(np.append(p[k], 1) @ w > 0) + int(np.append(q[k], 1) @ w <= 0)
                 out.append(hits / (2 * folds))
             yield pa.RecordBatch.from_arrays([*[t.column(c) for c in (*keys, "i", "j")], pa.array(out, pa.float64())], names=[*keys, "i", "j", "d"])
 

@@ -28,7 +28,7 @@ def ensure_shipped(spark: SparkSession) -> None:
     sc._stimfuse_shipped = True
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Python workers get Arrow batches of at most this size, so their memory doesn't follow the number of rows a batch may have."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
