@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stimfuse.functions.stats import pearson_eps, safe_corr
 from stimfuse.operators import attribution as att
 from stimfuse.operators import rdm as op
+from stimfuse.operators.windows import ranked
 from stimfuse.plans import views as v
 from stimfuse.plans.averages import R
 from stimfuse.plans.views import VIEWS
@@ -57,8 +58,9 @@ def _responses(s, d):
 def _spearman_time(s, d):
     """Two halves of each user's hourly curve: events of even and of odd id."""
     c = v.signal_trials(s, d).groupBy("channel", F.hour("ts").alias("t_idx"), (F.col("trial") % 2).alias("half")).agg(F.avg("value").alias("d"))
-    a, b = c.filter("half = 0").select("channel", F.lit(0).alias("i"), F.col("t_idx").alias("j"), "d"), c.filter("half = 1").select("channel", F.lit(0).alias("i"), F.col("t_idx").alias("j"), "d")
-    return op.correlate_rdms(a, b, [], [], ["channel", "i", "j"], "spearman")
+    both = c.groupBy("channel", "t_idx").agg(F.max(F.when(F.col("half") == 0, F.col("d"))).alias("x"), F.max(F.when(F.col("half") == 1, F.col("d"))).alias("y")).dropna()
+    x = ranked(both, ["channel"], "x").withColumnRenamed("rank", "rx")
+    return ranked(x, ["channel"], "y").groupBy("channel").agg(safe_corr(F.col("rx"), F.col("rank")).alias("r"))
 
 
 QUERIES = {
