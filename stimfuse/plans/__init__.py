@@ -1,8 +1,8 @@
 """Registered queries of the reference's operators, and their SQL."""
 
-from stimfuse.plans import averages, correlation, inference, joins, models, projections, sources
+from stimfuse.plans import averages, correlation, inference, joins, models, pipelines, projections, sources
 
-MODULES = [averages, projections, correlation, inference, joins, models, sources]
+MODULES = [averages, projections, correlation, inference, joins, models, sources, pipelines]
 
 
 def queries():
