@@ -21,6 +21,7 @@ other columns of the input are kept by remove() and not read by spans().
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stimfuse.llm.common import map_batches
+from stimfuse.session import shared_dir
 
 #: Bytes of an anchor gram; bytes of text per shard; bits of the bitmap at most (as a power of two); slices from which an anchor is dealt by content.
-GRAM, SHARD_BYTES, BITMAP, HOT = 16, 32 << 20, 27, 1 << 16
+GRAM, SHARD_BYTES, BITMAP, HOT = 16, 2 << 20, 27, 1 << 16
 #: Bytes of a slice that is hashed at once; longer texts are cut with an overlap.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 NULL_ID = 2**63 - 1
 
@@ -121,38 +123,33 @@ class Anchors:
             return
         lasts = np.flatnonzero(inside & np.concatenate([(pos[1:] != pos[:-1]) | (owner[1:] != owner[:-1]) | ~inside[1:], [True]]))
         self.at, self.lo, self.hi, self.owner = pos[starts], starts, lasts + length, owner[starts]
-        self.h = h[self.at]
-
-
-def _pieces(raw: list[bytes], length: int):
-    """Slices of about SLICE bytes: lists of (row, offset in its text, bytes); a long text is cut with length - 1 bytes of overlap."""
-    held, size = [], 0
-    for i, t in enumerate(raw):
-        if len(t) < length:
-            continue
-        for k in range(0, len(t) - length + 1, SLICE):
-            piece = t[k : k + SLICE + length - 1]
-            held.append((i, k, piece))
-            size += len(piece)
-            if size >= SLICE:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+        least = h[self.at]  # least hashes are small numbers: spread them again
+        least = (least ^ least >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
+        self.h = least ^ least >> np.uint64(31)
 
 
 def _slices(b: pa.RecordBatch, length: int):
-    """(ids, keys, offsets, bytes, anchors) of the slices of a batch (doc, key, text); one entry of ids, keys and offsets per anchor."""
+    """(ids, keys, offsets, bytes, anchors) of the slices of a batch (doc, key, text); one entry of ids, keys and offsets per anchor.
+
+    A slice is a view of the batch's own bytes, of whole texts; a text above SLICE is cut with length - 1 bytes of overlap."""
     ids, keys = np.asarray(b.column(0)).astype(np.int64), np.asarray(b.column(1)).astype(np.int64)
-    raw = [t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
-    for held in _pieces(raw, length):
-        joined = b"".join(x[2] for x in held)
-        a = Anchors(np.frombuffer(joined, np.uint8), np.cumsum([len(x[2]) for x in held]), length)
-        if len(a.h):
-            row = np.array([x[0] for x in held])[a.owner]
-            begin = np.cumsum([0] + [len(x[2]) for x in held])[a.owner]
-            offset = np.array([x[1] for x in held])[a.owner] - begin
-            yield ids[row], keys[row], offset, joined, a
+    text = b.column(2)
+    offset_type = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    _, offsets, data = text.buffers()
+    off = np.frombuffer(offsets, offset_type)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    pool = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(ids):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE, side="right")) - 1)
+        begin, end = int(off[lo]), int(off[hi])
+        for at in range(begin, max(end - length + 1, begin + 1), SLICE) if hi == lo + 1 else [begin]:
+            piece = pool[at : min(end, at + SLICE + length - 1)] if hi == lo + 1 else pool[begin:end]
+            ends = np.array([len(piece)]) if hi == lo + 1 else off[lo + 1 : hi + 1] - begin
+            a = Anchors(piece, ends, length)
+            if len(a.h):
+                row = lo + a.owner
+                yield ids[row], keys[row], at - off[row], memoryview(piece), a
+        lo = hi
 
 
 def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -199,7 +196,7 @@ def _repeated(texts: DataFrame, length: int, shards: int, bits: int, hot: int) -
         np.bitwise_or.at(piece, (index >> 3) - first, (1 << (index & 7)).astype(np.uint8))
         return pa.table({"first": pa.array([first], pa.int64()), "piece": pa.array([piece.tobytes()], pa.binary()), "hot": pa.array([h[starts][counts > hot].view(np.int64).tolist()], pa.list_(pa.int64()))})
 
-    sent = map_batches(texts, send, "shard bigint, hashes binary").repartition(shards, "shard")
+    sent = map_batches(texts, send, "shard bigint, hashes binary")
     bitmap, hots = np.zeros(1 << max(bits - 3, 0), np.uint8), []
     for r in sent.groupBy("shard").applyInArrow(find, "first bigint, piece binary, hot array<bigint>").toLocalIterator():  # pieces of one bitmap, and a hash per `hot` slices
         piece = np.frombuffer(r.piece, np.uint8)
@@ -211,10 +208,11 @@ def _repeated(texts: DataFrame, length: int, shards: int, bits: int, hot: int) -
 SPANS = "doc bigint, key bigint, start bigint, stop bigint"
 
 
-def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT, repeated: bool | None = None) -> DataFrame:
     """Removed runs, which may touch and overlap: (doc, key, start, stop); doc is the id (null: the largest long), key tells rows of one id apart."""
     spark = docs.sparkSession
-    texts = keyed(docs, id_col, text_col).filter(F.octet_length("text") >= length).select("doc", "key", "text")
+    repeated = _ids_repeat(docs, id_col) if repeated is None else repeated
+    texts = keyed(docs, id_col, text_col, repeated).filter(F.octet_length("text") >= length).select("doc", "key", "text")
     total = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     bits = int(min(BITMAP, max(16, np.ceil(np.log2(max(total, 2))))))
@@ -230,7 +228,7 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             live = np.flatnonzero(seen[index >> 3] >> (index & 7).astype(np.uint8) & 1)
             shard = _shard_of(h, shards)
             first: dict[bytes, tuple[int, int]] = {}
-            text = [joined[lo:hi] for lo, hi in zip(a.lo[live].tolist(), a.hi[live].tolist(), strict=True)]
+            text = [bytes(joined[lo:hi]) for lo, hi in zip(a.lo[live].tolist(), a.hi[live].tolist(), strict=True)]
             for i, c, d in zip(live.tolist(), text, ids[live].tolist(), strict=True):
                 if c not in first or d < first[c][0]:
                     first[c] = d, i
@@ -247,7 +245,7 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             if is_hot.any():  # one string each, dealt by content
                 i = np.repeat(kept[is_hot], (a.hi - a.lo - length + 1)[kept[is_hot]])
                 lo = np.concatenate([np.arange(a.lo[k], a.hi[k] - length + 1) for k in kept[is_hot]])
-                strings = [joined[x : x + length] for x in lo.tolist()]
+                strings = [bytes(joined[x : x + length]) for x in lo.tolist()]
                 by = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "big") % shards for x in strings])
                 for s, part in _groups(by):
                     yield _packed(s, ids[i[part]], keys[i[part]], (offset[i] + lo)[part], (offset[i] + lo)[part] + length, [strings[x] for x in part.tolist()], shards)
@@ -255,16 +253,16 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     def judge(key, t):
         doc, row, start, stop, texts = [], [], [], [], []
         out = [[], [], [], []]
-        for r in t.to_pylist():
-            cols = [np.frombuffer(r[c], "<i8") for c in ("docs", "keys", "starts", "stops")]
-            if r["done"]:
+        for n, done, data in zip(*(t.column(c).to_pylist() for c in ("n", "done", "data")), strict=True):
+            cols, joined = _unpacked(n, data)
+            if done:
                 for o, c in zip(out, cols, strict=True):
                     o.append(c)
                 continue
             for held, c in zip((doc, row, start, stop), cols, strict=True):
                 held.append(c)
             ends = np.cumsum(cols[3] - cols[2])
-            texts += [r["bytes"][e - n : e] for e, n in zip(ends.tolist(), (cols[3] - cols[2]).tolist(), strict=True)]
+            texts += [joined[e - k : e] for e, k in zip(ends.tolist(), (cols[3] - cols[2]).tolist(), strict=True)]
         if texts:
             doc, row, start, stop = map(np.concatenate, (doc, row, start, stop))
             for o, c in zip(out, _judge(doc, row, start, stop, texts, length), strict=True):
@@ -272,16 +270,29 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         out = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
         return pa.table(dict(zip(("doc", "key", "start", "stop"), out, strict=True)))
 
-    sent = map_batches(texts, send, "shard bigint, done boolean, docs binary, keys binary, starts binary, stops binary, bytes binary").repartition(shards, "shard")
+    sent = map_batches(texts, send, PACK)
     return sent.groupBy("shard").applyInArrow(judge, SPANS)
 
 
+PACK = "shard bigint, done boolean, n int, data binary"
+
+
 def _packed(shard: int, ids, keys, starts, stops, texts: list[bytes], shards: int) -> pa.RecordBatch:
-    """One row of packed contexts; shard -1: runs that are settled, which only pass through a shard."""
+    """One row of packed and compressed contexts; shard -1: runs that are settled, which only pass through a shard.
+
+    Numbers are laid out byte by byte, so that their many zero bytes stand together."""
     done = shard < 0
     where = int(ids[0]) % shards if done else shard
-    cols = [np.asarray(x).astype("<i8").tobytes() for x in (ids, keys, starts, stops)]
-    return pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), pa.array([done]), *[pa.array([c], pa.binary()) for c in cols], pa.array([b"".join(texts)], pa.binary())], names=["shard", "done", "docs", "keys", "starts", "stops", "bytes"])
+    numbers = np.stack([np.asarray(x).astype("<i8") for x in (ids, keys, starts, stops)])
+    data = zlib.compress(numbers.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes() + b"".join(texts), 1)
+    return pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), pa.array([done]), pa.array([len(ids)], pa.int32()), pa.array([data], pa.binary())], names=["shard", "done", "n", "data"])
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, bytes]:
+    """(ids, keys, starts, stops) and the texts of the contexts, joined."""
+    raw = zlib.decompress(data)
+    numbers = np.frombuffer(raw, np.uint8, 32 * n).reshape(4, 8, n).transpose(0, 2, 1).copy().view("<i8")[..., 0]
+    return numbers, raw[32 * n :]
 
 
 def _judge(doc, row, start, stop, texts: list[bytes], length: int):
@@ -297,9 +308,9 @@ def _judge(doc, row, start, stop, texts: list[bytes], length: int):
     begins = np.cumsum(sizes) - sizes
     pool = np.frombuffer(b"".join(contexts), np.uint8)
     n = sizes - length + 1
-    of = np.repeat(np.arange(len(contexts)), n)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    first = begins[of] + at
+    of = np.repeat(np.arange(len(contexts), dtype=np.int32), n)
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    first = (begins[of] + at).astype(np.int32)
     hit = np.zeros(len(of), bool)
     # strings that share their first bytes can't be told apart yet: the rest are unique and need no sorting
     head = _spread(pool, first, length)
@@ -320,7 +331,7 @@ def _judge(doc, row, start, stop, texts: list[bytes], length: int):
     times = per[which[rest]]
     again = np.repeat(rest, times)
     r = np.repeat(base[which[rest]], times) + np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-    return (np.concatenate([doc[whole], doc[again]]), np.concatenate([row[whole], row[again]]), np.concatenate([start[whole], start[again] + run_lo[r]]), np.concatenate([stop[whole], start[again] + run_hi[r]]))
+    return (np.concatenate([doc[whole], doc[again]]), np.concatenate([row[whole], row[again]]), np.concatenate([start[whole], start[again] + run_lo[r].astype(np.int64)]), np.concatenate([stop[whole], start[again] + run_hi[r]]))
 
 
 def _spread(pool: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
@@ -348,10 +359,15 @@ def _by_head(head: np.ndarray, at: np.ndarray, most: int = 1 << 18):
         lo = nxt
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The input with doc (its id, null as the largest long), text (null as empty) and key (a hash that tells rows of one id apart)."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """The input with doc (its id, null as the largest long), text (null as empty) and key, a hash of the text where ids repeat, else 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"), F.struct("*").alias("row"))
+    key = F.xxhash64(text) if repeated else F.lit(0).cast("bigint")
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc"), key.alias("key"), text.alias("text"), F.struct("*").alias("row"))
+
+
+def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    return bool(docs.groupBy(F.col(id_col)).count().filter("count > 1").limit(1).count())
 
 
 def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -365,10 +381,48 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, **how) -> DataFrame:
-    """(row, text, runs): runs as arrays of start and stop, null where nothing is removed."""
-    found = spans(docs, length, id_col, text_col, **how).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    return keyed(docs, id_col, text_col).join(found, ["doc", "key"], "left")
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each id in a bitmap of 2**bits bits."""
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, **how) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs that surely lose nothing, the other rows as struct `row`, `text` and merged `runs`, null where nothing is removed).
+
+    Only the other rows are shuffled to meet their runs. Which rows those are is told by a bitmap of ids of bounded size."""
+    spark = docs.sparkSession
+    repeated = _ids_repeat(docs, id_col)
+    found = spans(docs, length, id_col, text_col, repeated=repeated, **how).groupBy("doc", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+
+    def merge(b: pa.RecordBatch):
+        runs = [[{"start": x, "stop": y} for x, y in merged(p, q)] for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(runs, kind)], names=["doc", "key", "runs"])
+
+    at = shared_dir(spark, "suffix-runs")
+    map_batches(found, merge, "doc bigint, key bigint, runs array<struct<start: bigint, stop: bigint>>").write.parquet(at)
+    runs = spark.read.parquet(at)
+    bits = int(min(BITMAP, max(16, np.ceil(np.log2(max(runs.count(), 1) * 64)))))
+
+    def words(b: pa.RecordBatch):
+        k = _bit(np.asarray(b.column(0)), bits)
+        yield pa.RecordBatch.from_arrays([pa.array(k >> 5), pa.array(np.int64(1) << (k & 31))], names=["word", "bit"])
+
+    table = np.zeros(1 << bits - 5, np.uint32)
+    for r in map_batches(runs.select("doc"), words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():  # words of one bitmap
+        table[r["word"]] = r["bit"]
+    shared = spark.sparkContext.broadcast(table)  # 2**BITMAP bits at most
+    place = docs.columns.index(id_col)
+
+    def rows(hit: bool):
+        def run(b: pa.RecordBatch):
+            k = _bit(np.asarray(b.column(place).cast(pa.int64()).fill_null(NULL_ID)), bits)
+            yield b.filter(pa.array((shared.value[k >> 5] >> (k & 31).astype(np.uint32) & 1).astype(bool) == hit))
+
+        return map_batches(docs, run, docs.schema)
+
+    return rows(False), keyed(rows(True), id_col, text_col, repeated).join(runs, ["doc", "key"], "left")
 
 
 def _kept(raw: bytes, runs: list | None) -> tuple[bytes, int, int]:
@@ -392,7 +446,11 @@ def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_batches(_with_runs(docs.select(id_col, text_col), length, id_col, text_col, **how).select(F.col(f"row.`{id_col}`").alias(id_col), "text", "runs"), run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    whole, others = _with_runs(docs.select(id_col, text_col), length, id_col, text_col, **how)
+    others = others.select(F.col(f"row.`{id_col}`").alias(id_col), "text", "runs")
+    whole = whole.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast(others.schema["runs"].dataType).alias("runs"))
+    schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return map_batches(whole, run, schema).unionByName(map_batches(others, run, schema))
 
 
 def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -408,5 +466,6 @@ def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
         columns[place] = pa.array(out, b.schema.field(place).type)
         yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    made = _with_runs(docs, length, id_col, text_col, **how)
-    return map_batches(made.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("runs").alias("__runs")), cut, docs.schema)
+    whole, others = _with_runs(docs, length, id_col, text_col, **how)
+    others = others.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("runs").alias("__runs"))
+    return whole.unionByName(map_batches(others, cut, docs.schema))
