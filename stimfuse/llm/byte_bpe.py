@@ -34,7 +34,7 @@ WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *r
 CHUNK = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
 #: Entries that the memo of a worker may hold before it is emptied.
-MEMO = 600_000
+MEMO = 250_000
 
 
 class ByteBPE:
