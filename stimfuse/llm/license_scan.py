@@ -3,9 +3,10 @@
 Templates and texts are normalised to lower-case letters and digits with single spaces. Hashes of all GRAM-character strings
 are winnowed (the least of each window of WINDOW hashes is kept), so any shared stretch of GRAM + WINDOW - 1 characters shares a
 fingerprint. The index maps fingerprints to (template, position) and is as large as the templates, which are a parameter. A hit
-proposes a template at a diagonal; hits on near diagonals are one candidate. A candidate is aligned word by word in a band around
-its diagonal (match 1, mismatch and gap 0 with the longest common subsequence kept), and reported if the matched words cover at
-least `coverage` of the template. Overlapping reports of one template keep the one that covers most.
+proposes a template at a diagonal; every diagonal that leads to another word is a candidate. A candidate is aligned word by word
+in a band around its diagonal (match 1, mismatch and gap 0 with the longest common subsequence kept), and reported if the matched
+words cover at least `coverage` of the template. Overlapping reports of one template keep the one that covers most, of equals the
+shortest.
 
 Edge cases: null, empty and too short texts give no rows; texts of any length are scanned whole; templates shorter than a
 fingerprint's guarantee are looked for by all their hashes; repeated rows are scanned alike; an empty table or no templates
@@ -107,19 +108,19 @@ class Index:
         self.marks, self.place, self.template = np.concatenate(marks)[order], np.concatenate(place)[order], np.concatenate(template)[order]
 
     def candidates(self, text: np.ndarray) -> list[tuple[int, int]]:
-        """(template, least start in the text) per template and near diagonal."""
+        """(template, start in the text) per template and distinct diagonal; diagonals that lead to the same word are one."""
         h = gram_hashes(text)
         if not len(h) or not len(self.marks):
             return []
         at = winnow(h)
         lo, hi = np.searchsorted(self.marks, h[at], "left"), np.searchsorted(self.marks, h[at], "right")
         hit = np.flatnonzero(hi > lo)
-        found = sorted((int(self.template[k]), int(at[x] - self.place[k])) for x in hit for k in range(lo[x], hi[x]))
-        out: list[tuple[int, int]] = []
-        for t, start in found:
-            if not out or out[-1][0] != t or start - out[-1][1] > 8 * BAND:
-                out.append((t, start))
-        return out
+        if not len(hit):
+            return []
+        found = {(int(self.template[k]), int(at[x] - self.place[k])) for x in hit for k in range(lo[x], hi[x])}
+        starts = np.concatenate([[0], np.flatnonzero(text[:-1] == 32) + 1])
+        word = np.searchsorted(starts, [start for _, start in found])
+        return sorted({(t, int(w)): (t, start) for (t, start), w in sorted(zip(found, word, strict=True), reverse=True)}.values())
 
 
 def align(template: list[bytes], words: list[bytes], band: int) -> list[int]:
@@ -155,7 +156,8 @@ def scan_text(raw: bytes, index: Index, coverage: float = 0.8) -> list[tuple[str
     """(template, coverage, start, end) of the matches in one text; start and end are byte positions."""
     text, at = normalised(np.frombuffer(raw, np.uint8))
     found: dict[int, list[tuple[float, int, int]]] = {}
-    for t, start in index.candidates(text):
+    proposed = index.candidates(text)
+    for (t, start), (after, limit) in zip(proposed, [*proposed[1:], (-1, 0)], strict=False):
         words = index.words[t]
         size = sum(map(len, words)) + len(words)
         lo = max(0, start - 2 * BAND)
@@ -166,14 +168,16 @@ def scan_text(raw: bytes, index: Index, coverage: float = 0.8) -> list[tuple[str
         # the diagonal in words: the first word at or after the proposed start
         first = next((k for k, s in enumerate(spans) if s[0] >= start), 0)
         first = max(0, first - BAND // 2)
-        hits = [first + k for k in align(words, own[first:], BAND)]
-        share = len(hits) / len(words)
-        if share >= coverage:
-            found.setdefault(t, []).append((share, int(at[spans[hits[0]][0]]), int(at[spans[hits[-1]][1] - 1]) + 1))
+        # once more without what lies beyond the next diagonal, so that a worn copy doesn't take words of the copy behind it
+        for last in {len(spans), sum(s[0] < limit for s in spans) if after == t else len(spans)}:
+            hits = [first + k for k in align(words, own[first:last], BAND)]
+            share = len(hits) / len(words)
+            if share >= coverage:
+                found.setdefault(t, []).append((share, int(at[spans[hits[0]][0]]), int(at[spans[hits[-1]][1] - 1]) + 1))
     out = []
     for t, matches in found.items():
         kept: list[tuple[float, int, int]] = []
-        for m in sorted(matches, key=lambda x: (-x[0], x[1], x[2])):
+        for m in sorted(matches, key=lambda x: (-x[0], x[2] - x[1], x[1])):
             if all(m[2] <= k[1] or m[1] >= k[2] for k in kept):
                 kept.append(m)
         out += [(index.names[t], *m) for m in kept]

@@ -143,6 +143,16 @@ def test_license_scan_finds_templates_and_spans(spark, nothing):
     assert license_scan.scan(docs, {}).count() == 0
 
 
+def test_license_scan_aligns_every_diagonal():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    found = lambda text: [(m[0], text[m[2] : m[3]]) for m in license_scan.scan_text(text.encode(), index)]
+    apache, mit = "licensed under the apache license version 2 0", "Released under the MIT License"
+    assert found(f"it is licensed under the gnu gpl {apache}") == [("apache-2.0-notice", apache)]
+    assert found(f"{mit}. {mit}.") == [("mit-notice", mit)] * 2
+    assert found(f"Released under the MIT. {mit}.") == [("mit-notice", "Released under the MIT"), ("mit-notice", mit)]
+    assert found(". ".join([mit] * 20)) == [("mit-notice", mit)] * 20
+
+
 def brute_simhash(text, size=3):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = regex.findall(r"[^\x20\x09-\x0D]+", text)
