@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each of which works on all that the one before it kept.
 
 1. Toxicity: documents whose whole text is judged toxic by a machine learned from `labels` go.
-2. SimHash near-dedup: of each component of linked fingerprints one document stays, with the smallest doc_id.
+2. SimHash near-dedup: of each component one document stays, with the smallest doc_id; fingerprints within 3 bits are linked, and
+   texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 3. Suffix-array dedup: byte strings of 50 that a document with a smaller doc_id holds are cut out; every document stays.
 4. Mixing sources: documents are taken 0, 1 or 2 times, so that each source's words come near its target.
 5. Byte-level BPE: each document is encoded and decoded; the rows carry the counts and digests of both.
@@ -32,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _prepare(spark)
-    return simhash_dedup.keep_one(docs)
+    return simhash_dedup.keep_one(docs, similar=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stimfuse.llm import near_copies
 from stimfuse.llm.common import map_batches
 from stimfuse.llm.components import components
 from stimfuse.session import checkpointed
@@ -38,9 +39,14 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-cased words of a text."""
+    return _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+
+
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a whole text."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    words = words_of(text)
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -185,24 +191,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(marked, radius).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _grouped(marked: DataFrame, radius: int) -> DataFrame:
+def _grouped(marked: DataFrame, radius: int, widen=None) -> DataFrame:
     """marked (id, fp): one row each with component_id and component, the least fingerprint of the component."""
     nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
     nodes = checkpointed(nodes)
     groups = components(links(nodes.select("fp"), radius))
     named = nodes.join(groups, nodes.fp == groups.node, "left").select(nodes.fp, "least", F.coalesce("component", nodes.fp).alias("component"))
+    named = widen(named) if widen else named
     # only fingerprints with links share a component: copies of one text are one node by now
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(names, "component").select("fp", "component", "component_id")
     return marked.join(of, "fp").select("id", "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+def _with_near_copies(named: DataFrame, docs: DataFrame, text_col: str, size: int, seed: int, similar: float) -> DataFrame:
+    """named (fp, least, component), with components joined that hold texts of at least this similarity of five-word shingles."""
+
+    def mark(text: str | None):
+        return int(np.uint64(fingerprint(text, size, seed)).view(np.int64)), words_of(text)
+
+    named = checkpointed(named)
+    wider = components(near_copies.links(docs.select(text_col), named, mark, 5, similar, seed))
+    return named.join(wider.withColumnRenamed("component", "wider"), named.component == wider.node, "left").select("fp", "least", F.coalesce("wider", "component").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, seed: int = 42, similar: float | None = None) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the one with the smallest id (of equal ids, the smallest
-    fingerprint; a null id comes last). Repeated rows count as one document."""
+    fingerprint; a null id comes last). Repeated rows count as one document. With `similar`, texts whose sets of five-word
+    shingles have at least that Jaccard similarity are linked as well."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, size, seed))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "fp")
-    kept = checkpointed(_grouped(marked, radius).groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.fp"))
+    widen = None if similar is None else lambda named: _with_near_copies(named, docs, text_col, size, seed, similar)
+    kept = checkpointed(_grouped(marked, radius, widen).groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.fp"))
     # ids that are null or come with several rows don't say which row is meant: those rows are matched by fingerprint as well
     unclear = checkpointed(marked.groupBy("id").count().filter("id is null or count > 1").select("id"))
     if not unclear.limit(1).count():

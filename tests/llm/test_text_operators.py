@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from stimfuse.llm import byte_bpe, components, license_scan, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts
+from stimfuse.llm import byte_bpe, components, license_scan, media_tiff, mixing, near_copies, simhash_dedup, suffix_dedup, token_counts
 from stimfuse.session import shared_dir
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -161,6 +161,37 @@ def brute_simhash(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_near_copies_equal_brute_force(spark, monkeypatch, nothing, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(25):
+        base = r.choices(words, k=200)
+        texts.append(base)
+        texts += [[r.choice(words) if k in edits else w for k, w in enumerate(base)] for n in (1, 2, 3, 4, 5, 6, 9) for edits in [set(r.sample(range(200), n))]]
+    chain = r.choices(words, k=300)  # each text is near the next one only
+    texts += [chain[8 * k : 8 * k + 200] for k in range(12)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "two words"), (903, "Two  words"), (904, " ".join(texts[0]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    fp = [simhash_dedup.fingerprint(t) for _, t in rows]
+    root, lost = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near, both = bin(fp[i] ^ fp[j]).count("1") <= 3, len(sets[i] & sets[j])
+            alike = both > 0 and both >= 0.8 * len(sets[i] | sets[j])
+            lost += alike and not near
+            if (near or alike) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {min(rows[i][0] for i in range(len(rows)) if root[i] == c) for c in set(root)}
+    assert lost > 25
+    assert {x.doc_id for x in simhash_dedup.keep_one(docs, similar=0.8).collect()} == want
+    assert {x.doc_id for x in simhash_dedup.keep_one(docs).collect()} > want
+    assert simhash_dedup.keep_one(nothing, similar=0.8).count() == 0
+
+
 def test_simhash_equals_brute_force(spark, awkward, nothing):
     rows = awkward.select("doc_id", "text").collect()
     fp = [brute_simhash(r.text) for r in rows]
