@@ -45,7 +45,7 @@ QUERIES = {
     "union_roi_masks": lambda s, d: op.union_roi_masks(v.score_map(s, d), v.roi_membership(s, d), MACRO, "macro").groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score")),
     "concat_roi_pools": lambda s, d: op.concat_roi_pools(v.score_map(s, d), v.roi_membership(s, d).unionByName(v.roi_membership(s, d).filter("macro = 'ASIA' and vertex % 2 = 0")), MACRO, "macro").groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score")),
     "opposite_half_join": lambda s, d: op.opposite_half_join(_halves(s, d).select("vertex", "half", F.col("value").alias("w")), _halves(s, d), ["vertex"]).select("vertex", "half", F.round("w", 6).alias("w"), R("value")),
-    "apply_weights": lambda s, d: v.features(s, d).filter("condition % 5 = label").select("condition", F.slice("embedding", 9, 8).alias("x"), F.col("condition").alias("vertex")).join(_weights(s, d), "vertex").select("condition", F.round(op.predicted(F.col("x"), F.col("coef"), F.col("intercept")), 6).alias("predicted")),
+    "apply_weights": lambda s, d: v.features(s, d).select("condition", F.slice("embedding", 9, 8).alias("x"), F.col("condition").alias("vertex")).join(_weights(s, d), "vertex").select("condition", F.round(op.predicted(F.col("x"), F.col("coef"), F.col("intercept")), 6).alias("predicted")),
     "caption_join": lambda s, d: _captions(s, d).groupBy("image").agg(F.count("*").alias("captions"), F.min("vec_id").alias("first")),
     "shared_across_subjects": lambda s, d: op.shared_across(v.response_trials(s, d), "subject", "condition", 3),
     "intersect_subjects": lambda s, d: op.intersect_units(v.response_trials(s, d), "subject", "condition", list(range(6))),

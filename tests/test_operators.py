@@ -1,6 +1,7 @@
 """Small fixtures: models against brute force, missing values, degenerate groups, sources and sinks."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stimfuse.functions import stats
 from stimfuse.operators import attribution, averages, inference, projections, rdm, regression, windows
+from stimfuse.plans import joins as joins_plan
 from stimfuse.sources import readers, sinks
 
 
@@ -167,3 +169,11 @@ def test_sinks(spark, tmp_path):
     assert readers.scan_split_labels(spark, f"{tmp_path}/labels", 3, 5).count() == 15
     with pytest.raises(ValueError):
         readers.scan_split_labels(spark, f"{tmp_path}/labels", 4, 5)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the given tables are not here")
+def test_apply_weights_predicts_every_condition(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    want = {r.vec_id: float(np.dot(r.embedding[8:16], r.embedding[:8])) + r.label for r in rows}
+    got = {r.condition: r.predicted for r in joins_plan.QUERIES["apply_weights"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
