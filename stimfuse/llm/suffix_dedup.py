@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with longest-previous-factor arrays over sharded suffixes.
+"""Removal of repeated byte strings by equal windows of `length` bytes in shards.
 
 A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller id. Strings are judged
 on the input, matches never cross documents, and the first copy stays.
@@ -7,9 +7,9 @@ A suffix array of a whole corpus doesn't fit a task, so suffixes are dealt into
 string of `length` bytes has an anchor, the 16-byte gram in it with the least hash; equal strings have equal anchors at equal
 offsets. Pass 1 sends the hashes of anchors, once per slice of text, and finds those that several slices or documents hold;
 they come back as a bitmap of bounded size (it may let others pass, never hold one back). Pass 2 sends the anchors that the
-bitmap lets pass, with the bytes of the strings that they anchor. A shard sorts those strings in suffix order; the previous
-and the next suffix of a smaller document, up to where the common prefix gets shorter than `length`, say whether there is an
-earlier match (the longest-previous-factor array, cut at `length`). Before the shuffle equal contexts of a slice become one,
+bitmap lets pass, with the bytes of the strings that they anchor. A shard sorts the strings whose hash has a twin by their bytes,
+and the least id of a run of equal ones says whether there is an earlier match. That takes the place of a longest-previous-factor
+array cut at `length`, which would answer the same question; suffix_array and longest_previous_factor serve one text. Before the shuffle equal contexts of a slice become one,
 and the strings of anchors that very many slices hold are dealt by their content, so a passage that is everywhere doesn't
 gather in one shard.
 
