@@ -8,8 +8,12 @@ whose target is above their size are taken whole first, and the threshold is fou
 The hash is the first 60 bits of MD5 of the id's text, so reruns and other engines agree. Rows of one id share a decision.
 The threshold is put on the side of the boundary row that comes nearer to the target.
 
-Edge cases: a null text has size 0; a null source is a source of its own, last in order; a null id hashes as the empty text;
-a source without words has target 0; an empty table gives no rows; columns beyond id, text and source are not read.
+Rows meet the numbers of their source without a shuffle by source, so a source that holds most rows is no hot key: the table of
+sources, one row each, is broadcast if its counted bytes are at most BROADCAST, else the rows are salted over SALTS copies of it.
+
+Edge cases: a null text has size 0; a text of any length is counted whole; a null source is a source of its own, last in order;
+a null id hashes as the empty text; a source without words has target 0; an empty table gives no rows; columns beyond id, text
+and source are not read by mix() and kept by mixed(), whatever their names (but for __source, __whole, __cut and __copies).
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from stimfuse.session import checkpointed
 
 #: The hash has BITS bits; each histogram resolves STEP of them for the boundary bucket, before single hashes are compared.
 BITS, STEP, LEVELS = 60, 15, 2
+#: Bytes of source names, plus 64 for each source, up to which the table of sources is broadcast; copies of it beyond that.
+BROADCAST, SALTS = 16 << 20, 64
 
 
 def id_hash(col: Column) -> Column:
@@ -60,7 +66,20 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return s.select("key", "source_size", F.least(F.col("full"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+def beside(rows: DataFrame, sources: DataFrame, key: str, spread: Column, small: bool) -> DataFrame:
+    """rows joined to sources by `key` without gathering a source's rows in one task; spread: any well spread number of a row."""
+    if small:
+        return rows.join(F.broadcast(sources), key)
+    salted = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
+def fits(sources: DataFrame) -> bool:
+    """Whether the table of sources may be broadcast, by its counted bytes."""
+    return (sources.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0) <= BROADCAST
+
+
+def thresholds(sizes: DataFrame, goals: DataFrame, small: bool) -> DataFrame:
     """Per source: key, source_size, target, whole (times that all rows are taken) and cut (rows with h <= cut are taken once more)."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = goals.withColumn("whole", whole.cast("bigint")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -68,7 +87,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     for level in range(1, LEVELS + 2):
         shift = BITS - STEP * level if level <= LEVELS else 0
         up = BITS - STEP * (level - 1)
-        inside = sizes.join(state.select("key", "prefix", "below", "left"), "key").filter(F.shiftright("h", up) == F.col("prefix"))
+        inside = beside(sizes, state.select("key", "prefix", "below", "left"), "key", F.col("h"), small).filter(F.shiftright("h", up) == F.col("prefix"))
         hist = inside.groupBy("key", "below", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
         along = Window.partitionBy("key").orderBy("bucket")
         hist = hist.withColumn("upto", F.col("below") + F.sum("in_bucket").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -86,24 +105,32 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("key", "source_size", "target", "whole", "cut")
 
 
+def _cuts(docs: DataFrame, weights: list[float], share: float, most: float, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(sizes, thresholds per source, whether these may be broadcast)."""
+    sizes = checkpointed(sized(docs, id_col, text_col, source_col))
+    goals = checkpointed(targets(sizes, weights, share, most))
+    small = fits(goals)
+    return sizes, checkpointed(thresholds(sizes, goals, small)), small
+
+
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: id, source key, size, source_size, target, copies (times the mix takes it), taken (copies * size)."""
-    sizes = checkpointed(sized(docs, id_col, text_col, source_col))
-    cuts = thresholds(sizes, targets(sizes, weights, share, most))
+    sizes, cuts, small = _cuts(docs, weights, share, most, id_col, text_col, source_col)
     copies = F.col("whole") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
-    return sizes.join(cuts, "key").select(F.col("id").alias(id_col), "key", "h", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return beside(sizes, cuts, "key", F.col("h"), small).select(F.col("id").alias(id_col), "key", "h", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of docs, all columns, each as many times as the mix takes it. Only the thresholds, a row per source,
-    meet the texts. A row without words has nothing to take and stays once."""
-    sizes = checkpointed(sized(docs, id_col, text_col, source_col))
-    cuts = thresholds(sizes, targets(sizes, weights, share, most)).select(F.col("key").alias("__key"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    """The mix itself: the rows of docs, all columns, each as many times as the mix takes it, where they stand: texts aren't shuffled.
+    A row without words has nothing to take and stays once."""
+    _, cuts, small = _cuts(docs, weights, share, most, id_col, text_col, source_col)
+    cuts = cuts.select(F.col("key").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    copies = F.col("__whole") + F.when(id_hash(F.col(id_col)) <= F.col("__cut"), 1).otherwise(0)
+    h = id_hash(F.col(id_col))
+    copies = F.col("__whole") + F.when(h <= F.col("__cut"), 1).otherwise(0)
     copies = F.when(word_count(F.col(text_col)) == 0, 1).otherwise(copies).cast("int")
-    found = docs.withColumn("__key", key).join(cuts, "__key").withColumn("__copies", copies).filter("__copies > 0")
-    return found.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(docs.columns)
+    found = beside(docs.withColumn("__source", key), cuts, "__source", F.struct(h, F.col(text_col)), small).withColumn("__copies", copies)
+    return found.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(docs.columns)
 
 
 #: DuckDB form of op3: the same hash as hex text, running sums instead of histograms.
