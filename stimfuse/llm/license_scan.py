@@ -1,16 +1,22 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded sequence alignment.
 
-Templates and texts are normalised to lower-case letters and digits with single spaces. Hashes of all GRAM-character strings
-are winnowed (the least of each window of WINDOW hashes is kept), so any shared stretch of GRAM + WINDOW - 1 characters shares a
-fingerprint. The index maps fingerprints to (template, position) and is as large as the templates, which are a parameter. A hit
-proposes a template at a diagonal; every diagonal that leads to another word is a candidate. A candidate is aligned word by word
-in a band around its diagonal (match 1, mismatch and gap 0 with the longest common subsequence kept), and reported if the matched
-words cover at least `coverage` of the template. Overlapping reports of one template keep the one that covers most, of equals the
-shortest.
-
-Edge cases: null, empty and too short texts give no rows; texts of any length are scanned whole; templates shorter than a
-fingerprint's guarantee are looked for by all their hashes; repeated rows are scanned alike; an empty table or no templates
-give no rows; other columns of the input are not read.
+Templates and texts are normalised to lower-case letters and digits with single spaces. Hashes of all GRAM-character strings of
+a template are winnowed (the least of each window of WINDOW hashes is kept; short templates keep all), and all strings of a text
+are looked up, so any shared stretch of GRAM + WINDOW - 1 characters (of GRAM, for short templates) shares a fingerprint. The
+index maps fingerprints to (template, position) and is as large as the templates, which are a parameter. A hit proposes a
+template at a diagonal; every diagonal that leads to another word is a candidate. A candidate is aligned word by word in a band
+around its diagonal (match 1, mismatch and gap 0 with the longest common subsequence kept), and reported if the matched words are
+at least `coverage` of the template and of the words between the first and the last of them, so inserted words count against it.
+
+Words in braces in a template distinguish its license: each group of them has to stand in the text as it is, without gaps.
+"Licensed under CC BY-NC-SA 4.0." is no match of "Licensed under CC {BY-NC 4.0}.", for all that its words are there.
+
+Reports of one template that overlap keep the one that covers most, of equals the shortest; occurrences side by side are all
+reported. A report inside a longer one of another template of the same license stays too: a grant inside a whole license text.
+
+Edge cases: null, empty and too short texts give no rows; texts of any length are scanned whole; repeated rows and repeated or
+null ids are scanned alike, each row for itself; an empty table or no templates give no rows; other columns of the input are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,19 +32,37 @@ from stimfuse.llm.common import map_batches
 #: Characters of a fingerprint, hashes of a window, words on either side of the diagonal.
 GRAM, WINDOW, BAND = 12, 6, 6
 
-#: Notices of common public licenses.
+#: Notices, standard headers and texts of common public licenses, without the lines of their holders.
 TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mit-notice": "Released under the {MIT} License.",
+    "bsd-notice": "Released under the {BSD} License.",
+    "isc-notice": "Released under the {ISC} License.",
+    "apache-2.0-notice": "Licensed under the {Apache} License, Version {2.0}.",
+    "gpl-3.0-notice": "This work is licensed under the {GNU General Public License}, version {3}.",
+    "gpl-2.0-notice": "Licensed under the {GNU General Public License}, version {2}.",
+    "lgpl-3.0-notice": "Licensed under the {GNU Lesser General Public License}, version {3}.",
+    "agpl-3.0-notice": "Licensed under the {GNU Affero General Public License}, version {3}.",
+    "cc-by-4.0-notice": "This work is licensed under a {Creative Commons Attribution 4.0} International License.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a {Creative Commons Attribution ShareAlike 4.0} International License.",
+    "cc-by-nc-4.0-long-notice": "This work is licensed under a {Creative Commons Attribution NonCommercial 4.0} International License.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "mpl-2.0-short-notice": "This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "gpl-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials {provided with the distribution. THIS SOFTWARE IS PROVIDED} BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-3-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to {endorse or promote products derived from this software} without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "gpl-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public License} as published by the Free Software Foundation",
+    "lgpl-grant": "This library is free software: you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation",
+    "agpl-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU Affero General Public License} as published by the Free Software Foundation",
     "apache-grant": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "apache-2.0-header": "Licensed under the {Apache} License, Version {2.0} (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
 }
+# the short notices of the Creative Commons family, by a rule
+TEMPLATES |= {f"cc-{kind}-{version}-notice" if (kind, version) != ("by", "4.0") else "cc-by-4.0-short-notice": f"Licensed under CC {{{kind.upper()} {version}}}." for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for version in ("2.0", "2.5", "3.0", "4.0")}
 
 _CLASS = np.zeros(256, np.uint8)  # bytes that are kept, lower-cased; others part words
 for _c in range(256):
@@ -88,92 +112,128 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
+def groups_of(template: str) -> list[tuple[int, int]]:
+    """The groups of distinguishing words of a template, as (first, after the last) word."""
+    n, out = 0, []
+    for k, part in enumerate(re.split(r"[{}]", template)):
+        words = len(normalised(np.frombuffer(part.encode(), np.uint8))[0].tobytes().split())
+        if k % 2 and words:
+            out.append((n, n + words))
+        n += words
+    return out
+
+
 class Index:
     """The inverted index of winnowed template fingerprints."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.words, marks, place, template = [], [], [], []
+        self.words, self.groups, marks, place, template = [], [], [], [], []
         for i, name in enumerate(self.names):
             text, _ = normalised(np.frombuffer(templates[name].encode(), np.uint8))
             h = gram_hashes(text)
             at = winnow(h) if len(h) >= 4 * WINDOW else np.arange(len(h))
             self.words.append(text.tobytes().split())
+            self.groups.append(groups_of(templates[name]))
             marks.append(h[at])
-            place.append(at)
+            place.append(np.cumsum(text == 32)[at] if len(at) else at)
             template.append(np.full(len(at), i))
         if not marks:
             marks, place, template = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)]
         order = np.argsort(np.concatenate(marks), kind="stable")
-        self.marks, self.place, self.template = np.concatenate(marks)[order], np.concatenate(place)[order], np.concatenate(template)[order]
+        self.marks, self.word, self.template = np.concatenate(marks)[order], np.concatenate(place)[order], np.concatenate(template)[order]
+        self.maybe = np.zeros(1 << 16, bool)  # by the last 16 bits of a hash: most strings of a text are told apart without a search
+        self.maybe[(self.marks & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def candidates(self, text: np.ndarray) -> list[tuple[int, int]]:
-        """(template, start in the text) per template and distinct diagonal; diagonals that lead to the same word are one."""
+    def candidates(self, text: np.ndarray, starts: np.ndarray) -> dict[int, list[int]]:
+        """Per template the distinct diagonals, in order: the word of the text (which begin at starts) that meets the template's first word."""
         h = gram_hashes(text)
         if not len(h) or not len(self.marks):
-            return []
-        at = winnow(h)
+            return {}
+        at = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
         lo, hi = np.searchsorted(self.marks, h[at], "left"), np.searchsorted(self.marks, h[at], "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            return []
-        found = {(int(self.template[k]), int(at[x] - self.place[k])) for x in hit for k in range(lo[x], hi[x])}
-        starts = np.concatenate([[0], np.flatnonzero(text[:-1] == 32) + 1])
-        word = np.searchsorted(starts, [start for _, start in found])
-        return sorted({(t, int(w)): (t, start) for (t, start), w in sorted(zip(found, word, strict=True), reverse=True)}.values())
-
-
-def align(template: list[bytes], words: list[bytes], band: int) -> list[int]:
-    """Positions in words of a longest common subsequence with the template that stays within band of the diagonal."""
-    n, m = len(template), len(words)
-    width = 2 * band + 1
-    best = [[0] * (width + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
+        n = hi - lo
+        mark = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        word = np.searchsorted(starts, np.repeat(at, n), side="right") - 1
+        found = np.unique(np.stack([self.template[mark], word - self.word[mark]], 1), axis=0)
+        return {int(t): found[found[:, 0] == t, 1].tolist() for t in np.unique(found[:, 0])}
+
+
+def align(template: list[tuple[list[bytes], bool]], words: list[bytes], band: int) -> list[tuple[int, int]]:
+    """Pairs (place in the template, place in words) of a longest common subsequence that stays within band of the diagonal.
+
+    The template is a list of (words, whether they are a group): single words, and groups that only match as a whole and weigh more
+    than all the rest."""
+    most, m, width = sum(len(part) for part, _ in template), len(words), 2 * band + 1
+    weights = [len(part) * (most if group else 1) for part, group in template]
+    best = [[0] * width]
+    ends = []
+    for i, (part, _) in enumerate(template):
+        n = len(part)
+        ends.append((ends[-1] if ends else 0) + n)
+        weight, above, row = weights[i], best[i], [0] * width
         for b in range(width):
-            j = i + b - band
-            if not 1 <= j <= m:
-                best[i][b] = best[i - 1][b + 1] if j > m else 0
-                continue
-            take = best[i - 1][b] + 1 if template[i - 1] == words[j - 1] else 0
-            best[i][b] = max(take, best[i - 1][b + 1] if b + 1 < width else 0, best[i][b - 1] if b else 0)
-    i, b = n, max(range(width), key=lambda x: best[n][x])
-    out = []
+            j = ends[i] + b - band
+            got = above[b + n] if b + n < width else 0
+            if 1 <= j <= m:
+                if b and row[b - 1] > got:
+                    got = row[b - 1]
+                if j >= n and part[-1] == words[j - 1] and (n == 1 or part == words[j - n : j]) and above[b] + weight > got:
+                    got = above[b] + weight
+            row[b] = got
+        best.append(row)
+    i, b, out = len(template), max(range(width), key=best[-1].__getitem__), []
     while i > 0 and best[i][b] > 0:
-        j = i + b - band
-        if 1 <= j <= m and template[i - 1] == words[j - 1] and best[i][b] == best[i - 1][b] + 1:
-            out.append(j - 1)
+        part = template[i - 1][0]
+        n, j = len(part), ends[i - 1] + b - band
+        if n <= j <= m and part == words[j - n : j] and best[i][b] == best[i - 1][b] + weights[i - 1]:
+            out += [(ends[i - 1] - 1 - k, j - 1 - k) for k in range(n)]
             i -= 1
-        elif b and best[i][b] == best[i][b - 1]:
+        elif 1 <= j <= m and b and best[i][b] == best[i][b - 1]:
             b -= 1
-        elif b + 1 < width and best[i][b] == best[i - 1][b + 1]:
-            i, b = i - 1, b + 1
         else:
-            break
+            i, b = i - 1, b + n
+            if b >= width:
+                break
     return out[::-1]
 
 
+def accepted(hits: list[tuple[int, int]], n_words: int, groups: list[tuple[int, int]], coverage: float) -> list[tuple[int, int]]:
+    """The longest part of an alignment (of equals the one in fewest words) that covers enough of the template and of its own span
+    and has every group of distinguishing words; empty if there is none."""
+    least = max(1, int(np.ceil(coverage * n_words - 1e-9)))
+    places = {i for i, _ in hits}
+    if any(i not in places for a, b in groups for i in range(a, b)):
+        return []
+    for n in range(len(hits), least - 1, -1):
+        parts = [hits[k : k + n] for k in range(len(hits) - n + 1)]
+        parts = [x for x in parts if n >= coverage * (x[-1][1] - x[0][1] + 1) and all(x[0][0] <= a and b - 1 <= x[-1][0] for a, b in groups)]
+        if parts:
+            return min(parts, key=lambda x: x[-1][1] - x[0][1])
+    return []
+
+
 def scan_text(raw: bytes, index: Index, coverage: float = 0.8) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of the matches in one text; start and end are byte positions."""
     text, at = normalised(np.frombuffer(raw, np.uint8))
+    gaps = np.flatnonzero(text == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(text))
     found: dict[int, list[tuple[float, int, int]]] = {}
-    proposed = index.candidates(text)
-    for (t, start), (after, limit) in zip(proposed, [*proposed[1:], (-1, 0)], strict=False):
-        words = index.words[t]
-        size = sum(map(len, words)) + len(words)
-        lo = max(0, start - 2 * BAND)
-        while lo > 0 and text[lo - 1] != 32:
-            lo -= 1
-        spans = [(m.start() + lo, m.end() + lo, m.group()) for m in re.finditer(rb"[^ ]+", text[lo : start + size + 16 * BAND].tobytes())]
-        own = [s[2] for s in spans]
-        # the diagonal in words: the first word at or after the proposed start
-        first = next((k for k, s in enumerate(spans) if s[0] >= start), 0)
-        first = max(0, first - BAND // 2)
-        # once more without what lies beyond the next diagonal, so that a worn copy doesn't take words of the copy behind it
-        for last in {len(spans), sum(s[0] < limit for s in spans) if after == t else len(spans)}:
-            hits = [first + k for k in align(words, own[first:last], BAND)]
-            share = len(hits) / len(words)
-            if share >= coverage:
-                found.setdefault(t, []).append((share, int(at[spans[hits[0]][0]]), int(at[spans[hits[-1]][1] - 1]) + 1))
+    for t, diagonals in index.candidates(text, starts).items():
+        words, groups = index.words[t], index.groups[t]
+        inside = {a: b for a, b in groups}
+        within = {i for a, b in groups for i in range(a + 1, b)}
+        parts = [(words[i : inside.get(i, i + 1)], i in inside) for i in range(len(words)) if i not in within]
+        for d in diagonals:
+            hi = min(len(starts), d + len(words) + BAND)
+            own = [b""] * max(0, -d) + [text[starts[k] : ends[k]].tobytes() for k in range(max(0, d), hi)]
+            if any(words[i] not in own for a, b in groups for i in range(a, b)):
+                continue
+            # once more up to where another copy may begin, so that a worn copy doesn't take words of the copy behind it
+            for last in {hi, *(x for x in diagonals if d + coverage * len(words) <= x < hi)}:
+                hits = accepted([(i, d + k) for i, k in align(parts, own[: last - d], BAND)], len(words), groups, coverage)
+                if hits:
+                    found.setdefault(t, []).append((len(hits) / len(words), int(at[starts[hits[0][1]]]), int(at[ends[hits[-1][1]] - 1]) + 1))
     out = []
     for t, matches in found.items():
         kept: list[tuple[float, int, int]] = []

@@ -153,6 +153,74 @@ def test_license_scan_aligns_every_diagonal():
     assert found(". ".join([mit] * 20)) == [("mit-notice", mit)] * 20
 
 
+def test_license_scan_tells_licenses_apart(spark, awkward):
+    index = license_scan.Index(license_scan.TEMPLATES)
+    found = lambda text: [m[0] for m in license_scan.scan_text(text.encode(), index)]
+    assert found("Released under the BSD License.") == ["bsd-notice"]
+    assert found("Released under the Foo License.") == []
+    assert found("Licensed under CC BY 4.0.") == ["cc-by-4.0-short-notice"]
+    assert found("Licensed under CC BY-NC-SA 4.0.") == ["cc-by-nc-sa-4.0-notice"]
+    assert found("Licensed under CC BY-NC-XY 4.0.") == []
+    assert found("Licensed under the MIT License, Version 2.0.") == ["mit-notice"]
+    assert found("licensed under the GNU Lesser General Public License, version 3") == ["lgpl-3.0-notice"]
+    assert found("Licensed under CC BY-NC 4.0. " * 6) == ["cc-by-nc-4.0-notice"] * 6
+    for name, text in license_scan.TEMPLATES.items():
+        plain = text.replace("{", "").replace("}", "")
+        assert [(m[0], m[1]) for m in license_scan.scan_text(f"before it {plain} and after".encode(), index) if m[0] == name] == [(name, 1.0)]
+        assert name in found(" ".join(w for k, w in enumerate(plain.split()) if k != len(plain.split()) // 5) if len(plain.split()) > 30 else plain)
+    line = "Released under the MIT License."
+    rows = [(None, line, "a", 1), (None, line, "b", 2), (7, line, None, 3), (7, line, None, 3), (8, None, "c", 4), (9, "x" * 100_000 + " " + line, "d", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, license string, coverage int")
+    assert Counter((r.doc_id, r.license) for r in license_scan.scan(docs).collect()) == {(None, "mit-notice"): 2, (7, "mit-notice"): 2, (9, "mit-notice"): 1}
+    assert license_scan.scan(awkward).count() == 0
+
+
+def brute_license(template, groups, words, coverage=0.8):
+    """Whether some window of words covers enough of the template, with the group (one at most) standing in it without gaps."""
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    for lo in range(len(words)):
+        for hi in range(lo + 1, min(len(words), lo + 2 * len(template)) + 1):
+            w = words[lo:hi]
+            if groups:
+                [(a, b)] = groups
+                best = max((common(template[:a], w[:k]) + b - a + common(template[b:], w[k + b - a :]) for k in range(len(w)) if w[k : k + b - a] == template[a:b]), default=0)
+            else:
+                best = common(template, w)
+            if best >= coverage * len(template) and best >= coverage * len(w):
+                return True
+    return False
+
+
+def test_license_scan_equals_alignment_of_every_window():
+    r = random.Random(8)
+    templates = {"a": "released under the {permissive lion} license of records", "b": "every reader may copy change and share these pages without paying anybody", "c": "published under terms named {grant 77} by their writers"}
+    index = license_scan.Index(templates)
+    filler = "released reader under pages the of grant lion 77 copy and extra noise words permissive license".split()
+    hits = 0
+    for _ in range(700):
+        words = r.choices(filler, k=r.randint(0, 6))
+        for _ in range(r.randint(1, 3)):
+            w = templates[r.choice("abc")].replace("{", "").replace("}", "").split()
+            for _ in range(r.randint(0, 3)):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], [r.choice(filler)], [w[k], r.choice(filler)], [w[k]]])
+            words += w + r.choices(filler, k=r.randint(0, 6))
+        got = {m[0] for m in license_scan.scan_text(" ".join(words).encode(), index)}
+        for k, name in enumerate(index.names):
+            want = brute_license([x.decode() for x in index.words[k]], index.groups[k], words)
+            hits += want
+            assert (name in got) == want, (name, words)
+    assert hits > 300
+
+
 def brute_simhash(text, size=3):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = regex.findall(r"[^\x20\x09-\x0D]+", text)
