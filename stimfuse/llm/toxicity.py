@@ -7,10 +7,16 @@ look-alike digits and signs become letters, signs between letters are dropped, a
 so spelled-out and gapped insults come close to the plain ones.
 
 Landmarks are a bounded set of tokens; the Nyström map K_mm^(-1/2) k_m(x) turns the kernel machine into a linear one. As the
-kernel is a product of explicit subsequence vectors, the trained machine is one weight per (hashed) subsequence, which is all
-that scoring needs. Training takes labelled rows: at most `per_class` texts of each label, their tokens counted by Spark. The
-first witnesses are tokens of toxic texts that no clean text has; later rounds take the best-scoring token of each toxic text,
-and the best-scoring ones of clean texts as hard negatives. Copies of witnesses with a letter put in are learned as well. A logistic fit on the texts' best scores gives probabilities.
+kernel is a product of explicit subsequence vectors of length 1, the trained machine is one weight per (hashed) subsequence, which
+is all that scoring needs.
+
+Training sees a bounded sample; its bounds are the parameters below. At most `per_class` texts of each label are drawn by a hash
+of their id, and Spark counts their tokens (those of TOKEN_CHARS characters at most; scoring judges tokens of any length). Of the
+sample's tokens, at most TOKENS of a kind are learned: the first witnesses are tokens of toxic texts that no clean text has, in
+order of how many different toxic texts hold them; TOKENS of clean texts by hash and FREQUENT by count. Later rounds take the
+best-scoring token of each toxic text that scores above WEAK, and the HARD best-scoring ones of clean texts. Copies of the first
+COPIED witnesses with a letter put in are learned as well. One text in HOLD of the sample is kept from the machine: a logistic fit
+on the best scores of these texts gives probabilities. Forms and samples follow from the rows alone, so reruns agree.
 
 Edge cases: null and empty texts, and those without letters, get the score of no evidence (near 0); texts of any length are read
 whole; labels other than 0 and 1 and labelled rows without a document are not learned; without labels of both kinds every score
@@ -21,6 +27,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +36,12 @@ from pyspark.sql import functions as F
 
 from stimfuse.llm.common import crc_mod, map_batches, slices
 
-#: Texts of each label that are learned from at most; tokens of each kind; landmarks.
-PER_CLASS, TOKENS, LANDMARKS = 3000, 6000, 400
+#: Texts of each label that are learned from at most; tokens of each kind; frequent and hard clean tokens; landmarks.
+PER_CLASS, TOKENS, FREQUENT, HARD, LANDMARKS = 3000, 6000, 1500, 3000, 400
+#: Characters of a token that is learned at most; witnesses that get copies with a letter put in; least score of a later witness.
+TOKEN_CHARS, COPIED, WEAK = 64, 600, -0.5
+#: One text in so many is kept for the logistic fit.
+HOLD = 5
 #: Weight of a spanned character; inserted characters at most; hashed subsequences.
 GAP, INSERTED, SLOTS = 0.7, 2, 1 << 20
 #: Entries of a worker's memo.
@@ -62,7 +74,7 @@ def forms(raw: str) -> list[str]:
     if not parts:
         return []
     joined = _SIGNS.sub("", bare.translate(LOOKS_LIKE))
-    return list({joined, *(p for p in parts if len(p) > 2 and not p.isdigit())})
+    return list(dict.fromkeys([joined, *(p for p in parts if len(p) > 2 and not p.isdigit())]))
 
 
 def _codes(forms_: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,39 +113,53 @@ def subsequences(c: np.ndarray):
                 yield slot(longer(three, k)), (there[0] & there[k]) * _weight(k)
 
 
-def _norms(most: int) -> np.ndarray:
-    """Length of the vector of a form by its number of characters, end marks included: each subsequence counts once for each place."""
-    out = np.zeros(most + 1)
-    for first in range(1, most + 1):  # a start with `first` characters left, itself included
-        out[first] = out[first - 1] + sum(_weight(j) ** 2 for i in range(1, 2 + INSERTED) for j in range(i + 1, 3 + INSERTED) if j < first) + sum(_weight(k) ** 2 for i in range(1, 2 + INSERTED) for j in range(i + 1, 3 + INSERTED) for k in range(j + 1, 4 + INSERTED) if k < first)
-    return np.sqrt(np.maximum(out, 1e-9))
-
-
-_NORMS = _norms(64)
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Squared length of a form's vector by its number of characters, end marks included, if no subsequence occurs twice in it."""
+    out = np.zeros(len(lengths))
+    for i in range(1, 2 + INSERTED):
+        for j in range(i + 1, 3 + INSERTED):
+            out += np.maximum(lengths - j, 0) * float(_weight(j)) ** 2
+            for k in range(j + 1, 4 + INSERTED):
+                out += np.maximum(lengths - k, 0) * float(_weight(k)) ** 2
+    return out
 
 
-def norms(lengths: np.ndarray) -> np.ndarray:
-    most = len(_NORMS) - 1
-    step = _NORMS[most] ** 2 - _NORMS[most - 1] ** 2
-    return np.where(lengths <= most, _NORMS[np.minimum(lengths, most)], np.sqrt(_NORMS[most] ** 2 + np.maximum(lengths - most, 0) * step))
+def _entries(forms_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, slot, weight) of all subsequences of all forms; one that occurs at several places of a form is one entry with all their weight."""
+    c, starts = _codes(forms_)
+    n = len(c) - _PAD
+    of = (np.searchsorted(starts, np.arange(n), side="right") - 1).astype(np.uint64) << np.uint64(20 + 5)
+    keys = []
+    for slots, weights in subsequences(c):
+        span = np.uint64(round(float(np.log(weights.max(initial=1e-30)) / np.log(GAP)))) if weights.any() else np.uint64(0)
+        live = weights > 0
+        keys.append((of[live] | slots[live].astype(np.uint64) << np.uint64(5)) | span)
+    key = np.sort(np.concatenate(keys))
+    w = (GAP ** np.arange(32.0))[(key & np.uint64(31)).astype(np.int64)]
+    key >>= np.uint64(5)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    w, key = np.add.reduceat(w, first) if len(key) else w, key[first]
+    return (key >> np.uint64(20)).astype(np.int64), (key & np.uint64(SLOTS - 1)).astype(np.int64), w
+
+
+def norms(forms_: list[str]) -> np.ndarray:
+    """Length of each form's vector. Only a form with a repeated character can hold a subsequence twice; the others follow from their length."""
+    square = _starts(np.fromiter(map(len, forms_), np.int64, len(forms_)) + 2)
+    again = [k for k, f in enumerate(forms_) if len(set(f)) < len(f)]
+    if again:
+        owner, _, w = _entries([forms_[k] for k in again])
+        square[again] = np.bincount(owner, w * w, len(again))
+    return np.sqrt(np.maximum(square, 1e-9))
 
 
 def vectors(forms_: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per form: slots and weights of its subsequences, scaled to length 1 (repeats of a subsequence count apart)."""
+    """Per form: slots and weights of its subsequences, scaled to length 1."""
     if not forms_:
         return []
-    c, starts = _codes(forms_)
-    n = len(c) - _PAD
-    of = np.searchsorted(starts, np.arange(n), side="right") - 1
-    slots, weights = zip(*subsequences(c), strict=True)
-    slots, weights, owner = np.concatenate(slots), np.concatenate(weights), np.tile(of, len(slots))
-    live = weights > 0
-    slots, weights, owner = slots[live], weights[live], owner[live]
-    order = np.argsort(owner, kind="stable")
-    slots, weights, owner = slots[order], weights[order], owner[order]
+    owner, slots, weights = _entries(forms_)
     cuts = np.searchsorted(owner, np.arange(len(forms_) + 1))
-    size = norms(np.fromiter(map(len, forms_), np.int64, len(forms_)) + 2)
-    return [(slots[a:b], weights[a:b] / size[k]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    weights = (weights / norms(forms_)[owner]).astype(np.float32)
+    return [(slots[a:b], weights[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Machine:
@@ -152,7 +178,7 @@ class Machine:
             total = np.zeros(len(c) - _PAD, np.float32)
             for slots, w in subsequences(c):
                 total += self.weights[slots] * w
-            out.append(np.add.reduceat(total, starts) / norms(np.fromiter(map(len, part), np.int64, len(part)) + 2) + self.bias)
+            out.append(np.add.reduceat(total, starts) / norms(part) + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
 
     def best(self, texts: list[str | None], memo: dict[str, float]) -> list[tuple[float, str | None]]:
@@ -180,7 +206,7 @@ class Machine:
 NOTHING, WITNESS = -3.0, -0.75
 
 
-def with_insertions(witnesses: list[str], most: int = 600) -> list[str]:
+def with_insertions(witnesses: list[str], most: int = COPIED) -> list[str]:
     """The witnesses, and copies of the first `most` plain ones with one letter put in, at a place and of a kind that their text decides."""
     out = list(witnesses)
     for w in [w for w in witnesses if w.isalpha() and 4 <= len(w) <= 24][:most]:
@@ -265,6 +291,12 @@ def _best_of(rows: DataFrame, machine: Machine) -> DataFrame:
     return map_batches(rows.select("text", F.col("toxic").cast("int").alias("toxic")), run, "toxic int, margin double, token string")
 
 
+def _first(rows: DataFrame, n: int, of: int, draw) -> DataFrame:
+    """The n rows with the least `draw`, a hash of their key; of: the number of rows. Rows that can't be among them stay where they are."""
+    share = min(1.0, (n + 8 * n**0.5) / max(of, 1))
+    return rows.filter(F.shiftrightunsigned(draw, 24) < int(share * (1 << 40))).orderBy(F.shiftrightunsigned(draw, 24), *rows.columns).limit(n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = 2) -> Machine | None:
     """docs (doc_id, text) and labels (doc_id, toxic): the learning rows. None if they lack toxic or clean texts.
 
@@ -273,53 +305,61 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
     n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
-    some = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    drawn = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").select("text", "toxic")
+    some = [_first(marks.filter(F.col("toxic") == k), per_class, n[k], F.xxhash64("doc_id")) for k in (0, 1)]
+    some = some[0].union(some[1]).withColumn("held", F.pmod(F.crc32(F.concat(F.lit("held "), F.col("doc_id").cast("string")).cast("binary")), F.lit(HOLD)) == 0)
+    drawn = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", "held")
     drawn = drawn.repartition(docs.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        return _fit(drawn, n, per_class, rounds)
+    finally:
+        drawn.unpersist()
+
+
+def _fit(drawn: DataFrame, n: dict[int, int], per_class: int, rounds: int) -> Machine | None:
+    """drawn (text, toxic, held): the sample; n: labels of each kind."""
 
     def spread(b: pa.RecordBatch):
         # near copies of a text have the same least hash most of the time, and count as one
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = [t for t in tokens(text) if len(t) <= 64]
+            found = sorted(t for t in tokens(text) if len(t) <= TOKEN_CHARS)
             if found:
                 sketch = min(hash(tuple(t.encode())) for t in found)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([toxic] * len(found), pa.int32()), pa.array([sketch] * len(found), pa.int64())], names=["token", "toxic", "sketch"])
 
-    held = map_batches(drawn, spread, "token string, toxic int, sketch bigint")
-    stats = held.groupBy("token").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("up"), F.sum(1 - F.col("toxic")).alias("down")).persist()
-    only = stats.filter("down = 0 and up > 1").orderBy(F.desc("up"), "token").limit(TOKENS).collect()
-    clean = [r["token"] for r in stats.filter("down > 0").orderBy(F.xxhash64("token")).limit(TOKENS).collect()]
-    clean += [r["token"] for r in stats.filter("down > 0").orderBy(F.desc("down"), "token").limit(TOKENS // 4).collect()]
+    taught = drawn.filter("not held").select("text", "toxic")
+    stats = map_batches(taught, spread, "token string, toxic int, sketch bigint").groupBy("token").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("up"), F.sum(1 - F.col("toxic")).alias("down"))
+    stats = stats.coalesce(4).persist()  # tokens of the sample; each task sends at most TOKENS of a kind to the driver
+    only = stats.filter("down = 0").orderBy(F.desc("up"), "token").limit(TOKENS).collect()
+    clean = [r["token"] for r in stats.filter("down > 0").orderBy(F.xxhash64("token"), "token").limit(TOKENS).collect()]
+    clean += [r["token"] for r in stats.filter("down > 0").orderBy(F.desc("down"), "token").limit(FREQUENT).collect()]
     # a first witness is toxic more often than chance makes any token: at its count, hardly any token is expected to miss all clean texts
     rank = {r["token"]: r["up"] for r in only}
     tox, all_ = min(n[1], per_class), min(n[0], per_class) + min(n[1], per_class)
     seen = {r["k"]: r["n"] for r in stats.groupBy((F.col("up") + F.col("down")).alias("k")).agg(F.count("*").alias("n")).collect()}
+    stats.unpersist()
     by_chance = lambda k: sum(c * (tox / all_) ** j for j, c in seen.items() if j >= k)
-    least = next((k for k in range(2, 64) if by_chance(k) <= 0.2), 64)
+    least = next(k for k in count(2) if by_chance(k) <= 0.2)
     top = max(rank.values(), default=0)
     first = [t for t, k in rank.items() if k >= max(least, 0.05 * top)] or [t for t, k in rank.items() if k == top]
     if not first or not clean:
-        drawn.unpersist()
-        stats.unpersist()
         return None
     machine, hard = train_tokens(with_insertions(first), clean), []
-    for k in range(rounds + 1):
-        found = _best_of(drawn, machine)
-        if k == rounds:
-            break
-        up = found.filter("toxic = 1 and token is not null").groupBy("token").agg(F.count("*").alias("n"), F.max("margin").alias("margin")).orderBy(F.desc("n"), "token").limit(TOKENS).collect()
-        down = found.filter("toxic = 0 and token is not null").groupBy("token").agg(F.max("margin").alias("margin")).orderBy(F.desc("margin"), "token").limit(TOKENS // 2).collect()
+    for _ in range(rounds):
+        found = _best_of(taught, machine).filter("token is not null").groupBy("toxic", "token").agg(F.count("*").alias("n"), F.max("margin").alias("margin")).coalesce(4).persist()
+        up = found.filter("toxic = 1").orderBy(F.desc("n"), "token").limit(TOKENS).collect()
+        down = found.filter("toxic = 0").orderBy(F.desc("margin"), "token").limit(HARD).collect()
+        found.unpersist()
         bad = {r["token"] for r in down}
         hard = list(dict.fromkeys(hard + [r["token"] for r in down]))
-        witnesses = [r["token"] for r in up if r["token"] not in bad and r["margin"] > -0.5] or first
+        witnesses = [r["token"] for r in up if r["token"] not in bad and r["margin"] > WEAK] or first
         witnesses = list(dict.fromkeys(witnesses + [t for t in first if t not in bad]))
         machine = train_tokens(with_insertions(witnesses), list(dict.fromkeys(hard + clean)))
-    got = found.select("toxic", "margin").toPandas()  # 2 * per_class rows
+    kept = drawn.filter("held")
+    kinds = {r["toxic"] for r in kept.select("toxic").distinct().collect()}
+    got = _best_of(kept if kinds == {0, 1} else drawn, machine).select("toxic", "margin").toPandas().sort_values(["toxic", "margin"])  # 2 * per_class rows
     y, m = got["toxic"].to_numpy(), got["margin"].to_numpy()
     seen = {k: max(int((y == k).sum()), 1) for k in (0, 1)}
     machine.curve = logistic(m, y, np.where(y == 1, n[1] / seen[1], n[0] / seen[0]) * len(y) / (n[0] + n[1]))
-    drawn.unpersist()
-    stats.unpersist()
     return machine
 
 

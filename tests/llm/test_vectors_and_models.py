@@ -1,6 +1,12 @@
 """Top-k search against brute force; classifiers on held-out rows; the pipeline's stages against their own inputs."""
 
+import os
 import random
+import subprocess
+import sys
+import zlib
+from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -90,8 +96,9 @@ def test_toxicity_on_held_out_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(i, m) for i, _, m in rows] + [(None, 1), (10**6, 1), (3, None)], "doc_id bigint, toxic int")
     machine = toxicity.learn(docs, labels)
     got = {x.doc_id: x.score for x in toxicity.scores(docs, machine).collect()}
-    right = [(got[i] >= 0.5) == bool(m) for i, _, m in rows]
-    assert np.mean(right) > 0.98
+    held = [(got[i] >= 0.5) == bool(m) for i, _, m in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 60 and np.mean(held) > 0.95
+    assert {x.doc_id: x.score for x in toxicity.scores(docs, toxicity.learn(docs.orderBy("text"), labels)).collect()} == got  # reruns agree
     spelled = spark.createDataFrame([(1, "you d w e e b o there"), (2, "you d.w.e.e.b.o there"), (3, "you grobbnik there"), (4, "the thing of an er"), (5, ""), (6, None), (7, "GROBNIK!!")], "doc_id bigint, text string")
     s = {x.doc_id: x.score for x in toxicity.scores(spelled, machine).collect()}
     assert min(s[1], s[2], s[3], s[7]) >= 0.5 and max(s[4], s[5], s[6]) < 0.5
@@ -111,6 +118,35 @@ def test_collapsed_kernel_equals_landmark_kernel():
     assert np.allclose(m.margins(forms), dense @ dense[0], atol=1e-4)
 
 
+def test_kernel_equals_enumerated_subsequences():
+    def brute(form):
+        c, out = f"\1{form}\2", {}
+        for n in (3, 4):
+            for at in combinations(range(len(c)), n):
+                if at[-1] - at[0] < 4 + toxicity.INSERTED and at[-1] - at[0] <= n - 1 + toxicity.INSERTED:
+                    k = "".join(c[i] for i in at)
+                    out[k] = out.get(k, 0) + toxicity.GAP ** (at[-1] - at[0] + 1)
+        size = sum(v * v for v in out.values()) ** 0.5
+        return {k: v / size for k, v in out.items()}
+
+    r = random.Random(6)
+    forms = ["banana", "abab", "aaaaaa", "x", "xyz", "dweebo", "dweeebo"] + ["".join(r.choices("abcde", k=r.randint(1, 12))) for _ in range(40)]
+    own = toxicity.vectors(forms)
+    dense = np.zeros((len(forms), toxicity.SLOTS))
+    for i, (at, w) in enumerate(own):
+        np.add.at(dense[i], at, w)
+    sparse = [brute(f) for f in forms]
+    want = np.array([[sum(v * b.get(k, 0) for k, v in a.items()) for b in sparse] for a in sparse])
+    assert np.abs(dense @ dense.T - want).max() < 2e-3  # hashed slots may fall together
+    assert np.allclose((dense**2).sum(1), 1, atol=1e-5)
+
+
+def test_forms_do_not_follow_the_hash_seed():
+    code = "from stimfuse.llm import toxicity as t; print([t.forms(x) for x in ('foo-barbaz', 'a.b.cde,fgh', 's!lly_thing')], t.train_tokens(['foo-barbaz', 'zzy'], ['plain', 'words', 'only']).margins(['foobarbaz', 'words']).tolist())"
+    run = lambda seed: subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], env=os.environ | {"PYTHONHASHSEED": seed}).stdout
+    assert run("1") == run("2") == run("77")
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(3)
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t, _ in toxic_rows(600)]
