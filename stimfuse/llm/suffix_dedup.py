@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by equal windows of `length` bytes in shards.
+"""Removal of repeated byte strings by longest-previous-factor arrays, in shards.
 
 A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller id. Strings are judged
 on the input, matches never cross documents, and the first copy stays.
@@ -7,15 +7,16 @@ A suffix array of a whole corpus doesn't fit a task, so suffixes are dealt into
 string of `length` bytes has an anchor, the 16-byte gram in it with the least hash; equal strings have equal anchors at equal
 offsets. Pass 1 sends the hashes of anchors, once per slice of text, and finds those that several slices or documents hold;
 they come back as a bitmap of bounded size (it may let others pass, never hold one back). Pass 2 sends the anchors that the
-bitmap lets pass, with the bytes of the strings that they anchor. A shard sorts the strings whose hash has a twin by their bytes,
-and the least id of a run of equal ones says whether there is an earlier match. That takes the place of a longest-previous-factor
-array cut at `length`, which would answer the same question; suffix_array and longest_previous_factor serve one text. Before the shuffle equal contexts of a slice become one,
-and the strings of anchors that very many slices hold are dealt by their content, so a passage that is everywhere doesn't
-gather in one shard.
-
-Edge cases: null texts are empty; texts shorter than `length` lose nothing; a null id counts as larger than all others; rows
-with the same id never remove each other's bytes and are told apart by a hash of their text; an empty table gives no rows;
-other columns of the input are kept by remove() and not read by spans().
+bitmap lets pass, with the bytes of the strings that they anchor. A shard puts its suffixes, cut at `length`, in order, takes the
+common prefixes of neighbours, and finds for each the previous and the next one of a smaller document in that order: the longer of
+the two common prefixes is its longest previous factor, and a factor of `length` is an earlier match. Before the shuffle equal
+contexts of a slice become one, and the strings of anchors that very many slices hold are dealt by their content, so a passage
+that is everywhere doesn't gather in one shard.
+
+Edge cases: null texts are empty; texts shorter than `length` lose nothing; texts of any length are cut into slices that overlap by
+length - 1 bytes, so no string is missed; a null id counts as larger than all others; rows with the same id never remove each
+other's bytes and are told apart by a hash of their text; an empty table gives no rows; other columns of the input are kept by
+remove() and not read by spans().
 """
 
 from __future__ import annotations
@@ -56,41 +57,96 @@ def suffix_array(text: bytes) -> np.ndarray:
     return order
 
 
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """For each position, the length of the longest string there that also starts earlier: previous and next smaller positions in suffix order."""
-    sa, n = suffix_array(text).tolist(), len(text)
-    common = lambda a, b: next((k for k in range(n - max(a, b)) if text[a + k] != text[b + k]), n - max(a, b))
-    lcp = [0] + [common(sa[i - 1], sa[i]) for i in range(1, n)] + [0]
-    out = np.zeros(n, np.int64)
-    stack: list[tuple[int, int]] = []  # (position, least common prefix down to the entry below)
-    for i in range(n + 1):
-        at, low = (sa[i], lcp[i]) if i < n else (-1, 0)
-        while stack and stack[-1][0] > at:
-            p, l = stack.pop()
-            out[p] = max(l, low)
-            low = min(low, l)
-        stack.append((at, low))
+def common_prefixes(text: bytes, order: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix with the one before it in order, in linear time: moving on by one byte loses one at most."""
+    n, held = len(text), 0
+    out, at = np.zeros(n, np.int64), np.empty(n, np.int64)
+    at[order] = np.arange(n)
+    for i, k in enumerate(at.tolist()):
+        if k == 0:
+            held = 0
+            continue
+        j = int(order[k - 1])
+        while max(i, j) + held < n and text[i + held] == text[j + held]:
+            held += 1
+        out[k] = held
+        held = max(held - 1, 0)
     return out
 
 
-def earlier_match(strings: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """strings (n, length) of bytes: whether an equal one has a smaller id. In suffix order, equal strings are a run whose common
-    prefix is at least length, and the previous or next smaller id lies inside the run if its least id is smaller."""
-    n, length = strings.shape
+def suffix_order(pool: np.ndarray, first: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that start at `first` in pool and are cut at `cut` bytes (which the pool has): their order, and the common prefix
+    of each with the one before it in order. Ties are ordered again by the bytes that follow, as long as there are any."""
+    n = len(first)
+    order, common = np.zeros(n, np.int64), np.full(n, cut, np.int32)
     if not n:
-        return np.zeros(0, bool)
-    wide = np.zeros((n, -(-length // 8) * 8), np.uint8)
-    wide[:, :length] = strings
-    keys = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    s = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]).any(1)]))
-    least = np.minimum.reduceat(ids[order], starts)
-    out = np.empty(n, bool)
-    out[order] = np.repeat(least, np.diff(np.append(starts, n))) < ids[order]
+        return order, common
+    padded = np.concatenate([pool, np.zeros(8, np.uint8)])
+    eight = np.ndarray(shape=(len(pool) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+    def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a ^ b).byteswap().view(np.uint8).reshape(-1, 8) != 0).argmax(1).astype(np.int32)
+
+    key = eight[first].byteswap()
+    order = np.argsort(key)
+    key = key[order]
+    common[0], depth = 0, 8
+    tied = key[1:] == key[:-1]
+    apart = np.flatnonzero(~tied)
+    common[apart + 1] = equal_bytes(key[apart + 1], key[apart])
+    while depth < cut and tied.any():
+        after = np.concatenate([[False], tied])
+        member = np.flatnonzero(after | np.append(tied, False))
+        opens = ~after[member]
+        group = np.cumsum(opens) - 1
+        n_bytes = min((64 - max(int(group[-1]).bit_length(), 1)) // 8, cut - depth)
+        up = np.uint64(64 - 8 * n_bytes)
+        key = group.astype(np.uint64) << np.uint64(8 * n_bytes) | eight[first[order[member]] + depth].byteswap() >> up
+        again = np.argsort(key)
+        order[member], key = order[member][again], key[again]
+        new = np.flatnonzero((key[1:] != key[:-1]) & ~opens[1:])
+        at = member[new + 1]
+        common[at] = depth + equal_bytes(key[new + 1] << up, key[new] << up)
+        tied[at - 1] = False
+        depth += n_bytes
+    return order, common
+
+
+def _previous_smaller(values: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each place the least of the common prefixes down to the previous smaller value, 0 if there is none (or if it is below
+    least, which spares the search beyond). Whoever has not found a smaller value goes on from where the one it looks at has got to."""
+    n = len(values)
+    at, low = np.arange(n) - 1, common.copy()
+    open_ = np.flatnonzero((at >= 0) & (low >= least))
+    at[low < least] = -1
+    while len(open_):
+        open_ = open_[values[at[open_]] >= values[open_]]
+        j = at[open_]
+        low[open_], at[open_] = np.minimum(low[open_], low[j]), at[j]
+        shut = (at[open_] < 0) | (low[open_] < least)
+        at[open_[shut]], low[open_[shut]] = -1, 0
+        open_ = open_[~shut]
+    low[at < 0] = 0
+    return low
+
+
+def previous_factors(order: np.ndarray, common: np.ndarray, values: np.ndarray, least: int = 0) -> np.ndarray:
+    """For each suffix, the longest prefix that one of a smaller value has as well, from the previous and the next smaller value in
+    suffix order; factors below least are 0."""
+    v = values[order]
+    before = _previous_smaller(v, common, least)
+    after = _previous_smaller(v[::-1], np.concatenate([np.zeros(min(len(v), 1), common.dtype), common[:0:-1]]), least)[::-1]
+    out = np.empty(len(order), common.dtype)
+    out[order] = np.maximum(before, after)
     return out
 
 
+def longest_previous_factor(text: bytes) -> np.ndarray:
+    """For each position of one text, the length of the longest string there that also starts earlier."""
+    order = suffix_array(text)
+    return previous_factors(order, common_prefixes(text, order), np.arange(len(text)))
+
+
 class Anchors:
     """Anchors of the strings of one slice: hash, owner (index of the document), lo (first string start) and hi (end of the last string), in the slice."""
 
@@ -311,15 +367,7 @@ def _judge(doc, row, start, stop, texts: list[bytes], length: int):
     of = np.repeat(np.arange(len(contexts), dtype=np.int32), n)
     at = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     first = (begins[of] + at).astype(np.int32)
-    hit = np.zeros(len(of), bool)
-    # strings that share their first bytes can't be told apart yet: the rest are unique and need no sorting
-    head = _spread(pool, first, length)
-    order = np.argsort(head, kind="stable")
-    same = head[order][1:] == head[order][:-1]
-    twin = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    for piece in _by_head(head, twin):
-        strings = pool[first[piece][:, None] + np.arange(length)[None, :]]
-        hit[piece] = earlier_match(strings, least[of[piece]])
+    hit = previous_factors(*suffix_order(pool, first, length), least[of], length) >= length
     # runs of hit strings in a context
     opens = hit & np.concatenate([[True], (of[1:] != of[:-1]) | ~hit[:-1]]) if len(hit) else hit
     closes = hit & np.concatenate([(of[1:] != of[:-1]) | ~hit[1:], [True]]) if len(hit) else hit
@@ -334,31 +382,6 @@ def _judge(doc, row, start, stop, texts: list[bytes], length: int):
     return (np.concatenate([doc[whole], doc[again]]), np.concatenate([row[whole], row[again]]), np.concatenate([start[whole], start[again] + run_lo[r].astype(np.int64)]), np.concatenate([stop[whole], start[again] + run_hi[r]]))
 
 
-def _spread(pool: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of every string, from its bytes eight at a time; equal strings have equal hashes."""
-    h = np.zeros(len(first), np.uint64)
-    if not len(first):
-        return h
-    u = np.ndarray(shape=(len(pool) - 7,), dtype="<u8", buffer=pool, strides=(1,))
-    for k in [*range(0, length - 7, 8), length - 8]:
-        h = (h ^ u[first + k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    return h
-
-
-def _by_head(head: np.ndarray, at: np.ndarray, most: int = 1 << 18):
-    """Parts of `at` of about `most` entries, with equal hashes together (at is in order of hash)."""
-    if not len(at):
-        return
-    cuts = np.flatnonzero(np.diff(head[at])) + 1
-    starts = np.concatenate([[0], cuts])
-    lo = 0
-    while lo < len(at):
-        nxt = starts[np.searchsorted(starts, lo + most, side="left")] if lo + most < starts[-1] else len(at)
-        yield at[lo:nxt]
-        lo = nxt
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFrame:
     """The input with doc (its id, null as the largest long), text (null as empty) and key, a hash of the text where ids repeat, else 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))

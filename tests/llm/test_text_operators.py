@@ -344,3 +344,21 @@ def test_longest_previous_factor():
         t = "".join(r.choices("ab", k=r.randint(0, 40))).encode()
         want = [max((k for j in range(i) for k in range(len(t) - i + 1) if t[j : j + k] == t[i : i + k]), default=0) for i in range(len(t))]
         assert suffix_dedup.longest_previous_factor(t).tolist() == want
+    assert suffix_dedup.longest_previous_factor(b"a" * 5000).tolist() == [0, *range(4999, 0, -1)]
+
+
+@pytest.mark.parametrize("cut", [50, 17, 8])
+def test_cut_suffix_order_and_previous_factors(cut):
+    r = random.Random(cut)
+    for _ in range(30):
+        pool = b"".join(r.choice([b"ab", b"b", bytes(r.choices(range(256), k=9)), b"a" * r.randint(1, 40)]) for _ in range(60)) + bytes(cut)
+        first = np.array(sorted(r.sample(range(len(pool) - cut + 1), min(90, len(pool) - cut + 1))), np.int32)
+        values = np.array([r.randint(0, 12) for _ in first])
+        strings = [pool[k : k + cut] for k in first]
+        order, common = suffix_dedup.suffix_order(np.frombuffer(pool, np.uint8), first, cut)
+        shared = lambda a, b: next((k for k in range(cut) if a[k] != b[k]), cut)
+        assert [strings[k] for k in order] == sorted(strings)
+        assert common.tolist() == [0, *(shared(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False))]
+        want = [max((shared(s, t) for t, w in zip(strings, values, strict=True) if w < v), default=0) for s, v in zip(strings, values, strict=True)]
+        assert suffix_dedup.previous_factors(order, common, values).tolist() == want
+        assert suffix_dedup.previous_factors(order, common, values, cut).tolist() == [w if w >= cut else 0 for w in want]
