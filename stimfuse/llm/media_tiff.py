@@ -1,12 +1,14 @@
 """TIFF as a media column: an image reader that emits one row per page, and a writer for 8-bit samples.
 
-The reader walks the chain of image directories (either byte order), takes strips or tiles, decodes no compression, PackBits,
-LZW and deflate, undoes the horizontal predictor (2), and lays chunky 8- or 16-bit samples out row by row. Each page gives its
-size, tags, pixel statistics and an average hash. A directory chain that loops, a truncated file or an unknown compression
-gives a row with `error` set, not a failed job.
-
-Edge cases: null media give no page; empty or damaged media give one row with page 0 and an error; repeated rows are read
-alike; an empty table gives no rows; other columns of the input are not read.
+The reader walks the chain of image directories (either byte order), takes strips or tiles, chunky or in planes, decodes no
+compression, PackBits, LZW and deflate, undoes the horizontal predictor (2), and lays 8- or 16-bit samples out row by row. Each
+page gives its size, tags, pixel statistics and an average hash. A page that can't be read (unknown compression, a tag of a type
+that can't be a number, missing or short strips, more pixels than its bytes can hold) gives a row with `error` set, and the pages
+after it are still read; a chain that loops or leaves the file ends with such a row. No block is decompressed beyond its size.
+
+Edge cases: null media give no page; empty or damaged media give one row with page 0 and an error; media and texts of any length
+are read whole; null texts are stored as empty ones; repeated rows and repeated or null ids are read alike, each for itself; an
+empty table gives no rows; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +25,21 @@ from stimfuse.llm.common import map_batches, slices
 
 #: Fixed values of the TIFF 6.0 specification: tag numbers, field sizes and compression numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
-FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+PLANES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
+FIELD = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
+#: No compression above makes more than this many bytes of one.
+MOST = 2600
+#: How text_features() lays a payload out, by its CRC-32: compression, predictor, side of the tiles (0: strips). Bytes of a page.
+LAYOUTS, PAGE_BYTES = ((DEFLATE, 2, 0), (PACKBITS, 1, 0), (LZW, 1, 32), (DEFLATE, 2, 32)), 1 << 20
+
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, mean double, stddev double, average_hash string, pixels_sha256 string, error string"
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         k = data[i]
         if k < 128:
             out += data[i + 1 : i + 2 + k]
@@ -46,25 +53,30 @@ def packbits_decode(data: bytes) -> bytes:
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run >= 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and not (i + 1 < n and data[i + 1] == data[i]):
-            i += 1
-        out += bytes((i - start - 1,)) + data[start:i]
+    """Runs of three or more bytes are packed, all else is literal."""
+    a = np.frombuffer(data, np.uint8)
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(a)))
+    out, at = bytearray(), 0
+
+    def literal(to: int) -> None:
+        for k in range(at, to, 128):
+            out.append(min(128, to - k) - 1)
+            out.extend(data[k : min(k + 128, to)])
+
+    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        literal(start)
+        for k in range(0, size, 128):
+            n = min(128, size - k)
+            out += bytes((257 - n if n > 1 else 0, data[start]))
+        at = start + size
+    literal(len(data))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int) -> bytes:
     """Most significant bit first; code 256 clears the table, 257 ends; widths grow one code early."""
-    out, table, width, bits, held = [], [], 9, 0, 0
+    out, table, width, bits, held, made = [], [], 9, 0, 0, 0
     last = b""
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
     for byte in data:
@@ -91,42 +103,47 @@ def lzw_decode(data: bytes) -> bytes:
                     width += 1
             out.append(entry)
             last = entry
+            made += len(entry)
+        if made >= most:
+            break
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
     held = bits = 0
     out = bytearray()
+    width, size, table = 9, 258, {}
 
     def put(code: int) -> None:
         nonlocal held, bits
         held = held << width | code
         bits += width
         while bits >= 8:
-            out.append(held >> (bits - 8) & 255)
             bits -= 8
+            out.append(held >> bits & 255)
         held &= (1 << bits) - 1
 
-    width, base = 9, {bytes((i,)): i for i in range(256)}
-    table, size = dict(base), 258
     put(256)
-    w = b""
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if w + c in table:
-            w += c
+    code = -1
+    for c in data:
+        if code < 0:
+            code = c
+            continue
+        known = table.get(code << 8 | c)
+        if known is not None:
+            code = known
             continue
-        put(table[w])
-        table[w + c] = size
+        put(code)
+        table[code << 8 | c] = size
         size += 1
+        code = c
         if size >= 4094:
             put(256)
-            table, size, width = dict(base), 258, 9
+            table, size, width = {}, 258, 9
         elif size > (1 << width) - 1:
             width += 1
-        w = c
-    if w:
-        put(table[w])
+    if code >= 0:
+        put(code)
         size += 1
         if size > (1 << width) - 1 and width < 12:
             width += 1
@@ -136,46 +153,64 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
+def _unpack(data: bytes, compression: int, most: int) -> bytes:
+    """The bytes of a strip or tile; decompression stops when there are `most` of them."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(most, 1))
     raise ValueError(f"compression {compression} is not known")
 
 
+BAD = (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError)
+
+
 def _directories(data: bytes):
-    """The tags of each page, in the order of the chain."""
+    """(byte order, tags) of each page, in the order of the chain; tags of types that are no numbers are None, an error takes the place of tags that can't be read."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
+    if not at:
+        raise ValueError("the file has no page")
     while at:
         if at in seen:
             raise ValueError("the directories form a loop")
         seen.add(at)
-        tags = {}
         n = struct.unpack_from(order + "H", data, at)[0]
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind not in FIELD:
-                continue
-            form = f"{order}{count}{FIELD[kind]}"
-            where = at + 10 + 12 * k
-            if struct.calcsize(form) > 4:
-                where = struct.unpack_from(order + "I", data, where)[0]
-            tags[tag] = struct.unpack_from(form, data, where)
+        after = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+        try:
+            tags: dict | Exception = {}
+            for k in range(n):
+                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+                if kind not in FIELD:
+                    tags[tag] = None
+                    continue
+                form = f"{order}{count}{FIELD[kind]}"
+                where = at + 10 + 12 * k
+                if struct.calcsize(form) > 4:
+                    where = struct.unpack_from(order + "I", data, where)[0]
+                tags[tag] = struct.unpack_from(form, data, where)
+        except BAD as e:
+            tags = e
         yield order, tags
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+        at = after
+
+
+def numbers(tags: dict, tag: int, default: tuple | None = None) -> tuple:
+    """The numbers of a tag, which is present or has a default."""
+    found = tags.get(tag, default)
+    if not found or min(found) < 0:
+        raise ValueError(f"tag {tag} is missing or not a number")
+    return found
 
 
 def _block(raw: bytes, rows: int, cols: int, samples: int, kind: np.dtype, predictor: int) -> np.ndarray:
-    need = rows * cols * samples * kind.itemsize
-    if len(raw) < need:
+    if len(raw) < rows * cols * samples * kind.itemsize:
         raise ValueError("a strip or tile is too short")
     a = np.frombuffer(raw, kind, rows * cols * samples).reshape(rows, cols, samples)
     if predictor == 2:
@@ -187,25 +222,39 @@ def _block(raw: bytes, rows: int, cols: int, samples: int, kind: np.dtype, predi
 
 def page_pixels(data: bytes, order: str, tags: dict) -> np.ndarray:
     """The samples of one page: (height, width, samples)."""
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
-    if bits not in (8, 16):
+    one = lambda tag, *default: numbers(tags, tag, default or None)[0]
+    width, height, samples, bits, planes = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(PLANES, 1)
+    if bits not in (8, 16) or len(set(numbers(tags, BITS, (1,)))) > 1:
         raise ValueError(f"{bits} bits a sample are not known")
+    if not width or not height or not samples or planes not in (1, 2):
+        raise ValueError("the page has no pixels or unknown planes")
     kind = np.dtype(f"{order}u{bits // 8}")
     compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if width * height * samples * kind.itemsize > MOST * len(data):
+        raise ValueError("the page has more pixels than the file can hold")
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        cols, rows = one(TILE_WIDTH), one(TILE_HEIGHT)
+        offsets, sizes = numbers(tags, TILE_OFFSETS), numbers(tags, TILE_BYTES)
+    else:
+        cols, rows = width, min(one(ROWS_PER_STRIP, height), height)
+        offsets, sizes = numbers(tags, STRIP_OFFSETS), numbers(tags, STRIP_BYTES)
+    if not cols or not rows:
+        raise ValueError("strips or tiles have no size")
+    across, down, depth = -(-width // cols), -(-height // rows), samples if planes == 2 else 1
+    if len(offsets) != len(sizes) or len(offsets) < across * down * depth:
+        raise ValueError("strips or tiles are missing")
+    held = samples // depth
+    if cols * rows * held * kind.itemsize > MOST * max(len(data), 1):
+        raise ValueError("a strip or tile is larger than the file can hold")
     out = np.empty((height, width, samples), kind.newbyteorder("="))
-    if TILE_OFFSETS in tags:
-        tw, th = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
-        across = -(-width // tw)
-        for k, (at, size) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_BYTES], strict=True)):
-            y, x = k // across * th, k % across * tw
-            tile = _block(_unpack(data[at : at + size], compression), th, tw, samples, kind, predictor)
-            out[y : y + th, x : x + tw] = tile[: height - y, : width - x]
-        return out
-    rows = min(one(ROWS_PER_STRIP, height), height)
-    for k, (at, size) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES], strict=True)):
-        n = min(rows, height - k * rows)
-        out[k * rows : k * rows + n] = _block(_unpack(data[at : at + size], compression), n, width, samples, kind, predictor)
+    for k in range(across * down * depth):
+        plane, place = divmod(k, across * down)
+        y, x = place // across * rows, place % across * cols
+        n = rows if tiled else min(rows, height - y)
+        raw = _unpack(data[offsets[k] : offsets[k] + sizes[k]], compression, n * cols * held * kind.itemsize)
+        block = _block(raw, n, cols, held, kind, predictor)
+        out[y : y + n, x : x + cols, plane : plane + held if depth > 1 else samples] = block[: height - y, : width - x]
     return out
 
 
@@ -219,46 +268,62 @@ def average_hash(a: np.ndarray) -> str:
     return np.packbits((cells * a.shape[0] * a.shape[1] > area * int(sums[-1, -1])).ravel()).tobytes().hex()
 
 
-def read_pages(data: bytes):
-    """One tuple of PAGE_SCHEMA per page; an error ends the list."""
-    k = 0
+def decoded(data: bytes):
+    """(tags, pixels) of each page, or (None, error) of one that can't be read; nothing comes after an error of the chain itself."""
     try:
         for order, tags in _directories(data):
-            a = page_pixels(data, order, tags)
-            one = lambda tag, default, tags=tags: int(tags.get(tag, (default,))[0])
-            yield (k, a.shape[1], a.shape[0], a.shape[2], one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), float(a.mean()) if a.size else None, float(a.std()) if a.size else None, average_hash(a) if a.size else None, hashlib.sha256(a.tobytes()).hexdigest(), None)
-            k += 1
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, ZeroDivisionError, MemoryError) as e:
-        yield (k, None, None, None, None, None, None, None, None, None, None, str(e)[:200])
-
-
-def write_tiff(pixels: bytes, width: int, compression: int = DEFLATE, predictor: int = 2, strip_bytes: int = 1 << 16) -> bytes:
-    """A one-page little-endian file of 8-bit grey samples in strips; len(pixels) is a multiple of width."""
-    height = len(pixels) // width
-    rows = max(1, strip_bytes // width)
-    a = np.frombuffer(pixels, np.uint8).reshape(height, width)
-    if predictor == 2:
-        a = np.diff(a, axis=1, prepend=np.zeros((height, 1), np.uint8))
+            try:
+                if isinstance(tags, Exception):
+                    raise tags
+                yield tags, page_pixels(data, order, tags)
+            except BAD as e:
+                yield None, e
+    except BAD as e:
+        yield None, e
+
+
+def read_pages(data: bytes):
+    """One tuple of PAGE_SCHEMA per page."""
+    for k, (tags, a) in enumerate(decoded(data)):
+        if tags is None:
+            yield (k, *[None] * 10, str(a)[:200] or type(a).__name__)
+            continue
+        one = lambda tag, default, tags=tags: int(numbers(tags, tag, (default,))[0])
+        yield (k, a.shape[1], a.shape[0], a.shape[2], one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), float(a.mean()), float(a.std()), average_hash(a), hashlib.sha256(a.tobytes()).hexdigest(), None)
+
+
+def write_tiff(pages_: list[bytes], width: int, compression: int = DEFLATE, predictor: int = 2, tile: int = 0, strip_bytes: int = 1 << 16) -> bytes:
+    """A little-endian file of 8-bit grey pages, in strips or square tiles; each page's length is a multiple of width."""
     pack = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1)}[compression]
-    strips = [pack(a[k : k + rows].tobytes()) for k in range(0, height, rows)]
-    n = len(strips)
-    body = b"".join(strips)
-    tags = [(WIDTH, [width]), (HEIGHT, [height]), (BITS, [8]), (COMPRESSION, [compression]), (PHOTOMETRIC, [1]), (STRIP_OFFSETS, None), (SAMPLES, [1]), (ROWS_PER_STRIP, [rows]), (STRIP_BYTES, [len(s) for s in strips]), (PREDICTOR, [predictor])]
-    after = 8 + len(body) + (len(body) & 1)
-    arrays_at = after + 2 + 12 * len(tags) + 4
-    offsets, at = [], 8
-    for s in strips:
-        offsets.append(at)
-        at += len(s)
-    head, arrays = b"", b""
-    for tag, values in tags:
-        values = offsets if values is None else values
-        if len(values) == 1:
-            head += struct.pack("<HHII", tag, 4, 1, values[0])
-        else:
-            head += struct.pack("<HHII", tag, 4, n, arrays_at + len(arrays))
-            arrays += struct.pack(f"<{n}I", *values)
-    return b"II*\0" + struct.pack("<I", after) + body + b"\0" * (len(body) & 1) + struct.pack("<H", len(tags)) + head + b"\0\0\0\0" + arrays
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for pixels in pages_:
+        height = len(pixels) // width
+        a = np.frombuffer(pixels, np.uint8).reshape(height, width)
+        cols, rows = (tile, tile) if tile else (width, max(1, strip_bytes // width))
+        if tile:
+            a = np.pad(a, ((0, -height % tile), (0, -width % tile)))
+        offsets, sizes = [], []
+        for y in range(0, a.shape[0], rows):
+            for x in range(0, a.shape[1], cols):
+                block = a[y : y + rows, x : x + cols]
+                if predictor == 2:
+                    block = np.diff(block, axis=1, prepend=np.zeros((len(block), 1), np.uint8))
+                offsets.append(len(out))
+                out += pack(block.tobytes())
+                sizes.append(len(out) - offsets[-1])
+        out += bytes(len(out) & 1)
+        shape = [(TILE_WIDTH, [tile]), (TILE_HEIGHT, [tile]), (TILE_OFFSETS, offsets), (TILE_BYTES, sizes)] if tile else [(STRIP_OFFSETS, offsets), (ROWS_PER_STRIP, [rows]), (STRIP_BYTES, sizes)]
+        tags = sorted([(WIDTH, [width]), (HEIGHT, [height]), (BITS, [8]), (COMPRESSION, [compression]), (PHOTOMETRIC, [1]), (SAMPLES, [1]), (PREDICTOR, [predictor]), *shape])
+        struct.pack_into("<I", out, link, len(out))
+        arrays_at = len(out) + 2 + 12 * len(tags) + 4
+        head, arrays = struct.pack("<H", len(tags)), b""
+        for tag, values in tags:
+            one = len(values) == 1
+            head += struct.pack("<HHII", tag, 4, len(values), values[0] if one else arrays_at + len(arrays))
+            arrays += b"" if one else struct.pack(f"<{len(values)}I", *values)
+        link = len(out) + len(head)
+        out += head + bytes(4) + arrays
+    return bytes(out)
 
 
 def pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -276,14 +341,20 @@ def pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return map_batches(df.select(id_col, media_col), run, f"`{id_col}` bigint, {PAGE_SCHEMA}")
 
 
-def store_texts(df: DataFrame, width: int = 64, compression: int = DEFLATE) -> DataFrame:
-    """Each whole text as a one-page TIFF: (doc_id, media binary); text null is the empty text."""
+def stored(text: str | None, width: int = 64) -> bytes:
+    """A whole text as a TIFF file: pages of PAGE_BYTES, in the layout that its CRC-32 picks; null is the empty text."""
+    payload = padded((text or "").encode("utf-8", "surrogatepass"), width)
+    step = PAGE_BYTES // width * width
+    return write_tiff([payload[k : k + step] for k in range(0, len(payload), step)], width, *LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)])
+
+
+def store_texts(df: DataFrame, width: int = 64) -> DataFrame:
+    """Each whole text as a TIFF file: (doc_id, media binary)."""
 
     def run(b: pa.RecordBatch):
         texts = b.column(1).to_pylist()
         for lo, hi in slices(texts):
-            media = [write_tiff(padded((t or "").encode(), width), width, compression) for t in texts[lo:hi]]
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(media, pa.large_binary()).cast(pa.binary())], names=["doc_id", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([stored(t, width) for t in texts[lo:hi]], pa.large_binary()).cast(pa.binary())], names=["doc_id", "media"])
 
     return map_batches(df.select("doc_id", "text"), run, "doc_id bigint, media binary")
 
@@ -301,12 +372,12 @@ def text_features(df: DataFrame, width: int = 64) -> DataFrame:
     def run(b: pa.RecordBatch):
         rows = []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            media = write_tiff(padded(raw), width)
-            [(order, tags)] = list(_directories(media))
-            a = page_pixels(media, order, tags)
-            back = a.tobytes()
-            feature = f"{a.shape[1]}x{a.shape[0]} mean={int(a.sum(dtype=np.int64)) / a.size:.6f} min={a.min()} max={a.max()} ahash={average_hash(a)}"
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            media = stored(text, width)
+            found = [a for tags, a in decoded(media) if tags is not None]
+            back = b"".join(a.tobytes() for a in found)
+            total = sum(int(a.sum(dtype=np.int64)) for a in found)
+            feature = f"pages={len(found)} {width}x{sum(a.shape[0] for a in found)} mean={total / len(back):.6f} min={min(a.min() for a in found)} max={max(a.max() for a in found)} ahash={'-'.join(map(average_hash, found))}"
             rows.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

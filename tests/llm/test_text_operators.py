@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -75,45 +76,113 @@ def test_token_counts_and_cache(spark, awkward, nothing, name):
 
 @pytest.mark.parametrize("compression", [media_tiff.NONE, media_tiff.LZW, media_tiff.DEFLATE, media_tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
-def test_tiff_round_trip(compression, predictor):
+@pytest.mark.parametrize("tile", [0, 16, 48])
+def test_tiff_round_trip(compression, predictor, tile):
     r = random.Random(3)
-    for rows in (1, 7, 300):
-        for values in (2, 256):
-            px = bytes(r.choices(range(values), k=64 * rows))
-            media = media_tiff.write_tiff(px, 64, compression, predictor, 1000)
-            [(order, tags)] = list(media_tiff._directories(media))
-            assert media_tiff.page_pixels(media, order, tags).tobytes() == px
-
-
-def test_tiff_pages_and_features(spark, awkward, nothing):
-    import struct
-
-    one = media_tiff.write_tiff(bytes(range(128)), 64, media_tiff.NONE, 1)
-    entries = lambda at, off: struct.pack("<H", 9) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in ((256, 3), (257, 3), (258, 8), (259, 1), (277, 1), (322, 2), (323, 2), (324, off), (325, 4))) + struct.pack("<I", at)
-    loop = b"II*\0" + struct.pack("<I", 8) + entries(8, 0)
-    media = spark.createDataFrame([(1, bytearray(one)), (2, None), (3, bytearray(b"")), (4, bytearray(b"junk")), (5, bytearray(loop))], "doc_id bigint, media binary")
+    pages = [bytes(r.choices(range(values), k=64 * rows)) for rows in (1, 7, 300) for values in (1, 2, 256)]
+    media = media_tiff.write_tiff(pages, 64, compression, predictor, tile, 1000)
+    assert [a.tobytes() for _, a in media_tiff.decoded(media)] == pages
+
+
+def test_tiff_codecs_on_known_bytes():
+    # fixed values: the examples of the TIFF 6.0 specification (LZW codes of 9 bits) and of the PackBits note
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert media_tiff.lzw_decode(packed, 99) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert media_tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 99) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    r = random.Random(1)
+    for n in (0, 1, 5000, 70000):
+        for values in (1, 3, 256):
+            x = bytes(r.choices(range(values), k=n))
+            assert media_tiff.lzw_decode(media_tiff.lzw_encode(x), n) == x == media_tiff.packbits_decode(media_tiff.packbits_encode(x), n)
+
+
+def tiff(pages, order="<"):
+    """A file of pages (tags {tag: (type, numbers or raw bytes)}, blocks): blocks stand in front, tags 273 or 324 get their offsets."""
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
+    link = 4
+    for tags, blocks in pages:
+        offsets = []
+        for x in blocks:
+            offsets.append(len(out))
+            out += x
+        tags = {t: (4, offsets) if v is None else v for t, v in tags.items()}
+        struct.pack_into(order + "I", out, link, len(out))
+        at, tail = len(out) + 2 + 12 * len(tags) + 4, b""
+        head = struct.pack(order + "H", len(tags))
+        for t, (kind, values) in sorted(tags.items()):
+            raw = values if isinstance(values, bytes) else struct.pack(f"{order}{len(values)}{ {1: 'B', 3: 'H', 4: 'I'}[kind]}", *values)
+            head += struct.pack(order + "HHI", t, kind, len(values) if not isinstance(values, bytes) or kind == 2 else len(values) // 8)
+            head += raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", at + len(tail))
+            tail += raw if len(raw) > 4 else b""
+        link = len(out) + len(head)
+        out += head + bytes(4) + tail
+    return bytes(out)
+
+
+def test_tiff_planes_samples_and_damage():
+    M = media_tiff
+    r = np.random.default_rng(3)
+    base = lambda w, h, n=1, bits=8: {256: (3, [w]), 257: (3, [h]), 258: (3, [bits] * n), 259: (3, [8]), 277: (3, [n])}
+    for order in "<>":
+        a = r.integers(0, 65536, (5, 7, 3)).astype(np.uint16)
+        kind = np.dtype(f"{order}u2")
+        plane = lambda x: [zlib.compress(x[y : y + 2].astype(kind).tobytes()) for y in (0, 2, 4)]
+        planar = (base(7, 5, 3, 16) | {284: (3, [2]), 278: (3, [2]), 273: None, 279: (4, [len(x) for k in range(3) for x in plane(a[..., k])])}, [x for k in range(3) for x in plane(a[..., k])])
+        chunky = (base(7, 5, 3, 16) | {278: (3, [2]), 273: None, 279: (4, [len(x) for x in plane(a)])}, plane(a))
+        diff = np.diff(a, axis=1, prepend=np.zeros((5, 1, 3), np.uint16))
+        differs = (chunky[0] | {317: (3, [2]), 279: (4, [len(x) for x in plane(diff)])}, plane(diff))
+        assert all((x == a).all() for _, x in M.decoded(tiff([planar, chunky, differs], order)))
+    one = zlib.compress(bytes(range(16)))
+    good = (base(4, 4) | {278: (4, [4]), 273: None, 279: (4, [len(one)])}, [one])
+    bad = [
+        ({**good[0], 256: (2, b"four\0")}, [one]), ({**good[0], 256: (5, struct.pack("<II", 4, 1))}, [one]), ({**good[0], 257: (4, [8])}, [one]),
+        ({**good[0], 278: (4, [2])}, [one]), ({**good[0], 278: (4, [0])}, [one]), ({**good[0], 259: (3, [7])}, [one]), ({**good[0], 317: (3, [3])}, [one]),
+        ({**good[0], 284: (3, [3])}, [one]), ({**good[0], 256: (4, [4_000_000_000]), 257: (4, [4_000_000_000])}, [one]), ({**good[0], 279: (4, [3])}, [one]),
+        ({t: v for t, v in good[0].items() if t != 273}, [one]), ({**good[0], 258: (3, [4])}, [one]), ({**good[0], 322: (3, [0]), 323: (3, [16]), 324: (4, [8]), 325: (4, [9])}, [one]),
+    ]
+    rows = list(M.read_pages(tiff([x for b in bad for x in (b, good)])))
+    assert [x[0] for x in rows] == list(range(2 * len(bad)))
+    assert all(x[-1] for x in rows[::2]) and all(x[-1] is None and x[1:5] == (4, 4, 1, 8) and x[-2] == hashlib.sha256(bytes(range(16))).hexdigest() for x in rows[1::2])
+    bomb = zlib.compress(bytes(1 << 26))
+    [(_, a)] = M.decoded(tiff([(base(4, 4) | {278: (4, [4]), 273: None, 279: (4, [len(bomb)])}, [bomb])]))
+    assert a.shape == (4, 4, 1) and not a.any()
+    whole = tiff([good, good])
+    for cut in range(0, len(whole), 7):  # cut anywhere: rows, never an exception
+        assert list(M.read_pages(whole[:cut]))
+    for k in range(0, len(whole)):
+        list(M.read_pages(whole[:k] + bytes([whole[k] ^ 0xFF]) + whole[k + 1 :]))
+
+
+def test_tiff_pages_and_features(spark, awkward, nothing, monkeypatch):
+    one = media_tiff.write_tiff([bytes(range(128)), bytes(64)], 64, media_tiff.NONE, 1)
+    loop = bytearray(one)
+    struct.pack_into("<I", loop, loop.rindex(struct.pack("<I", 0)), struct.unpack_from("<I", loop, 4)[0])
+    media = spark.createDataFrame([(1, bytearray(one), 1), (2, None, 2), (3, bytearray(b""), 3), (4, bytearray(b"junk"), 4), (5, loop, 5), (None, bytearray(one), 6)], "doc_id bigint, media binary, page int")
     got = {}
     for r in media_tiff.pages(media, "doc_id", "media").collect():
         got.setdefault(r.doc_id, []).append(r)
-    assert got[1][0].width == 64 and got[1][0].height == 2 and got[1][0].error is None
-    assert 2 not in got and got[3][0].error and got[4][0].error and got[5][-1].error
-    tiled = struct.pack("<4sI", b"II*\0", 8 + 16) + b"".join(bytes([k] * 4) for k in range(4))
-    body = struct.pack("<H", 9)
-    for tag, kind, n, v in ((256, 4, 1, 3), (257, 4, 1, 3), (258, 4, 1, 8), (259, 4, 1, 1), (277, 4, 1, 1), (322, 4, 1, 2), (323, 4, 1, 2)):
-        body += struct.pack("<HHII", tag, kind, n, v)
-    after = len(tiled) + 2 + 12 * 9 + 4
-    body += struct.pack("<HHII", 324, 4, 4, after) + struct.pack("<HHII", 325, 4, 4, after + 16) + struct.pack("<I", 0)
-    data = tiled + body + struct.pack("<4I", 8, 12, 16, 20) + struct.pack("<4I", 4, 4, 4, 4)
-    [(order, tags)] = list(media_tiff._directories(data))
-    assert media_tiff.page_pixels(data, order, tags)[..., 0].tolist() == [[0, 0, 1], [0, 0, 1], [2, 2, 3]]
-    for r in media_tiff.text_features(awkward, 64).collect():
-        assert r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes)
-    by_text = {r.doc_id: r.text for r in awkward.filter("doc_id > 3").collect()}
+    assert [(x.page, x.width, x.height, x.error) for x in got[1]] == [(0, 64, 2, None), (1, 64, 1, None)] and len(got[None]) == 2
+    assert 2 not in got and got[3][0].error and got[4][0].error
+    texts = {r.doc_id: r.text for r in awkward.filter("doc_id > 3").collect()}
+    layouts = set()
     for r in media_tiff.text_features(awkward.filter("doc_id > 3"), 64).collect():
-        raw = media_tiff.padded(by_text[r.doc_id].encode())
-        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+        raw = media_tiff.padded(texts[r.doc_id].encode())
+        layouts.add(zlib.crc32(raw) % 4)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+        # the stored form, written again and read page by page
+        media = media_tiff.stored(texts[r.doc_id])
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert b"".join(a.tobytes() for _, a in media_tiff.decoded(media)) == raw
+        assert f" mean={sum(raw) / len(raw):.6f} min={min(raw)} max={max(raw)} " in r.feature
+    assert layouts == {0, 1, 2, 3}
+    monkeypatch.setattr(media_tiff, "PAGE_BYTES", 2048)
+    for t in texts.values():
+        assert b"".join(a.tobytes() for _, a in media_tiff.decoded(media_tiff.stored(t))) == media_tiff.padded(t.encode())
+    assert {r.payload_bytes for r in media_tiff.text_features(awkward.filter("text is null")).collect()} == {64}
     assert media_tiff.text_features(nothing).count() == 0
-    assert [p.error for p in media_tiff.pages(media_tiff.store_texts(awkward), "doc_id", "media").collect()] == [None] * awkward.count()
+    assert {p.error for p in media_tiff.pages(media_tiff.store_texts(awkward), "doc_id", "media").collect()} == {None}
 
 
 def test_mixing_equals_sql(spark, awkward, nothing):
