@@ -3,24 +3,25 @@
 Features are hashed n-grams (1 to 3 characters) of the lower-cased text, with every run of other than letters as one space. A
 row's vector is log(1 + count) * idf, scaled to length 1. Document frequencies are counted over all learning rows. Weights are
 learned with follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties, so most weights are zero) on a sample of
-at most `per_label` rows of each label; a last part of that sample, which the weights do not see, sets the temperature that
-calibrates the probabilities.
+at most `per_label` distinct texts of each label; a last part of that sample, which the weights do not see, sets the temperature
+that calibrates the probabilities. The sample is drawn among the digests of distinct texts, so copies of a text count once, their
+texts are not gathered, and a label with any learning text keeps one.
 
 Edge cases: a null text, or one without letters, gives `und` and score 0; with no learning rows everything is `und`; texts of any
-length are read whole; labels that are null are not learned; repeated rows weigh as often as they occur; an empty table gives no
-rows; other columns of the input are not read.
+length are read whole; labels that are null are not learned; repeated rows weigh in the document frequencies as often as they
+occur; an empty table gives no rows; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import map_batches
+from stimfuse.llm.common import crc_mod, map_batches
 
-#: Hashed features; learning rows of a label at most; share of them that is kept for the temperature.
+#: Hashed features; distinct learning texts of a label at most; share of them that is kept for the temperature.
 DIMENSIONS, PER_LABEL, HELD = 1 << 15, 1200, 0.2
 
 _LETTER = None
@@ -126,7 +127,7 @@ class Model:
 
 
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL, epochs: int = 3) -> Model:
-    """rows: the learning rows. Frequencies come from all of them, weights from at most per_label of each label."""
+    """rows: the learning rows. Frequencies come from all of them, weights from at most per_label distinct texts of each label."""
     rows = rows.filter(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
 
     def frequencies(batches):
@@ -145,36 +146,41 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
         df[r["at"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    labels = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per label
+    # a digest per distinct text and label; only those under the label's share can be among the first per_label
+    digests = rows.filter(F.col("text").rlike(r"\p{L}")).select("label", F.xxhash64("text").alias("digest")).distinct()
+    digests = digests.withColumn("order", F.shiftrightunsigned(F.xxhash64("digest", "label"), 11) / float(1 << 53)).persist()
+    labels = {r["label"]: r["count"] for r in digests.groupBy("label").count().collect()}  # one row per label
     names = sorted(labels)
-    order = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_label / labels[k]))]), F.col("label")) if names else F.lit(1.0)
-    drawn = rows.withColumn("order", order).filter(F.col("order") < share)
+    share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, (per_label + 8 * per_label**0.5) / labels[k]))]), F.col("label")) if names else F.lit(1.0)
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("order", "digest"))
+    chosen = digests.filter(F.col("order") < share).withColumn("nth", nth).filter(F.col("nth") <= per_label)
+    # per_label rows a label; of copies one stays before anything is shuffled
+    drawn = rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(chosen), ["label", "digest"]).groupBy("label", "digest", "nth").agg(F.min("text").alias("text"))
 
     def features(b: pa.RecordBatch):
-        out = [(label, o, f) for t, label, o in zip(*(c.to_pylist() for c in b.columns), strict=True) if (f := counts(t)) is not None]
-        kinds = [pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        out = [(label, nth, f) for t, label, nth in zip(*(c.to_pylist() for c in b.columns), strict=True) if (f := counts(t)) is not None]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         cols = [[x[0] for x in out], [x[1] for x in out], [x[2][0] for x in out], [x[2][1] for x in out]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "order", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "nth", "at", "n"])
 
-    # a sample of per_label rows a label, each with DIMENSIONS features at most
-    got = map_batches(drawn.select("text", "label", "order"), features, "label string, order double, at array<int>, n array<int>").toArrow()
+    # a sample of per_label texts a label, each with DIMENSIONS features at most
+    got = map_batches(drawn.select("text", "label", "nth"), features, "label string, nth int, at array<int>, n array<int>").toArrow().sort_by([("nth", "ascending"), ("label", "ascending")])
+    digests.unpersist()
     number = {k: i for i, k in enumerate(names)}
     flat_at, flat_n = got.column("at").combine_chunks(), got.column("n").combine_chunks()
     ends = np.concatenate([[0], np.cumsum(np.asarray(flat_at.value_lengths()))]).astype(int) if len(got) else np.zeros(1, int)
     at, n = np.asarray(flat_at.flatten()), np.asarray(flat_n.flatten())
     y = np.array([number[k] for k in got.column("label").to_pylist()], int)
-    o = np.asarray(got.column("order"), float)
-    o = np.array([v / min(1.0, per_label / labels[names[k]]) for v, k in zip(o, y, strict=True)])  # position in the sample of its label
     x = [vector((at[a:b], n[a:b]), idf) for a, b in zip(ends, ends[1:], strict=False)]
     model = Ftrl(len(names))
-    turn = np.argsort(o * 7919 % 1, kind="stable")
+    # in the order of the draw; one text in 1 / HELD of a label's sample is kept for the temperature, but never its only one
+    every, place = round(1 / HELD), np.asarray(got.column("nth"), int)
+    held = [k for k in range(len(y)) if place[k] % every == 0]
     for _ in range(epochs):
-        for k in turn:
-            if o[k] >= HELD:
+        for k in range(len(y)):
+            if place[k] % every:
                 model.learn(*x[k], y[k])
     w = model.weights()
-    held = [k for k in turn if o[k] < HELD]
     t = temperature(np.array([x[k][1] @ w[x[k][0]] for k in held]), y[held]) if held else 1.0
     return Model(names if len(y) else [], idf, w.astype(np.float32), t)
 
@@ -191,6 +197,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def held_out(doc_id: Column) -> Column:
-    from stimfuse.llm.common import crc_mod
-
     return crc_mod(doc_id, 3) == 1

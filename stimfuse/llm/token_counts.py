@@ -9,8 +9,9 @@ Encoding splits a text at white space, which the tokenizer's own pattern can't s
 a bounded memo; the tokenizers library counts the chunks that the memo lacks. A text that holds an added token's string goes
 to the library whole.
 
-Edge cases: null and empty texts have 0 tokens; repeated rows each get their count; an empty table gives no rows and appends
-nothing; rows with a null id are kept; other columns of the input are not read.
+Edge cases: null and empty texts have 0 tokens; texts of any length are counted whole; repeated rows each get their count; rows
+with a null id or an id that repeats are kept, and are told apart by the digests of their texts; an empty table gives no rows and
+appends nothing; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,36 +99,40 @@ def counter(path: str) -> Counter:
 
 def read_cache(spark: SparkSession, cache_dir: str) -> DataFrame:
     """The stored counts, one row per pair of digests; an absent folder is an empty cache."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_dir)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        found = spark.read.schema(CACHE).parquet(cache_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(cache_dir).groupBy("content_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return found.groupBy("content_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def with_token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """One row per input row: (id, n_bytes, n_tokens, over_limit); the cache in cache_dir gets the counts it lacked.
 
-    Texts are shuffled by id once, to meet the ids of the distinct misses; everything else is shuffled as digests. The id
-    that stands for a content is its smallest, found by a partial aggregation, so copies of one text never meet in one task.
+    Texts are shuffled once, by id and digest, to meet the distinct misses; everything else is shuffled as digests. The id that
+    stands for a content is its smallest, found by a partial aggregation, so copies of one text never meet in one task, and
+    neither do the texts of one id, null or not.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("content_digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    digest = F.sha2(text.cast("binary"), 256)
+    keyed = docs.select(F.col(id_col).alias("id"), digest.alias("content_digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     stored = read_cache(spark, cache_dir).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     misses = keyed.groupBy("content_digest").agg(F.min("id").alias("id")).join(stored, "content_digest", "left_anti")
-    known_null = F.coalesce(F.col("id"), F.lit(-(2**63)))
-    wanted = misses.select(known_null.alias("key"), F.col("content_digest").alias("wanted_digest"))
-    source = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("key"), text.alias("text"))
+    # the least id is null only if all are; another value in its place keeps the join an equality
+    wanted = misses.select(F.coalesce("id", F.lit(-(2**63))).alias("key"), "content_digest")
+    source = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("key"), digest.alias("content_digest"), text.alias("text"))
 
     def encode(b: pa.RecordBatch):
-        # an id may come with several texts: the digest says which of them is the miss
-        texts, digests = b.column(0).to_pylist(), b.column(1).to_pylist()
-        hit = [i for i, t in enumerate(texts) if hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() == digests[i]]
-        n = counter(tokenizer_path).counts([texts[i] for i in hit])
-        yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in hit], pa.string()), pa.array([version] * len(hit), pa.string()), pa.array(n, pa.int64())], names=CACHE.names)
+        # rows that repeat id and text are one miss
+        distinct = dict(zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True))
+        n = counter(tokenizer_path).counts(list(distinct.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(distinct), pa.string()), pa.array([version] * len(distinct), pa.string()), pa.array(n, pa.int64())], names=CACHE.names)
 
-    new = map_batches(source.join(wanted, "key").select("text", "wanted_digest"), encode, "content_digest string, tokenizer_digest string, n_tokens bigint")
+    new = map_batches(source.join(wanted, ["key", "content_digest"]).select("text", "content_digest"), encode, "content_digest string, tokenizer_digest string, n_tokens bigint")
     new.write.mode("append").parquet(cache_dir)
     counts = read_cache(spark, cache_dir).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     return keyed.join(counts, "content_digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

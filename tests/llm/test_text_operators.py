@@ -74,6 +74,15 @@ def test_token_counts_and_cache(spark, awkward, nothing, name):
     assert token_counts.with_token_counts(nothing, P.path(name), shared_dir(spark, "cache")).count() == 0
 
 
+def test_token_counts_of_null_and_repeated_ids(spark):
+    rows = [(None, f"text {i % 700} of many") for i in range(1000)] + [(5, f"other {i % 40}") for i in range(200)]
+    cache = shared_dir(spark, "cache")
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = token_counts.with_token_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), P.path("byte_bpe_50k.json"), cache)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == Counter((i, len(x), len(t.encode(x).ids)) for i, x in rows)
+    assert spark.read.parquet(cache).select("content_digest").distinct().count() == 740
+
+
 @pytest.mark.parametrize("compression", [media_tiff.NONE, media_tiff.LZW, media_tiff.DEFLATE, media_tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [0, 16, 48])

@@ -63,6 +63,12 @@ def test_language_id_on_held_out_rows(spark, awkward, nothing):
     got = {x.doc_id: x for x in language_id.predict(docs, model).collect()}
     right = [got[i].lang_pred == k for i, _, k in rows if i % 2]
     assert np.mean(right) > 0.98 and all(0 <= x.score <= 1 for x in got.values())
+    # copies are one learning text: a label whose rows are nearly all copies is learned, and a sample of 12 holds 12 a label
+    copies = docs.union(spark.createDataFrame([(1000 + i, "uuh oooh uuh" if i else "ooouh uuuoh", "dd") for i in range(900)], docs.schema))
+    few = language_id.fit(copies.filter("doc_id % 2 = 0"), per_label=12)
+    assert few.labels == ["aa", "bb", "cc", "dd"] and few.predict("uuh oooh")[0] == "dd" and few.predict(rows[1][1])[0] == rows[1][2]
+    again = language_id.fit(copies.filter("doc_id % 2 = 0").orderBy("text"), per_label=12)
+    assert (few.weights == again.weights).all() and few.t == again.t
     odd = language_id.predict(awkward, model).collect()
     assert {x.lang_pred for x in odd if x.doc_id in (0, 1, 2)} == {"und"} and len(odd) == awkward.count()
     assert language_id.predict(nothing, model).count() == 0
