@@ -1,18 +1,19 @@
 """Exact top-k inner products with norm order, SVD rotation and Cauchy-Schwarz bounds.
 
-Vectors are packed into blocks by descending length. All of them are rotated by the right singular vectors of the table (from
-its Gram matrix, summed over every row), so that the first coordinates carry most of an inner product. A query block first
-meets a bounded head, the HEAD longest vectors: the k-th best score there is a lower bound for each of its queries. It then
-meets the other blocks. A block is left out if its longest vector times the query's length can't reach the bound; inside a
-block the sum over the first coordinates, plus the product of the residual lengths (Cauchy-Schwarz), bounds every score, and
-only pairs whose bound reaches the query's are scored exactly, in integers. Only scores that reach the bound leave a task.
+Vectors are packed into blocks by descending length of their integer components, and neighbouring blocks are chunks. All of them
+are rotated by the right singular vectors of the table (from its Gram matrix, summed over every row), so that the first coordinates
+carry most of an inner product. A query block first meets a bounded head, the first blocks: the k-th best score there is a lower
+bound for each of its queries. It then meets the chunks in rounds, by descending length. A chunk is not sent to a query block at all
+if its longest vector times the query's length can reach no bound; inside a block the sum over the first coordinates, plus the
+product of the residual lengths (Cauchy-Schwarz), bounds every score, and only pairs whose bound reaches the query's are scored
+exactly, in integers. Of a block each query keeps its k best, and each round's k-th best scores are the bounds of the next.
 
 Components are floor(scale * x) with x as double. Bounds are computed in floating point and widened by a relative slack.
 
 Edge cases: vectors that are null, hold a null or hold a component that isn't finite take no part, neither do rows with a null
-id; shorter vectors count as padded with zeros; a zero or empty vector scores 0; candidates with the query's own id are left
-out, even if the id repeats; a query row that repeats id and vector is answered once; ties go to the smaller id; scores beyond
-a long are cut to its limits; an empty table gives no rows.
+id; shorter vectors count as padded with zeros, vectors of any length are taken whole; a zero or empty vector scores 0; candidates
+with the query's own id are left out, even if the id repeats; a query row that repeats id and vector is answered once; ties go to
+the smaller id; scores beyond a long are cut to its limits; an empty table gives no rows; columns go by position and two are read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from stimfuse.session import checkpointed
 
 #: Vectors of the bounded head, of a block of queries and of a block of candidates.
 HEAD, QUERY_BLOCK, BLOCK = 4096, 1024, 2048
-#: Blocks of candidates that share one copy of each query block.
-CHUNK = 8
+#: Blocks of candidates that share one copy of each query block; chunks of the first round (each later round has so many times more than all before).
+CHUNK, ROUND = 8, 8
 #: Integers up to here are exact in a double.
 EXACT = float(2**53)
 LONG = 2**63 - 1
@@ -65,13 +66,17 @@ def _wide(a: np.ndarray, d: int) -> np.ndarray:
 def _gram(vectors: DataFrame, scale: float) -> np.ndarray:
     """Sum of v v' over all rows: tasks give one matrix each, Spark adds them up, and d x d numbers reach the driver."""
 
-    def run(b: pa.RecordBatch):
-        _, m = _matrix(b.column(1), b.column(0), scale)
-        g = m.T @ m
+    def run(batches):
+        g = np.zeros((0, 0))
+        for b in batches:
+            _, m = _matrix(b.column(1), b.column(0), scale)
+            d = max(len(g), m.shape[1])
+            g = np.pad(g, (0, d - len(g)))
+            g[: m.shape[1], : m.shape[1]] += m.T @ m
         i, j = np.indices(g.shape)
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(g.ravel(), pa.float64())], names=["i", "j", "s"])
 
-    cells = map_batches(vectors, run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    cells = vectors.mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     d = max((r.i for r in cells), default=-1) + 1
     g = np.zeros((d, d))
     for r in cells:
@@ -152,41 +157,61 @@ class Space:
             a, b = np.nonzero(at)
             scores = np.einsum("ij,ij->i", q[live][a], c[b])
         exact = _exact(q[live][a], c[b], scores)
-        return live[a], ci[b], exact
+        order = np.lexsort((ci[b], -exact.astype(float), a)) if np.abs(exact).max(initial=0) < EXACT else np.array(sorted(range(len(a)), key=lambda x: (a[x], -int(exact[x]), ci[b[x]])), int)
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(a[order]) > 0])) if len(a) else np.zeros(0, int)
+        best = order[np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) < k]
+        return live[a[best]], ci[b[best]], exact[best]
+
+
+def lowered(scores: np.ndarray) -> np.ndarray:
+    """Bounds from scores: a little less, for the rounding of floating point."""
+    return np.where(np.isfinite(scores), scores - 1e-9 * np.abs(scores) - 1e-6, -np.inf)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
     """vectors, queries: (id bigint, v array<float or double>). Returns query_id, rank, vec_id, score."""
-    vectors, queries = vectors.toDF("id", "v"), queries.toDF("id", "v")
+    spark, vectors, queries = vectors.sparkSession, vectors.toDF("id", "v"), queries.toDF("id", "v")
     space = Space(_gram(vectors, scale))
     d = space.d
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    measured = vectors.filter("id is not null and v is not null").withColumn("square", F.coalesce(square, F.lit(0.0)))
-    head_rows = measured.filter(~F.isnan("square") & (F.col("square") < float("inf"))).orderBy(F.desc("square"), "id").limit(HEAD).select("id", "v")
-    head = _pack(head_rows.coalesce(1), d, HEAD, scale).select("ids", "rows").collect()  # HEAD rows at most
+    whole = lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    measured = vectors.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).withColumn("square", F.aggregate("v", F.lit(0.0), lambda s, x: s + whole(x) * whole(x)))
+    # equal lengths are parted by id, so that a table of unit vectors doesn't gather in one task
+    by_length = measured.repartitionByRange(F.desc("square"), "id").sortWithinPartitions(F.desc("square"), "id")
+    blocks = checkpointed(_pack(by_length.select("id", "v"), d, BLOCK, scale))
+    chunk_of = [F.shiftright("block", 32).alias("part"), F.floor(F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) / CHUNK).alias("nth")]
+    # a number per CHUNK * BLOCK vectors: the chunks' longest vectors, in descending order
+    lengths = blocks.groupBy(*chunk_of).agg(F.max("longest").alias("longest")).orderBy(F.desc("longest"), "part", "nth").collect()
+    longest = np.array([r.longest for r in lengths])
+    first = [r.block for r in blocks.select("block").orderBy("block").limit(-(-HEAD // BLOCK)).collect()]
+    head = blocks.filter(F.col("block").isin(first)).select("block", "ids", "rows").collect()  # HEAD rows
     head_ids = np.concatenate([np.frombuffer(r.ids, "<i8") for r in head] or [np.zeros(0, np.int64)])
     head_m = np.concatenate([np.frombuffer(r.rows, "<f8").reshape(-1, d) for r in head] or [np.zeros((0, d))])
 
-    blocks = _pack(measured.repartitionByRange(F.desc("square")).sortWithinPartitions(F.desc("square")).select("id", "v"), d, BLOCK, scale)
-    blocks = checkpointed(blocks)
-    n_blocks = blocks.count()
-    chunks = max(1, -(-n_blocks // CHUNK))
-
     def bounded(b: pa.RecordBatch):
         out = []
         for n, ids, rows in zip(b.column("n").to_pylist(), b.column("ids").to_pylist(), b.column("rows").to_pylist(), strict=True):
             qi, q = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<f8").reshape(n, d)
             s = q @ head_m.T
             s[qi[:, None] == head_ids[None, :]] = -np.inf
-            kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(n, -np.inf)
-            out.append((kth - 1e-9 * np.abs(kth) - 1e-6 if np.isfinite(kth).all() else np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth) - 1e-6, -np.inf)).astype("<f8").tobytes())
+            out.append(lowered(np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(n, -np.inf)).astype("<f8").tobytes())
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "bound"])
 
     asked = queries.filter("id is not null and v is not null").dropDuplicates(["id", "v"])
-    asked = checkpointed(map_batches(_pack(asked, d, QUERY_BLOCK, scale), bounded, PACKED + ", bound binary"))
-    asked = asked.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "bound", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    # neighbours in length go to different chunks, so that each has its share of long vectors
-    dealt = blocks.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int")).select("chunk", "n", "ids", "rows")
+    asked = map_batches(_pack(asked, d, QUERY_BLOCK, scale), bounded, PACKED + ", bound binary")
+    asked = checkpointed(asked.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "bound"))
+    number = spark.createDataFrame([(int(r.part), int(r.nth), k) for k, r in enumerate(lengths)], "part bigint, nth bigint, chunk int")
+    dealt = blocks.select(*chunk_of, "n", "ids", "rows").join(number, ["part", "nth"]).select("chunk", "n", "ids", "rows")
+
+    def needed(b: pa.RecordBatch):
+        # chunks whose longest vector may reach the bound of some query
+        out = []
+        for n, rows, bound in zip(b.column("q_n").to_pylist(), b.column("q_rows").to_pylist(), b.column("bound").to_pylist(), strict=True):
+            size = np.sqrt((np.frombuffer(rows, "<f8").reshape(n, d) ** 2).sum(1))
+            bound = np.frombuffer(bound, "<f8")
+            least = np.where(bound <= 0, -1.0, bound / np.maximum(size, 1e-300)).min(initial=np.inf)
+            out.append(int((longest * (1 + 1e-9) >= least).sum()))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "upto"])
 
     def score(b: pa.RecordBatch):
         for r in b.to_pylist():
@@ -196,9 +221,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["q_block"])), pa.array(at.astype(np.int32)), pa.array(qi[at]), pa.array(ids), pa.array(scores)], names=["q_block", "place", "query_id", "vec_id", "score"])
 
-    found = map_batches(asked.join(dealt, "chunk"), score, "q_block bigint, place int, query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("q_block", "place").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def tightened(b: pa.RecordBatch):
+        out = []
+        for bound, seen in zip(b.column("bound").to_pylist(), b.column("seen").to_pylist(), strict=True):
+            bound = np.frombuffer(bound, "<f8").copy()
+            for x in seen or []:
+                bound[x["place"]] = max(bound[x["place"]], lowered(np.float64(x["score"])))
+            out.append(bound.tobytes())
+        kept = [c for c in b.schema.names if c not in ("bound", "seen")]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(out, pa.binary())], names=[*kept, "bound"])
+
+    best, low = None, 0
+    order = Window.partitionBy("q_block", "place").orderBy(F.desc("score"), "vec_id")
+    while low < max(len(lengths), 1):
+        high = min(len(lengths), low + ROUND * max(1, low))
+        if best is not None:
+            kth = best.filter(F.col("rank") == k).groupBy("q_block").agg(F.collect_list(F.struct("place", "score")).alias("seen"))  # a row per query of a block
+            asked = map_batches(asked.join(kth, "q_block", "left"), tightened, "q_block bigint, q_n int, q_ids binary, q_rows binary, bound binary")
+        pruned = map_batches(asked, needed, "q_block bigint, q_n int, q_ids binary, q_rows binary, bound binary, upto int").filter(F.col("upto") > low)
+        sent = pruned.withColumn("chunk", F.explode(F.sequence(F.lit(low), F.least(F.col("upto"), F.lit(high)) - 1)))
+        found = map_batches(sent.join(dealt, "chunk"), score, "q_block bigint, place int, query_id bigint, vec_id bigint, score bigint")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        low = high if high else 1
+        if low < len(lengths):
+            best, asked = checkpointed(best), checkpointed(asked)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB form of op1.

@@ -25,17 +25,21 @@ def brute_topk(vectors, queries, k, scale=256.0):
     return sorted(out)
 
 
-@pytest.mark.parametrize("kind", ["normal", "clustered", "large"])
-def test_topk_equals_brute_force(spark, kind, monkeypatch):
+@pytest.mark.parametrize("kind,rounds", [("normal", 2), ("clustered", 2), ("large", 100), ("unit", 100)])
+def test_topk_equals_brute_force(spark, kind, rounds, monkeypatch):
     monkeypatch.setattr(exact_topk, "HEAD", 16)
-    monkeypatch.setattr(exact_topk, "BLOCK", 64)
     monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(exact_topk, "BLOCK", 16)
+    monkeypatch.setattr(exact_topk, "CHUNK", 2)
+    monkeypatch.setattr(exact_topk, "ROUND", rounds)
     r = np.random.default_rng(1)
     m = r.normal(size=(400, 12)) * r.lognormal(size=(400, 1))
     if kind == "clustered":
         m = np.round(m[r.integers(0, 9, 400)], 1)
     if kind == "large":
         m *= 1e6
+    if kind == "unit":
+        m /= np.linalg.norm(m, axis=1)[:, None]
     rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in enumerate(m)]
     rows += [(50, rows[50][1]), (1000, None), (1050, [None] * 12), (1100, [float("nan")] * 12), (1150, [float("inf")] * 12), (None, rows[1][1]), (1200, [1.0, 2.0]), (1250, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, v array<float>")
