@@ -5,17 +5,19 @@ shingles. Two fingerprints link at `radius` or fewer differing bits. Equal finge
 ones are searched on the two 32-bit halves: a pair within r bits has a half within r // 2 bits. For each half a vantage-point
 tree is fitted on a bounded sample of fingerprints: a node holds a vantage point and the median Hamming distance to it. Every
 fingerprint goes down to the shard on its side, and also to the outer side if it lies within r // 2 of the border (by the
-triangle bound, no pair that is split there can be missed). Shards are compared in blocks of bounded size, all distances of
-two blocks at once, and each pair of blocks gives a spanning forest of its links, never all pairs. Components of the forests
-are components of the links.
+triangle bound, no pair that is split there can be missed). Shards that are still too large get a tree of their own, fitted on a
+bounded sample of theirs, and so on while that parts them, so the number of shards grows with the table. Shards are compared in
+blocks of bounded size, all distances of two blocks at once, and each pair of blocks gives a spanning forest of its links, never
+all pairs. Components of the forests are components of the links.
 
 Edge cases: a null text, or one without words, has fingerprint 0 and links like any other; a text with fewer words than a shingle
-is one shingle; ties and repeated rows share a node; a null id is a member but never names a component unless it is alone; an
-empty table gives no rows; other columns of the input are not read.
+is one shingle; texts of any length are read whole; ties and repeated rows share a node; a null id is a member but never names a
+component unless it is alone; an empty table gives no rows; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -32,8 +34,8 @@ from stimfuse.session import checkpointed
 
 #: Fingerprints that a tree is fitted on at most, those a leaf of the sample keeps at least, and rows of a block of a shard.
 SAMPLE, LEAF, BLOCK = 1 << 16, 16, 2048
-#: Fingerprints that a shard should hold at most where the sample allows it.
-SHARD = 1024
+#: Fingerprints that a shard should hold at most where its points allow it; fingerprints that the tree of a large shard is fitted on; rounds of that.
+SHARD, SHARD_SAMPLE, RESPLITS = 1024, 1024, 12
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -154,6 +156,49 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return points[np.array(out_u, int)], points[np.array(out_v, int)]
 
 
+def _resplit(dealt: DataFrame, halves: list, reach: int, block: int, shard: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """dealt (side, shard, fp) with shards above 2 * block parted by trees of their own, and the sizes of all shards.
+
+    A shard's tree comes before its rows in the order of a partition, so that a task holds one tree and streams the rows."""
+    schema, before = "side int, shard bigint, fp bigint", None
+    for turn in range(RESPLITS + 1):
+        sizes = checkpointed(dealt.groupBy("side", "shard").count())
+        large = sizes.filter(F.col("count") > 2 * block)
+        n = large.agg(F.sum("count")).first()[0] or 0
+        if not n or turn == RESPLITS or (before is not None and n > 0.9 * before):  # nothing left to part, or what is left can't be parted
+            return dealt, sizes
+        before = n
+
+        def fit(key, t):
+            points = halves[key[0].as_py()](np.sort(np.asarray(t.column("fp")).astype(np.int64)).view(np.uint64))
+            depth = max(1, int(np.ceil(np.log2(t.column("count")[0].as_py() / shard) / 0.8)))
+            tree = pickle.dumps(fit_tree(points, depth, np.random.default_rng(13)))
+            return pa.table({"side": [key[0].as_py()], "shard": [key[1].as_py()], "tree": [tree]}, pa.schema([("side", pa.int32()), ("shard", pa.int64()), ("tree", pa.binary())]))
+
+        rows = dealt.join(large, ["side", "shard"])
+        drawn = rows.filter(F.shiftrightunsigned(F.xxhash64("fp", F.lit(turn)), 24) < F.lit(float(1 << 40)) * sample / F.col("count"))
+        trees = drawn.groupBy("side", "shard").applyInArrow(fit, "side int, shard bigint, tree binary")
+        both = rows.select("side", "shard", "fp", F.lit(None).cast("binary").alias("tree")).unionByName(trees.withColumn("fp", F.lit(0).cast("bigint")))
+
+        def down(batches):
+            tree, of = None, None
+            for b in batches:
+                side, name, fp = (np.asarray(b.column(c)).astype(np.int64) for c in ("side", "shard", "fp"))
+                is_tree = np.asarray(b.column("tree").is_valid())
+                cuts = np.flatnonzero(np.concatenate([[True], (side[1:] != side[:-1]) | (name[1:] != name[:-1]) | is_tree[:-1], [True]])) if len(fp) else []
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if is_tree[lo]:
+                        tree, of = pickle.loads(b.column("tree")[int(lo)].as_py()), (side[lo], name[lo])
+                        continue
+                    at, leaf = route(tree if of == (side[lo], name[lo]) else None, halves[int(side[lo])](fp[lo:hi].view(np.uint64)), reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), side[lo]), pa.int32()), pa.array(np.full(len(at), name[lo])), pa.array(leaf), pa.array(fp[lo:hi][at])], names=["side", "shard", "leaf", "fp"])
+
+        parted = both.repartition("side", "shard").sortWithinPartitions("side", "shard", F.col("tree").isNull()).mapInArrow(down, "side int, shard bigint, leaf bigint, fp bigint")
+        parted = parted.select("side", F.xxhash64("shard", "leaf").alias("shard"), "fp")
+        dealt = checkpointed(parted.unionByName(dealt.join(large, ["side", "shard"], "left_anti").select(*[x.split(" ")[0] for x in schema.split(", ")])))
+    raise AssertionError("not reached")
+
+
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """nodes (fp): distinct fingerprints. Returns (u, v), links whose components are those of all links within radius."""
     n = nodes.count()
@@ -167,22 +212,23 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
         fp = np.asarray(b.column(0)).astype(np.int64)
         for k, (half, tree) in enumerate(zip(halves, trees, strict=True)):
             at, leaf = route(tree, half(fp.view(np.uint64)), reach)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf * 2 + k), pa.array(fp[at])], names=["shard", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(leaf), pa.array(fp[at])], names=["side", "shard", "fp"])
 
-    dealt = checkpointed(map_batches(nodes.select("fp"), deal, "shard bigint, fp bigint"))
-    # a shard above a block is cut by a hash, and every pair of its parts meets in a task of its own; there are no more shards than leaves of the sample
-    parts = dealt.groupBy("shard").count().select("shard", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    cut = dealt.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = cut.select("shard", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    met = met.select("shard", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "fp")
+    dealt = checkpointed(map_batches(nodes.select("fp"), deal, "side int, shard bigint, fp bigint"))
+    dealt, sizes = _resplit(dealt, halves, reach, BLOCK, SHARD, SHARD_SAMPLE)
+    # what can't be parted further is cut by a hash, and every pair of its parts meets in a task of its own
+    parts = sizes.select("side", "shard", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    cut = dealt.join(parts, ["side", "shard"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = cut.select("side", "shard", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    met = met.select("side", "shard", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "fp")
 
     def compare(key, t):
         fp, part = np.asarray(t.column("fp")).astype(np.int64).view(np.uint64), np.asarray(t.column("part"))
-        low, high = key[1].as_py(), key[2].as_py()
+        low, high = key[2].as_py(), key[3].as_py()
         u, v = forest(fp, None, radius) if low == high else forest(fp[part == low], fp[part == high], radius)
         return pa.table({"u": _signed(u), "v": _signed(v)})
 
-    return met.groupBy("shard", "low", "high").applyInArrow(compare, "u bigint, v bigint")
+    return met.groupBy("side", "shard", "low", "high").applyInArrow(compare, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:

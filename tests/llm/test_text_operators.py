@@ -355,7 +355,10 @@ def test_simhash_equals_brute_force(spark, awkward, nothing):
     assert simhash_dedup.near_duplicates(nothing).count() == 0 and simhash_dedup.keep_one(nothing).count() == 0
 
 
-def test_vantage_point_links_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [1 << 16, 64])
+def test_vantage_point_links_lose_nothing(spark, monkeypatch, sample):
+    """With a small sample the first tree leaves large shards, which get trees of their own."""
+    monkeypatch.setattr(simhash_dedup, "SAMPLE", sample)
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)
     copies = [b ^ np.uint64(sum(1 << int(x) for x in r.choice(64, r.integers(1, 4), replace=False))) for b in base for _ in range(6)]
