@@ -24,10 +24,20 @@ def _rdm(s, d, metric, first=1, size=64):
     return op.packed_rdm(_vectors(s, d, first, size), ["label"], metric)
 
 
+def _parts(s, d):
+    """Vectors of each class: f, v and l of 16 elements, and four signals e0 to e3 from elements 49 to 64 in fours."""
+    own = {"f": (1, 16), "v": (17, 16), "l": (33, 16)} | {f"e{t}": (49 + 4 * t, 4) for t in range(4)}
+    return v.features(s, d).select("condition", "label", *[F.slice("embedding", *x).alias(f"x_{c}") for c, x in own.items()])
+
+
+def _times(rdms):
+    """One row per time of rows with distances e0 to e3."""
+    return rdms.select(*[c for c in rdms.columns if c not in ("e0", "e1", "e2", "e3")], F.posexplode(F.array("e0", "e1", "e2", "e3")).alias("t_idx", "d"))
+
+
 def _time_rdm(s, d):
-    """Four signal matrices per class, from elements 49 to 64 in fours."""
-    e = v.features(s, d).select("condition", "label", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("t_idx"), "embedding").selectExpr("condition", "label", "t_idx", "slice(embedding, 49 + 4 * t_idx, 4) as x")
-    return op.packed_rdm(e, ["label", "t_idx"], "correlation")
+    """Four signal matrices per class."""
+    return _times(op.packed_rdms(_parts(s, d), ["label"], {f"e{t}": ("correlation", f"x_e{t}") for t in range(4)}))
 
 
 def _halves(s, d):
@@ -37,9 +47,16 @@ def _halves(s, d):
 
 
 def _all_rdms(s, d):
-    f, m, l = _rdm(s, d, "correlation", 1, 16), _rdm(s, d, "correlation", 17, 16), _rdm(s, d, "correlation", 33, 16)
-    on = ["label", "i", "j"]
-    return f.withColumnRenamed("d", "f").join(m.withColumnRenamed("d", "v"), on).join(l.withColumnRenamed("d", "l"), on).join(_time_rdm(s, d).withColumnRenamed("d", "e"), on)
+    """All distances of a pair, from one pair join."""
+    parts = op.packed_rdms(_parts(s, d), ["label"], {c: ("correlation", f"x_{c}") for c in ("f", "v", "l", "e0", "e1", "e2", "e3")})
+    return _times(parts).withColumnRenamed("d", "e")
+
+
+def _split(s, d):
+    """rho of all times' matrices with the response matrices, within halves of the conditions."""
+    one = op.within_half_pairs(_time_rdm(s, d), _halves(s, d))
+    two = op.within_half_pairs(_rdm(s, d, "correlation", 1, 16), _halves(s, d))
+    return op.correlate_rdms(one, two, ["t_idx"], [], ["label", "shuffle", "half", "i", "j"], "spearman")
 
 
 def _distances(s, d):
@@ -70,13 +87,13 @@ QUERIES = {
     "corr_vector_rows": lambda s, d: op.correlate_rdms(_rdm(s, d, "correlation", 1, 16), _time_rdm(s, d), [], ["t_idx"], ["label", "i", "j"]).select("label", "t_idx", R("r")),
     "time_by_vertex_corr_join": lambda s, d: op.correlate_rdms(_time_rdm(s, d), _rdm(s, d, "cosine", 17, 16), ["t_idx"], [], ["label", "i", "j"]).select("label", "t_idx", R("r")),
     "spearman_searchlight": lambda s, d: op.correlate_rdms(_time_rdm(s, d), _rdm(s, d, "correlation", 1, 16), ["t_idx"], [], ["label", "i", "j"], "spearman").select("label", "t_idx", R("r")),
-    "spearman_split_half": lambda s, d: op.correlate_rdms(op.within_half_pairs(_time_rdm(s, d).filter("t_idx = 0").drop("t_idx"), _halves(s, d)), op.within_half_pairs(_rdm(s, d, "correlation", 1, 16), _halves(s, d)), [], [], ["label", "shuffle", "half", "i", "j"], "spearman").select("label", "shuffle", "half", R("r")),
+    "spearman_split_half": lambda s, d: _split(s, d).select("label", "t_idx", "shuffle", "half", R("r")),
     "spearman_time_reliability": lambda s, d: _spearman_time(s, d).select("channel", R("r")),
-    "split_half_reliability": lambda s, d: op.correlate_rdms(op.within_half_pairs(_time_rdm(s, d).filter("t_idx = 0").drop("t_idx"), _halves(s, d)), op.within_half_pairs(_rdm(s, d, "correlation", 1, 16), _halves(s, d)), [], [], ["label", "shuffle", "half", "i", "j"], "spearman").groupBy("label").agg(F.round(F.avg("r"), 6).alias("r")),
+    "split_half_reliability": lambda s, d: _split(s, d).groupBy("label", "t_idx").agg(F.round(F.avg("r"), 6).alias("r")),
     "rdm_correlation": lambda s, d: _rdm(s, d, "correlation").select("label", "i", "j", R("d")),
     "rdm_cosine": lambda s, d: _rdm(s, d, "cosine").select("label", "i", "j", R("d")),
     "gram_matrix": lambda s, d: _rdm(s, d, "gram").select("label", "i", "j", R("d")),
-    "rdm_single_feature": lambda s, d: op.single_feature_rdm(v.features(s, d).filter("condition % 10 = 0").select("condition", F.col("embedding").alias("x")), 4).select("i", "j", "feature", R("d")),
+    "rdm_single_feature": lambda s, d: op.single_feature_rdm(v.features(s, d).select("condition", "label", F.col("embedding").alias("x")), ["label"], 64).select("label", "i", "j", "feature", R("d")),
     "flatten_rdm": lambda s, d: op.flatten_rdm(op.condition_pairs(v.curve(s, d).select(F.col("t_idx").alias("condition")).distinct(), []), 24).select("i", "j", "position"),
     "condition_pairs": lambda s, d: op.condition_pairs(v.features(s, d), ["label"]).select("label", "i", "j"),
     "rdm_pair_join": lambda s, d: _rdm(s, d, "correlation", 1, 16).withColumnRenamed("d", "a").join(_rdm(s, d, "cosine", 17, 16).withColumnRenamed("d", "b"), ["label", "i", "j"]).select("label", "i", "j", R("a"), R("b")),
@@ -110,9 +127,9 @@ e as (select a.label, a.t_idx, a.condition as i, b.condition as j, 1 - list_inne
 RANK = "(rank() over (partition by {k} order by {v}) + (count(*) over (partition by {k}, {v}) - 1) / 2)"
 F16, V16, L16 = _sql_rdm("f", "correlation", 1, 16), _sql_rdm("v", "correlation", 17, 16), _sql_rdm("l", "correlation", 33, 16)
 H = "h as (select range::int as shuffle, condition, ((condition * 7 + range * 13) % 11 % 2)::int as half from features, range(1, 4))"
-SPLIT = f"""{F16}, {E_X}, {H}, p as (select f.label, hi.shuffle, hi.half, f.d as x, e.d as y from f join e on f.label = e.label and f.i = e.i and f.j = e.j and e.t_idx = 0 join h hi on hi.condition = f.i join h hj on hj.condition = f.j and hj.shuffle = hi.shuffle and hj.half = hi.half),
-r as (select label, shuffle, half, {RANK.format(k='label, shuffle, half', v='x')} as x, {RANK.format(k='label, shuffle, half', v='y')} as y from p),
-s as (select label, shuffle, half, {_c('x', 'y')} as r from r group by all)"""
+SPLIT = f"""{F16}, {E_X}, {H}, p as (select f.label, e.t_idx, hi.shuffle, hi.half, f.d as x, e.d as y from f join e on f.label = e.label and f.i = e.i and f.j = e.j join h hi on hi.condition = f.i join h hj on hj.condition = f.j and hj.shuffle = hi.shuffle and hj.half = hi.half),
+r as (select label, t_idx, shuffle, half, {RANK.format(k='label, t_idx, shuffle, half', v='x')} as x, {RANK.format(k='label, t_idx, shuffle, half', v='y')} as y from p),
+s as (select label, t_idx, shuffle, half, {_c('x', 'y')} as r from r group by all)"""
 ALL = f"{F16}, {V16}, {L16}, {E_X}, g as (select f.label, e.t_idx, f.d as f, v.d as v, l.d as l, e.d as e from f join v using (label, i, j) join l using (label, i, j) join e using (label, i, j))"
 PR = "({0} - {1} * {2}) / (sqrt(1 - {1} * {1}) * sqrt(1 - {2} * {2}))"
 R2 = "(({0}) ** 2 + ({1}) ** 2 - 2 * ({0}) * ({1}) * ({2})) / (1 - ({2}) ** 2)"
@@ -127,13 +144,13 @@ SQL = {
     "corr_vector_rows": VIEWS + f", {F16}, {E_X} select f.label, t_idx, round(corr(f.d, e.d), 6) as r from f join e using (label, i, j) group by all",
     "time_by_vertex_corr_join": VIEWS + f", {_sql_rdm('v', 'cosine', 17, 16)}, {E_X} select v.label, t_idx, round(corr(v.d, e.d), 6) as r from v join e using (label, i, j) group by all",
     "spearman_searchlight": VIEWS + f", {F16}, {E_X}, r as (select label, t_idx, {RANK.format(k='label, t_idx', v='f.d')} as x, {RANK.format(k='label, t_idx', v='e.d')} as y from f join e using (label, i, j)) select label, t_idx, round(corr(x, y), 6) as r from r group by all",
-    "spearman_split_half": VIEWS + f", {SPLIT} select label, shuffle, half, round(r, 6) as r from s",
+    "spearman_split_half": VIEWS + f", {SPLIT} select label, t_idx, shuffle, half, round(r, 6) as r from s",
     "spearman_time_reliability": VIEWS + f", c as (select channel, hour(ts) as t_idx, avg(value) filter (where trial % 2 = 0) as x, avg(value) filter (where trial % 2 = 1) as y from signal_trials group by all), r as (select channel, {RANK.format(k='channel', v='x')} as x, {RANK.format(k='channel', v='y')} as y from c where x is not null and y is not null) select channel, round(corr(x, y), 6) as r from r group by all",
-    "split_half_reliability": VIEWS + f", {SPLIT} select label, round(avg(r), 6) as r from s group by all",
+    "split_half_reliability": VIEWS + f", {SPLIT} select label, t_idx, round(avg(r), 6) as r from s group by all",
     "rdm_correlation": VIEWS + f", {_sql_rdm('f', 'correlation', 1, 64)} select label, i, j, round(d, 6) as d from f",
     "rdm_cosine": VIEWS + f", {_sql_rdm('f', 'cosine', 1, 64)} select label, i, j, round(d, 6) as d from f",
     "gram_matrix": VIEWS + f", {_sql_rdm('f', 'gram', 1, 64)} select label, i, j, round(d, 6) as d from f",
-    "rdm_single_feature": VIEWS + "select a.condition as i, b.condition as j, (range)::int as feature, round((a.embedding[range + 1]::double - b.embedding[range + 1]::double) ** 2, 6) as d from features a join features b on a.condition < b.condition, range(4) where a.condition % 10 = 0 and b.condition % 10 = 0",
+    "rdm_single_feature": VIEWS + "select a.label, a.condition as i, b.condition as j, (range)::int as feature, round((a.embedding[range + 1]::double - b.embedding[range + 1]::double) ** 2, 6) as d from features a join features b on a.label = b.label and a.condition < b.condition, range(64)",
     "flatten_rdm": VIEWS + ", t as (select distinct t_idx from curve) select a.t_idx as i, b.t_idx as j, (a.t_idx * 24 - a.t_idx * (a.t_idx + 1) / 2 + (b.t_idx - a.t_idx - 1))::bigint as position from t a join t b on a.t_idx < b.t_idx",
     "condition_pairs": VIEWS + "select a.label, a.condition as i, b.condition as j from features a join features b on a.label = b.label and a.condition < b.condition",
     "rdm_pair_join": VIEWS + f", {F16}, {_sql_rdm('v', 'cosine', 17, 16)} select f.label, f.i, f.j, round(f.d, 6) as a, round(v.d, 6) as b from f join v using (label, i, j)",

@@ -177,3 +177,36 @@ def test_apply_weights_predicts_every_condition(spark):
     want = {r.vec_id: float(np.dot(r.embedding[8:16], r.embedding[:8])) + r.label for r in rows}
     got = {r.condition: r.predicted for r in joins_plan.QUERIES["apply_weights"](spark, "/root/testdata/sf0.001").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("block", [64, 2])
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_rdm_comparison_equals_brute_force(spark, monkeypatch, block, method):
+    """Blocks of matrices, ties, constant matrices, matrices that lack pairs or share none, nulls."""
+    monkeypatch.setattr(rdm, "MATRICES", block)
+    r = np.random.default_rng(1)
+    pairs = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+
+    def side(n):
+        out = {}
+        for m in range(n):
+            kept = pairs if m % 3 else [p for p in pairs if r.random() < 0.7]
+            out[m] = {p: float(r.integers(0, 6)) if m != 1 else 2.0 for p in kept}
+        out[n] = {(90 + n, 99): 1.0}
+        return out
+
+    a, b = {g: side(4) for g in "xy"}, {g: side(5) for g in "xy"}
+    frame = lambda s, key: spark.createDataFrame([(g, m, i, j, d) for g, ms in s.items() for m, v in ms.items() for (i, j), d in v.items()] + [("x", 2, 70, 71, None)], f"g string, {key} int, i int, j int, d double")
+    got = {(x.g, x.s, x.t): x.r for x in rdm.correlate_rdms(frame(a, "s"), frame(b, "t"), ["s"], ["t"], ["g", "i", "j"], method).collect()}
+    want = {}
+    for g in "xy":
+        for s, p in a[g].items():
+            for t, q in b[g].items():
+                both = sorted(p.keys() & q.keys())
+                if both:
+                    m = np.array([[v[k] for k in both] for v in (p, q)])
+                    if method == "spearman":
+                        m = np.array([[(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v] for v in m])
+                    want[g, s, t] = None if (m.max(1) == m.min(1)).any() else np.corrcoef(m)[0, 1]
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
