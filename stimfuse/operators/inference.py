@@ -11,24 +11,33 @@ from pyspark.sql import functions as F
 
 from stimfuse.functions.stats import fisher_z, t_two_sided
 from stimfuse.operators.windows import bh_adjust, bonferroni, cluster_label
+from stimfuse.session import checkpointed
 
 
-def sign_draws(spark: SparkSession, subjects: int, draws: int | None = None) -> DataFrame:
+def counted(spark: SparkSession, subjects: int | DataFrame) -> DataFrame:
+    """One row (subjects): the number itself, or that of a table with the numbered subjects."""
+    return spark.range(1).select(F.lit(subjects).alias("subjects")) if isinstance(subjects, int) else subjects.agg((F.max("subject") + 1).cast("int").alias("subjects"))
+
+
+def sign_draws(spark: SparkSession, subjects: int | DataFrame, draws: int | None = None) -> DataFrame:
     """(draw, subject, sign): all sign patterns (bit k of the draw's number), or the first `draws` of a hash of (draw, subject)."""
+    n = counted(spark, subjects)
+    each = F.explode(F.sequence(F.lit(0), F.col("subjects") - 1)).alias("subject")
     if draws is None:
-        grid = spark.range(2**subjects).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(subjects - 1))).alias("subject"))
+        grid = n.select("subjects", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), F.col("subjects")).cast("bigint") - 1)).alias("draw")).select("draw", each)
         bit = F.expr("(draw >> subject) & 1")
     else:
-        grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(subjects - 1))).alias("subject"))
+        grid = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).select("draw", each)
         bit = F.pmod(F.xxhash64("draw", "subject"), F.lit(2))
     return grid.select("draw", "subject", (1 - 2 * bit).cast("int").alias("sign"))
 
 
-def bootstrap_draws(spark: SparkSession, draws: int, subjects: int) -> DataFrame:
+def bootstrap_draws(spark: SparkSession, draws: int, subjects: int | DataFrame) -> DataFrame:
     """(draw, slot, subject): each draw takes as many subjects as there are, with replacement, by integer arithmetic."""
-    grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(subjects - 1))).alias("slot"))
+    n = counted(spark, subjects)
+    grid = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).select("draw", "subjects", F.explode(F.sequence(F.lit(0), F.col("subjects") - 1)).alias("slot"))
     mixed = (F.col("draw") * 7919 + F.col("slot") * 104729 + F.col("draw") * F.col("slot") * 31) % 1000003
-    return grid.select("draw", "slot", (mixed % subjects).cast("int").alias("subject"))
+    return grid.select("draw", "slot", (mixed % F.col("subjects")).cast("int").alias("subject"))
 
 
 def split_labels(conditions: DataFrame, shuffles: int, seed: int) -> DataFrame:
@@ -63,37 +72,50 @@ def ttest_paired(a: DataFrame, b: DataFrame, unit: list[str], keys: list[str], v
     return ttest_1samp(d.filter(~F.isnan("x") & ~F.isnan("y")).withColumn("d", F.col("x") - F.col("y")), keys, "d")
 
 
-def sign_flip_null(curve: DataFrame, draws: DataFrame) -> DataFrame:
-    """Mean curve of each draw of signs: (draw, t_idx, m)."""
-    return curve.join(F.broadcast(draws), "subject").groupBy("draw", "t_idx").agg(F.avg(F.col("value") * F.col("sign")).alias("m"))
+def sign_flip_null(curve: DataFrame, draws: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Mean curve of each draw of signs: (keys, draw, t_idx, m)."""
+    return curve.join(F.broadcast(draws), "subject").groupBy(*keys or [], "draw", "t_idx").agg(F.avg(F.col("value") * F.col("sign")).alias("m"))
 
 
-def pooled_thresholds(null: DataFrame, p: float) -> DataFrame:
-    """Lower and upper limits of the null, pooled over draws and time."""
+def pooled_thresholds(null: DataFrame, p: float, keys: list[str] | None = None) -> DataFrame:
+    """Lower and upper limits of the null of each keys, pooled over draws and time."""
     q = F.percentile("m", F.array(F.lit(p / 2), F.lit(1 - p / 2)))
-    return null.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return null.groupBy(*keys or []).agg(q.alias("q")).select(*keys or [], F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def clusters(means: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of means beyond the limits: keys, cluster, first, last, signed sum."""
-    flagged = means.crossJoin(F.broadcast(limits)).withColumn("flag", (F.col("m") > F.col("high")) | (F.col("m") < F.col("low")))
+def clusters(means: DataFrame, limits: DataFrame, keys: list[str], limit_keys: list[str] | None = None) -> DataFrame:
+    """Runs of means beyond the limits (of limit_keys): keys, cluster, first, last, signed sum."""
+    met = means.join(limits, limit_keys) if limit_keys else means.crossJoin(F.broadcast(limits))
+    flagged = met.withColumn("flag", (F.col("m") > F.col("high")) | (F.col("m") < F.col("low")))
     runs = cluster_label(flagged, keys, "t_idx", "flag").filter("flag")
     return runs.groupBy(*keys, "cluster").agg(F.min("t_idx").alias("first"), F.max("t_idx").alias("last"), F.sum("m").alias("sum"))
 
 
-def cluster_permutation_test(curve: DataFrame, draws: DataFrame, p_thresh: float = 0.05, alpha: float = 0.05) -> DataFrame:
-    """One row per observed cluster: cluster, first, last, sum, p, significant.
+def cluster_permutation_test(curve: DataFrame, draws: DataFrame, p_thresh: float = 0.05, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
+    """One row per observed cluster of each curve (one per keys): keys, cluster, first, last, sum, p, significant.
+
+    p counts draws whose largest signed cluster sum (0 without a cluster) is at least the size of the observed sum; the draws of a
+    curve are one array beside its clusters."""
+    keys = keys or []
+    null = checkpointed(sign_flip_null(curve, draws, keys))
+    limits = pooled_thresholds(null, p_thresh, keys)
+    observed = clusters(curve.groupBy(*keys, "t_idx").agg(F.avg("value").alias("m")), limits, keys, keys)
+    found = clusters(null, limits, [*keys, "draw"], keys).groupBy(*keys, "draw").agg(F.max("sum").alias("top"))
+    tops = null.select(*keys, "draw").distinct().join(found, [*keys, "draw"], "left").groupBy(*keys).agg(F.collect_list(F.coalesce("top", F.lit(0.0))).alias("tops"))
+    met = observed.join(tops, keys) if keys else observed.crossJoin(F.broadcast(tops))
+    k = F.size(F.filter("tops", lambda t: t >= F.abs(F.col("sum"))))
+    out = met.withColumn("p", (k + 1) / (F.size("tops") + 1))
+    return out.select(*keys, "cluster", "first", "last", "sum", "p", (F.col("p") < alpha).alias("significant"))
 
-    p counts draws whose largest signed cluster sum (0 without a cluster) is at least the size of the observed sum."""
-    null = sign_flip_null(curve, draws).persist()
-    limits = pooled_thresholds(null, p_thresh)
-    observed = clusters(curve.groupBy("t_idx").agg(F.avg("value").alias("m")), limits, [])
-    per_draw = clusters(null, limits, ["draw"]).groupBy("draw").agg(F.max("sum").alias("top"))
-    tops = draws.select("draw").distinct().join(per_draw, "draw", "left").select(F.coalesce("top", F.lit(0.0)).alias("top"))
-    counted = observed.join(tops, tops.top >= F.abs(observed["sum"]), "left").groupBy("cluster", "first", "last", "sum").agg(F.count("top").alias("k"))
-    n = draws.agg(F.count_distinct("draw").alias("n"))
-    out = counted.crossJoin(F.broadcast(n)).withColumn("p", (F.col("k") + 1) / (F.col("n") + 1))
-    return out.select("cluster", "first", "last", "sum", "p", (F.col("p") < alpha).alias("significant"))
+
+def cluster_difference_test(a: DataFrame, b: DataFrame, draws: DataFrame, p_thresh: float = 0.05, alpha: float = 0.05, value: str = "value") -> DataFrame:
+    """Cluster test of the differences of two analyses (subject, t_idx, value) of the same subjects; other subjects on one side are an error."""
+    one, two = a.select("subject").distinct(), b.select("subject").distinct()
+    alone = one.exceptAll(two).union(two.exceptAll(one)).limit(5).collect()
+    if alone:
+        raise ValueError(f"subjects of one side only: {sorted(r.subject for r in alone)}")
+    x, y = a.select("subject", "t_idx", F.col(value).alias("x")), b.select("subject", "t_idx", F.col(value).alias("y"))
+    return cluster_permutation_test(x.join(y, ["subject", "t_idx"]).select("subject", "t_idx", (F.col("x") - F.col("y")).alias("value")), draws, p_thresh, alpha)
 
 
 def significance_windows(found: DataFrame, axis: DataFrame) -> DataFrame:
@@ -130,6 +152,22 @@ def best_model(scores: DataFrame, keys: list[str], order: str = "layer") -> Data
     return per.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
+def best_model_report(curves: DataFrame, keys: list[str], signs: DataFrame, resamples: DataFrame, order: str = "layer", since: float = 0, p_thresh: float = 0.05, alpha: float = 0.05) -> DataFrame:
+    """The best model of each keys from time `since` on, with the peak of its mean curve, the interval of the peak over resampled
+    subjects, and the times that lie in significant clusters (sorted, empty if none).
+
+    curves: (keys, order, subject, t_idx, t_ms, value), one value per subject and time."""
+    best = best_model(curves.filter(F.col("t_ms") >= since), keys, order)
+    mine = checkpointed(curves.join(best.select(*keys, order), [*keys, order]))
+    peak = peak_latency(mine.groupBy(*keys, "t_ms").agg(F.avg("value").alias("m")), keys)
+    drawn = mine.join(F.broadcast(resamples), "subject").groupBy(*keys, "draw", "t_ms").agg(F.avg("value").alias("m"))
+    ci = percentile_ci(peak_latency(drawn, [*keys, "draw"]), keys, "peak_ms")
+    runs = cluster_permutation_test(mine, signs, p_thresh, alpha, keys).filter("significant").select(*keys, F.explode(F.sequence("first", "last")).alias("t_idx"))
+    mask = runs.groupBy(*keys).agg(F.array_sort(F.collect_list("t_idx")).alias("significant_at"))
+    out = best.join(peak, keys).join(ci, keys).join(mask, keys, "left")
+    return out.withColumn("significant_at", F.coalesce("significant_at", F.array().cast("array<int>")))
+
+
 def best_model_per_bin(stats: DataFrame, width: int) -> DataFrame:
     """stats (model, t_ms, mean, significant): per bin from the first significant time on, the model with the highest mean among
     those that are significant at every time in the bin. Bins are half-open, and those without such a model are left out."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stimfuse.operators.windows import numbered
+
 
 def align_modalities(signals: DataFrame, responses: DataFrame, condition: str = "condition") -> DataFrame:
     """Rows of both measurements of the same stimulus."""
@@ -48,8 +50,7 @@ def intersect_units(rows: DataFrame, units: str, condition: str, values: list) -
 
 def positional_pick(ids: DataFrame, positions: list[int], order: str) -> DataFrame:
     """Rows at the given 1-based places of the order."""
-    numbered = ids.withColumn("place", F.row_number().over(Window.orderBy(order)))
-    return numbered.filter(F.col("place").isin(positions))
+    return numbered(ids, [F.col(order).asc()]).drop("__part").filter(F.col("place").isin(positions)).withColumn("place", F.col("place").cast("int"))
 
 
 def both_halves_average(rows: DataFrame, keys: list[str], value: str, half: str = "half") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stimfuse.functions.stats import average_rank
+from stimfuse.session import checkpointed
 
 
 def zscore(rows: DataFrame, keys: list[str], value: str = "value", eps: float = 0.0) -> DataFrame:
@@ -37,15 +38,42 @@ def merge_adjacent_windows(bins: DataFrame, keys: list[str], start: str, stop: s
     return numbered.withColumn("__run", run).groupBy(*keys, winner, "__run").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("__run")
 
 
+def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """Rows numbered from 1 in an order over all of them, and __part, which rises with the number: ranges of the order are sorted
+    apart, and their sizes, one row each, tell where each starts."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    parts = checkpointed(parts)
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))  # the number of a row in its partition
+    return parts.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn(name, F.col("__before") + at + 1).drop("__at", "__before")
+
+
+def has_p(p: str):
+    return F.col(p).isNotNull() & ~F.isnan(p)
+
+
 def bh_adjust(rows: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg adjusted p within keys."""
-    w = Window.partitionBy(*keys)
-    scaled = rows.withColumn("__r", F.row_number().over(w.orderBy(p))).withColumn("__s", F.col(p) * F.count(F.lit(1)).over(w) / F.col("__r"))
-    least = F.min("__s").over(w.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return scaled.withColumn("p_adjusted", F.least(least, F.lit(1.0))).drop("__r", "__s")
+    """Benjamini-Hochberg adjusted p within keys, or over all rows without keys. Tests without a p (NULL or NaN) count for nothing and get NULL."""
+    real, rest = rows.filter(has_p(p)), rows.filter(~has_p(p)).withColumn("p_adjusted", F.lit(None).cast("double"))
+    if keys:
+        w = Window.partitionBy(*keys)
+        scaled = real.withColumn("__r", F.row_number().over(w.orderBy(p))).withColumn("__s", F.col(p) * F.count(F.lit(1)).over(w) / F.col("__r"))
+        least = F.min("__s").over(w.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return scaled.withColumn("p_adjusted", F.least(least, F.lit(1.0))).drop("__r", "__s").unionByName(rest)
+    # one family of all tests: ranges of p apart, and the least of all later ranges beside each
+    placed = numbered(real, [F.col(p).asc()], "__r")
+    n = placed.agg(F.count(F.lit(1)).alias("__n"))
+    scaled = placed.crossJoin(F.broadcast(n)).withColumn("__s", F.col(p) * F.col("__n") / F.col("__r"))
+    later = scaled.groupBy("__part").agg(F.min("__s").alias("__s")).select("__part", F.min("__s").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
+    least = F.min("__s").over(Window.partitionBy("__part").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = scaled.withColumn("__least", least).join(F.broadcast(later), "__part")
+    return out.withColumn("p_adjusted", F.least("__least", "__later", F.lit(1.0))).select(*rows.columns, "p_adjusted").unionByName(rest)
 
 
 def bonferroni(rows: DataFrame, keys: list[str], p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """p times the number of tests that have a p, at most 1, and the verdict."""
-    n = F.count(p).over(Window.partitionBy(*keys))
-    return rows.withColumn("p_adjusted", F.least(F.col(p) * n, F.lit(1.0))).withColumn("significant", F.col("p_adjusted") < alpha)
+    """p times the number of tests that have a p, at most 1, and the verdict; NULL for tests without a p."""
+    n = rows.filter(has_p(p)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    met = rows.join(n, keys, "left") if keys else rows.crossJoin(F.broadcast(n))
+    adjusted = F.when(has_p(p), F.least(F.col(p) * F.col("__n"), F.lit(1.0)))
+    return met.withColumn("p_adjusted", adjusted).withColumn("significant", F.col("p_adjusted") < alpha).select(*rows.columns, "p_adjusted", "significant")

@@ -41,10 +41,23 @@ def _pair(s, d):
     return even, odd
 
 
-def _diff(s, d):
+def _two_analyses(s, d):
+    """Curves of the second and of the first half of the day, per subject."""
     a = v.curve(s, d).withColumn("half", F.col("t_idx") >= 12).groupBy("subject", (F.col("t_idx") % 12).alias("t_idx"), "half").agg(F.avg("value").alias("value"))
-    x, y = a.filter("half").withColumnRenamed("value", "x").drop("half"), a.filter("not half").withColumnRenamed("value", "y").drop("half")
-    return x.join(y, ["subject", "t_idx"]).select("subject", "t_idx", F.round(F.col("x") - F.col("y"), 9).alias("value"))
+    return a.filter("half").drop("half"), a.filter("not half").drop("half")
+
+
+def _part_curves(s, d):
+    """Curves of the models in three parts of the day's hours, less the mean of all, one value per subject and time."""
+    m = _models(s, d)
+    grand = m.agg(F.avg("value").alias("grand"))
+    c = m.groupBy((F.col("t_idx") % 3).alias("part"), "model", "subject", "t_idx", "t_ms").agg(F.avg("value").alias("value"))
+    return c.crossJoin(F.broadcast(grand)).withColumn("value", F.round(F.col("value") - F.col("grand"), 9)).drop("grand").withColumn("t_idx", F.floor(F.col("t_idx") / 3).cast("int"))
+
+
+def _report(s, d):
+    found = op.best_model_report(_part_curves(s, d), ["part"], op.sign_draws(s, 6), op.bootstrap_draws(s, BOOT, 6), "model", 0, 0.2, 0.5)
+    return found.select("part", "model", R("m"), "peak_ms", R("low"), R("high"), "significant_at")
 
 
 QUERIES = {
@@ -53,14 +66,14 @@ QUERIES = {
     "significance_mask": lambda s, d: op.significance_mask(_r_values(s, d), ["t_idx"], 0.2).select("t_idx", R("p_adjusted"), "significant"),
     "significance_mask_raw": lambda s, d: op.significance_mask(_r_values(s, d), ["t_idx"], 0.2, "bonferroni", raw=True).select("t_idx", R("p_adjusted"), "significant"),
     "ttest_paired": lambda s, d: op.ttest_paired(*_pair(s, d), ["subject"], ["g"]).select("g", "n", R("t"), R("p")),
-    "generate_sign_draws": lambda s, d: op.sign_draws(s, v.curve(s, d).agg(F.max("subject")).first()[0] + 1),
-    "generate_bootstrap_draws": lambda s, d: op.bootstrap_draws(s, BOOT, v.curve(s, d).agg(F.max("subject")).first()[0] + 1),
+    "generate_sign_draws": lambda s, d: op.sign_draws(s, v.curve(s, d)),
+    "generate_bootstrap_draws": lambda s, d: op.bootstrap_draws(s, BOOT, v.curve(s, d)),
     "generate_split_labels": lambda s, d: op.split_labels(v.features(s, d).select("condition"), 4, 8),
     "generate_train_halves": lambda s, d: op.split_labels(v.response_trials(s, d).select("condition").distinct(), 2, 9).groupBy("shuffle", "half").agg(F.count("*").alias("n"), F.sum("condition").alias("ids")),
     "sign_flip_null": lambda s, d: op.sign_flip_null(v.subject_curve(s, d), op.sign_draws(s, 6)).select("draw", "t_idx", R("m")),
     "pooled_thresholds": lambda s, d: op.pooled_thresholds(op.sign_flip_null(v.subject_curve(s, d), op.sign_draws(s, 6)), 0.2).select(R("low"), R("high")),
     "cluster_permutation_test": lambda s, d: op.cluster_permutation_test(v.subject_curve(s, d), op.sign_draws(s, 6), 0.2, 0.2).select("cluster", "first", "last", R("sum"), R("p"), "significant"),
-    "cluster_difference_test": lambda s, d: op.cluster_permutation_test(_diff(s, d), op.sign_draws(s, 6), 0.2, 0.2).select("cluster", "first", "last", R("sum"), R("p"), "significant"),
+    "cluster_difference_test": lambda s, d: op.cluster_difference_test(*_two_analyses(s, d), op.sign_draws(s, 6), 0.2, 0.2).select("cluster", "first", "last", R("sum"), R("p"), "significant"),
     "significance_windows": lambda s, d: op.significance_windows(op.cluster_permutation_test(v.subject_curve(s, d), op.sign_draws(s, 6), 0.2, 0.9), _axis(s, d)),
     "mean_onset": lambda s, d: op.cluster_permutation_test(v.subject_curve(s, d), op.sign_draws(s, 6), 0.2, 0.9).filter("significant").agg(F.avg("first").cast("int").alias("onset")),
     "subject_onsets": lambda s, d: op.subject_onsets(v.subject_curve(s, d), 2.0),
@@ -69,6 +82,7 @@ QUERIES = {
     "bootstrap_curve_ci": lambda s, d: op.percentile_ci(op.bootstrap_curves(v.subject_curve(s, d), op.bootstrap_draws(s, BOOT, 6)), ["t_ms"], "m").select("t_ms", R("low"), R("high")),
     "resample_cross_join": lambda s, d: v.subject_curve(s, d).join(F.broadcast(op.bootstrap_draws(s, 50, 6)), "subject").groupBy("draw").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")),
     "best_model": lambda s, d: op.best_model(_models(s, d).filter("t_ms >= 0").withColumn("part", F.col("t_idx") % 3), ["part"], "model").select("part", "model", R("m")),
+    "best_model_report": _report,
     "best_model_per_bin": lambda s, d: op.best_model_per_bin(_model_stats(s, d), 40),
     "bin_range_join": lambda s, d: _bins(s, d).select("t_ms", "start"),
     "model_windows": lambda s, d: merge_adjacent_windows(op.best_model_per_bin(_model_stats(s, d), 40), [], "start", "stop", "winner"),
@@ -93,7 +107,7 @@ cl as (select *, sum(o) over (partition by draw order by t_idx rows unbounded pr
 cs as (select draw, cluster, min(t_idx) as first, max(t_idx) as last, sum(m) as s from cl where flag group by all),
 tops as (select d.range as draw, coalesce((select max(s) from cs where cs.draw = d.range), 0) as top from range(64) d),
 res as (select cluster, first, last, s as sum, ((select count(*) from tops where top >= abs(s)) + 1) / 65.0::double as p from cs where draw = -1)"""
-DIFF = "df as (select subject, (t_idx % 12)::int as t_idx, round(avg(value) filter (where t_idx >= 12) - avg(value) filter (where t_idx < 12), 9) as value from curve group by subject, t_idx % 12)"
+DIFF = "df as (select subject, (t_idx % 12)::int as t_idx, avg(value) filter (where t_idx >= 12) - avg(value) filter (where t_idx < 12) as value from curve group by subject, t_idx % 12)"
 MS = "md as (select channel as model, (condition % 6)::int as subject, hour(ts)::int as t_idx, (20 * hour(ts) - 100)::int as t_ms, value from signal_trials where channel in ('click', 'view', 'purchase', 'search', 'login', 'logout')), ms as (select model, t_ms, avg(value) as mean, avg(value) > 47 as significant from md group by all)"
 BM = MS + """, ed as (select min(t_ms) filter (where significant) as t0, max(t_ms) as tl from ms),
 bn as (select (t0 + floor((t_ms - t0) / 40.0) * 40)::int as start, model, bool_and(significant) as whole, avg(mean) as m from ms, ed where t_ms >= t0 and (t0 + floor((t_ms - t0) / 40.0) * 40) < tl group by all),
@@ -121,6 +135,23 @@ SQL = {
     "bootstrap_curve_ci": VIEWS + f", {BD.format(BOOT)}, m as (select draw, t_ms, avg(value) as m from boot join subject_curve using (subject) group by all) select t_ms, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m group by all",
     "resample_cross_join": VIEWS + f", {BD.format(50)} select draw, count(*) as n, round(sum(value), 4) as total from boot join subject_curve using (subject) group by all",
     "best_model": VIEWS + f", {MS}, a as (select (t_idx % 3)::int as part, model, subject, avg(value) as m from md where t_ms >= 0 group by all), b as (select part, model, avg(m) as m from a group by all) select part, model, round(m, 6) as m from (select *, row_number() over (partition by part order by m desc, model) as r from b) where r = 1",
+    "best_model_report": VIEWS + f", {MS}, {DR}, {BD.format(BOOT)}" + """, gr as (select avg(value) as g from md),
+        pc as (select (t_idx % 3)::int as part, model, subject, floor(t_idx / 3.0)::int as t_idx, t_ms, round(avg(value) - (select g from gr), 9) as value from md group by all),
+        bm as (select part, model, m from (select *, row_number() over (partition by part order by m desc, model) as r from (select part, model, avg(m) as m from (select part, model, subject, avg(value) as m from pc where t_ms >= 0 group by all) group by all)) where r = 1),
+        me as (select pc.* from pc join bm using (part, model)),
+        pk as (select part, t_ms as peak_ms from (select *, row_number() over (partition by part order by m desc, t_ms) as r from (select part, t_ms, avg(value) as m from me group by all)) where r = 1),
+        bp as (select part, draw, t_ms from (select *, row_number() over (partition by part, draw order by m desc, t_ms) as r from (select part, draw, t_ms, avg(value) as m from boot join me using (subject) group by all)) where r = 1),
+        ci as (select part, quantile_cont(t_ms, 0.025) as low, quantile_cont(t_ms, 0.975) as high from bp group by all),
+        nul as (select part, draw, t_idx, avg(value * sign) as m from me join draws using (subject) group by all), lim as (select part, quantile_cont(m, 0.1) as low, quantile_cont(m, 0.9) as high from nul group by all),
+        mm as (select part, -1 as draw, t_idx, avg(value) as m from me group by all union all select part, draw, t_idx, m from nul),
+        fl as (select part, draw, t_idx, m, m > high or m < low as flag from mm join lim using (part)),
+        op as (select *, case when flag and not coalesce(lag(flag) over (partition by part, draw order by t_idx), false) then 1 else 0 end as o from fl),
+        cl as (select *, sum(o) over (partition by part, draw order by t_idx rows unbounded preceding)::int as cluster from op),
+        cs as (select part, draw, cluster, min(t_idx) as first, max(t_idx) as last, sum(m) as s from cl where flag group by all),
+        tops as (select b.part, d.range as draw, coalesce((select max(s) from cs where cs.draw = d.range and cs.part = b.part), 0) as top from bm b, range(64) d),
+        res as (select part, first, last, ((select count(*) from tops where top >= abs(s) and tops.part = cs.part) + 1) / 65.0::double as p from cs where draw = -1),
+        mk as (select part, list_sort(list(t_idx)) as significant_at from (select part, unnest(range(first, last + 1))::int as t_idx from res where p < 0.5) group by all)
+        select part, model, round(m, 6) as m, peak_ms, round(low, 6) as low, round(high, 6) as high, coalesce(significant_at, []) as significant_at from bm join pk using (part) join ci using (part) left join mk using (part)""",
     "best_model_per_bin": VIEWS + f", {BM} select start, stop, winner from bb",
     "bin_range_join": VIEWS + ", o as (select min(t_ms) as t0 from curve where value > 99) select distinct t_ms, (t0 + floor((t_ms - t0) / 60.0) * 60)::int as start from curve, o where t_ms >= t0",
     "model_windows": VIEWS + f", {BM}, r as (select *, sum(n) over (order by start rows unbounded preceding) as run from (select *, case when lag(winner) over (order by start) = winner and lag(stop) over (order by start) = start then 0 else 1 end as n from bb)) select winner, min(start) as start, max(stop) as stop from r group by winner, run",

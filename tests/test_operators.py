@@ -210,3 +210,31 @@ def test_rdm_comparison_equals_brute_force(spark, monkeypatch, block, method):
                     want[g, s, t] = None if (m.max(1) == m.min(1)).any() else np.corrcoef(m)[0, 1]
     assert got.keys() == want.keys()
     assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_adjusted_p_skips_missing_tests(spark, keys):
+    r = np.random.default_rng(3)
+    p = np.round(r.random(300), 2)
+    rows = [("a", k, float(x)) for k, x in enumerate(p)] + [("a", 1000, None), ("a", 1001, float("nan")), ("a", 1002, None)]
+    df = spark.createDataFrame(rows, "g string, i int, p double").repartition(3)
+    order = np.argsort(-p, kind="stable")
+    want = np.empty(300)
+    want[order] = np.minimum(np.minimum.accumulate(p[order] * 300 / np.arange(300, 0, -1)), 1)
+    got = {x.i: x.p_adjusted for x in windows.bh_adjust(df, keys).collect()}
+    assert len(got) == 303 and got[1000] is got[1001] is got[1002] is None
+    assert np.allclose([got[k] for k in range(300)], want)
+    b = {x.i: x.p_adjusted for x in windows.bonferroni(df, keys).collect()}
+    assert b[1000] is b[1001] is None and np.allclose([b[k] for k in range(300)], np.minimum(p * 300, 1))
+
+
+def test_difference_test_needs_the_same_subjects(spark):
+    a = spark.createDataFrame([(s, t, float(s + t)) for s in range(3) for t in range(4)], "subject int, t_idx int, value double")
+    with pytest.raises(ValueError, match="2"):
+        inference.cluster_difference_test(a, a.filter("subject < 2"), inference.sign_draws(spark, 3))
+
+
+def test_numbered_rows(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as x").repartition(7)
+    assert all(r.place == r.x + 1 for r in windows.numbered(df, [F.col("x").asc()]).collect())
+    assert windows.numbered(df.limit(0), [F.col("x").asc()]).count() == 0
