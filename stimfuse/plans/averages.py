@@ -20,7 +20,7 @@ def _nan_trials(s, d):
 QUERIES = {
     "repeat_mean": lambda s, d: op.repeat_mean(v.signal_trials(s, d), ["condition", "channel"]).select("condition", "channel", R("value")),
     "repeat_nanmean": lambda s, d: op.repeat_nanmean(_nan_trials(s, d), ["condition", "vertex"]).select("condition", "vertex", R("value")),
-    "condition_average": lambda s, d: op.condition_average(v.signal_trials(s, d), s.range(0, 400).select((F.col("id") * 3).alias("condition")), ["channel"]).select("condition", "channel", R("value")),
+    "condition_average": lambda s, d: op.condition_average(v.signal_trials(s, d), v.response_trials(s, d).select("condition").distinct(), ["channel"]).select("condition", "channel", R("value")),
     "half_repeat_mean": lambda s, d: op.half_repeat_mean(v.signal_trials(s, d), ["condition", "channel"], ORDER).select("condition", "channel", "half", R("value")),
     "pseudo_trials": lambda s, d: op.pseudo_trials(v.signal_trials(s, d), ["condition", "channel"], ORDER, 3).select("condition", "channel", "pseudo", R("value")),
     "repeat_number": lambda s, d: op.repeat_number(v.signal_trials(s, d), ["condition", "channel"], ORDER).select("condition", "channel", "trial", "repeat"),
@@ -40,8 +40,9 @@ QUERIES = {
 
 
 def _captions(s, d):
-    """Captions of an image: turns of a conversation, each with a vector of `embeddings`."""
-    c = table(s, d, "conversations").select(F.col("conv_id").alias("image"), ((7 * F.col("conv_id") + F.col("turn")) % 500).alias("vec_id"))
+    """Captions of an image: turns of a conversation, each with a vector of `embeddings`, over all of these."""
+    n = table(s, d, "embeddings").agg(F.count("*").alias("n"))
+    c = table(s, d, "conversations").crossJoin(F.broadcast(n)).select(F.col("conv_id").alias("image"), ((7 * F.col("conv_id") + F.col("turn")) % F.col("n")).alias("vec_id"))
     return c.join(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id")
 
 
@@ -57,11 +58,11 @@ NAN = "nan_map as (select * replace (case when vertex % 3 = 0 then 'nan'::double
 SQL = {
     "repeat_mean": VIEWS + "select condition, channel, round(avg(value), 6) as value from signal_trials group by all",
     "repeat_nanmean": VIEWS + "select condition, vertex, round(coalesce(avg(case when line <> 1 then value end), 0), 6) as value from response_trials group by all",
-    "condition_average": VIEWS + "select w.condition, channel, round(avg(value), 6) as value from (select range * 3 as condition from range(400)) w left join signal_trials using (condition) group by all",
+    "condition_average": VIEWS + "select w.condition, channel, round(avg(value), 6) as value from (select distinct condition from response_trials) w left join signal_trials using (condition) group by all",
     "half_repeat_mean": VIEWS + "select condition, channel, ((r - 1) % 2)::int as half, round(avg(value), 6) as value from (select *, row_number() over (partition by condition, channel order by ts, trial) as r from signal_trials) group by all",
     "pseudo_trials": VIEWS + "select condition, channel, floor((r - 1) / (n / 3))::int as pseudo, round(avg(value), 6) as value from (select *, row_number() over (partition by condition, channel order by ts, trial) as r, count(*) over (partition by condition, channel) as n from signal_trials) where n % 3 = 0 group by all",
     "repeat_number": VIEWS + "select condition, channel, trial, row_number() over (partition by condition, channel order by ts, trial)::int as repeat from signal_trials",
-    "caption_mean_embedding": """with c as (select conv_id as image, (7 * conv_id + turn) % 500 as vec_id from conversations),
+    "caption_mean_embedding": """with c as (select conv_id as image, (7 * conv_id + turn) % (select count(*) from embeddings) as vec_id from conversations),
         x as (select image, unnest(range(1, 65)) as pos, embedding from c join embeddings using (vec_id)),
         m as (select image, pos, round(avg(embedding[pos]::double), 6) as x from x group by all)
         select image, list(x order by pos) as embedding from m group by image""",

@@ -9,7 +9,7 @@ from stimfuse.operators import rdm
 from stimfuse.plans import views as v
 from stimfuse.plans.averages import R, _captions
 from stimfuse.plans.views import VIEWS
-from stimfuse.session import table
+from stimfuse.session import shared_dir, table
 
 MACRO = ["ASIA", "EUROPE"]
 
@@ -33,6 +33,17 @@ def _nan_side(s, d):
     return m.withColumn("value", F.when(F.col("vertex") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
 
 
+def _files(s, d, rows, key):
+    """Each key's rows as files of their own, without the key, as separate runs leave them, read again and named by their folder."""
+    at = shared_dir(s, f"parts-{key}")
+    rows.write.partitionBy(key).parquet(at)
+    kind = rows.schema[key].dataType
+    values = [r[0] for r in s.read.parquet(at).select(key).distinct().collect()]
+    parts = [s.read.parquet(f"{at}/{key}={x}").withColumn(key, F.lit(x).cast(kind)) for x in values]
+    # columns come in another order from every other run: they are matched by name
+    return op.union_parts([p.select(*(reversed(p.columns) if k % 2 else p.columns)) for k, p in enumerate(parts)])
+
+
 def _gaps(s, d):
     expected = s.range(30).select(F.col("id").cast("int").alias("t_idx"))
     return op.tolerant_union(v.curve(s, d).groupBy("t_idx").agg(F.count("*").alias("n")), expected, ["t_idx"])
@@ -57,10 +68,10 @@ QUERIES = {
     "load_hemi": lambda s, d: v.response_trials(s, d).filter("hemi = 'F' and subject = 1").groupBy("condition", "vertex").agg(F.round(F.avg("value"), 6).alias("value")),
     "load_roi": lambda s, d: v.response_trials(s, d).join(v.roi_membership(s, d).filter("roi = 'CHINA' or macro = 'AFRICA'").select("vertex"), "vertex", "left_semi").join(v.vertex_quality(s, d).filter("ncsnr >= 0.2"), "vertex", "left_semi").groupBy("condition", "vertex").agg(F.round(F.avg("value"), 6).alias("value")),
     "load_macro_roi": lambda s, d: op.union_parts([v.response_trials(s, d).filter(F.col("hemi") == h) for h in ("F", "O")]).join(F.broadcast(v.roi_membership(s, d)), "vertex").join(v.vertex_quality(s, d).filter("ncsnr >= 0.2"), "vertex").groupBy("macro", "hemi").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("value")),
-    "union_splits": lambda s, d: op.union_parts([v.score_map(s, d).filter(F.col("vertex") % 3 == k) for k in range(3)]).groupBy("hemi").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total")),
-    "union_time_files": lambda s, d: op.union_parts([v.score_map(s, d).filter(F.col("t_idx") == k) for k in range(4)]).groupBy("vertex").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total")),
-    "union_sessions": lambda s, d: op.union_parts([v.signal_trials(s, d).filter(F.col("session") % 2 == k) for k in range(2)]).groupBy("session").agg(F.count("*").alias("n")),
-    "union_hemispheres": lambda s, d: op.union_parts([v.score_map(s, d).filter(F.col("hemi") == h) for h in ("F", "O")]).select("subject", "hemi", "t_idx", "vertex", R("score")),
+    "union_splits": lambda s, d: _files(s, d, v.score_map(s, d).withColumn("split", (F.col("vertex") % 3).cast("int")), "split").groupBy("hemi").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total")),
+    "union_time_files": lambda s, d: _files(s, d, v.score_map(s, d), "t_idx").groupBy("vertex").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total")),
+    "union_sessions": lambda s, d: _files(s, d, v.signal_trials(s, d).select("session", "trial", "value"), "session").groupBy("session").agg(F.count("*").alias("n")),
+    "union_hemispheres": lambda s, d: _files(s, d, v.score_map(s, d), "hemi").select("subject", "hemi", "t_idx", "vertex", R("score")),
     "union_test_val": lambda s, d: _train(s, d).union(v.features(s, d).filter("label > 4").select("condition")).distinct(),
     "except_cross_pairs": lambda s, d: op.except_cross_pairs(rdm.condition_pairs(v.features(s, d), ["label"]).select("i", "j"), v.features(s, d).select("condition", (F.col("condition") % 3 % 2).alias("half"))),
     "string_ids": lambda s, d: table(s, d, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("padded"), F.format_string("sub-%02d", (F.col("p_partkey") % 20).cast("int")).alias("subject"), F.regexp_extract("p_brand", r"(\d+)", 1).alias("digits"), F.element_at(F.split("p_name", " "), 1).alias("head")),
@@ -75,8 +86,8 @@ SQL = {
     "union_roi_masks": VIEWS + "select subject, count(*) as n, round(avg(score), 6) as score from score_map where vertex in (select vertex from roi_membership where macro in ('ASIA', 'EUROPE')) group by all",
     "concat_roi_pools": VIEWS + "select subject, count(*) as n, round(avg(score), 6) as score from score_map join (select vertex from roi_membership where macro in ('ASIA', 'EUROPE') union all select vertex from roi_membership where macro = 'ASIA' and vertex % 2 = 0) using (vertex) group by all",
     "opposite_half_join": VIEWS + ", h as (select vertex, case when line % 2 = 0 then 'even' else 'odd' end as half, avg(value) as value from response_trials group by all) select b.vertex, b.half, round(a.value, 6) as w, round(b.value, 6) as value from h a join h b on a.vertex = b.vertex and a.half <> b.half",
-    "apply_weights": VIEWS + "select condition, round(list_inner_product(embedding[9:16]::double[], embedding[1:8]::double[]) + label, 6) as predicted from features where condition % 5 = label",
-    "caption_join": "select conv_id as image, count(*) as captions, min((7 * conv_id + turn) % 500) as first from conversations group by all",
+    "apply_weights": VIEWS + "select condition, round(list_inner_product(embedding[9:16]::double[], embedding[1:8]::double[]) + label, 6) as predicted from features",
+    "caption_join": "select conv_id as image, count(*) as captions, min((7 * conv_id + turn) % (select count(*) from embeddings)) as first from conversations group by all",
     "shared_across_subjects": VIEWS + "select condition from (select condition, subject, count(*) as k from response_trials group by all) where k >= 3 group by condition having count(*) = (select count(distinct subject) from response_trials)",
     "intersect_subjects": VIEWS + "select condition from response_trials group by condition having count(distinct subject) = 6",
     "positional_pick": VIEWS + "select condition, place from (select condition, row_number() over (order by condition)::int as place from (select distinct condition from response_trials)) where place in (1, 5, 17, 100, 150)",

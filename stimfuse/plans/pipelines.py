@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stimfuse.operators import averages, inference, joins, rdm
+from stimfuse.operators import averages, inference, rdm
 from stimfuse.operators import windows as win
 from stimfuse.plans import correlation as c
 from stimfuse.plans import views as v
 from stimfuse.plans.averages import R
+from stimfuse.plans.joins import _files
 from stimfuse.plans.views import VIEWS
 from stimfuse.session import shared_dir, table
-from stimfuse.sources import readers
+from stimfuse.sources import readers, sinks
 
 
 def _prepare_signals(s, d):
@@ -53,6 +54,39 @@ def _split_labels(s, d):
     return readers.scan_split_labels(s, at, 3, conditions.count()).groupBy("shuffle", "half").agg(F.count("*").alias("n"), F.sum("condition").alias("ids"))
 
 
+def _captions(s, d):
+    """Turns of conversations as caption files: one JSON object with a list of annotations per thousand conversations."""
+    at = shared_dir(s, "captions")
+    each = F.struct((F.col("conv_id") * 100 + F.col("turn")).cast("bigint").alias("id"), F.col("conv_id").cast("bigint").alias("image_id"), F.col("text").alias("caption"))
+    t = table(s, d, "conversations").withColumn("file", F.floor(F.col("conv_id") / 1000).cast("int"))
+    t.groupBy("file").agg(F.collect_list(each).alias("annotations")).repartition("file").write.partitionBy("file").json(at)
+    return readers.scan_captions(s, f"{at}/*/*.json").groupBy("image_id").agg(F.count("*").alias("captions"), F.max("caption_id").alias("last"), F.max("caption").alias("text"))
+
+
+def _model_files(s, d):
+    """One matrix per model in folders that name it; the models are told by the paths."""
+    at = shared_dir(s, "models")
+    v.signal_trials(s, d).select("channel", "condition", "value").write.partitionBy("channel").parquet(at)
+    return readers.scan_model_files(s, f"{at}/*/*.parquet", r"channel=([^/]+)/").select("model").distinct()
+
+
+def _shared_ids(s, d):
+    """A folder per fifty stimuli, named by the first of them."""
+    at = shared_dir(s, "shared")
+    v.features(s, d).select(F.format_string("stim%05d", (F.floor(F.col("condition") / 50) * 50).cast("int")).alias("name"), "condition").write.partitionBy("name").parquet(at)
+    return readers.scan_shared_ids(s, f"{at}/*/*.parquet", r"name=stim(\d+)/").distinct()
+
+
+def _array_files(s, d):
+    """Mean scores of each subject and time as an array file, read again by subject, time and position."""
+    at = shared_dir(s, "arrays")
+    m = v.score_map(s, d).groupBy("subject", "t_idx", "vertex").agg(F.avg("score").alias("score"))
+    packed = m.groupBy("subject", "t_idx").agg(F.array_sort(F.collect_list(F.struct("vertex", "score"))).alias("x")).select("subject", "t_idx", F.transform("x", lambda e: e["score"]).alias("x"))
+    sinks.write_array_files(packed, at, ["subject", "t_idx"], "x")
+    found = readers.scan_array_files(s, f"{at}/*/*/*", {"subject": r"subject=(\d+)", "t_idx": r"t_idx=(\d+)"})
+    return found.select(F.col("subject").cast("int").alias("subject"), F.col("t_idx").cast("int").alias("t_idx"), "position", R("value"))
+
+
 def _rsa_fusion(s, d):
     """Signal RDMs by time against response RDMs, then the mean over classes per time."""
     r = rdm.correlate_rdms(c._time_rdm(s, d), c._rdm(s, d, "correlation", 1, 16), ["t_idx"], [], ["label", "i", "j"], "spearman")
@@ -72,10 +106,14 @@ QUERIES = {
     "rsa_fusion": _rsa_fusion,
     "rsa_split_half": _rsa_split_half,
     "corr_rows_rows": lambda s, d: rdm.correlate_rdms(c._time_rdm(s, d), c._time_rdm(s, d).withColumnRenamed("t_idx", "u_idx"), ["t_idx"], ["u_idx"], ["label", "i", "j"]).select("label", "t_idx", "u_idx", R("r")),
-    "union_distance_splits": lambda s, d: joins.union_parts([c._distances(s, d).filter(F.col("src") % 3 == k) for k in range(3)]).select("src", "dst", R("dist")),
+    "union_distance_splits": lambda s, d: _files(s, d, c._distances(s, d).withColumn("split", (F.col("src") % 3).cast("int")), "split").select("src", "dst", R("dist")),
     "scan_behavior": lambda s, d: readers.scan_behavior(s, _behavior(s, d), 2, [0, 3, 7]).select(F.col("73KID").cast("bigint").alias("condition"), "position"),
     "scan_conditions": lambda s, d: readers.scan_conditions(s, _behavior(s, d), 5),
     "scan_stimulus_info": _stimulus_info,
+    "scan_captions": _captions,
+    "scan_model_rdms": _model_files,
+    "scan_shared_ids": _shared_ids,
+    "scan_array_files": _array_files,
     "scan_label_table": _labels,
     "scan_split_labels": _split_labels,
 }
@@ -92,6 +130,10 @@ SQL = {
     "union_distance_splits": VIEWS + f", {c.DIST} select src, dst, round(dist, 6) as dist from dist",
     "scan_behavior": f"with {B} select condition, position from b where session = 2 and position in (0, 3, 7)",
     "scan_conditions": f"with {B} select session, position, condition::int as condition from b where session <= 5",
+    "scan_captions": "select conv_id::bigint as image_id, count(*) as captions, max(conv_id * 100 + turn)::bigint as last, max(text) as text from conversations group by all",
+    "scan_model_rdms": VIEWS + "select distinct channel as model from signal_trials",
+    "scan_shared_ids": VIEWS + "select distinct (floor(condition / 50.0) * 50)::int as condition from features",
+    "scan_array_files": VIEWS + ", m as (select subject, t_idx, vertex, avg(score) as value from score_map group by all) select subject, t_idx, row_number() over (partition by subject, t_idx order by vertex) - 1 as position, round(value, 6) as value from m",
     "scan_stimulus_info": "select p_partkey::int as stimulus, p_partkey * 3 + 1 as coco_id, p_brand as coco_split from part",
     "scan_label_table": "select n_nationkey::int as label, trim(n_name) as roi from nation",
     "scan_split_labels": VIEWS + f"select shuffle, case when r <= floor(n / 2) then 0 else 1 end as half, count(*) as n, sum(condition)::bigint as ids from {SPL} group by all",

@@ -26,10 +26,19 @@ def _bins(s, d):
 
 
 def _pvalues(s, d):
-    return table(s, d, "part").select((F.col("p_size") % 5).alias("family"), F.col("p_partkey").alias("test"), ((F.col("p_partkey") * 7919) % 1000 / 1000.0).alias("p"))
+    """Tests in five families; one test in eleven has no p."""
+    p = F.when(F.col("p_partkey") % 11 != 0, (F.col("p_partkey") * 7919) % 1000 / 1000.0)
+    return table(s, d, "part").select((F.col("p_size") % 5).alias("family"), F.col("p_partkey").alias("test"), p.alias("p"))
+
+
+def _labelled(s, d):
+    """The curve's points by the time axis of the measurement."""
+    axis = op.time_axis(s).select(F.col("t_idx").cast("int"), F.col("t_ms").alias("axis_ms"))
+    return v.curve(s, d).join(F.broadcast(axis), "t_idx").groupBy("t_idx", "axis_ms").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value"))
 
 
 QUERIES = {
+    "time_axis": _labelled,
     "crop_window": lambda s, d: v.curve(s, d).filter(F.col("t_ms").between(-60, 200)).groupBy("t_ms").agg(F.count("*").alias("n")),
     "post_stimulus_filter": lambda s, d: v.curve(s, d).filter("t_ms >= 0").groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value")),
     "snapshot_times": lambda s, d: v.score_map(s, d).filter(F.col("t_idx").isin(0, 2)).select("subject", "hemi", "t_idx", "vertex", R("score")),
@@ -47,7 +56,7 @@ QUERIES = {
     "concat_features": lambda s, d: v.features(s, d).select("condition", F.concat(F.slice("embedding", 1, 4), F.slice("embedding", 33, 4)).alias("x")).select("condition", F.transform("x", lambda x: F.round(x.cast("double"), 6)).alias("x")),
     "drop_degenerate": lambda s, d: v.roi_membership(s, d).join(v.vertex_quality(s, d).filter("ncsnr >= 0.5"), "vertex", "left").groupBy("roi").agg(F.count("ncsnr").alias("n")).filter("n > 0"),
     "subsample_conditions": lambda s, d: op.subsample_conditions(v.response_trials(s, d), 100, 8),
-    "keep_n_repeats": lambda s, d: op.keep_n_repeats(v.response_trials(s, d), 3).select("condition").distinct(),
+    "keep_n_repeats": lambda s, d: op.keep_n_repeats(v.response_trials(s, d), 30).select("condition").distinct(),
     "param_grid": lambda s, d: v.response_trials(s, d).select("subject").distinct().crossJoin(F.broadcast(v.response_trials(s, d).select("hemi").distinct())).crossJoin(F.broadcast(s.range(1, 4).select(F.col("id").alias("split")))),
     "expect_shape": lambda s, d: op.expect_pairs(_pairs(s, d), ["label"]),
     "infer_axis_roles": lambda s, d: op.infer_axis_roles(v.score_map(s, d).select("subject", "hemi", "t_idx"), {"subjects": 6, "halves": 2, "times": 4, "shuffles": 99}),
@@ -78,13 +87,14 @@ def _by_session():
 
 
 def _pairs(s, d):
-    f = v.features(s, d).select("condition", "label").filter("condition < 200")
+    f = v.features(s, d).select("condition", "label")
     return f.alias("a").join(f.alias("b"), F.expr("a.label = b.label and a.condition < b.condition")).select("a.label", F.col("a.condition").alias("i"), F.col("b.condition").alias("j"))
 
 
 MASKED = "masked as (select * from score_map where vertex in (select vertex from roi_membership where macro = 'ASIA') and vertex in (select vertex from vertex_quality where ncsnr >= 0.2))"
-P = "pv as (select (p_size % 5)::int as family, p_partkey as test, (p_partkey * 7919) % 1000 / 1000.0::double as p from part)"
+P = "pv as (select (p_size % 5)::int as family, p_partkey as test, case when p_partkey % 11 <> 0 then (p_partkey * 7919) % 1000 / 1000.0::double end as p from part)"
 SQL = {
+    "time_axis": VIEWS + ", ax as (select (row_number() over (order by i) - 1)::int as t_idx, t_ms as axis_ms from (select range as i, round_even(-200 + range * 1200 / 614.0::double, 0)::int - 50 as t_ms from range(615)) where t_ms between -100 and 600) select t_idx, axis_ms, count(*) as n, round(avg(value), 6) as value from curve join ax using (t_idx) group by all",
     "crop_window": VIEWS + "select t_ms, count(*) as n from curve where t_ms between -60 and 200 group by all",
     "post_stimulus_filter": VIEWS + "select subject, count(*) as n, round(avg(value), 6) as value from curve where t_ms >= 0 group by all",
     "snapshot_times": VIEWS + "select subject, hemi, t_idx, vertex, round(score, 6) as score from score_map where t_idx in (0, 2)",
@@ -102,9 +112,9 @@ SQL = {
     "concat_features": VIEWS + "select condition, list_transform(list_concat(embedding[1:4], embedding[33:36]), lambda x: round(x::double, 6)) as x from features",
     "drop_degenerate": VIEWS + "select roi, count(*) as n from roi_membership join vertex_quality using (vertex) where ncsnr >= 0.5 group by all",
     "subsample_conditions": VIEWS + "select condition from (select distinct condition from response_trials) order by md5('8:' || condition::varchar), condition limit 100",
-    "keep_n_repeats": VIEWS + "select condition from response_trials group by condition having count(*) = 3",
+    "keep_n_repeats": VIEWS + "select condition from response_trials group by condition having count(*) = 30",
     "param_grid": VIEWS + "select * from (select distinct subject from response_trials), (select distinct hemi from response_trials), (select range as split from range(1, 4))",
-    "expect_shape": VIEWS + "select a.label, count(*) as pairs, round((1 + sqrt(1 + 8 * count(*))) / 2)::bigint as stimuli, true as complete from features a join features b on a.label = b.label and a.condition < b.condition where a.condition < 200 and b.condition < 200 group by all",
+    "expect_shape": VIEWS + "select a.label, count(*) as pairs, round((1 + sqrt(1 + 8 * count(*))) / 2)::bigint as stimuli, true as complete from features a join features b on a.label = b.label and a.condition < b.condition group by all",
     "infer_axis_roles": "select * from (values ('subjects', 'subject'), ('halves', 'hemi'), ('times', 't_idx'), ('shuffles', null)) t(role, \"column\")",
     "session_zscore": VIEWS + "select trial, round((value - avg(value) over w) / stddev_pop(value) over w, 6) as z from signal_trials window w as (partition by session, channel)",
     "session_zscore_responses": VIEWS + "select trial, line, round((value - avg(value) over w) / stddev_pop(value) over w, 6) as z from response_trials window w as (partition by subject, hemi, vertex)",
@@ -114,8 +124,8 @@ SQL = {
     "merge_adjacent_windows": VIEWS + """, b as (select start, winner % 2 as winner, start + 20 as stop from (select t_idx * 20 as start, arg_max(subject, value * 1000 - subject / 1e9) as winner from subject_curve group by all) where start % 100 <> 60),
         r as (select *, sum(n) over (order by start rows unbounded preceding) as run from (select *, case when lag(winner) over (order by start) = winner and lag(stop) over (order by start) = start then 0 else 1 end as n from b))
         select winner, min(start) as start, max(stop) as stop from r group by winner, run""",
-    "bh_adjust": f"with {P}, r as (select *, row_number() over (partition by family order by p) as r, count(*) over (partition by family) as n from pv) select family, test, round(least(min(p * n / r) over (partition by family order by r desc rows unbounded preceding), 1), 6) as p_adjusted from r",
-    "bonferroni": f"with {P} select family, test, round(least(p * count(*) over (partition by family), 1), 6) as p_adjusted, least(p * count(*) over (partition by family), 1) < 0.05 as significant from pv",
+    "bh_adjust": f"with {P}, r as (select *, row_number() over (partition by family order by p nulls last) as r, count(p) over (partition by family) as n from pv) select family, test, case when p is not null then round(least(min(p * n / r) over (partition by family order by r desc rows unbounded preceding), 1), 6) end as p_adjusted from r",
+    "bonferroni": f"with {P} select family, test, case when p is not null then round(least(p * count(p) over (partition by family), 1), 6) end as p_adjusted, case when p is not null then least(p * count(p) over (partition by family), 1) < 0.05 end as significant from pv",
     "session_position": VIEWS + "select session, trial, row_number() over (partition by session order by ts, trial)::int as position from signal_trials",
     "sort_ids": VIEWS + "select distinct condition from response_trials",
     "arg_max": VIEWS + "select subject, t_idx from (select *, row_number() over (partition by subject order by value desc, t_idx) as r from subject_curve) where r = 1",
