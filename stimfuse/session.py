@@ -29,15 +29,19 @@ def ensure_shipped(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Python workers get Arrow batches of at most this size, so their memory doesn't follow the number of rows a batch may have."""
+    """Python workers get Arrow batches of at most this size, so their memory doesn't follow the number of rows a batch may have.
+
+    The setting is read when a plan runs, which may be long after this call: it stays set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every machine of the cluster sees."""
+    """A fresh folder under spark.checkpoint.dir, which every machine of the cluster sees. Where that is unset, it lies in the
+    warehouse, which they see as well; only a session of one machine uses its temporary folder. The folders stay until the cluster clears it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
         base = os.path.join(tempfile.gettempdir(), "stimfuse-checkpoints")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stimfuse-scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
