@@ -1,4 +1,5 @@
-"""Queries on regression models. Ridge with a penalty chosen by leave-one-out and decoding have no SQL; tests hold them against brute force."""
+"""Queries on regression models, with SQL for ridge: the inverse of each penalised Gram matrix by elimination, and leave-one-out
+errors from it. PCA and decoding have no SQL; tests hold them against brute force."""
 
 from __future__ import annotations
 
@@ -115,7 +116,60 @@ QUERIES = {
     "pca_fit_apply": _pca,
     "decoding_rdm": lambda s, d: op.decoding_rdm(_pseudo(s, d), rdm.condition_pairs(v.features(s, d).select(F.col("label").alias("condition")).distinct(), []), ["t_idx"], 6),
 }
+
+
+def _ridge_sql(name: str, x: str, y: str, keys: str, alphas: str, p: int) -> str:
+    """CTEs that end in {name}_w (keys, target, alpha, coef, intercept); x (keys, condition, x list), y (keys, condition, target, value)."""
+    n, r = name, f"range(1, {p + 1})"
+    return f"""{n}_x as (select {keys}, condition, x from {x} where ({keys}, condition) in (select ({keys}, condition) from {y})),
+{n}_mx as (select {keys}, n, list(m order by pos) as mx from (select {keys}, pos.range as pos, avg(x[pos.range]) as m, count(*) as n from {n}_x, {r} pos group by all) group by {keys}, n),
+{n}_z as (select {keys}, condition, n, list_transform({r}, lambda a: x[a] - mx[a]) as z from {n}_x join {n}_mx using ({keys})),
+{n}_g as (select {keys}, a, list(s order by b) as g from (select {keys}, a.range as a, b.range as b, sum(z[a.range] * z[b.range]) as s from {n}_z, {r} a, {r} b group by all) group by {keys}, a),
+{n}_m as (select {keys}, k, alpha, list(list_concat(list_transform(g, lambda v, j: v + case when j = a then alpha else 0 end), list_transform({r}, lambda j: case when j = a then 1.0::double else 0.0::double end)) order by a) as m from {n}_g, ({alphas}) group by all),
+{n}_r as (select {keys}, k, alpha, 1 as step, m from {n}_m union all
+  select {keys}, k, alpha, step + 1, list_transform(m, lambda q, i: case when i = step then pr else list_transform(q, lambda v, j: v - q[step] * pr[j]) end)
+  from (select *, list_transform(m[step], lambda v: v / m[step][step]) as pr from {n}_r where step <= {p})),
+{n}_inv as (select {keys}, k, alpha, list_transform(m, lambda q: q[{p + 1}:{2 * p}]) as inv from {n}_r where step = {p + 1}),
+{n}_y as (select {keys}, target, condition, value, avg(value) over (partition by {keys}, target) as my from {y} where ({keys}, condition) in (select ({keys}, condition) from {x})),
+{n}_c as (select {keys}, target, my, list(s order by a) as c from (select {keys}, target, my, a.range as a, sum(z[a.range] * (value - my)) as s from {n}_y join {n}_z using ({keys}, condition), {r} a group by all) group by all),
+{n}_k as (select {keys}, target, k, alpha, my, list_transform(inv, lambda q: list_dot_product(q, c)) as w from {n}_inv join {n}_c using ({keys})),
+{n}_h as (select {keys}, condition, k, z, 1 - 1.0::double / n - list_dot_product(z, list_transform(inv, lambda q: list_dot_product(q, z))) as rest from {n}_z join {n}_inv using ({keys})),
+{n}_e as (select {keys}, target, k, avg(((value - y.my - list_dot_product(z, w)) / rest) ** 2) as error from {n}_y y join {n}_h using ({keys}, condition) join {n}_k using ({keys}, target, k) group by all),
+{n}_b as (select {keys}, target, k from (select *, row_number() over (partition by {keys}, target order by error, k) as r from {n}_e) where r = 1),
+{n}_w as (select {keys}, target, alpha, w as coef, my - list_dot_product(mx, w) as intercept from {n}_k join {n}_b using ({keys}, target, k) join {n}_mx using ({keys}))"""
+
+
+def _alphas_sql(top: int, n: int) -> str:
+    return f"select range as k, pow(10.0::double, -6 + {top} * range / {n - 1}.0::double) as alpha from range({n})"
+
+
+def _made_sql(name: str, weights: str, x: str) -> str:
+    """Predictions of one half's weights on the other half's features."""
+    return f"{name} as (select x.half, x.condition, w.target, list_dot_product(x.x, w.coef) + w.intercept as value from {weights} w join {x} x on x.half <> w.half)"
+
+
+def _r_sql(made: str, truth: str, keys: str) -> str:
+    return f"select {keys}, target, round(covar_pop(m.value, t.value) / ((stddev_pop(m.value) + 1e-8) * (stddev_pop(t.value) + 1e-8)), 6) + 0.0 as r from {made} m join {truth} t using ({keys}, condition, target) group by {keys}, target"
+
+
+HALVED = VIEWS.replace("with", "with recursive", 1) + """, hv as (select case when condition % 2 = 0 then 'even' else 'odd' end as half, condition, label, embedding::double[] as e from features),
+sig as (select half, condition, e[1:8] as x from hv), resp as (select half, condition, range::int as target, e[33 + range] as value from hv, range(16))"""
+STAGE1 = _ridge_sql("s1", "sig", "resp", "half", _alphas_sql(16, 20), 8) + ", " + _made_sql("m1", "s1_w", "sig")
+LAYERS = ", ".join(f"f{k} as (select half, condition, e[{first}:{first + 7}] as x from hv), " + _ridge_sql(f"l{k}", f"f{k}", "m1", "half", _alphas_sql(16, 20), 8) + ", " + _made_sql(f"n{k}", f"l{k}_w", f"f{k}") for k, first in enumerate((9, 17, 25)))
+COEF = "list_transform(coef, lambda c: round(c, 6) + 0.0) as coef"
 SQL = {
+    "ridge_cv": f"{HALVED}, {_ridge_sql('s1', 'sig', 'resp', 'half', _alphas_sql(16, 20), 8)} select half, target, round(alpha, 6) as alpha, round(intercept, 6) + 0.0 as intercept, {COEF} from s1_w",
+    "ridge_cv_single": HALVED + """, pr as (select a.label, a.condition * 1000000 + b.condition as condition, list_transform(range(1, 5), lambda k: (a.e[k] - b.e[k]) ** 2) as x,
+        list_transform(a.e[33:48], lambda v: v - list_avg(a.e[33:48])) as p, list_transform(b.e[33:48], lambda v: v - list_avg(b.e[33:48])) as q from hv a join hv b on a.label = b.label and a.condition < b.condition),
+        py as (select label, condition, 0 as target, 1 - list_dot_product(p, q) / sqrt(list_dot_product(p, p) * list_dot_product(q, q)) as value from pr), """ + _ridge_sql("s", "pr", "py", "label", _alphas_sql(11, 30), 4) + f" select label, round(alpha, 6) as alpha, round(intercept, 6) + 0.0 as intercept, {COEF} from s_w",
+    "encoding_fusion": f"{HALVED}, {STAGE1} {_r_sql('m1', 'resp', 'half')}",
+    "encoding_split_half": HALVED + """, hs as (select condition, s.range as shuffle, ((condition * 7 + s.range * 13) % 11 % 2)::varchar as side, e from hv, range(1, 4) s), sx as (select shuffle, side, condition, e[1:8] as x from hs),
+        sy as (select shuffle, side, condition, range::int as target, e[33 + range] as value from hs, range(16)), """ + _ridge_sql("s", "sx", "sy", "shuffle, side", _alphas_sql(16, 20), 8) + """,
+        ms as (select x.shuffle, x.side, x.condition, w.target, list_dot_product(x.x, w.coef) + w.intercept as value from s_w w join sx x on x.shuffle = w.shuffle and x.side <> w.side),
+        rs as (""" + _r_sql("ms", "sy", "shuffle, side") + ") select shuffle::int as shuffle, side as half, target, r from rs",
+    "two_stage_fit": f"{HALVED}, {_ridge_sql('s1', 'sig', 'resp', 'half', _alphas_sql(9, 20), 8)} select half, target, round(alpha, 6) as alpha, round(intercept, 6) + 0.0 as intercept from s1_w",
+    "two_stage_transfer": f"{HALVED}, {STAGE1}, f as (select half, condition, e[17:26] as x from hv), {_ridge_sql('s2', 'f', 'm1', 'half', _alphas_sql(16, 20), 10)}, {_made_sql('m2', 's2_w', 'f')} {_r_sql('m2', 'resp', 'half')}",
+    "two_stage_layerwise": f"{HALVED}, {STAGE1}, {LAYERS} " + " union all ".join(f"select *, {k} as layer from ({_r_sql(f'n{k}', 'resp', 'half')})" for k in range(3)),
     "standardize_fit_apply": VIEWS + """, l as (select condition, range::int as pos, embedding[range + 1]::double as x from features, range(6)),
         m as (select pos, avg(x) as mean, stddev_pop(x) as sd from l where condition % 2 = 0 group by all)
         select condition, list(round((x - mean) / case when sd = 0 then 1 else sd end, 6) order by pos) as x from l join m using (pos) group by condition""",

@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
