@@ -1,5 +1,7 @@
 """Top-k search against brute force; classifiers on held-out rows; the pipeline's stages against their own inputs."""
 
+import base64
+import hashlib
 import os
 import random
 import subprocess
@@ -8,11 +10,14 @@ import zlib
 from itertools import combinations
 from pathlib import Path
 
+import duckdb
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from stimfuse.llm import exact_topk, language_id, simhash_dedup, toxicity
+from stimfuse.llm import exact_topk, language_id, mixing, simhash_dedup, toxicity
 
 
 def brute_topk(vectors, queries, k, scale=256.0):
@@ -175,12 +180,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(x.columns == docs.columns for x in seen[:-1])
     kept = {x.doc_id for x in seen[1].collect()}
     assert {i for i, _, m in toxic_rows(600) if m} & kept == set() and len(kept) >= 0.98 * (docs.count() - 200)
-    alone = {x.doc_id for x in seen[2].collect()}
-    fp = {x.doc_id: simhash_dedup.fingerprint(x.text) for x in seen[1].collect()}
-    assert len(alone & set(range(1200, 1205))) == 1 and 1200 in alone
-    assert all(bin(fp[a] ^ fp[b]).count("1") > 3 for a in alone for b in alone if a < b)
-    cut = {x.doc_id: x.text for x in seen[3].collect()}
-    assert not any(passage[:80] in cut[i] for i in (1301, 1302, 1303)) and set(cut) == alone
-    times = {x.doc_id: x["count"] for x in seen[4].groupBy("doc_id").count().collect()}
-    assert max(times.values()) <= 2
-    assert seen[5].count() == seen[4].count() == corpus_pipeline.run(spark, str(tmp_path)).count()
+    # one of each group of fingerprints within 3 bits or five-word sets of similarity 0.8, by all pairs
+    rows = sorted(((x.doc_id, x.text) for x in seen[1].collect()), key=lambda x: x[0])
+    fp = [simhash_dedup.fingerprint(t) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and ((fp[i] ^ fp[j]).bit_count() <= 3 or (both and both >= 0.8 * len(sets[i] | sets[j]))):
+                root = [root[j] if x == root[i] else x for x in root]
+    assert sorted(x.doc_id for x in seen[2].collect()) == sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == c) for c in set(root))
+    # every byte under a 50-byte string of a document with a smaller id goes
+    texts = {x.doc_id: x.text for x in seen[2].collect()}
+    first = {}
+    for i, t in texts.items():
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first[b[k : k + 50]] = min(first.get(b[k : k + 50], 1 << 62), i)
+    want = {}
+    for i, t in texts.items():
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        want[i] = None if t is None else bytes(x for x, y in zip(b, gone, strict=True) if not y).decode("utf-8", "ignore")
+    assert {x.doc_id: x.text for x in seen[3].collect()} == want
+    assert any(want[i] != texts[i] for i in want)
+    # as often as SQL says; texts without words once
+    c = duckdb.connect()
+    documents = seen[3].select("doc_id", "text", "source").toPandas()
+    c.register("documents", documents)
+    times = {int(r[0]): 1 if r[1] == 0 else int(r[4]) // int(r[1]) for r in c.sql(mixing.SQL).fetchall()}
+    assert {x.doc_id: x["count"] for x in seen[4].groupBy("doc_id").count().collect()} == {i: n for i, n in times.items() if n}
+    # and encoded as the library does
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = sorted(map(tuple, seen[5].collect()))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = {i: np.array(library.encode_ordinary(t or ""), "<u4") for i, t in want.items()}
+    assert got == sorted((i, len(ids[i]), sha(ids[i].tobytes()), sha((want[i] or "").encode())) for i, n in times.items() for _ in range(n))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == got
