@@ -16,10 +16,24 @@ def zscore(rows: DataFrame, keys: list[str], value: str = "value", eps: float =
 
 
 def ranked(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Average ranks within keys."""
+    """Average ranks within keys, by a window: for many keys with few rows each."""
     return rows.withColumn("rank", average_rank(Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)))
 
 
+def ranked_at_scale(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Average ranks within keys that may hold a large part of the table. Distinct values with their counts are sorted in ranges;
+    running counts, less what stands before the key, are ranks, and come back to the rows by key and value. NULL ranks first, as in a window."""
+    distinct = numbered(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), [*[F.col(k).asc() for k in keys], F.col(value).asc()], "__place")
+    upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__place"))
+    parts = distinct.groupBy("__part").agg(F.sum("__n").alias("__in"))  # one row per range
+    before = parts.select("__part", F.coalesce(F.sum("__in").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = distinct.join(F.broadcast(before), "__part").withColumn("__upto", F.col("__before") + upto)
+    first = placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.col("__upto") - F.col("__n")).alias("__first"))
+    met = placed.join(first, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]) if keys else placed.crossJoin(F.broadcast(first))
+    ranks = met.select(*[F.col(c).alias(f"__{c}") for c in (*keys, value)], (F.col("__upto") - F.col("__first") - (F.col("__n") - 1) / 2).alias("rank"))
+    return rows.join(ranks, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, value)]).drop(*[f"__{c}" for c in (*keys, value)])
+
+
 def cluster_label(rows: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
     """Number (from 1) of the run of consecutive true flags that a row is in; NULL where the flag is false."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -63,7 +63,7 @@ QUERIES = {
     "session_zscore": lambda s, d: win.zscore(v.signal_trials(s, d), ["session", "channel"]).select("trial", R("z")),
     "session_zscore_responses": lambda s, d: win.zscore(v.response_trials(s, d), ["subject", "hemi", "vertex"]).select("trial", "line", R("z")),
     "zscore_eps": lambda s, d: win.zscore(v.response_trials(s, d), ["vertex"], "value", 1e-8).select("trial", "line", R("z")),
-    "average_rank": lambda s, d: win.ranked(v.response_trials(s, d), ["subject"], "a").select("trial", "line", F.col("rank").cast("double").alias("rank")),
+    "average_rank": lambda s, d: win.ranked_at_scale(v.response_trials(s, d), ["subject"], "a").select("trial", "line", F.col("rank").cast("double").alias("rank")),
     "cluster_label": lambda s, d: win.cluster_label(_flags(s, d), ["subject"], "t_idx", "flag").select("subject", "t_idx", "cluster"),
     "merge_adjacent_windows": lambda s, d: win.merge_adjacent_windows(_bins(s, d), [], "start", "stop", "winner").select("winner", "start", "stop"),
     "bh_adjust": lambda s, d: win.bh_adjust(_pvalues(s, d), ["family"]).select("family", "test", R("p_adjusted")),

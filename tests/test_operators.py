@@ -238,3 +238,12 @@ def test_numbered_rows(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as x").repartition(7)
     assert all(r.place == r.x + 1 for r in windows.numbered(df, [F.col("x").asc()]).collect())
     assert windows.numbered(df.limit(0), [F.col("x").asc()]).count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["g"], ["g", "h"]])
+def test_ranks_at_scale_equal_windows(spark, keys):
+    r = np.random.default_rng(7)
+    rows = [(None if x % 9 == 0 else int(x % 3), "ab"[x % 2], None if x % 50 == 0 else float(r.integers(0, 20)), x) for x in range(500)]
+    df = spark.createDataFrame(rows, "g int, h string, value double, i int").repartition(5)
+    a = {x.i: x.rank for x in windows.ranked(df, keys).collect()}
+    assert {x.i: x.rank for x in windows.ranked_at_scale(df, keys).collect()} == a
