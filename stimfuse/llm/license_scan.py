@@ -12,7 +12,7 @@ Words in braces in a template distinguish its license: each group of them has to
 "Licensed under CC BY-NC-SA 4.0." is no match of "Licensed under CC {BY-NC 4.0}.", for all that its words are there.
 
 Reports of one template that overlap keep the one that covers most, of equals the shortest; occurrences side by side are all
-reported. A report inside a longer one of another template of the same license stays too: a grant inside a whole license text.
+reported. Reports of different templates may overlap: a grant stands inside a whole license text.
 
 Edge cases: null, empty and too short texts give no rows; texts of any length are scanned whole; repeated rows and repeated or
 null ids are scanned alike, each row for itself; an empty table or no templates give no rows; other columns of the input are
@@ -31,6 +31,8 @@ from stimfuse.llm.common import map_batches
 
 #: Characters of a fingerprint, hashes of a window, words on either side of the diagonal.
 GRAM, WINDOW, BAND = 12, 6, 6
+#: Words of a template whose matches are searched for every first and last word.
+SHORT = 40
 
 #: Notices, standard headers and texts of common public licenses, without the lines of their holders.
 TEMPLATES = {
@@ -136,7 +138,7 @@ class Index:
             self.words.append(text.tobytes().split())
             self.groups.append(groups_of(templates[name]))
             marks.append(h[at])
-            place.append(np.cumsum(text == 32)[at] if len(at) else at)
+            place.append((np.cumsum(text == 32) - (text == 32))[at] if len(at) else at)  # the word before a gram that starts with a space, as in texts
             template.append(np.full(len(at), i))
         if not marks:
             marks, place, template = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)]
@@ -160,7 +162,8 @@ class Index:
 
 
 def align(template: list[tuple[list[bytes], bool]], words: list[bytes], band: int) -> list[tuple[int, int]]:
-    """Pairs (place in the template, place in words) of a longest common subsequence that stays within band of the diagonal.
+    """Pairs (place in the template, place in words) of a longest common subsequence that stays within band of the diagonal, which
+    begins band words after the first of words.
 
     The template is a list of (words, whether they are a group): single words, and groups that only match as a whole and weigh more
     than all the rest."""
@@ -173,7 +176,7 @@ def align(template: list[tuple[list[bytes], bool]], words: list[bytes], band: in
         ends.append((ends[-1] if ends else 0) + n)
         weight, above, row = weights[i], best[i], [0] * width
         for b in range(width):
-            j = ends[i] + b - band
+            j = ends[i] + b
             got = above[b + n] if b + n < width else 0
             if 1 <= j <= m:
                 if b and row[b - 1] > got:
@@ -182,10 +185,10 @@ def align(template: list[tuple[list[bytes], bool]], words: list[bytes], band: in
                     got = above[b] + weight
             row[b] = got
         best.append(row)
-    i, b, out = len(template), max(range(width), key=best[-1].__getitem__), []
+    i, b, out = len(template), max(range(width), key=lambda x: (best[-1][x], -abs(x - band))), []  # of equals the nearest to the diagonal
     while i > 0 and best[i][b] > 0:
         part = template[i - 1][0]
-        n, j = len(part), ends[i - 1] + b - band
+        n, j = len(part), ends[i - 1] + b
         if n <= j <= m and part == words[j - n : j] and best[i][b] == best[i - 1][b] + weights[i - 1]:
             out += [(ends[i - 1] - 1 - k, j - 1 - k) for k in range(n)]
             i -= 1
@@ -213,6 +216,25 @@ def accepted(hits: list[tuple[int, int]], n_words: int, groups: list[tuple[int,
     return []
 
 
+def best_part(parts: list, own: list[bytes], words: list[bytes], groups: list[tuple[int, int]], coverage: float) -> list[tuple[int, int]]:
+    """The accepted part of an alignment. A longest one may hang on words far off that its span doesn't bear: then it is tried again
+    from each word on that a match may begin with (what coverage leaves of the template has to follow), and for short templates up to
+    each word that it may end with."""
+    hits = align(parts, own, BAND)
+    found = accepted(hits, len(words), groups, coverage)
+    if found or len(hits) < coverage * len(words):
+        return found
+    heads = set(words[: len(words) - int(np.ceil(coverage * len(words) - 1e-9)) + 1])
+    for s in [k for k, w in enumerate(own) if w in heads]:
+        for e in (len(own), *(k for k in range(len(own), s, -1) if len(words) <= SHORT and own[k - 1] in words)):
+            part = accepted(align(parts, [b""] * s + own[s:e], BAND), len(words), groups, coverage)
+            if (len(part), -part[-1][1] + part[0][1] if part else 0) > (len(found), -found[-1][1] + found[0][1] if found else 0):
+                found = part
+            if e - s < coverage * len(words):
+                break
+    return found
+
+
 def scan_text(raw: bytes, index: Index, coverage: float = 0.8) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of the matches in one text; start and end are byte positions."""
     text, at = normalised(np.frombuffer(raw, np.uint8))
@@ -225,14 +247,15 @@ def scan_text(raw: bytes, index: Index, coverage: float = 0.8) -> list[tuple[str
         within = {i for a, b in groups for i in range(a + 1, b)}
         parts = [(words[i : inside.get(i, i + 1)], i in inside) for i in range(len(words)) if i not in within]
         for d in diagonals:
-            hi = min(len(starts), d + len(words) + BAND)
-            own = [b""] * max(0, -d) + [text[starts[k] : ends[k]].tobytes() for k in range(max(0, d), hi)]
+            lo, hi = d - BAND, min(len(starts), d + len(words) + BAND)
+            own = [b""] * max(0, -lo) + [text[starts[k] : ends[k]].tobytes() for k in range(max(0, lo), hi)]
             if any(words[i] not in own for a, b in groups for i in range(a, b)):
                 continue
             # once more up to where another copy may begin, so that a worn copy doesn't take words of the copy behind it
             for last in {hi, *(x for x in diagonals if d + coverage * len(words) <= x < hi)}:
-                hits = accepted([(i, d + k) for i, k in align(parts, own[: last - d], BAND)], len(words), groups, coverage)
+                hits = best_part(parts, own[: last - lo], words, groups, coverage)
                 if hits:
+                    hits = [(i, lo + k) for i, k in hits]
                     found.setdefault(t, []).append((len(hits) / len(words), int(at[starts[hits[0][1]]]), int(at[ends[hits[-1][1]] - 1]) + 1))
     out = []
     for t, matches in found.items():

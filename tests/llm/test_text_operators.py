@@ -283,7 +283,7 @@ def test_license_scan_equals_alignment_of_every_window():
     index = license_scan.Index(templates)
     filler = "released reader under pages the of grant lion 77 copy and extra noise words permissive license".split()
     hits = 0
-    for _ in range(700):
+    for _ in range(1500):
         words = r.choices(filler, k=r.randint(0, 6))
         for _ in range(r.randint(1, 3)):
             w = templates[r.choice("abc")].replace("{", "").replace("}", "").split()
