@@ -32,7 +32,7 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: No compression above makes more than this many bytes of one.
 MOST = 2600
 #: How text_features() lays a payload out, by its CRC-32: compression, predictor, side of the tiles (0: strips). Bytes of a page.
-LAYOUTS, PAGE_BYTES = ((DEFLATE, 2, 0), (PACKBITS, 1, 0), (LZW, 1, 32), (DEFLATE, 2, 32)), 1 << 20
+LAYOUTS, PAGE_BYTES = ((DEFLATE, 2, 0), (PACKBITS, 1, 32), (LZW, 1, 0), (DEFLATE, 2, 32)), 1 << 20
 
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, mean double, stddev double, average_hash string, pixels_sha256 string, error string"
 
@@ -74,83 +74,67 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bits of the n-th code after a clear code (the table has 258 entries then, and one more with each code but the first).
+_WIDTHS = np.array([min(12, (258 + k).bit_length()) for k in range(4096 - 258 + 2)])
+_BASE = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
 def lzw_decode(data: bytes, most: int) -> bytes:
-    """Most significant bit first; code 256 clears the table, 257 ends; widths grow one code early."""
-    out, table, width, bits, held, made = [], [], 9, 0, 0, 0
-    last = b""
-    base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFFF
-        bits += 8
-        while bits >= width:
-            code = held >> (bits - width) & ((1 << width) - 1)
-            bits -= width
-            if code == 256:
-                table, width, last = list(base), 9, b""
-                continue
-            if code == 257:
-                return b"".join(out)
-            if not table:
-                table = list(base)
-            if not last:
+    """Most significant bit first; code 256 clears the table, 257 ends; widths grow one code early.
+
+    As widths follow from the number of codes since the last clear code, the codes up to the next one are cut out together."""
+    byte = np.frombuffer(data + bytes(3), np.uint8).astype(np.uint32)
+    at, end, out, made = 0, 8 * len(data), [], 0
+    ends = np.cumsum(_WIDTHS)
+    while at < end and made < most:
+        n = int(np.searchsorted(ends, end - at, side="right"))
+        if not n:
+            break
+        first = at + ends[:n] - _WIDTHS[:n]
+        word = byte[first >> 3] << 16 | byte[(first >> 3) + 1] << 8 | byte[(first >> 3) + 2]
+        codes = word >> (24 - (first & 7) - _WIDTHS[:n]) & ((1 << _WIDTHS[:n]) - 1)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        size = int(stop[0]) if len(stop) else n
+        table, last = list(_BASE), b""
+        for code in codes[:size].tolist():
+            if code < len(table):
                 entry = table[code]
+            elif code == len(table) and last:
+                entry = last + last[:1]
             else:
-                if code > len(table):
-                    raise ValueError("LZW code beyond the table")
-                entry = table[code] if code < len(table) else last + last[:1]
+                raise ValueError("LZW code beyond the table")
+            if last:
                 table.append(last + entry[:1])
-                if len(table) >= (1 << width) - 1 and width < 12:
-                    width += 1
             out.append(entry)
-            last = entry
             made += len(entry)
-        if made >= most:
+            last = entry
+        if not len(stop) or codes[size] == 257:
             break
+        at += int(ends[size])
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    held = bits = 0
-    out = bytearray()
-    width, size, table = 9, 258, {}
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(256)
-    code = -1
+    """The codes of each part up to a full table, put together bit by bit."""
+    parts, codes, code, size, table = [], [], -1, 258, {}
     for c in data:
-        if code < 0:
-            code = c
-            continue
-        known = table.get(code << 8 | c)
+        key = code << 8 | c
+        known = table.get(key) if code >= 0 else c
         if known is not None:
             code = known
             continue
-        put(code)
-        table[code << 8 | c] = size
+        codes.append(code)
+        table[key] = size
         size += 1
         code = c
         if size >= 4094:
-            put(256)
-            table, size, width = {}, 258, 9
-        elif size > (1 << width) - 1:
-            width += 1
-    if code >= 0:
-        put(code)
-        size += 1
-        if size > (1 << width) - 1 and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+            parts.append([*codes, 256])
+            codes, size, table = [], 258, {}
+    parts.append([*codes, *([code] if code >= 0 else []), 257])
+    flat = np.array([256] + [x for p in parts for x in p], ">u2")
+    widths = np.concatenate([[9], *[_WIDTHS[: len(p)] for p in parts]])
+    bits = np.unpackbits(flat.view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16)[None, :] >= 16 - widths[:, None]]).tobytes()
 
 
 def _unpack(data: bytes, compression: int, most: int) -> bytes:
@@ -259,13 +243,14 @@ def page_pixels(data: bytes, order: str, tags: dict) -> np.ndarray:
 
 
 def average_hash(a: np.ndarray) -> str:
-    """64 bits: whether each of 8 x 8 cells is brighter than the page."""
+    """64 bits: whether each of 8 x 8 cells is brighter than the page; a page of fewer rows or columns has cells without pixels, which are not."""
     rows, cols = np.linspace(0, a.shape[0], 9).astype(int), np.linspace(0, a.shape[1], 9).astype(int)
-    sums = np.pad(a.sum(axis=2, dtype=np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    box = sums[rows][:, cols]
-    cells = box[1:, 1:] - box[:-1, 1:] - box[1:, :-1] + box[:-1, :-1]
-    area = np.maximum(np.outer(np.diff(rows), np.diff(cols)), 1)
-    return np.packbits((cells * a.shape[0] * a.shape[1] > area * int(sums[-1, -1])).ravel()).tobytes().hex()
+    n_rows, n_cols = np.diff(rows), np.diff(cols)
+    flat = a[..., 0] if a.shape[2] == 1 else a.sum(axis=2, dtype=np.int64)
+    cells = np.zeros((8, 8), np.int64)
+    across = np.add.reduceat(flat, rows[:-1][n_rows > 0], axis=0, dtype=np.int64)
+    cells[np.ix_(n_rows > 0, n_cols > 0)] = np.add.reduceat(across, cols[:-1][n_cols > 0], axis=1)
+    return np.packbits((cells * a.shape[0] * a.shape[1] > np.outer(n_rows, n_cols) * int(cells.sum())).ravel()).tobytes().hex()
 
 
 def decoded(data: bytes):
