@@ -25,7 +25,7 @@ from stimfuse.llm.common import WORD
 from stimfuse.session import checkpointed
 
 #: The hash has BITS bits; each histogram resolves STEP of them for the boundary bucket, before single hashes are compared.
-BITS, STEP, LEVELS = 60, 15, 2
+BITS, STEP, LEVELS = 60, 10, 3
 #: Bytes of source names, plus 64 for each source, up to which the table of sources is broadcast; copies of it beyond that.
 BROADCAST, SALTS = 16 << 20, 64
 
