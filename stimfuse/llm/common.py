@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,3 +42,33 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: Stands for a null id, and is larger than all others; bits of a bitmap of ids at most (as a power of two).
+NULL_ID, ID_BITS = 2**63 - 1, 27
+
+
+def id_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each id in a bitmap of 2**bits bits."""
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of n ids (one column, no nulls), of at most 2**ID_BITS bits, and the number of bits as a power of two: it may hold more ids, never fewer."""
+    bits = int(min(ID_BITS, max(16, np.ceil(np.log2(max(n, 1) * 64)))))
+
+    def words(b: pa.RecordBatch):
+        k = id_places(np.asarray(b.column(0)), bits)
+        yield pa.RecordBatch.from_arrays([pa.array(k >> 5), pa.array(np.int64(1) << (k & 31))], names=["word", "bit"])
+
+    table = np.zeros(1 << bits - 5, np.uint32)
+    for r in map_batches(ids, words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():  # words of one bitmap
+        table[r["word"]] = r["bit"]
+    return table, bits
+
+
+def in_bitmap(ids: pa.Array, table: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bitmap may hold each id."""
+    k = id_places(np.asarray(ids.cast(pa.int64()).fill_null(NULL_ID)), bits)
+    return (table[k >> 5] >> (k & 31).astype(np.uint32) & 1).astype(bool)

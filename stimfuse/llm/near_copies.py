@@ -4,7 +4,7 @@ A text is the set of the hashes of its shingles of `size` words. BANDS keys of R
 texts of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.99997 at 0.8 and more above. Texts with
 equal keys are compared by their exact similarity unless links have joined them already. Texts of equal sets and fingerprints are
 one member, and keys with the same members are one group. A group above CHUNK members is first compared in chunks that all hold its
-least member; only where that leaves several components, every two chunks meet, so that no pair of a group is left out.
+least member; where that leaves several components, the members outside the largest meet all members, so that no pair is left out.
 
 Edge cases: a null text, or one without words, has no shingles and no links; a text with fewer words than a shingle is one shingle;
 repeated rows are one member; an empty table gives no links; other columns of the input are not read.
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import map_batches
+from stimfuse.llm.common import NULL_ID, id_bitmap, in_bitmap, map_batches
 from stimfuse.llm.components import components
 from stimfuse.session import checkpointed
 
@@ -44,6 +44,14 @@ def band_keys(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def member_of(text: str | None, mark, size: int, seed: int) -> tuple[int, int, np.ndarray]:
+    """(fingerprint, member, shingles) of a text; the member is a signed number that texts of equal fingerprint and shingles share."""
+    fp, words = mark(text)
+    found = shingles(words, size, seed)
+    member = xxhash.xxh64_intdigest(found.tobytes(), fp & 0xFFFFFFFF) ^ (fp & 0xFFFFFFFFFFFFFFFF)
+    return fp, member - (1 << 64) if member >> 63 else member, found
+
+
 def similar_links(members: dict[str, list], similar: float) -> list[tuple[int, int]]:
     """Links (component, component) that join all components with a pair of members of at least this similarity."""
     sets = [np.frombuffer(x, np.uint64) for x in members["found"]]
@@ -70,56 +78,66 @@ def similar_links(members: dict[str, list], similar: float) -> list[tuple[int, i
     return out
 
 
-def links(texts: DataFrame, named: DataFrame, mark, size: int = 5, similar: float = 0.8, seed: int = 42) -> DataFrame:
-    """texts (text); named (fp, component), for every fingerprint; mark: text to (fingerprint as a signed number, words).
+MARKED = "id bigint, fp bigint, member bigint, keys array<bigint>"
+
+
+def marked(docs: DataFrame, mark, size: int = 5, seed: int = 42) -> DataFrame:
+    """docs (id, text); mark: text to (fingerprint as a signed number, words). One row per input row, MARKED: the fingerprint, the member
+    (texts of equal fingerprint and shingles) and its keys, null where there are no words."""
+
+    def run(b: pa.RecordBatch):
+        fps, members, keys = [], [], []
+        for t in b.column(1):
+            fp, member, found = member_of(t.as_py(), mark, size, seed)
+            fps.append(fp)
+            members.append(member)
+            keys.append(np.array(band_keys(found), np.uint64).view(np.int64) if len(found) else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(members, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "member", "keys"])
 
-    Returns (u, v), links between components that hold near copies of each other."""
+    return map_batches(docs, run, MARKED)
 
-    def member(text: str | None):
-        fp, words = mark(text)
-        found = shingles(words, size, seed)
-        return fp, xxhash.xxh64_intdigest(found.tobytes(), fp & 0xFFFFFFFF) ^ (fp & 0xFFFFFFFFFFFFFFFF), found
 
-    def signed(x) -> pa.Array:
-        return pa.array(np.array(x, np.uint64).view(np.int64))
+def links(docs: DataFrame, rows: DataFrame, named: DataFrame, mark, size: int = 5, similar: float = 0.8, seed: int = 42) -> DataFrame:
+    """docs (id, text); rows: MARKED of them; named (fp, component), for every fingerprint.
 
-    def keys(b: pa.RecordBatch):
-        fps, ids, bands = [], [], []
-        for t in b.column(0):
-            fp, m, found = member(t.as_py())
-            if len(found):
-                fps += [fp] * BANDS
-                ids += [m] * BANDS
-                bands += band_keys(found)
-        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), signed(ids), signed(bands)], names=["fp", "member", "key"])
+    Returns (u, v), links between components that hold near copies of each other. Shingles are made again for one row of each member
+    that has to be compared, which a bitmap of ids tells."""
+    texts = rows.filter("keys is not null")
 
     def sets(b: pa.RecordBatch):
-        rows = [member(t.as_py())[1:] for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([signed([m for m, _ in rows]), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["member", "found"])
+        some = b.column(1).filter(pa.array(in_bitmap(b.column(0), *shared.value)))
+        out = [member_of(t.as_py(), mark, size, seed)[1:] for t in some]
+        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], pa.int64()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["member", "found"])
 
     def compare(t: pa.Table) -> pa.Table:
         out = similar_links(t.select(["component", "side", "found"]).to_pydict(), similar)
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    rows = map_batches(texts, keys, "fp bigint, member bigint, key bigint").distinct()
+    rows = texts.select("fp", "member", F.explode("keys").alias("key")).distinct()
     rows = checkpointed(rows.join(named.select("fp", "component"), "fp").select("key", "member", "component"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("member")).alias("who"), F.min("member").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
     one = groups.filter("low < high").groupBy("n", "who", "lead").agg(F.min("key").alias("key"))
     open_ = checkpointed(rows.join(one.select("key", "n", "lead"), "key").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")))
-    needed = open_.select("member").distinct()
-    held = checkpointed(map_batches(texts, sets, "member bigint, found binary").join(needed, "member", "left_semi").dropDuplicates(["member"]))
+    one_of = checkpointed(texts.join(open_.select("member").distinct(), "member", "left_semi").groupBy("member").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id")).select("id"))
+    shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(one_of, one_of.count()))  # 2**ID_BITS bits at most
+    held = map_batches(docs, sets, "member bigint, found binary").dropDuplicates(["member"])
     part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
     dealt = open_.filter("member <> lead").withColumn("part", part).unionByName(open_.filter("member = lead").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     first = dealt.withColumn("side", F.lit(-1)).join(held, "member").select("key", "part", "component", "side", "found")
     found = checkpointed(first.groupBy("key", "part").applyInArrow(compare, "u bigint, v bigint").distinct())
-    # what chunks of large groups leave apart: every two chunks meet, and only pairs across them are new
+    # what chunks of large groups leave apart
     large = open_.filter("parts > 1")
     if not large.limit(1).count():
         return found
     joined = components(found)
     large = large.join(joined, large.component == joined.node, "left").select("key", "member", "parts", F.coalesce(joined.component, large.component).alias("component"))
-    apart = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    cut = large.join(apart, "key", "left_semi").withColumn("side", part)
-    met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("side <> with")
-    met = met.withColumn("low", F.least("side", "with")).withColumn("high", F.greatest("side", "with")).join(held, "member").select("key", "low", "high", "component", "side", "found")
+    # of the components of such a group the largest has no pairs left inside; all others, the rest, meet every member, in blocks
+    sizes = large.groupBy("key", "component").agg(F.count("*").alias("n"))
+    state = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    state = state.select("key", F.col("top.component").alias("base"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK).cast("int").alias("blocks")).filter("blocks > 0")
+    cut = checkpointed(large.join(state, "key"))
+    every = cut.withColumn("low", part).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    rest = cut.filter("component <> base").withColumn("high", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    columns = ["key", "low", "high", "member", "component", "side"]
+    met = every.select(columns).unionByName(rest.select(columns)).join(held, "member").select("key", "low", "high", "component", "side", "found")
     return found.union(met.groupBy("key", "low", "high").applyInArrow(compare, "u bigint, v bigint").distinct())

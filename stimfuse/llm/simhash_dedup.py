@@ -250,14 +250,10 @@ def _grouped(marked: DataFrame, radius: int, widen=None) -> DataFrame:
     return marked.join(of, "fp").select("id", "fp", "component_id", "component")
 
 
-def _with_near_copies(named: DataFrame, docs: DataFrame, text_col: str, size: int, seed: int, similar: float) -> DataFrame:
+def _with_near_copies(named: DataFrame, docs: DataFrame, marked: DataFrame, mark, similar: float, seed: int) -> DataFrame:
     """named (fp, least, component), with components joined that hold texts of at least this similarity of five-word shingles."""
-
-    def mark(text: str | None):
-        return int(np.uint64(fingerprint(text, size, seed)).view(np.int64)), words_of(text)
-
     named = checkpointed(named)
-    wider = components(near_copies.links(docs.select(text_col), named, mark, 5, similar, seed))
+    wider = components(near_copies.links(docs, marked, named, mark, 5, similar, seed))
     return named.join(wider.withColumnRenamed("component", "wider"), named.component == wider.node, "left").select("fp", "least", F.coalesce("wider", "component").alias("component"))
 
 
@@ -265,10 +261,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """The rows of docs, all columns, that stay: of each component the one with the smallest id (of equal ids, the smallest
     fingerprint; a null id comes last). Repeated rows count as one document. With `similar`, texts whose sets of five-word
     shingles have at least that Jaccard similarity are linked as well."""
-    marked = checkpointed(fingerprints(docs, id_col, text_col, size, seed))
+
+    def both(text: str | None):
+        return int(np.uint64(fingerprint(text, size, seed)).view(np.int64)), words_of(text)
+
+    texts = docs.select(F.col(id_col).cast("bigint"), text_col)
+    # one pass over the texts serves both kinds of links
+    marked = checkpointed(fingerprints(docs, id_col, text_col, size, seed) if similar is None else near_copies.marked(texts, both, 5, seed))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "fp")
-    widen = None if similar is None else lambda named: _with_near_copies(named, docs, text_col, size, seed, similar)
-    kept = checkpointed(_grouped(marked, radius, widen).groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.fp"))
+    widen = None if similar is None else lambda named: _with_near_copies(named, texts, marked, both, similar, seed)
+    kept = checkpointed(_grouped(marked.select("id", "fp"), radius, widen).groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.fp"))
     # ids that are null or come with several rows don't say which row is meant: those rows are matched by fingerprint as well
     unclear = checkpointed(marked.groupBy("id").count().filter("id is null or count > 1").select("id"))
     if not unclear.limit(1).count():

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import map_batches
+from stimfuse.llm.common import NULL_ID, id_bitmap, in_bitmap, map_batches
 from stimfuse.session import shared_dir
 
 #: Bytes of an anchor gram; bytes of text per shard; bits of the bitmap at most (as a power of two); slices from which an anchor is dealt by content.
@@ -37,9 +37,6 @@ GRAM, SHARD_BYTES, BITMAP, HOT = 16, 2 << 20, 27, 1 << 16
 #: Bytes of a slice that is hashed at once; longer texts are cut with an overlap.
 SLICE = 1 << 20
 
-NULL_ID = 2**63 - 1
-
-
 def suffix_array(text: bytes) -> np.ndarray:
     """Suffix array of one text by prefix doubling."""
     rank = np.frombuffer(text, np.uint8).astype(np.int64) + 1
@@ -404,12 +401,6 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
-    """The place of each id in a bitmap of 2**bits bits."""
-    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, **how) -> tuple[DataFrame, DataFrame]:
     """(rows of docs that surely lose nothing, the other rows as struct `row`, `text` and merged `runs`, null where nothing is removed).
 
@@ -426,22 +417,12 @@ def _with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, **how)
     at = shared_dir(spark, "suffix-runs")
     map_batches(found, merge, "doc bigint, key bigint, runs array<struct<start: bigint, stop: bigint>>").write.parquet(at)
     runs = spark.read.parquet(at)
-    bits = int(min(BITMAP, max(16, np.ceil(np.log2(max(runs.count(), 1) * 64)))))
-
-    def words(b: pa.RecordBatch):
-        k = _bit(np.asarray(b.column(0)), bits)
-        yield pa.RecordBatch.from_arrays([pa.array(k >> 5), pa.array(np.int64(1) << (k & 31))], names=["word", "bit"])
-
-    table = np.zeros(1 << bits - 5, np.uint32)
-    for r in map_batches(runs.select("doc"), words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():  # words of one bitmap
-        table[r["word"]] = r["bit"]
-    shared = spark.sparkContext.broadcast(table)  # 2**BITMAP bits at most
+    shared = spark.sparkContext.broadcast(id_bitmap(runs.select("doc"), runs.count()))  # 2**ID_BITS bits at most
     place = docs.columns.index(id_col)
 
     def rows(hit: bool):
         def run(b: pa.RecordBatch):
-            k = _bit(np.asarray(b.column(place).cast(pa.int64()).fill_null(NULL_ID)), bits)
-            yield b.filter(pa.array((shared.value[k >> 5] >> (k & 31).astype(np.uint32) & 1).astype(bool) == hit))
+            yield b.filter(pa.array(in_bitmap(b.column(place), *shared.value) == hit))
 
         return map_batches(docs, run, docs.schema)
 
