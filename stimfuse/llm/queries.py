@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stimfuse.llm import byte_bpe, exact_topk, language_id, license_scan, media_tiff, mixing, simhash_dedup, suffix_dedup, token_counts, toxicity
+from stimfuse.llm import byte_bpe, exact_topk, language_id, license_scan, media_tiff, mixing, simhash_dedup, spelling_variants, suffix_dedup, token_counts, toxicity
 from stimfuse.llm.common import crc_mod
 from stimfuse.session import ensure_shipped, shared_dir, small_batches, table
 
@@ -62,6 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-counts"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), shortest=7, least=2, every=31, times=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -77,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": exact_topk.SQL, "op3_source_mixing": mixing.SQL}
+    return {"op1_exact_topk": exact_topk.SQL, "op3_source_mixing": mixing.SQL, "op11_spelling_variants": spelling_variants.SQL}
