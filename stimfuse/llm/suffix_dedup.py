@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import NULL_ID, id_bitmap, in_bitmap, map_batches
+from stimfuse.llm.common import NULL_ID, free_name, id_bitmap, in_bitmap, map_batches
 from stimfuse.session import shared_dir
 
 #: Bytes of an anchor gram; bytes of text per shard; bits of the bitmap at most (as a power of two); slices from which an anchor is dealt by content.
@@ -205,11 +205,11 @@ def _slices(b: pa.RecordBatch, length: int):
         lo = hi
 
 
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _groups(shard: np.ndarray):
+def groups(shard: np.ndarray):
     """(shard, positions) in order of shard."""
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
@@ -227,13 +227,19 @@ def _unique(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (h[starts] & ~np.uint64(1)) | (ids[starts] != ids[ends]).astype(np.uint64)
 
 
-def _repeated(texts: DataFrame, length: int, shards: int, bits: int, hot: int) -> tuple[bytes, list[int]]:
-    """The bitmap of anchor hashes that occur in several slices or documents, by their first `bits` bits, and the hashes that very many slices hold."""
+def _anchors(b: pa.RecordBatch, length: int):
+    """Distinct hashes of the anchors of each slice."""
+    for ids, _, _, _, a in _slices(b, length):
+        yield _unique(a.h, ids)
+
+
+def repeated_hashes(texts: DataFrame, hashes, shards: int, bits: int, hot: int) -> tuple[bytes, list[int]]:
+    """The bitmap of hashes that occur in several slices, or are marked in one, by their first `bits` bits, and the hashes that very many
+    slices hold. hashes: from a batch of texts to the distinct hashes of each slice, marked in the lowest bit."""
 
     def send(b: pa.RecordBatch):
-        for ids, _, _, _, a in _slices(b, length):
-            u = _unique(a.h, ids)
-            parts = [(s, u[part].astype("<u8").tobytes()) for s, part in _groups(_shard_of(u, shards))]
+        for u in hashes(b):
+            parts = [(s, u[part].astype("<u8").tobytes()) for s, part in groups(shard_of(u, shards))]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["shard", "hashes"])
 
     def find(key, t):
@@ -264,12 +270,12 @@ SPANS = "doc bigint, key bigint, start bigint, stop bigint"
 def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT, repeated: bool | None = None) -> DataFrame:
     """Removed runs, which may touch and overlap: (doc, key, start, stop); doc is the id (null: the largest long), key tells rows of one id apart."""
     spark = docs.sparkSession
-    repeated = _ids_repeat(docs, id_col) if repeated is None else repeated
+    repeated = ids_repeat(docs, id_col) if repeated is None else repeated
     texts = keyed(docs, id_col, text_col, repeated).filter(F.octet_length("text") >= length).select("doc", "key", "text")
     total = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     bits = int(min(BITMAP, max(16, np.ceil(np.log2(max(total, 2))))))
-    bitmap, hots = _repeated(texts, length, shards, bits, hot)
+    bitmap, hots = repeated_hashes(texts, lambda b: _anchors(b, length), shards, bits, hot)
     shared = spark.sparkContext.broadcast((bitmap, sorted(hots)))  # 2**BITMAP bits at most, and a hash per `hot` slices
 
     def send(b: pa.RecordBatch):
@@ -279,7 +285,7 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             h = a.h & ~np.uint64(1)
             index = (h >> np.uint64(64 - bits)).astype(np.int64)
             live = np.flatnonzero(seen[index >> 3] >> (index & 7).astype(np.uint8) & 1)
-            shard = _shard_of(h, shards)
+            shard = shard_of(h, shards)
             first: dict[bytes, tuple[int, int]] = {}
             text = [bytes(joined[lo:hi]) for lo, hi in zip(a.lo[live].tolist(), a.hi[live].tolist(), strict=True)]
             for i, c, d in zip(live.tolist(), text, ids[live].tolist(), strict=True):
@@ -292,7 +298,7 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             if not len(kept):
                 continue
             is_hot = np.isin(h[kept], hot_hashes)
-            for s, part in _groups(shard[kept[~is_hot]]):
+            for s, part in groups(shard[kept[~is_hot]]):
                 i = kept[~is_hot][part]
                 yield _packed(s, ids[i], keys[i], (offset + a.lo)[i], (offset + a.hi)[i], [joined[lo:hi] for lo, hi in zip(a.lo[i].tolist(), a.hi[i].tolist(), strict=True)], shards)
             if is_hot.any():  # one string each, dealt by content
@@ -300,7 +306,7 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
                 lo = np.concatenate([np.arange(a.lo[k], a.hi[k] - length + 1) for k in kept[is_hot]])
                 strings = [bytes(joined[x : x + length]) for x in lo.tolist()]
                 by = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "big") % shards for x in strings])
-                for s, part in _groups(by):
+                for s, part in groups(by):
                     yield _packed(s, ids[i[part]], keys[i[part]], (offset[i] + lo)[part], (offset[i] + lo)[part] + length, [strings[x] for x in part.tolist()], shards)
 
     def judge(key, t):
@@ -386,7 +392,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFr
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc"), key.alias("key"), text.alias("text"), F.struct("*").alias("row"))
 
 
-def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
+def ids_repeat(docs: DataFrame, id_col: str) -> bool:
     return bool(docs.groupBy(F.col(id_col)).count().filter("count > 1").limit(1).count())
 
 
@@ -401,13 +407,13 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, **how) -> tuple[DataFrame, DataFrame]:
+def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder, **how) -> tuple[DataFrame, DataFrame]:
     """(rows of docs that surely lose nothing, the other rows as struct `row`, `text` and merged `runs`, null where nothing is removed).
 
-    Only the other rows are shuffled to meet their runs. Which rows those are is told by a bitmap of ids of bounded size."""
+    finder: spans() or another function of its kind. Only the other rows are shuffled to meet their runs. Which rows those are is told by a bitmap of ids of bounded size."""
     spark = docs.sparkSession
-    repeated = _ids_repeat(docs, id_col)
-    found = spans(docs, length, id_col, text_col, repeated=repeated, **how).groupBy("doc", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    repeated = ids_repeat(docs, id_col)
+    found = finder(docs, length, id_col, text_col, repeated=repeated, **how).groupBy("doc", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def merge(b: pa.RecordBatch):
         runs = [[{"start": x, "stop": y} for x, y in merged(p, q)] for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -450,7 +456,7 @@ def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole, others = _with_runs(docs.select(id_col, text_col), length, id_col, text_col, **how)
+    whole, others = with_runs(docs.select(id_col, text_col), length, id_col, text_col, spans, **how)
     others = others.select(F.col(f"row.`{id_col}`").alias(id_col), "text", "runs")
     whole = whole.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast(others.schema["runs"].dataType).alias("runs"))
     schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -470,6 +476,6 @@ def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
         columns[place] = pa.array(out, b.schema.field(place).type)
         yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    whole, others = _with_runs(docs, length, id_col, text_col, **how)
-    others = others.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("runs").alias("__runs"))
+    whole, others = with_runs(docs, length, id_col, text_col, spans, **how)
+    others = others.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("runs").alias(free_name("runs", docs.columns)))
     return whole.unionByName(map_batches(others, cut, docs.schema))
