@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stimfuse.llm import byte_bpe, exact_topk, language_id, license_scan, media_tiff, mixing, simhash_dedup, spelling_variants, substring_dedup, suffix_dedup, token_counts, toxicity
+from stimfuse.llm import byte_bpe, collocations, exact_topk, language_id, license_scan, media_tiff, mixing, simhash_dedup, spelling_variants, substring_dedup, suffix_dedup, token_counts, toxicity
 from stimfuse.llm.common import crc_mod
 from stimfuse.session import ensure_shipped, shared_dir, small_batches, table
 
@@ -70,6 +70,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(table(spark, sf_dir, "documents"), 35)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, share=80, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -85,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": exact_topk.SQL, "op3_source_mixing": mixing.SQL, "op11_spelling_variants": spelling_variants.SQL, "op12_substring_dedup": substring_dedup.SQL}
+    return {"op1_exact_topk": exact_topk.SQL, "op3_source_mixing": mixing.SQL, "op11_spelling_variants": spelling_variants.SQL, "op12_substring_dedup": substring_dedup.SQL, "op13_collocations": collocations.SQL}
