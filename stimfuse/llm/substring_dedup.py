@@ -317,7 +317,7 @@ def remove(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col:
 
 
 SQL = r"""with words as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents)),
-windows as (select doc_id, i.range as i, sha256(array_to_string(w[i.range : i.range + 34], ' ')) as h from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents), range(1, 1000000) i where i.range + 34 <= len(w)),
+windows as (select doc_id, unnest(h) as h, generate_subscripts(h, 1) as i from (select doc_id, list_transform(range(1, greatest(len(w) - 33, 1)), lambda i: sha256(array_to_string(w[i : i + 34], ' '))) as h from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents))),
 counted as (select doc_id, i, case when count(*) over (partition by h) > 1 then 1 else 0 end as again from windows),
 judged as (select words.doc_id, words.i, w, coalesce(max(again) over (partition by words.doc_id order by words.i rows between 34 preceding and current row), 0) = 1 as gone from words left join counted using (doc_id, i))
 select doc_id, count(i) as n_words, count(*) filter (where gone) as n_removed, sha256(coalesce(string_agg(w, ' ' order by i) filter (where not gone), '')) as kept_sha256 from documents left join judged using (doc_id) group by doc_id"""
