@@ -39,14 +39,22 @@ def partial_correlation(rows: DataFrame, keys: list[str], y: str, a: str, b: str
 
 def commonality(rows: DataFrame, keys: list[str], y: str, a: str, b: str) -> DataFrame:
     """What a and b explain of y together: r_a^2 + r_b^2 - R^2."""
-    r = pairwise(rows, keys, {"ya": (y, a), "yb": (y, b), "ab": (a, b)})
+    return common_part(pairwise(rows, keys, {"ya": (y, a), "yb": (y, b), "ab": (a, b)}), keys)
+
+
+def common_part(r: DataFrame, keys: list[str]) -> DataFrame:
+    """commonality() of correlations (keys, ya, yb, ab)."""
     c = F.col
     return r.select(*keys, (c("ya") * c("ya") + c("yb") * c("yb") - two_predictor_r2(c("ya"), c("yb"), c("ab"))).alias("common"))
 
 
 def variance_partition(rows: DataFrame, keys: list[str], f: str, v: str, l: str, e: str) -> DataFrame:
     """unique_v, unique_l (commonality of each model with e, the other regressed out) and shared (both models with e)."""
-    r = pairwise(rows, keys, {"fv": (f, v), "fl": (f, l), "fe": (f, e), "vl": (v, l), "ve": (v, e), "le": (l, e)})
+    return variance_parts(pairwise(rows, keys, {"fv": (f, v), "fl": (f, l), "fe": (f, e), "vl": (v, l), "ve": (v, e), "le": (l, e)}), keys)
+
+
+def variance_parts(r: DataFrame, keys: list[str]) -> DataFrame:
+    """variance_partition() of correlations (keys, fv, fl, fe, vl, ve, le)."""
     c = F.col
 
     def unique(fx: str, fo: str, xo: str, xe: str, oe: str) -> Column:

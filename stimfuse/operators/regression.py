@@ -1,26 +1,19 @@
 """Ridge regression with a penalty per target, standardisation, principal components and pairwise decoding.
 
-Ridge models run on blocks of (keys, TARGETS targets, CONDITIONS conditions), packed once by a cogroup, so predictors are repeated
-once a block of targets and no group follows the number of conditions. Blocks give sums of products, which solve the model in the
-basis of its Gram matrix; a second pass over the blocks sums the leave-one-out errors of every penalty.
+Ridge models run on packed blocks (see blocks.py); ridge_cv() takes and returns plain rows.
 """
 
 from __future__ import annotations
 
-import copy
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-
-from stimfuse.session import checkpointed
 
+from stimfuse.operators import blocks
 
 #: Targets and conditions of a block.
-TARGETS, CONDITIONS = 256, 8192
+TARGETS, CONDITIONS = blocks.TARGETS, blocks.CONDITIONS
 
 
 def loo_ridge(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, per_target: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,160 +36,22 @@ def loo_ridge(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, per_target: bool
     return coef.T, my - mx @ coef, a
 
 
-def _patterns(y: np.ndarray):
-    """(rows, targets) of the parts of a block in which all targets have the same conditions."""
-    kinds, which = np.unique(np.isfinite(y), axis=1, return_inverse=True)
-    for k in range(kinds.shape[1]):
-        yield np.flatnonzero(kinds[:, k]), np.flatnonzero(which == k)
-
-
-def _sums(x: np.ndarray, y: np.ndarray) -> list:
-    """Per pattern: its targets, and sums of the products of (x, 1) with itself and with y."""
-    one = np.hstack([x, np.ones((len(x), 1))])
-    return [(cols, one[rows].T @ one[rows], one[rows].T @ y[np.ix_(rows, cols)]) for rows, cols in _patterns(y)]
-
-
-class _Solved:
-    """Targets with the same conditions: the basis of their centred Gram matrix, its eigenvalues, and the targets in that basis."""
-
-    def __init__(self, gram: np.ndarray, with_y: np.ndarray, cols: np.ndarray):
-        n = gram[-1, -1]
-        self.cols, self.n, self.mx, self.my = cols, n, gram[-1, :-1] / n, with_y[-1] / n
-        values, basis = np.linalg.eigh(gram[:-1, :-1] - n * np.outer(self.mx, self.mx))
-        kept = values > 1e-13 * max(values[-1], 1e-300)
-        self.values, self.basis = values[kept], basis[:, kept]
-        self.y = self.basis.T @ (with_y[:-1] - n * np.outer(self.mx, self.my))
-
-    def errors(self, x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarray:
-        """Summed squared leave-one-out errors: (alphas, targets)."""
-        z, out = (x - self.mx) @ self.basis, []
-        for a in alphas:
-            left = 1 - 1 / self.n - (z * z) @ (1 / (self.values + a))
-            e = (y - self.my - z @ (self.y / (self.values + a)[:, None])) / left[:, None]
-            out.append((e * e).sum(0))
-        return np.array(out)
-
-    def coefficients(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        coef = self.basis @ (self.y / (self.values[:, None] + a[None, :]))
-        return coef.T, self.my - self.mx @ coef
-
-
-def _solve(sums: list[list], n_targets: int) -> list[_Solved]:
-    """The models of a block of targets from the sums of all its blocks of conditions."""
-    patterns: list[list[int]] = [[] for _ in range(n_targets)]
-    flat = [s for part in sums for s in part]
-    for k, (cols, _, _) in enumerate(flat):
-        for c in cols:
-            patterns[c].append(k)
-    alike: dict[tuple, list[int]] = {}
-    for c, ks in enumerate(patterns):
-        alike.setdefault(tuple(ks), []).append(c)
-    out = []
-    for ks, cols in alike.items():
-        place = {c: i for i, c in enumerate(cols)}
-        with_y = np.zeros((flat[ks[0]][1].shape[0], len(cols)))
-        for k in ks:
-            mine = [i for i, c in enumerate(flat[k][0]) if c in place]
-            with_y[:, [place[flat[k][0][i]] for i in mine]] += flat[k][2][:, mine]
-        out.append(_Solved(sum(flat[k][1] for k in ks), with_y, np.array(cols)))
-    return out
-
-
 def ridge_cv(x: DataFrame, y: DataFrame, keys: list[str], alphas: list[float], per_target: bool = True) -> DataFrame:
-    """x: (keys, condition, x array), y: (keys, condition, target, value). One row per keys and target: alpha, intercept, coef.
+    """x: (keys, condition, x array), y: (keys, condition, target, value) or vectors (keys, condition, y array). One row per keys and
+    target: alpha, intercept, coef.
 
     Conditions that one side lacks take no part; a target that misses conditions of its keys is fitted on those it has, and has no row if that is none. With a
     penalty that all targets of the keys share (per_target false), they are one block."""
-    values = np.asarray(alphas, float)
-    x, y = x.select(*keys, "condition", "x"), y.select(*keys, "condition", "target", F.col("value").cast("double").alias("value"))
-    targets = y.select("target").distinct().count() if per_target else 1
-    conditions = max((r["n"] for r in x.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).collect() if r["n"]), default=1)
-    t_blocks, c_blocks = max(1, -(-targets // TARGETS)), max(1, -(-conditions // CONDITIONS))
-    rows_of = F.pmod(F.xxhash64("condition"), F.lit(c_blocks)).cast("int").alias("c_block")
-    cols_of = F.pmod(F.xxhash64("target"), F.lit(t_blocks)).cast("int").alias("t_block")
-    at = [*keys, "t_block", "c_block"]
-    left = x.select("*", rows_of, F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("t_block"))
-    right = y.select("*", rows_of, cols_of)
-    types = {f.name: f.dataType.simpleString() for f in right.schema.fields}
-    key_schema = "".join(f"`{k}` {types[k]}, " for k in keys)
-
-    def keyed(key: tuple, n: int = 1) -> dict:
-        return {k: pa.array([v.as_py()] * n, v.type) for k, v in zip([*keys, "t_block", "c_block"], key, strict=False)}
-
-    def pack(key, a, b):
-        ids, other = np.asarray(a.column("condition")), np.asarray(b.column("condition"))
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        place = np.minimum(np.searchsorted(ids, other), max(len(ids) - 1, 0))
-        value = np.asarray(b.column("value"), float)
-        met = ids[place] == other if len(ids) else np.zeros(len(other), bool)
-        met &= np.isfinite(value)
-        names, col = np.unique(np.asarray(b.column("target"))[met], return_inverse=True)
-        table = np.full((len(ids), len(names)), np.nan)
-        table[place[met], col] = value[met]
-        flat = np.asarray(a.column("x").combine_chunks().flatten(), float).reshape(len(ids), -1)[order] if len(ids) else np.zeros((0, 0))
-        used = np.isfinite(table).any(1) if len(names) else np.zeros(len(ids), bool)
-        full = len(names) > 0
-        return pa.table({**{k: v[: int(full)] for k, v in keyed(key).items()}, "n": pa.array([int(used.sum())] * full, pa.int32()), "targets": pa.array([names.tolist()] * full, pa.list_(b.schema.field("target").type)), "xs": pa.array([flat[used].tobytes()] * full, pa.binary()), "ys": pa.array([table[used].tobytes()] * full, pa.binary())})
-
-    schema = f"{key_schema}t_block int, c_block int, n int, targets array<{types['target']}>, xs binary, ys binary"
-    packed = checkpointed(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(pack, schema))
-
-    def blocks(t):
-        for n, names, xs, ys in zip(*(t.column(c).to_pylist() for c in ("n", "targets", "xs", "ys")), strict=True):
-            yield names, np.frombuffer(xs).reshape(n, -1), np.frombuffer(ys).reshape(n, len(names))
-
-    def sums(batches):
-        for t in batches:
-            kept = [*keys, "t_block"]
-            yield pa.RecordBatch.from_arrays([*[t.column(c) for c in (*kept, "targets")], pa.array([pickle.dumps(_sums(x, y)) for _, x, y in blocks(t)], pa.binary())], names=[*kept, "targets", "sums"])
-
-    def solve(key, t):
-        # a block of conditions may lack some of the targets: they are numbered anew
-        parts = [(names, pickle.loads(s)) for names, s in zip(t.column("targets").to_pylist(), t.column("sums").to_pylist(), strict=True)]
-        names = sorted({c for own, _ in parts for c in own})
-        number = {c: i for i, c in enumerate(names)}
-        models = _solve([[(np.array([number[own[c]] for c in cols]), g, w) for cols, g, w in s] for own, s in parts], len(names))
-        return pa.table({**keyed(key[: len(keys) + 1]), "model": pa.array([pickle.dumps((names, models))], pa.binary())})
-
-    def errors(batches):
-        for t in batches:
-            out = []
-            for (own, x, y), model in zip(blocks(t), t.column("model").to_pylist(), strict=True):
-                names, models = pickle.loads(model)
-                number = {c: i for i, c in enumerate(names)}
-                total = np.zeros((len(values), len(names)))
-                for rows, cols in _patterns(y):
-                    cols_of_name = {number[own[c]]: c for c in cols}
-                    for m in models:
-                        mine = [(i, cols_of_name[c]) for i, c in enumerate(m.cols) if c in cols_of_name]
-                        if mine:
-                            i, c = map(list, zip(*mine, strict=True))
-                            some = copy.copy(m)
-                            some.my, some.y = m.my[i], m.y[:, i]
-                            total[:, m.cols[i]] += some.errors(x[rows], y[np.ix_(rows, c)], values)
-                out.append(total.tobytes())
-            kept = [*keys, "t_block"]
-            yield pa.RecordBatch.from_arrays([*[t.column(c) for c in kept], pa.array(out, pa.binary())], names=[*kept, "errors"])
-
-    def choose(key, a, b):
-        names, models = pickle.loads(a.column("model")[0].as_py())
-        total = sum(np.frombuffer(e).reshape(len(values), -1) for e in b.column("errors").to_pylist())
-        picked, coef, intercept = np.zeros(len(names)), [None] * len(names), [0.0] * len(names)
-        for m in models:
-            mean = total[:, m.cols] / m.n
-            best = mean.argmin(0) if per_target else np.full(len(m.cols), mean.mean(1).argmin())
-            picked[m.cols] = values[best]
-            for c, w, i in zip(m.cols, *m.coefficients(values[best]), strict=True):
-                coef[c], intercept[c] = w.tolist(), float(i)
-        return pa.table({**keyed(key[: len(keys)], len(names)), "target": pa.array(names, target_type), "alpha": picked, "intercept": pa.array(intercept, pa.float64()), "coef": pa.array(coef, pa.list_(pa.float64()))})
-
-    target_type = to_arrow_type(right.schema["target"].dataType)
-    group = [*keys, "t_block"]
-    models = checkpointed(packed.mapInArrow(sums, f"{key_schema}t_block int, targets array<{types['target']}>, sums binary").groupBy(*group).applyInArrow(solve, f"{key_schema}t_block int, model binary"))
-    errs = packed.join(models, group).mapInArrow(errors, f"{key_schema}t_block int, errors binary")
-    chosen = models.groupBy(*group).cogroup(errs.groupBy(*group)).applyInArrow(choose, f"{key_schema}target {types['target']}, alpha double, intercept double, coef array<double>")
-    return chosen
+    shape = blocks.Shape(blocks.most_conditions(x, keys), target_count(y) if per_target else 1, (TARGETS, CONDITIONS))
+    xs, ys = blocks.pack_predictors(x, keys, shape), blocks.pack_responses(y, keys, shape)
+    return blocks.weights(blocks.fit(xs, ys, keys, alphas, shape, per_target), keys)
+
+
+def target_count(y: DataFrame) -> int:
+    """Number of targets of responses as rows or as vectors."""
+    if "y" in y.columns:
+        return y.agg(F.max(F.size("y"))).first()[0] or 1
+    return y.select("target").distinct().count()
 
 
 def standardize_fit(vectors: DataFrame, vector: str = "x") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stimfuse.functions.stats import pearson_eps, safe_corr
 from stimfuse.operators import attribution as att
 from stimfuse.operators import rdm as op
+from stimfuse.operators import tiles
 from stimfuse.operators.windows import ranked
 from stimfuse.plans import views as v
 from stimfuse.plans.averages import R
@@ -30,33 +31,49 @@ def _parts(s, d):
     return v.features(s, d).select("condition", "label", *[F.slice("embedding", *x).alias(f"x_{c}") for c, x in own.items()])
 
 
-def _times(rdms):
-    """One row per time of rows with distances e0 to e3."""
-    return rdms.select(*[c for c in rdms.columns if c not in ("e0", "e1", "e2", "e3")], F.posexplode(F.array("e0", "e1", "e2", "e3")).alias("t_idx", "d"))
+def _metrics(names, **other):
+    """Parts of a matrix: a correlation distance of each vector, or another metric."""
+    return {c: (other.get(c, "correlation"), f"x_{c}") for c in names}
+
+
+TIMES = ["e0", "e1", "e2", "e3"]
 
 
 def _time_rdm(s, d):
-    """Four signal matrices per class."""
-    return _times(op.packed_rdms(_parts(s, d), ["label"], {f"e{t}": ("correlation", f"x_e{t}") for t in range(4)}))
+    """Four signal matrices per class, a row per pair and time."""
+    rdms = op.packed_rdms(_parts(s, d), ["label"], _metrics(TIMES))
+    return rdms.select("label", "i", "j", F.posexplode(F.array(*TIMES)).alias("t_idx", "d"))
 
 
-def _halves(s, d):
-    """shuffle, condition, half by integer arithmetic that SQL repeats."""
-    half = ((F.col("condition") * 7 + F.col("shuffle") * 13) % 11 % 2).cast("int")
-    return v.features(s, d).select("condition", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("shuffle")).select("shuffle", "condition", half.alias("half"))
+def _r_by_time(s, d, names, wanted, **other):
+    """Correlations of distances over the pairs of a class, per time: wanted names each by two parts, `e` being the time's. They are read
+    from a map by the names of both."""
+    r = tiles.correlations(_parts(s, d), ["label"], _metrics([*names, *TIMES], **other))
+    of = lambda t, p, q: F.col("r")[f"{p},{q}".replace("e", f"e{t}")]
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t_idx"), *[of(t, *pq).alias(n) for n, pq in wanted.items()]) for t in range(4)])).alias("at")
+    return r.select("label", each).select("label", "at.*")
+
 
+def _matrices(s, d):
+    """Whole packed matrices of each class: the four times and the responses."""
+    parts = _metrics(["f", *TIMES])
+    return tiles.matrices(tiles.tiles(_parts(s, d), ["label"], parts), ["label"], list(parts))
 
-def _all_rdms(s, d):
-    """All distances of a pair, from one pair join."""
-    parts = op.packed_rdms(_parts(s, d), ["label"], {c: ("correlation", f"x_{c}") for c in ("f", "v", "l", "e0", "e1", "e2", "e3")})
-    return _times(parts).withColumnRenamed("d", "e")
+
+def _t_idx(name):
+    return F.substring(name, 2, 9).cast("int").alias("t_idx")
+
+
+def _halves(s, d):
+    """label, shuffle, condition, half by integer arithmetic that SQL repeats."""
+    half = ((F.col("condition") * 7 + F.col("shuffle") * 13) % 11 % 2).cast("int")
+    return v.features(s, d).select("label", "condition", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("shuffle")).select("label", "shuffle", "condition", half.alias("half"))
 
 
-def _split(s, d):
+def split(s, d):
     """rho of all times' matrices with the response matrices, within halves of the conditions."""
-    one = op.within_half_pairs(_time_rdm(s, d), _halves(s, d))
-    two = op.within_half_pairs(_rdm(s, d, "correlation", 1, 16), _halves(s, d))
-    return op.correlate_rdms(one, two, ["t_idx"], [], ["label", "shuffle", "half", "i", "j"], "spearman")
+    r = tiles.split_half_correlations(_matrices(s, d), tiles.half_masks(_halves(s, d), ["label"]), ["label"], TIMES, "f")
+    return r.select("label", _t_idx("name"), "shuffle", "half", "r")
 
 
 def _distances(s, d):
@@ -84,27 +101,27 @@ QUERIES = {
     "pearson_eps": lambda s, d: v.response_trials(s, d).groupBy(*VERTEX).agg(F.round(pearson_eps(F.col("value"), F.col("a")), 6).alias("r")),
     "pearson": lambda s, d: v.response_trials(s, d).groupBy(*VERTEX).agg(F.round(safe_corr(F.col("value"), F.col("a")), 6).alias("r")),
     "corr_vector_vector": lambda s, d: v.response_trials(s, d).agg(F.round(safe_corr(F.col("value"), F.col("c")), 6).alias("r")),
-    "corr_vector_rows": lambda s, d: op.correlate_rdms(_rdm(s, d, "correlation", 1, 16), _time_rdm(s, d), [], ["t_idx"], ["label", "i", "j"]).select("label", "t_idx", R("r")),
-    "time_by_vertex_corr_join": lambda s, d: op.correlate_rdms(_time_rdm(s, d), _rdm(s, d, "cosine", 17, 16), ["t_idx"], [], ["label", "i", "j"]).select("label", "t_idx", R("r")),
-    "spearman_searchlight": lambda s, d: op.correlate_rdms(_time_rdm(s, d), _rdm(s, d, "correlation", 1, 16), ["t_idx"], [], ["label", "i", "j"], "spearman").select("label", "t_idx", R("r")),
-    "spearman_split_half": lambda s, d: _split(s, d).select("label", "t_idx", "shuffle", "half", R("r")),
+    "corr_vector_rows": lambda s, d: _r_by_time(s, d, ["f"], {"r": ("f", "e")}).select("label", "t_idx", R("r")),
+    "time_by_vertex_corr_join": lambda s, d: _r_by_time(s, d, ["v"], {"r": ("v", "e")}, v="cosine").select("label", "t_idx", R("r")),
+    "spearman_searchlight": lambda s, d: tiles.rank_correlations(_matrices(s, d), ["label"], TIMES, "f").select("label", _t_idx("name"), R("r")),
+    "spearman_split_half": lambda s, d: split(s, d).select("label", "t_idx", "shuffle", "half", R("r")),
     "spearman_time_reliability": lambda s, d: _spearman_time(s, d).select("channel", R("r")),
-    "split_half_reliability": lambda s, d: _split(s, d).groupBy("label", "t_idx").agg(F.round(F.avg("r"), 6).alias("r")),
+    "split_half_reliability": lambda s, d: split(s, d).groupBy("label", "t_idx").agg(F.round(F.avg("r"), 6).alias("r")),
     "rdm_correlation": lambda s, d: _rdm(s, d, "correlation").select("label", "i", "j", R("d")),
     "rdm_cosine": lambda s, d: _rdm(s, d, "cosine").select("label", "i", "j", R("d")),
     "gram_matrix": lambda s, d: _rdm(s, d, "gram").select("label", "i", "j", R("d")),
     "rdm_single_feature": lambda s, d: op.single_feature_rdm(v.features(s, d).select("condition", "label", F.col("embedding").alias("x")), ["label"], 64).select("label", "i", "j", "feature", R("d")),
     "flatten_rdm": lambda s, d: op.flatten_rdm(op.condition_pairs(v.curve(s, d).select(F.col("t_idx").alias("condition")).distinct(), []), 24).select("i", "j", "position"),
     "condition_pairs": lambda s, d: op.condition_pairs(v.features(s, d), ["label"]).select("label", "i", "j"),
-    "rdm_pair_join": lambda s, d: _rdm(s, d, "correlation", 1, 16).withColumnRenamed("d", "a").join(_rdm(s, d, "cosine", 17, 16).withColumnRenamed("d", "b"), ["label", "i", "j"]).select("label", "i", "j", R("a"), R("b")),
-    "within_half_pairs": lambda s, d: op.within_half_pairs(op.condition_pairs(v.features(s, d), ["label"]), _halves(s, d)).groupBy("label", "shuffle", "half").agg(F.count("*").alias("pairs")),
+    "rdm_pair_join": lambda s, d: op.packed_rdms(_parts(s, d), ["label"], {"a": ("correlation", "x_f"), "b": ("cosine", "x_v")}).select("label", "i", "j", R("a"), R("b")),
+    "within_half_pairs": lambda s, d: op.within_half_counts(_halves(s, d), ["label"]),
     "searchlight_neighbours": lambda s, d: op.searchlight_neighbours(_distances(s, d), 10).select("src", "dst", "nth"),
     "searchlight_rdm": lambda s, d: op.searchlight_rdm(op.searchlight_neighbours(_distances(s, d), 10), _responses(s, d)).select("vertex", "i", "j", R("d")),
     "partial_correlation": lambda s, d: att.partial_correlation(v.response_trials(s, d), VERTEX, "value", "a", "b").select(*VERTEX, R("ra"), R("rb")),
     "two_predictor_r2": lambda s, d: att.pairwise(v.response_trials(s, d), ["vertex"], {"ya": ("value", "a"), "yb": ("value", "b"), "ab": ("a", "b")}).select("vertex", F.round(att.two_predictor_r2(F.col("ya"), F.col("yb"), F.col("ab")), 6).alias("r2")),
     "three_predictor_r2": lambda s, d: att.pairwise(v.response_trials(s, d), ["vertex"], {"ya": ("value", "a"), "yb": ("value", "b"), "yc": ("value", "c"), "ab": ("a", "b"), "ac": ("a", "c"), "bc": ("b", "c")}).select("vertex", F.round(att.three_predictor_r2(*map(F.col, ("ya", "yb", "yc", "ab", "ac", "bc"))), 6).alias("r2")),
-    "commonality": lambda s, d: att.commonality(_all_rdms(s, d), ["label", "t_idx"], "f", "v", "e").select("label", "t_idx", R("common")),
-    "variance_partition": lambda s, d: att.variance_partition(_all_rdms(s, d), ["label", "t_idx"], "f", "v", "l", "e").select("label", "t_idx", R("unique_v"), R("unique_l"), R("shared")),
+    "commonality": lambda s, d: att.common_part(_r_by_time(s, d, ["f", "v"], {"ya": ("f", "v"), "yb": ("f", "e"), "ab": ("v", "e")}), ["label", "t_idx"]).select("label", "t_idx", R("common")),
+    "variance_partition": lambda s, d: att.variance_parts(_r_by_time(s, d, ["f", "v", "l"], {"fv": ("f", "v"), "fl": ("f", "l"), "fe": ("f", "e"), "vl": ("v", "l"), "ve": ("v", "e"), "le": ("l", "e")}), ["label", "t_idx"]).select("label", "t_idx", R("unique_v"), R("unique_l"), R("shared")),
     "ols_fit_predict": lambda s, d: att.ols_fit_predict(v.response_trials(s, d), ["vertex"], "value", "a").select("trial", "line", R("predicted", 5), R("residual", 5)),
     "residualize": lambda s, d: att.ols_fit_predict(v.response_trials(s, d), ["subject", "hemi"], "value", "b").select("trial", "line", R("residual", 5)),
 }

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stimfuse.functions.stats import pearson_eps
-from stimfuse.operators import joins, rdm
+from stimfuse.operators import blocks, joins, rdm, tiles
 from stimfuse.operators import regression as op
 from stimfuse.plans import views as v
 from stimfuse.plans.averages import R
 from stimfuse.plans.views import VIEWS
+from stimfuse.session import checkpointed
 
 ALPHAS = [10.0 ** (-6 + 16 * k / 19) for k in range(20)]
 
@@ -21,9 +21,8 @@ def _signals(s, d):
 
 
 def _responses(s, d):
-    """(half, condition, target, value): elements 33 to 48 are responses of 16 vertices."""
-    long = v.features(s, d).select(F.when(F.col("condition") % 2 == 0, "even").otherwise("odd").alias("half"), "condition", F.posexplode(F.slice("embedding", 33, 16)).alias("target", "value"))
-    return long.withColumn("value", F.col("value").cast("double"))
+    """(half, condition, y): elements 33 to 48 are responses of 16 vertices, the targets 0 to 15."""
+    return v.features(s, d).select(F.when(F.col("condition") % 2 == 0, "even").otherwise("odd").alias("half"), "condition", F.slice("embedding", 33, 16).alias("y"))
 
 
 def _models(s, d):
@@ -31,60 +30,73 @@ def _models(s, d):
     return v.features(s, d).select(F.when(F.col("condition") % 2 == 0, "even").otherwise("odd").alias("half"), "condition", F.slice("embedding", 17, 10).alias("x"))
 
 
-def _score(predicted, truth):
-    both = predicted.join(truth, ["half", "condition", "target"])
-    return both.groupBy("half", "target").agg(F.round(pearson_eps(F.col("predicted"), F.col("value")), 6).alias("r"))
+def _crossed(models):
+    """Models of one half for the conditions of the other."""
+    return models.withColumn("half", F.when(F.col("half") == "even", "odd").otherwise("even"))
 
 
-def _predict(weights, features):
-    """Weights of one half on the features of the other."""
-    met = joins.opposite_half_join(weights, features, [])
-    return met.select("half", "condition", "target", joins.predicted(F.col("x"), F.col("coef"), F.col("intercept")).alias("predicted"))
+class _Halves:
+    """Signals and responses of both halves in blocks, and models that learn responses from signals (stage 1)."""
+
+    def __init__(self, s, d, alphas=ALPHAS):
+        signals, responses = _signals(s, d), _responses(s, d)
+        self.shape = blocks.Shape(blocks.most_conditions(signals, ["half"]), op.target_count(responses))
+        self.x, self.y = blocks.pack_predictors(signals, ["half"], self.shape), blocks.pack_responses(responses, ["half"], self.shape)
+        self.models = self.learned(self.x, self.y, alphas)
+
+    def learned(self, x, y, alphas=ALPHAS):
+        return blocks.fit(x, y, ["half"], alphas, self.shape)
+
+    def scored(self, x, models):
+        """r of what models predict for the other half with its responses."""
+        return blocks.score(x, _crossed(models), self.y, ["half"], self.shape).select("half", "target", F.round("r", 6).alias("r"))
+
+    def transferred(self, features, made):
+        """Stage 2 learns features against what stage 1 predicts for a half, and is scored on the true responses of the other."""
+        x = blocks.pack_predictors(features, ["half"], self.shape)
+        return self.scored(x, self.learned(x, made))
+
+    def made(self):
+        """What stage 1 predicts for the other half's signals."""
+        return checkpointed(blocks.predict(self.x, _crossed(self.models), ["half"], self.shape))
 
 
 def _encoding(s, d):
-    weights = op.ridge_cv(_signals(s, d), _responses(s, d), ["half"], ALPHAS)
-    return _score(_predict(weights, _signals(s, d)), _responses(s, d))
+    h = _Halves(s, d)
+    return h.scored(h.x, h.models)
 
 
-def _transfer(s, d, features):
-    """Stage 1 predicts the other half's responses from signals; stage 2 learns features against those predictions and is scored on
-    the true responses of the first half."""
-    stage1 = op.ridge_cv(_signals(s, d), _responses(s, d), ["half"], ALPHAS)
-    made = _predict(stage1, _signals(s, d)).withColumnRenamed("predicted", "value")
-    stage2 = op.ridge_cv(features, made, ["half"], ALPHAS)
-    return _score(_predict(stage2, features), _responses(s, d))
+def _transfer(s, d):
+    h = _Halves(s, d)
+    return h.transferred(_models(s, d), h.made())
 
 
 def _layerwise(s, d):
-    parts = []
+    h, parts = _Halves(s, d), []
+    made = h.made()
     for layer, first in enumerate((9, 17, 25)):
         f = v.features(s, d).select(F.when(F.col("condition") % 2 == 0, "even").otherwise("odd").alias("half"), "condition", F.slice("embedding", first, 8).alias("x"))
-        parts.append(_transfer(s, d, f).withColumn("layer", F.lit(layer)))
+        parts.append(h.transferred(f, made).withColumn("layer", F.lit(layer)))
     return joins.union_parts(parts)
 
 
 def _reweight(s, d):
     """One shared penalty: squared differences of four features against a correlation distance, within classes."""
-    x = v.features(s, d).select("condition", "label", F.slice("embedding", 1, 4).alias("x"))
-    a = x.select("label", F.col("condition").alias("i"), F.col("x").alias("p"))
-    b = x.select("label", F.col("condition").alias("j"), F.col("x").alias("q"))
-    pairs = a.join(b, "label").filter("i < j").select("label", (F.col("i") * 1000000 + F.col("j")).alias("condition"), F.zip_with("p", "q", lambda m, n: F.pow(m.cast("double") - n.cast("double"), F.lit(2))).alias("x"))
-    y = rdm.packed_rdm(v.features(s, d).select("condition", "label", F.slice("embedding", 33, 16).alias("x")), ["label"], "correlation")
-    y = y.select("label", (F.col("i") * 1000000 + F.col("j")).alias("condition"), F.lit(0).alias("target"), F.col("d").alias("value"))
-    return op.ridge_cv(pairs, y, ["label"], [10.0 ** (-6 + 11 * k / 29) for k in range(30)], per_target=False)
+    x = v.features(s, d).select("condition", "label", F.slice("embedding", 1, 4).alias("x"), F.slice("embedding", 33, 16).alias("y"))
+    return tiles.ridge_over_pairs(x, ["label"], "x", ("correlation", "y"), [10.0 ** (-6 + 11 * k / 29) for k in range(30)])
 
 
 def _split_half(s, d):
+    """Three shuffles of the conditions: models of one half are scored on the other."""
     half = ((F.col("condition") * 7 + F.col("shuffle") * 13) % 11 % 2).cast("string")
-    shuffles = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("shuffle")
-    sig = _signals(s, d).drop("half").select("condition", "x", shuffles).withColumn("half", half)
-    res = _responses(s, d).drop("half").select("condition", "target", "value", shuffles).withColumn("half", half)
-    w = op.ridge_cv(sig, res, ["shuffle", "half"], ALPHAS)
-    flipped = w.withColumn("half", F.when(F.col("half") == "0", "1").otherwise("0"))
-    made = flipped.join(sig, ["shuffle", "half"]).select("shuffle", "half", "condition", "target", joins.predicted(F.col("x"), F.col("coef"), F.col("intercept")).alias("predicted"))
-    both = made.join(res, ["shuffle", "half", "condition", "target"])
-    return both.groupBy("shuffle", "half", "target").agg(F.round(pearson_eps(F.col("predicted"), F.col("value")), 6).alias("r"))
+    shuffles, keys = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("shuffle"), ["shuffle", "half"]
+    sig = _signals(s, d).select("condition", "x", shuffles).withColumn("half", half)
+    res = _responses(s, d).select("condition", "y", shuffles).withColumn("half", half)
+    shape = blocks.Shape(blocks.most_conditions(sig, keys), op.target_count(res))
+    x, y = blocks.pack_predictors(sig, keys, shape), blocks.pack_responses(res, keys, shape)
+    models = blocks.fit(x, y, keys, ALPHAS, shape)
+    flipped = models.withColumn("half", F.when(F.col("half") == "0", "1").otherwise("0"))
+    return blocks.score(x, flipped, y, keys, shape).select(*keys, "target", F.round("r", 6).alias("r"))
 
 
 def _pseudo(s, d):
@@ -110,7 +122,7 @@ QUERIES = {
     "encoding_fusion": _encoding,
     "encoding_split_half": _split_half,
     "two_stage_fit": lambda s, d: op.ridge_cv(_signals(s, d), _responses(s, d), ["half"], [10.0 ** (-6 + 9 * k / 19) for k in range(20)]).select("half", "target", R("alpha"), R("intercept")),
-    "two_stage_transfer": lambda s, d: _transfer(s, d, _models(s, d)),
+    "two_stage_transfer": _transfer,
     "two_stage_layerwise": _layerwise,
     "standardize_fit_apply": lambda s, d: _standard(s, d).select("condition", F.transform("x", lambda e: F.round(e, 6)).alias("x")),
     "pca_fit_apply": _pca,

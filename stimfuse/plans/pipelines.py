@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stimfuse.operators import averages, inference, rdm
+from stimfuse.operators import averages, inference, rdm, tiles
 from stimfuse.operators import windows as win
 from stimfuse.plans import correlation as c
 from stimfuse.plans import views as v
@@ -89,22 +89,15 @@ def _array_files(s, d):
 
 def _rsa_fusion(s, d):
     """Signal RDMs by time against response RDMs, then the mean over classes per time."""
-    r = rdm.correlate_rdms(c._time_rdm(s, d), c._rdm(s, d, "correlation", 1, 16), ["t_idx"], [], ["label", "i", "j"], "spearman")
-    return r.groupBy("t_idx").agg(F.round(F.avg("r"), 6).alias("r"))
-
-
-def _rsa_split_half(s, d):
-    one = rdm.within_half_pairs(c._time_rdm(s, d), c._halves(s, d))
-    two = rdm.within_half_pairs(c._rdm(s, d, "correlation", 1, 16), c._halves(s, d))
-    r = rdm.correlate_rdms(one, two, ["t_idx"], [], ["label", "shuffle", "half", "i", "j"], "spearman")
-    return r.select("label", "t_idx", "shuffle", "half", R("r"))
+    r = tiles.rank_correlations(c._matrices(s, d), ["label"], c.TIMES, "f")
+    return r.groupBy(c._t_idx("name")).agg(F.round(F.avg("r"), 6).alias("r"))
 
 
 QUERIES = {
     "prepare_signals": _prepare_signals,
     "prepare_responses": _prepare_responses,
     "rsa_fusion": _rsa_fusion,
-    "rsa_split_half": _rsa_split_half,
+    "rsa_split_half": lambda s, d: c.split(s, d).select("label", "t_idx", "shuffle", "half", R("r")),
     "corr_rows_rows": lambda s, d: rdm.correlate_rdms(c._time_rdm(s, d), c._time_rdm(s, d).withColumnRenamed("t_idx", "u_idx"), ["t_idx"], ["u_idx"], ["label", "i", "j"]).select("label", "t_idx", "u_idx", R("r")),
     "union_distance_splits": lambda s, d: _files(s, d, c._distances(s, d).withColumn("split", (F.col("src") % 3).cast("int")), "split").select("src", "dst", R("dist")),
     "scan_behavior": lambda s, d: readers.scan_behavior(s, _behavior(s, d), 2, [0, 3, 7]).select(F.col("73KID").cast("bigint").alias("condition"), "position"),
