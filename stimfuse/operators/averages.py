@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stimfuse.functions.stats import missing, t_quantile
+from stimfuse.operators.windows import beside, quantiles
+from stimfuse.session import checkpointed
 
 
 def repeat_mean(trials: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -49,6 +51,11 @@ def mean_vector(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(vector))
 
 
+def keyed_bundle(rows: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+    """One map from name to value per keys, such as the arrays of a model by layer; a name that comes twice is an error of Spark's."""
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))).alias("bundle"))
+
+
 def roi_timecourse(scores: DataFrame, members: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
     """Mean over the vertices of a region; a NaN vertex makes the mean NaN."""
     return scores.join(members, "vertex").groupBy("roi", *keys).agg(F.avg(value).alias(value))
@@ -85,8 +92,9 @@ def roi_noise_ceiling(members: DataFrame, quality: DataFrame, region: str = "mac
 
 
 def box_summary(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges of them."""
-    q = values.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    wide = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    inside = (F.col(value) >= F.col("q")[0] - wide) & (F.col(value) <= F.col("q")[2] + wide)
-    return values.join(q, keys).groupBy(*keys).agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"))
+    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges of them; a group may hold a large part of the table."""
+    q = checkpointed(quantiles(values, keys, value, [0.25, 0.5, 0.75]).select(*keys, *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))]))
+    wide = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col(value) >= F.col("q1") - wide) & (F.col(value) <= F.col("q3") + wide)
+    ends = beside(values, q, keys).filter(inside).groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return beside(q, ends, keys)

@@ -6,11 +6,14 @@ small (draws x subjects); what grows with the data is the curve table, which is
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stimfuse.functions.stats import fisher_z, t_two_sided
-from stimfuse.operators.windows import bh_adjust, bonferroni, cluster_label
+from stimfuse.operators.windows import beside, bh_adjust, bonferroni, cluster_label, quantiles
 from stimfuse.session import checkpointed
 
 
@@ -40,13 +43,28 @@ def bootstrap_draws(spark: SparkSession, draws: int, subjects: int | DataFrame)
     return grid.select("draw", "slot", (mixed % F.col("subjects")).cast("int").alias("subject"))
 
 
+#: Bits of the hash that split_labels() counts.
+LABEL_BITS = 15
+
+
 def split_labels(conditions: DataFrame, shuffles: int, seed: int) -> DataFrame:
-    """(shuffle, condition, half): the first n // 2 conditions in the order of a hash are half 0, the rest half 1."""
-    all_ = conditions.select("condition", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle"))
-    w = Window.partitionBy("shuffle")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("shuffle").cast("string"), F.col("condition").cast("string")).cast("binary"))
-    place = F.row_number().over(w.orderBy(order, "condition"))
-    return all_.withColumn("half", F.when(place <= F.floor(F.count(F.lit(1)).over(w) / 2), 0).otherwise(1)).select("shuffle", "condition", "half")
+    """(shuffle, condition, half): the first n // 2 conditions in the order of a hash are half 0, the rest half 1.
+
+    Conditions are counted by the hash's first LABEL_BITS bits. The bucket with the middle of a shuffle (one row per shuffle) tells the
+    half of all others; only its own conditions, a share of 1 in 2**LABEL_BITS, are put in order."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("shuffle").cast("string"), F.col("condition").cast("string")).cast("binary"))
+    bucket = F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), 32 - LABEL_BITS)
+    all_ = conditions.select("condition", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle")).withColumn("__digest", digest).withColumn("__bucket", bucket)
+    sizes = all_.groupBy("shuffle", "__bucket").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("shuffle").orderBy("__bucket")  # 2**LABEL_BITS rows at most
+    upto, half = F.sum("n").over(along), F.floor(F.sum("n").over(Window.partitionBy("shuffle")) / 2)
+    sizes = sizes.withColumn("__upto", upto).withColumn("__middle", half).filter(F.col("__upto") > F.col("__middle"))
+    cut = sizes.groupBy("shuffle").agg(F.min(F.struct("__bucket", (F.col("__middle") - (F.col("__upto") - F.col("n"))).alias("__left"))).alias("__cut"))
+    met = beside(all_, checkpointed(cut.select("shuffle", F.col("__cut.__bucket").alias("__at"), F.col("__cut.__left").alias("__left"))), ["shuffle"])
+    sure = met.filter(F.col("__bucket") != F.col("__at")).withColumn("half", F.when(F.col("__bucket") < F.col("__at"), 0).otherwise(1))
+    place = F.row_number().over(Window.partitionBy("shuffle").orderBy("__digest", "condition"))
+    rest = met.filter(F.col("__bucket") == F.col("__at")).withColumn("half", F.when(place <= F.col("__left"), 0).otherwise(1))
+    return sure.select("shuffle", "condition", "half").union(rest.select("shuffle", "condition", "half"))
 
 
 def ttest_1samp(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -79,8 +97,7 @@ def sign_flip_null(curve: DataFrame, draws: DataFrame, keys: list[str] | None =
 
 def pooled_thresholds(null: DataFrame, p: float, keys: list[str] | None = None) -> DataFrame:
     """Lower and upper limits of the null of each keys, pooled over draws and time."""
-    q = F.percentile("m", F.array(F.lit(p / 2), F.lit(1 - p / 2)))
-    return null.groupBy(*keys or []).agg(q.alias("q")).select(*keys or [], F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return quantiles(null, keys or [], "m", [p / 2, 1 - p / 2]).select(*keys or [], F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def clusters(means: DataFrame, limits: DataFrame, keys: list[str], limit_keys: list[str] | None = None) -> DataFrame:
@@ -91,21 +108,71 @@ def clusters(means: DataFrame, limits: DataFrame, keys: list[str], limit_keys: l
     return runs.groupBy(*keys, "cluster").agg(F.min("t_idx").alias("first"), F.max("t_idx").alias("last"), F.sum("m").alias("sum"))
 
 
+def signed_sums(means: np.ndarray, low: float, high: float) -> list[tuple[np.ndarray, ...]]:
+    """(row, first, last, sum) of the runs of columns beyond the limits, in order, for each row of means; sums run from left to right."""
+    flag = np.pad((means > high) | (means < low), ((0, 0), (1, 1))).astype(np.int8)
+    step = np.diff(flag, axis=1)
+    row, first = np.nonzero(step == 1)
+    last = np.nonzero(step == -1)[1] - 1
+    total = np.zeros(len(row))
+    for k in range(int((last - first).max(initial=-1)) + 1):
+        inside = np.flatnonzero(first + k <= last)
+        total[inside] += means[row[inside], first[inside] + k]
+    return [row, first, last, total]
+
+
 def cluster_permutation_test(curve: DataFrame, draws: DataFrame, p_thresh: float = 0.05, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
     """One row per observed cluster of each curve (one per keys): keys, cluster, first, last, sum, p, significant.
 
-    p counts draws whose largest signed cluster sum (0 without a cluster) is at least the size of the observed sum; the draws of a
-    curve are one array beside its clusters."""
+    p counts draws whose largest signed cluster sum (0 without a cluster) is at least the size of the observed sum. The limits are
+    quantiles of the null, pooled over draws and time. A curve is packed as a table of subjects and times, which is multiplied with the
+    signs of all draws (draws x subjects, a table of parameters) in the task that has it: only its clusters leave. Subjects without signs
+    take no part; times with other numbers of subjects are means over those they have."""
     keys = keys or []
-    null = checkpointed(sign_flip_null(curve, draws, keys))
-    limits = pooled_thresholds(null, p_thresh, keys)
-    observed = clusters(curve.groupBy(*keys, "t_idx").agg(F.avg("value").alias("m")), limits, keys, keys)
-    found = clusters(null, limits, [*keys, "draw"], keys).groupBy(*keys, "draw").agg(F.max("sum").alias("top"))
-    tops = null.select(*keys, "draw").distinct().join(found, [*keys, "draw"], "left").groupBy(*keys).agg(F.collect_list(F.coalesce("top", F.lit(0.0))).alias("tops"))
-    met = observed.join(tops, keys) if keys else observed.crossJoin(F.broadcast(tops))
-    k = F.size(F.filter("tops", lambda t: t >= F.abs(F.col("sum"))))
-    out = met.withColumn("p", (k + 1) / (F.size("tops") + 1))
-    return out.select(*keys, "cluster", "first", "last", "sum", "p", (F.col("p") < alpha).alias("significant"))
+    signs = draws.toPandas().pivot(index="draw", columns="subject", values="sign")  # draws x subjects, both parameters
+    names, signs = [s.item() if hasattr(s, "item") else s for s in signs.columns], signs.to_numpy(float)
+    signs = np.where(np.isfinite(signs), signs, 0)
+    cells = curve.filter(F.col("value").isNotNull()).groupBy(*keys, "subject", "t_idx").agg(F.sum(F.col("value").cast("double")).alias("v"), F.count(F.lit(1)).alias("n"))
+    packed = cells.groupBy(*keys).agg(F.collect_list(F.struct("subject", "t_idx", "v", "n")).alias("cells"))  # subjects x times
+
+    def test(cells: list[dict]) -> list[tuple]:
+        place = {s: k for k, s in enumerate(names)}
+        cells = [c for c in cells if c["subject"] in place]
+        times = sorted({c["t_idx"] for c in cells})
+        at = {t: k for k, t in enumerate(times)}
+        v, n = np.zeros((len(names), len(times))), np.zeros(len(times))
+        for c in cells:
+            v[place[c["subject"]], at[c["t_idx"]]] = c["v"]
+            n[at[c["t_idx"]]] += c["n"]
+        if not times:
+            return []
+        # added subject by subject, so that a draw without flips equals what was observed to the last bit
+        null, observed = np.zeros((len(signs), len(times))), np.zeros((1, len(times)))
+        for k in range(len(names)):
+            null += signs[:, k : k + 1] * v[k]
+            observed += v[k]
+        null, observed = null / n, observed / n
+        low, high = np.quantile(null, [p_thresh / 2, 1 - p_thresh / 2])
+        row, _, _, sums = signed_sums(null, low, high)
+        top = np.full(len(signs), -np.inf)
+        np.maximum.at(top, row, sums)
+        top[np.isinf(top)] = 0.0
+        _, first, last, sums = signed_sums(observed, low, high)
+        p = [(int((top >= abs(s)).sum()) + 1) / (len(top) + 1) for s in sums]
+        return [(k + 1, times[a], times[b], float(s), q, q < alpha) for k, (a, b, s, q) in enumerate(zip(first, last, sums, p, strict=True))]
+
+    def run(batches):
+        for b in batches:
+            found = [(k, *x) for k, cells in enumerate(b.column("cells").to_pylist()) for x in test(cells)]
+            at, *cols = zip(*found, strict=True) if found else ((),) * 7
+            at = pa.array(at, pa.int64())
+            types = (pa.int32(), t_type, t_type, pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keys], *[pa.array(x, kind) for x, kind in zip(cols, types, strict=True)]], names=[*keys, "cluster", "first", "last", "sum", "p", "significant"])
+
+    kinds = {f.name: f.dataType for f in curve.schema.fields}
+    t_type, t = to_arrow_type(kinds["t_idx"]), kinds["t_idx"].simpleString()
+    key_schema = "".join(f"`{k}` {kinds[k].simpleString()}, " for k in keys)
+    return packed.mapInArrow(run, f"{key_schema}cluster int, first {t}, last {t}, sum double, p double, significant boolean")
 
 
 def cluster_difference_test(a: DataFrame, b: DataFrame, draws: DataFrame, p_thresh: float = 0.05, alpha: float = 0.05, value: str = "value") -> DataFrame:
@@ -136,6 +203,7 @@ def bootstrap_curves(curve: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def percentile_ci(values: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """Interval of the draws of each keys: a group holds one value per draw, a parameter."""
     q = F.percentile(value, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return values.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

@@ -44,8 +44,9 @@ def shared_across(rows: DataFrame, units: str, condition: str, times: int) -> Da
 
 
 def intersect_units(rows: DataFrame, units: str, condition: str, values: list) -> DataFrame:
-    """Conditions that all of the given units have, by chained intersections."""
-    return reduce(DataFrame.intersect, [rows.filter(F.col(units) == x).select(condition) for x in values])
+    """Conditions that all of the given units have: one scan, each condition's units counted once."""
+    mine = rows.filter(F.col(units).isin(values)).select(condition, units).distinct()
+    return mine.groupBy(condition).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == len(set(values))).select(condition)
 
 
 def positional_pick(ids: DataFrame, positions: list[int], order: str) -> DataFrame:

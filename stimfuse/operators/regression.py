@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from stimfuse.operators import blocks
+from stimfuse.operators import blocks, tiles
 
 #: Targets and conditions of a block.
 TARGETS, CONDITIONS = blocks.TARGETS, blocks.CONDITIONS
@@ -129,26 +130,55 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30) -
     return w
 
 
-def decoding_rdm(pseudo: DataFrame, pairs: DataFrame, keys: list[str], folds: int) -> DataFrame:
-    """pseudo: (keys, condition, fold, x array); pairs (i, j). Per keys and pair: mean accuracy over folds, each of which leaves the two
-    conditions' pseudo-trials of one number out. Folds are fixed by number, so the result can be repeated."""
-    packed = pseudo.groupBy(*keys, "condition").agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", "x"))), lambda s: s["x"]).alias("x")).filter(F.size("x") == folds)
-    a = packed.select(*keys, F.col("condition").alias("i"), F.col("x").alias("xi"))
-    b = packed.select(*keys, F.col("condition").alias("j"), F.col("x").alias("xj"))
-    met = pairs.join(a, "i").join(b, [*keys, "j"])
+def linear_svms(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """linear_svm() of many problems at once: x (problems, rows, features), y (rows). One batched solve per round for those not settled."""
+    a = np.concatenate([x, np.ones((*x.shape[:2], 1))], axis=2)
+    w, last = np.zeros((len(a), a.shape[2])), np.zeros(a.shape[:2], bool)
+    open_ = np.arange(len(a))
+    for turn in range(rounds):
+        mine = a[open_]
+        inside = y * np.einsum("pmi,pi->pm", mine, w[open_]) < 1
+        if turn:
+            moved = (inside != last[open_]).any(1)
+            open_, mine, inside = open_[moved], mine[moved], inside[moved]
+        if not len(open_):
+            break
+        last[open_] = inside
+        held = mine * inside[:, :, None]
+        w[open_] = np.linalg.solve(np.eye(a.shape[2]) / (2 * c) + held.transpose(0, 2, 1) @ mine, np.einsum("pmi,m->pi", held, y)[:, :, None])[:, :, 0]
+    return w
 
-    def run(batches):
-        for t in batches:
-            out = []
-            for p, q in zip(t.column("xi").to_pylist(), t.column("xj").to_pylist(), strict=True):
-                p, q = np.array(p, float), np.array(q, float)
-                hits = 0
-                for k in range(folds):
-                    rest = [f for f in range(folds) if f != k]
-                    w = linear_svm(np.vstack([p[rest], q[rest]]), np.repeat([1.0, -1.0], folds - 1))
-                    hits += int(np.append(p[k], 1) @ w > 0) + int(np.append(q[k], 1) @ w <= 0)
-                out.append(hits / (2 * folds))
-            yield pa.RecordBatch.from_arrays([*[t.column(c) for c in (*keys, "i", "j")], pa.array(out, pa.float64())], names=[*keys, "i", "j", "d"])
-
-    types = {f.name: f.dataType.simpleString() for f in met.schema.fields}
-    return met.select(*keys, "i", "j", "xi", "xj").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in (*keys, "i", "j")) + ", d double")
+
+#: Conditions of a block, and pairs that are fitted together.
+DECODED, TOGETHER = 256, 1024
+
+
+def decoding_rdm(pseudo: DataFrame, pairs: DataFrame | None, keys: list[str], folds: int) -> DataFrame:
+    """pseudo: (keys, condition, fold, x array). Per keys and pair i < j (of `pairs`, or all): mean accuracy over folds, each of which leaves the
+    two conditions' pseudo-trials of one number out. Folds are fixed by number, so the result can be repeated; conditions that lack a fold
+    take no part. A task holds the pseudo-trials of two blocks of conditions once and fits all their pairs in batched solves."""
+    packed = pseudo.groupBy(*keys, "condition").agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", "x"))), lambda s: s["x"]).alias("x")).filter(F.size("x") == folds)
+    flat = packed.withColumn("x", F.flatten("x"))
+    kind = to_arrow_type(flat.schema["condition"].dataType)
+
+    def fit(a: tiles.Side, b: tiles.Side) -> dict:
+        at, other = tiles.pair_places(a.ids, b.ids, a is b)
+        left, right = np.asarray(a.ids)[at], np.asarray(b.ids)[other]
+        first, second = a.parts["x"].reshape(len(a.ids), folds, -1), b.parts["x"].reshape(len(b.ids), folds, -1)
+        swapped = left > right
+        d = np.zeros(len(at))
+        for lo in range(0, len(at), TOGETHER):
+            s = slice(lo, lo + TOGETHER)
+            turn = swapped[s, None, None]
+            p, q = first[at[s]], second[other[s]]
+            p, q = np.where(turn, q, p), np.where(turn, p, q)
+            for k in range(folds):
+                rest = [f for f in range(folds) if f != k]
+                w = linear_svms(np.concatenate([p[:, rest], q[:, rest]], axis=1), np.repeat([1.0, -1.0], folds - 1))
+                hit = lambda v: np.einsum("pi,pi->p", v, w[:, :-1]) + w[:, -1] > 0  # noqa: E731, B023
+                d[s] += hit(p[:, k]).astype(int) + ~hit(q[:, k])
+        return {"i": pa.array(np.where(swapped, right, left), kind), "j": pa.array(np.where(swapped, left, right), kind), "d": pa.array(d / (2 * folds))}
+
+    c = flat.schema["condition"].dataType.simpleString()
+    found = tiles.meet(tiles.packed_blocks(flat, keys, {"x": ("raw", "x")}, block=DECODED), keys, ["x"], fit, f"i {c}, j {c}, d double").drop("low", "high")
+    return found if pairs is None else found.join(pairs, ["i", "j"], "left_semi").select(*keys, "i", "j", "d")

@@ -114,7 +114,7 @@ def tiles(vectors: DataFrame, keys: list[str], parts: dict[str, tuple[str, str]]
     return meet(packed_blocks(vectors, keys, parts, condition, block), keys, list(parts), product, f"rows {ids}, cols {ids}, " + ", ".join(f"`{n}` binary" for n in parts))
 
 
-def _pairs(rows: pa.Array, cols: pa.Array, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def pair_places(rows: pa.Array, cols: pa.Array, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """(places in rows, places in cols) of the pairs of a tile; each pair once."""
     p, q = np.indices((len(rows), len(cols))).reshape(2, -1)
     if same:
@@ -131,7 +131,7 @@ def pair_rows(tiled: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 rows, cols = b.column("rows")[k].values, b.column("cols")[k].values
-                p, q = _pairs(rows, cols, b.column("low")[k].as_py() == b.column("high")[k].as_py())
+                p, q = pair_places(rows, cols, b.column("low")[k].as_py() == b.column("high")[k].as_py())
                 at = p * len(cols) + q
                 left, right = np.asarray(rows)[p], np.asarray(cols)[q]
                 values = {n: np.frombuffer(b.column(n)[k].as_py())[at] for n in names}
@@ -156,7 +156,7 @@ def feature_rows(vectors: DataFrame, keys: list[str], vector: str, condition: st
     arrow_kind = to_arrow_type(kind)
 
     def squares(a: Side, b: Side) -> dict:
-        p, q = _pairs(a.ids, b.ids, a is b)
+        p, q = pair_places(a.ids, b.ids, a is b)
         left, right = np.asarray(a.ids)[p], np.asarray(b.ids)[q]
         swapped = left > right
         i, j = np.where(swapped, right, left), np.where(swapped, left, right)
@@ -358,7 +358,7 @@ def ridge_over_pairs(vectors: DataFrame, keys: list[str], features: str, target:
 
     def pairs(a: Side, b: Side):
         d = distances(a, b, {"y": target[0]})["y"]
-        p, q = _pairs(a.ids, b.ids, a is b)
+        p, q = pair_places(a.ids, b.ids, a is b)
         x, y = (a.parts["p"][p] - b.parts["p"][q]) ** 2, d[p, q]
         whole = np.isfinite(y) & np.isfinite(x).all(1)
         return x[whole], y[whole]
@@ -404,3 +404,27 @@ def ridge_over_pairs(vectors: DataFrame, keys: list[str], features: str, target:
 
     errs = meet(packed.join(models, keys), keys, ["p", "y"], errors, "errors binary").groupBy(*keys, "low").applyInArrow(added([*keys, "low"], "errors"), f"{schema}low int, errors binary")
     return models.groupBy(*keys).cogroup(errs.groupBy(*keys)).applyInArrow(choose, f"{schema}alpha double, intercept double, coef array<double>")
+
+
+def stored_rows(packed: DataFrame, key: str, name: str) -> DataFrame:
+    """packed: matrices(). (key, ids, d array<float>), the upper triangle row by row, as a store keeps it."""
+    kind = packed.schema[key].dataType.simpleString()
+    ids = packed.schema["ids"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            d = [np.frombuffer(x).astype(np.float32) for x in b.column(name).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("ids"), pa.array(d, pa.list_(pa.float32()))], names=[key, "ids", "d"])
+
+    return packed.select(key, "ids", name).mapInArrow(run, f"`{key}` {kind}, ids {ids}, d array<float>")
+
+
+def unpacked_rows(stored: DataFrame, key: str) -> DataFrame:
+    """The pairs of stored matrices as rows (key, i, j, d)."""
+    n, place = F.size("ids"), F.col("place")
+    # the row of a place in the upper triangle, row by row: the largest i whose row begins at it or before
+    begins = F.transform(F.sequence(F.lit(0), n - 2), lambda i: i * n - i * (i + 1) / 2)
+    each = stored.filter(n > 1).select(key, "ids", begins.alias("begins"), F.posexplode("d").alias("place", "d"))
+    i = F.size(F.filter("begins", lambda x: x <= place)) - 1
+    each = each.withColumn("row", i).withColumn("col", (F.col("place") - F.col("begins")[F.col("row")] + F.col("row") + 1).cast("int"))
+    return each.select(key, F.col("ids")[F.col("row")].alias("i"), F.col("ids")[F.col("col")].alias("j"), "d")

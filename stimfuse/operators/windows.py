@@ -9,10 +9,30 @@ from stimfuse.functions.stats import average_rank
 from stimfuse.session import checkpointed
 
 
+#: Bytes of a table with a row per key up to which it is broadcast; copies of it among which rows are salted beyond that.
+BROADCAST, SALTS = 16 << 20, 32
+
+
+def beside(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of per_key, one row per keys (null is a key as well), without gathering the rows of a key in one task.
+
+    per_key is broadcast if its counted bytes are few; else rows are salted over SALTS copies of it."""
+    sizes = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(1)) if f.dataType.typeName() == "string" else F.lit(8) for f in per_key.schema.fields]
+    size = per_key.agg(F.sum(sum(sizes, F.lit(32)))).first()[0] or 0
+    right = per_key.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in per_key.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    if size <= BROADCAST:
+        return rows.join(F.broadcast(right), same).drop(*[f"__{k}" for k in keys])
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    met = rows.withColumn("__own", spread).join(salted, [*same, F.col("__own") == F.col("__salt")])
+    return met.drop("__own", "__salt", *[f"__{k}" for k in keys])
+
+
 def zscore(rows: DataFrame, keys: list[str], value: str = "value", eps: float = 0.0) -> DataFrame:
-    """(x - mean) / (population standard deviation + eps) within keys; NULL where the divisor is 0."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w) + eps))
+    """(x - mean) / (population standard deviation + eps) within keys; NULL where the divisor is 0. The moments are partial aggregations."""
+    moments = checkpointed(rows.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd")))
+    return beside(rows, moments, keys).withColumn("z", F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd") + eps)).drop("__mean", "__sd")
 
 
 def ranked(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -20,20 +40,44 @@ def ranked(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return rows.withColumn("rank", average_rank(Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)))
 
 
-def ranked_at_scale(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Average ranks within keys that may hold a large part of the table. Distinct values with their counts are sorted in ranges;
-    running counts, less what stands before the key, are ranks, and come back to the rows by key and value. NULL ranks first, as in a window."""
+def placed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values of each keys, which may hold a large part of the table: (keys, value, __n, __upto), how many rows have the value and how
+    many of the keys have it or a smaller one. Values are sorted in ranges, and running counts, less what stands before the keys, are kept.
+    NULL comes first, as in a window."""
     distinct = numbered(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), [*[F.col(k).asc() for k in keys], F.col(value).asc()], "__place")
     upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__place"))
     parts = distinct.groupBy("__part").agg(F.sum("__n").alias("__in"))  # one row per range
     before = parts.select("__part", F.coalesce(F.sum("__in").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = distinct.join(F.broadcast(before), "__part").withColumn("__upto", F.col("__before") + upto)
-    first = placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.col("__upto") - F.col("__n")).alias("__first"))
-    met = placed.join(first, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]) if keys else placed.crossJoin(F.broadcast(first))
-    ranks = met.select(*[F.col(c).alias(f"__{c}") for c in (*keys, value)], (F.col("__upto") - F.col("__first") - (F.col("__n") - 1) / 2).alias("rank"))
+    running = distinct.join(F.broadcast(before), "__part").withColumn("__upto", F.col("__before") + upto)
+    first = running.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.col("__upto") - F.col("__n")).alias("__first"))
+    met = running.join(first, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]) if keys else running.crossJoin(F.broadcast(first))
+    return met.select(*keys, value, "__n", (F.col("__upto") - F.col("__first")).alias("__upto"))
+
+
+def ranked_at_scale(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Average ranks within keys that may hold a large part of the table. NULL ranks first, as in a window."""
+    ranks = placed(rows, keys, value).select(*[F.col(c).alias(f"__{c}") for c in (*keys, value)], (F.col("__upto") - (F.col("__n") - 1) / 2).alias("rank"))
     return rows.join(ranks, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, value)]).drop(*[f"__{c}" for c in (*keys, value)])
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q array): exact quantiles within keys that may hold a large part of the table, between the two nearest values in proportion.
+    NULL counts for nothing; keys without a value have no row."""
+    run = checkpointed(placed(rows.filter(F.col(value).isNotNull()), keys, value))
+    n = run.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    met = beside(run, n, keys) if keys else run.crossJoin(F.broadcast(n))
+    out = []
+    for k, p in enumerate(shares):
+        # places count from 0: the value there is the least with more rows up to it
+        at = (F.col("__all") - 1) * F.lit(float(p))
+        for name, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            out.append(F.min(F.when(F.col("__upto") > place, F.col(value))).alias(f"__{name}{k}"))
+        out.append(F.first(at - F.floor(at)).alias(f"__share{k}"))
+    found = met.groupBy(*keys).agg(*out)
+    q = [(1 - F.col(f"__share{k}")) * F.col(f"__low{k}") + F.col(f"__share{k}") * F.col(f"__high{k}") for k in range(len(shares))]
+    return found.select(*keys, F.array(*q).alias("q"))
+
+
 def cluster_label(rows: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
     """Number (from 1) of the run of consecutive true flags that a row is in; NULL where the flag is false."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -63,6 +107,14 @@ def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
     return parts.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn(name, F.col("__before") + at + 1).drop("__at", "__before")
 
 
+def positions(rows: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Rows numbered from 1 within keys that may hold a large part of the table: their numbers in the order of all rows, less what stands
+    before the first of their keys."""
+    every = numbered(rows, [F.col(c).asc() for c in (*keys, *order)], "__place").drop("__part")
+    first = checkpointed(every.groupBy(*keys).agg(F.min("__place").alias("__first")))
+    return beside(every, first, keys).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+
+
 def has_p(p: str):
     return F.col(p).isNotNull() & ~F.isnan(p)
 

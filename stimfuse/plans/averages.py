@@ -17,7 +17,21 @@ def _nan_trials(s, d):
     return v.response_trials(s, d).withColumn("value", F.when(F.col("line") == 1, F.lit(float("nan"))).otherwise(F.col("value")))
 
 
+#: First elements of the layers' vectors.
+LAYERS = {"early": 9, "middle": 17, "deep": 25}
+
+
+def _layer_bundle(s, d):
+    """Mean vectors of three layers per class, in a map by layer; read again by key."""
+    layers = F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), F.slice("embedding", first, 8).alias("x")) for n, first in LAYERS.items()])).alias("at")
+    rows = v.features(s, d).select("label", layers).select("label", "at.layer", "at.x")
+    made = op.keyed_bundle(op.mean_vector(rows, ["label", "layer"], "x"), ["label"], "layer", "x")
+    rounded = lambda c: F.transform(c, lambda e: F.round(e, 6))
+    return made.select("label", F.map_keys("bundle").alias("layers"), rounded(F.col("bundle")["deep"]).alias("deep"), rounded(F.col("bundle")["early"]).alias("early"), F.col("bundle")["none"].isNull().alias("no_other"))
+
+
 QUERIES = {
+    "layer_bundle": _layer_bundle,
     "repeat_mean": lambda s, d: op.repeat_mean(v.signal_trials(s, d), ["condition", "channel"]).select("condition", "channel", R("value")),
     "repeat_nanmean": lambda s, d: op.repeat_nanmean(_nan_trials(s, d), ["condition", "vertex"]).select("condition", "vertex", R("value")),
     "condition_average": lambda s, d: op.condition_average(v.signal_trials(s, d), v.response_trials(s, d).select("condition").distinct(), ["channel"]).select("condition", "channel", R("value")),
@@ -56,6 +70,8 @@ def _grid(s, d):
 
 NAN = "nan_map as (select * replace (case when vertex % 3 = 0 then 'nan'::double else score end as score) from score_map)"
 SQL = {
+    "layer_bundle": VIEWS + """, x as (select label, range as pos, avg(embedding[25 + range]::double) as deep, avg(embedding[9 + range]::double) as early from features, range(8) group by all)
+        select label, ['deep', 'early', 'middle'] as layers, list(round(deep, 6) order by pos) as deep, list(round(early, 6) order by pos) as early, true as no_other from x group by label""",
     "repeat_mean": VIEWS + "select condition, channel, round(avg(value), 6) as value from signal_trials group by all",
     "repeat_nanmean": VIEWS + "select condition, vertex, round(coalesce(avg(case when line <> 1 then value end), 0), 6) as value from response_trials group by all",
     "condition_average": VIEWS + "select w.condition, channel, round(avg(value), 6) as value from (select distinct condition from response_trials) w left join signal_trials using (condition) group by all",

@@ -67,7 +67,7 @@ QUERIES = {
     "paired_join": lambda s, d: op.paired_join(_nan_side(s, d), v.score_map(s, d).filter("hemi = 'F'").groupBy("subject", "vertex").agg(F.avg("score").alias("value")), ["subject", "vertex"]).select("subject", "vertex", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
     "load_hemi": lambda s, d: v.response_trials(s, d).filter("hemi = 'F' and subject = 1").groupBy("condition", "vertex").agg(F.round(F.avg("value"), 6).alias("value")),
     "load_roi": lambda s, d: v.response_trials(s, d).join(v.roi_membership(s, d).filter("roi = 'CHINA' or macro = 'AFRICA'").select("vertex"), "vertex", "left_semi").join(v.vertex_quality(s, d).filter("ncsnr >= 0.2"), "vertex", "left_semi").groupBy("condition", "vertex").agg(F.round(F.avg("value"), 6).alias("value")),
-    "load_macro_roi": lambda s, d: op.union_parts([v.response_trials(s, d).filter(F.col("hemi") == h) for h in ("F", "O")]).join(F.broadcast(v.roi_membership(s, d)), "vertex").join(v.vertex_quality(s, d).filter("ncsnr >= 0.2"), "vertex").groupBy("macro", "hemi").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("value")),
+    "load_macro_roi": lambda s, d: op.union_parts([v.response_trials(s, d).filter(F.col("hemi") == h) for h in ("F", "O")]).join(v.roi_membership(s, d), "vertex").join(v.vertex_quality(s, d).filter("ncsnr >= 0.2"), "vertex").groupBy("macro", "hemi").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("value")),
     "union_splits": lambda s, d: _files(s, d, v.score_map(s, d).withColumn("split", (F.col("vertex") % 3).cast("int")), "split").groupBy("hemi").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total")),
     "union_time_files": lambda s, d: _files(s, d, v.score_map(s, d), "t_idx").groupBy("vertex").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total")),
     "union_sessions": lambda s, d: _files(s, d, v.signal_trials(s, d).select("session", "trial", "value"), "session").groupBy("session").agg(F.count("*").alias("n")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stimfuse.operators import blocks, joins, rdm, tiles
+from stimfuse.operators import blocks, joins, tiles
 from stimfuse.operators import regression as op
 from stimfuse.plans import views as v
 from stimfuse.plans.averages import R
@@ -126,7 +126,7 @@ QUERIES = {
     "two_stage_layerwise": _layerwise,
     "standardize_fit_apply": lambda s, d: _standard(s, d).select("condition", F.transform("x", lambda e: F.round(e, 6)).alias("x")),
     "pca_fit_apply": _pca,
-    "decoding_rdm": lambda s, d: op.decoding_rdm(_pseudo(s, d), rdm.condition_pairs(v.features(s, d).select(F.col("label").alias("condition")).distinct(), []), ["t_idx"], 6),
+    "decoding_rdm": lambda s, d: op.decoding_rdm(_pseudo(s, d), None, ["t_idx"], 6),
 }
 
 

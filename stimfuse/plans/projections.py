@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stimfuse.operators import projections as op
@@ -42,7 +43,7 @@ QUERIES = {
     "crop_window": lambda s, d: v.curve(s, d).filter(F.col("t_ms").between(-60, 200)).groupBy("t_ms").agg(F.count("*").alias("n")),
     "post_stimulus_filter": lambda s, d: v.curve(s, d).filter("t_ms >= 0").groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value")),
     "snapshot_times": lambda s, d: v.score_map(s, d).filter(F.col("t_idx").isin(0, 2)).select("subject", "hemi", "t_idx", "vertex", R("score")),
-    "drop_channels": lambda s, d: v.signal_trials(s, d).withColumn("place", F.dense_rank().over(_by_channel())).filter("place <= 3").groupBy("channel").agg(F.count("*").alias("n")),
+    "drop_channels": lambda s, d: _first_channels(v.signal_trials(s, d), 3).groupBy("channel").agg(F.count("*").alias("n")),
     "rebase_ids": lambda s, d: v.response_trials(s, d).select((F.col("condition") + 1).alias("condition")).distinct(),
     "roi_quality_mask": lambda s, d: _masked(s, d).select("subject", "hemi", "t_idx", "vertex", R("score")),
     "quality_filter": lambda s, d: v.score_map(s, d).join(v.vertex_quality(s, d).filter("ncsnr >= 0.2"), "vertex").groupBy("vertex").agg(F.round(F.avg("score"), 6).alias("score"), F.round(F.max("ncsnr"), 6).alias("ncsnr")),
@@ -68,22 +69,17 @@ QUERIES = {
     "merge_adjacent_windows": lambda s, d: win.merge_adjacent_windows(_bins(s, d), [], "start", "stop", "winner").select("winner", "start", "stop"),
     "bh_adjust": lambda s, d: win.bh_adjust(_pvalues(s, d), ["family"]).select("family", "test", R("p_adjusted")),
     "bonferroni": lambda s, d: win.bonferroni(_pvalues(s, d), ["family"]).select("family", "test", R("p_adjusted"), "significant"),
-    "session_position": lambda s, d: v.signal_trials(s, d).withColumn("position", F.row_number().over(_by_session())).select("session", "trial", "position"),
+    "session_position": lambda s, d: win.positions(v.signal_trials(s, d), ["session"], ["ts", "trial"]).select("session", "trial", F.col("place").cast("int").alias("position")),
     "sort_ids": lambda s, d: v.response_trials(s, d).select("condition").distinct().orderBy("condition"),
     "arg_max": lambda s, d: v.subject_curve(s, d).groupBy("subject").agg(F.max_by("t_idx", F.struct("value", -F.col("t_idx"))).alias("t_idx")),
 }
 
 
-def _by_channel():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("session").orderBy("channel")
-
-
-def _by_session():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("session").orderBy("ts", "trial")
+def _first_channels(rows, n):
+    """Rows of the first n channels of each session: channels are put in order, not trials."""
+    place = F.dense_rank().over(Window.partitionBy("session").orderBy("channel"))
+    wanted = rows.select("session", "channel").distinct().withColumn("place", place).filter(F.col("place") <= n)
+    return win.beside(rows, wanted, ["session", "channel"])
 
 
 def _pairs(s, d):
