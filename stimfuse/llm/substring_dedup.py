@@ -36,9 +36,9 @@ from stimfuse.llm.fm_index import FMIndex
 from stimfuse.session import checkpointed
 
 #: Words of an anchor gram; bytes of text per shard; bits of the bitmap at most (as a power of two); slices from which an anchor is salted, and salts.
-GRAM, SHARD_BYTES, BITMAP, HOT, SALTS = 10, 8 << 20, 27, 1 << 16, 256
+GRAM, SHARD_BYTES, BITMAP, HOT, SALTS = 10, 4 << 20, 27, 1 << 16, 256
 #: Bytes of texts in a slice; words of a piece of a longer text; contexts that are streamed through an index together.
-SLICE, PIECE, STREAM = 1 << 21, 1 << 17, 1 << 14
+SLICE, PIECE, STREAM = 1 << 20, 1 << 17, 1 << 14
 
 _BYTE, _WORD = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
 
@@ -49,8 +49,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """The first n powers modulo 2**64; one table serves all slices of usual size."""
-    return _powers(base, max(n, 3 << 20) if n <= 3 << 20 else n)[:n]
+    """The first n powers modulo 2**64, of a table that slices of about this size share."""
+    return _powers(base, -(-n // (1 << 18)) << 18)[:n]
 
 
 def _spread(h: np.ndarray) -> np.ndarray:

@@ -432,7 +432,9 @@ def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder,
 
         return map_batches(docs, run, docs.schema)
 
-    return rows(False), keyed(rows(True), id_col, text_col, repeated).join(runs, ["doc", "key"], "left")
+    # a text is in its row alone, so that it is shuffled once
+    others = keyed(rows(True), id_col, text_col, repeated).select("doc", "key", "row").join(runs, ["doc", "key"], "left")
+    return rows(False), others.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
 
 
 def _kept(raw: bytes, runs: list | None) -> tuple[bytes, int, int]:
