@@ -31,6 +31,8 @@ from stimfuse.llm.common import map_batches
 
 #: Characters of a fingerprint, hashes of a window, words on either side of the diagonal.
 GRAM, WINDOW, BAND = 12, 6, 6
+#: Diagonals that are aligned together.
+DIAGONALS = 2048
 #: Words of a template whose matches are searched for every first and last word.
 SHORT = 40
 
@@ -66,6 +68,11 @@ TEMPLATES = {
 # the short notices of the Creative Commons family, by a rule
 TEMPLATES |= {f"cc-{kind}-{version}-notice" if (kind, version) != ("by", "4.0") else "cc-by-4.0-short-notice": f"Licensed under CC {{{kind.upper()} {version}}}." for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for version in ("2.0", "2.5", "3.0", "4.0")}
 
+# identifiers in source files, and names that stand for a notice, by rules
+TEMPLATES |= {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {{{x}}}" for x in ("MIT", "MIT-0", "ISC", "Zlib", "Unlicense", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "CC0-1.0", "BSL-1.0", "EPL-2.0", *(f"{g}-{v}-{k}" for g, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for k in ("only", "or-later")))}
+TEMPLATES |= {f"{x.lower().replace(' ', '-')}-short-notice": f"Licensed under {{{x}}}." for x in ("GPLv2", "GPLv3", "LGPLv3", "AGPLv3", "Apache License 2.0", "Apache 2.0", "MPL 2.0")}
+TEMPLATES |= {f"{x.lower()}-terms-notice": f"under the terms of the {{{x}}} License" for x in ("MIT", "BSD", "ISC", "Apache")}
+
 _CLASS = np.zeros(256, np.uint8)  # bytes that are kept, lower-cased; others part words
 for _c in range(256):
     if chr(_c).isascii() and chr(_c).isalnum():
@@ -142,6 +149,7 @@ class Index:
             template.append(np.full(len(at), i))
         if not marks:
             marks, place, template = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)]
+        self.number = {w: k + 1 for k, w in enumerate(sorted({w for words in self.words for w in words}))}
         order = np.argsort(np.concatenate(marks), kind="stable")
         self.marks, self.word, self.template = np.concatenate(marks)[order], np.concatenate(place)[order], np.concatenate(template)[order]
         self.maybe = np.zeros(1 << 16, bool)  # by the last 16 bits of a hash: most strings of a text are told apart without a search
@@ -235,28 +243,67 @@ def best_part(parts: list, own: list[bytes], words: list[bytes], groups: list[tu
     return found
 
 
+def hopeful(numbers: np.ndarray, diagonals: np.ndarray, template: list[tuple[np.ndarray, bool]], least: int) -> np.ndarray:
+    """The diagonals whose band may hold a match: in-band alignments of all of them are made together, row by row, and their weight is
+    compared with that of every group and of `least` words. numbers: the text's words by number, 0 for words that no template has."""
+    total, width = sum(len(part) for part, _ in template), 2 * BAND + 1
+    grouped = sum(len(part) for part, group in template if group)
+    needed = grouped * total + max(0, least - grouped)
+    out = []
+    padded = np.concatenate([np.zeros(total + 2 * BAND, np.int32), numbers, np.zeros(total + 2 * BAND + 1, np.int32)])
+    for lo in range(0, len(diagonals), DIAGONALS):
+        d = diagonals[lo : lo + DIAGONALS]
+        words = padded[(d - BAND + total + 2 * BAND)[:, None] + np.arange(total + 2 * BAND)]
+        best, end = np.zeros((len(d), width), np.int64), 0
+        for part, group in template:
+            n = len(part)
+            end += n
+            row = np.zeros_like(best)
+            row[:, : width - n] = best[:, n:]
+            same = np.ones((len(d), width), bool)
+            for k in range(n):
+                first = end - n + k
+                same &= words[:, first : first + width] == part[k]
+            np.maximum(row, np.where(same, best + n * (total if group else 1), 0), out=row)
+            best = np.maximum.accumulate(row, axis=1)
+        out.append(d[best.max(1) >= needed])
+    return np.concatenate(out) if out else diagonals
+
+
 def scan_text(raw: bytes, index: Index, coverage: float = 0.8) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, start, end) of the matches in one text; start and end are byte positions."""
+    """(template, coverage, start, end) of the matches in one text; start and end are byte positions.
+
+    Only diagonals that hopeful() leaves are aligned one by one, and bands of equal words are aligned once, so a text that repeats a
+    license over and over costs little more than one copy."""
     text, at = normalised(np.frombuffer(raw, np.uint8))
     gaps = np.flatnonzero(text == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(text))
-    found: dict[int, list[tuple[float, int, int]]] = {}
-    for t, diagonals in index.candidates(text, starts).items():
+    candidates = index.candidates(text, starts)
+    if not candidates:
+        return []
+    tokens = [text[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    numbers = np.array([index.number.get(w, 0) for w in tokens], np.int32)
+    found: dict[int, set[tuple[float, int, int]]] = {}
+    known: dict[tuple, list[tuple[int, int]]] = {}
+    for t, diagonals in candidates.items():
         words, groups = index.words[t], index.groups[t]
         inside = {a: b for a, b in groups}
         within = {i for a, b in groups for i in range(a + 1, b)}
         parts = [(words[i : inside.get(i, i + 1)], i in inside) for i in range(len(words)) if i not in within]
+        least = max(1, int(np.ceil(coverage * len(words) - 1e-9)))
+        numbered = [(np.array([index.number[w] for w in part], np.int32), group) for part, group in parts]
+        diagonals = hopeful(numbers, np.array(diagonals), numbered, least).tolist()
         for d in diagonals:
-            lo, hi = d - BAND, min(len(starts), d + len(words) + BAND)
-            own = [b""] * max(0, -lo) + [text[starts[k] : ends[k]].tobytes() for k in range(max(0, lo), hi)]
-            if any(words[i] not in own for a, b in groups for i in range(a, b)):
-                continue
+            lo, hi = d - BAND, min(len(tokens), d + len(words) + BAND)
+            own = [b""] * max(0, -lo) + tokens[max(0, lo) : hi]
             # once more up to where another copy may begin, so that a worn copy doesn't take words of the copy behind it
             for last in {hi, *(x for x in diagonals if d + coverage * len(words) <= x < hi)}:
-                hits = best_part(parts, own[: last - lo], words, groups, coverage)
-                if hits:
-                    hits = [(i, lo + k) for i, k in hits]
-                    found.setdefault(t, []).append((len(hits) / len(words), int(at[starts[hits[0][1]]]), int(at[ends[hits[-1][1]] - 1]) + 1))
+                key = t, tuple(numbers[max(0, lo) : last].tolist()), lo if lo < 0 else 0
+                if key not in known:
+                    known[key] = best_part(parts, own[: last - lo], words, groups, coverage)
+                if hits := known[key]:
+                    first, final = lo + hits[0][1], lo + hits[-1][1]
+                    found.setdefault(t, set()).add((len(hits) / len(words), int(at[starts[first]]), int(at[ends[final] - 1]) + 1))
     out = []
     for t, matches in found.items():
         kept: list[tuple[float, int, int]] = []

@@ -302,14 +302,14 @@ def removal_digests(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
 def remove(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The input with repeated passages cut out of text_col: a text that loses words becomes what is left of them, joined by one space.
     All other texts, columns and rows stay."""
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), docs.columns
 
     def cut(b: pa.RecordBatch):
         texts, runs = b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()
         out = [t if not r else b" ".join(_kept(t, r)[0]).decode("utf-8", "surrogatepass") for t, r in zip(texts, runs, strict=True)]
         columns = list(b.columns[:-1])
         columns[place] = pa.array(out, b.schema.field(place).type)
-        yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     whole, others = suffix_dedup.with_runs(docs, length, id_col, text_col, spans, **how)
     others = others.select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("runs").alias(free_name("runs", docs.columns)))
