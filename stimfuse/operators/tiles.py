@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -199,10 +199,10 @@ def _merged(stats: list[np.ndarray]) -> np.ndarray:
 
 
 def correlations(vectors: DataFrame, keys: list[str], parts: dict[str, tuple[str, str]], condition: str = "condition", block: int | None = None) -> DataFrame:
-    """(keys, r): a map from "x,y" to the correlation of the distances x and y over all pairs, for each two parts in their order; null
-    where one of them is constant. Tiles give sums about their own means, which are merged by block and then by matrix."""
+    """(keys, r): a map from "x,y" to the correlation of the distances x and y over all pairs, for each two parts in their order and
+    each with itself; null where one of them is constant. Tiles give sums about their own means, which are merged by block and then by matrix."""
     metrics, names = {n: m for n, (m, _) in parts.items()}, list(parts)
-    two = list(combinations(range(len(names)), 2))
+    two = list(combinations_with_replacement(range(len(names)), 2))
 
     def sums(a: Side, b: Side) -> dict:
         d = distances(a, b, metrics)

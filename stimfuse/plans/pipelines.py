@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stimfuse.operators import averages, inference, rdm, tiles
+from stimfuse.operators import averages, inference, tiles
 from stimfuse.operators import windows as win
 from stimfuse.plans import correlation as c
 from stimfuse.plans import views as v
@@ -87,6 +87,14 @@ def _array_files(s, d):
     return found.select(F.col("subject").cast("int").alias("subject"), F.col("t_idx").cast("int").alias("t_idx"), "position", R("value"))
 
 
+def _corr_rows_rows(s, d):
+    """Matrices of all times with each other, per class."""
+    r = tiles.correlations(c._parts(s, d), ["label"], c._metrics(c.TIMES))
+    n = range(len(c.TIMES))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t_idx"), F.lit(u).alias("u_idx"), F.col("r")[f"e{min(t, u)},e{max(t, u)}"].alias("r")) for t in n for u in n])).alias("at")
+    return r.select("label", each).select("label", "at.t_idx", "at.u_idx", F.round("at.r", 6).alias("r"))
+
+
 def _rsa_fusion(s, d):
     """Signal RDMs by time against response RDMs, then the mean over classes per time."""
     r = tiles.rank_correlations(c._matrices(s, d), ["label"], c.TIMES, "f")
@@ -98,7 +106,7 @@ QUERIES = {
     "prepare_responses": _prepare_responses,
     "rsa_fusion": _rsa_fusion,
     "rsa_split_half": lambda s, d: c.split(s, d).select("label", "t_idx", "shuffle", "half", R("r")),
-    "corr_rows_rows": lambda s, d: rdm.correlate_rdms(c._time_rdm(s, d), c._time_rdm(s, d).withColumnRenamed("t_idx", "u_idx"), ["t_idx"], ["u_idx"], ["label", "i", "j"]).select("label", "t_idx", "u_idx", R("r")),
+    "corr_rows_rows": _corr_rows_rows,
     "union_distance_splits": lambda s, d: _files(s, d, c._distances(s, d).withColumn("split", (F.col("src") % 3).cast("int")), "split").select("src", "dst", R("dist")),
     "scan_behavior": lambda s, d: readers.scan_behavior(s, _behavior(s, d), 2, [0, 3, 7]).select(F.col("73KID").cast("bigint").alias("condition"), "position"),
     "scan_conditions": lambda s, d: readers.scan_conditions(s, _behavior(s, d), 5),

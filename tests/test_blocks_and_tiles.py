@@ -63,7 +63,8 @@ def test_correlations_of_distances_as_a_map(spark, classes, block):
         for name, a, b in (("p,q", 0, 1), ("p,s", 0, 2), ("q,s", 1, 2)):
             both = np.array([(r[a], r[b]) for r in rows if r[a] is not None and r[b] is not None])
             assert abs(got[g][name] - np.corrcoef(both.T)[0, 1]) < 1e-9
-    assert got["c"] == {"p,q": None, "p,s": None, "q,s": None}  # no pair
+        assert got[g]["p,p"] == got[g]["s,s"] == pytest.approx(1)
+    assert set(got["c"]) == {"p,p", "p,q", "p,s", "q,q", "q,s", "s,s"} and set(got["c"].values()) == {None}  # no pair
 
 
 def test_ranks_average_ties():
