@@ -6,13 +6,16 @@ carry most of an inner product. A query block first meets a bounded head, the fi
 bound for each of its queries. It then meets the chunks in rounds, by descending length. A chunk is not sent to a query block at all
 if its longest vector times the query's length can reach no bound; inside a block the sum over the first coordinates, plus the
 product of the residual lengths (Cauchy-Schwarz), bounds every score, and only pairs whose bound reaches the query's are scored
-exactly, in integers. Of a block each query keeps its k best, and each round's k-th best scores are the bounds of the next.
+exactly, in integers. Of a block each query keeps its best, and each round's least of the kept scores are the bounds of the next.
+
+Ids may repeat, so a query's own row is told by its id and its integer vector. It is a candidate like all others until the end: one more
+than k is kept for each query, and then one such row is left out.
 
 Components are floor(scale * x) with x as double. Bounds are computed in floating point and widened by a relative slack.
 
 Edge cases: vectors that are null, hold a null or hold a component that isn't finite take no part, neither do rows with a null
-id; shorter vectors count as padded with zeros, vectors of any length are taken whole; a zero or empty vector scores 0; candidates
-with the query's own id are left out, even if the id repeats; a query row that repeats id and vector is answered once; ties go to
+id; shorter vectors count as padded with zeros, vectors of any length are taken whole; a zero or empty vector scores 0; rows that
+repeat an id, or an id and a vector, are rows of their own: each query row is answered, by all rows but itself; ties go to
 the smaller id; scores beyond a long are cut to its limits; an empty table gives no rows; columns go by position and two are read.
 """
 
@@ -31,6 +34,8 @@ from stimfuse.session import checkpointed
 HEAD, QUERY_BLOCK, BLOCK = 4096, 1024, 2048
 #: Blocks of candidates that share one copy of each query block; chunks of the first round (each later round has so many times more than all before).
 CHUNK, ROUND = 8, 8
+#: Blocks of queries in a group; a copy of a chunk is sent to each group.
+GROUP = 16
 #: Integers up to here are exact in a double.
 EXACT = float(2**53)
 LONG = 2**63 - 1
@@ -134,16 +139,15 @@ class Space:
         return lead, np.sqrt(np.maximum(square - (lead * lead).sum(1), 0) + 1e-9 * square), np.sqrt(square)
 
     def survivors(self, qi, q, ci, c, bound: np.ndarray, k: int):
-        """Pairs (query position, id, exact score) that reach the bounds and are among the k best of this block."""
+        """(query position, id, exact score, whether it may be the query's own row) of pairs that reach the bounds and are among the k best of this block."""
         ql, qr, qn = self.parts(q)
         cl, cr, cn = self.parts(c)
         slack = 1e-9 * np.outer(qn, [cn.max(initial=0)]) + 1e-6
         live = np.flatnonzero(qn * cn.max(initial=0) + slack[:, 0] >= bound)
         if not len(live):
-            return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         upper = ql[live] @ cl.T + np.outer(qr[live], cr) + slack[live]
         at = upper >= bound[live][:, None]
-        at &= qi[live][:, None] != ci[None, :]
         if at.mean() > 0.05:
             full = q[live] @ c.T
             at &= full + slack[live] >= bound[live][:, None]
@@ -160,7 +164,8 @@ class Space:
         order = np.lexsort((ci[b], -exact.astype(float), a)) if np.abs(exact).max(initial=0) < EXACT else np.array(sorted(range(len(a)), key=lambda x: (a[x], -int(exact[x]), ci[b[x]])), int)
         starts = np.flatnonzero(np.concatenate([[True], np.diff(a[order]) > 0])) if len(a) else np.zeros(0, int)
         best = order[np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) < k]
-        return live[a[best]], ci[b[best]], exact[best]
+        x, y = live[a[best]], b[best]
+        return x, ci[y], exact[best], (qi[x] == ci[y]) & (q[x] == c[y]).all(1)
 
 
 def lowered(scores: np.ndarray) -> np.ndarray:
@@ -172,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     """vectors, queries: (id bigint, v array<float or double>). Returns query_id, rank, vec_id, score."""
     spark, vectors, queries = vectors.sparkSession, vectors.toDF("id", "v"), queries.toDF("id", "v")
     space = Space(_gram(vectors, scale))
-    d = space.d
+    d, more = space.d, k + 1  # the query's own row is one of those that are kept
     whole = lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     measured = vectors.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).withColumn("square", F.aggregate("v", F.lit(0.0), lambda s, x: s + whole(x) * whole(x)))
@@ -184,20 +189,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     lengths = blocks.groupBy(*chunk_of).agg(F.max("longest").alias("longest")).orderBy(F.desc("longest"), "part", "nth").collect()
     longest = np.array([r.longest for r in lengths])
     first = [r.block for r in blocks.select("block").orderBy("block").limit(-(-HEAD // BLOCK)).collect()]
-    head = blocks.filter(F.col("block").isin(first)).select("block", "ids", "rows").collect()  # HEAD rows
-    head_ids = np.concatenate([np.frombuffer(r.ids, "<i8") for r in head] or [np.zeros(0, np.int64)])
+    head = blocks.filter(F.col("block").isin(first)).select("rows").collect()  # HEAD rows
     head_m = np.concatenate([np.frombuffer(r.rows, "<f8").reshape(-1, d) for r in head] or [np.zeros((0, d))])
 
     def bounded(b: pa.RecordBatch):
         out = []
-        for n, ids, rows in zip(b.column("n").to_pylist(), b.column("ids").to_pylist(), b.column("rows").to_pylist(), strict=True):
-            qi, q = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<f8").reshape(n, d)
+        for n, rows in zip(b.column("n").to_pylist(), b.column("rows").to_pylist(), strict=True):
+            q = np.frombuffer(rows, "<f8").reshape(n, d)
             s = q @ head_m.T
-            s[qi[:, None] == head_ids[None, :]] = -np.inf
-            out.append(lowered(np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(n, -np.inf)).astype("<f8").tobytes())
+            out.append(lowered(np.partition(s, -more, axis=1)[:, -more] if s.shape[1] >= more else np.full(n, -np.inf)).astype("<f8").tobytes())
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "bound"])
 
-    asked = queries.filter("id is not null and v is not null").dropDuplicates(["id", "v"])
+    asked = queries.filter("id is not null and v is not null")
     asked = map_batches(_pack(asked, d, QUERY_BLOCK, scale), bounded, PACKED + ", bound binary")
     asked = checkpointed(asked.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "bound"))
     number = spark.createDataFrame([(int(r.part), int(r.nth), k) for k, r in enumerate(lengths)], "part bigint, nth bigint, chunk int")
@@ -217,9 +220,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
         for r in b.to_pylist():
             qi, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_rows"], "<f8").reshape(r["q_n"], d)
             ci, c = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<f8").reshape(r["n"], d)
-            at, ids, scores = space.survivors(qi, q, ci, c, np.frombuffer(r["bound"], "<f8"), k)
+            at, ids, scores, own = space.survivors(qi, q, ci, c, np.frombuffer(r["bound"], "<f8"), more)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["q_block"])), pa.array(at.astype(np.int32)), pa.array(qi[at]), pa.array(ids), pa.array(scores)], names=["q_block", "place", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["q_block"])), pa.array(at.astype(np.int32)), pa.array(qi[at]), pa.array(ids), pa.array(scores), pa.array(own)], names=["q_block", "place", "query_id", "vec_id", "score", "own"])
 
     def tightened(b: pa.RecordBatch):
         out = []
@@ -232,30 +235,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(out, pa.binary())], names=[*kept, "bound"])
 
     best, low = None, 0
+    # blocks of queries are dealt into groups, so that a chunk is as many tasks as it has groups
+    groups = max(1, -(-asked.count() // GROUP))
+    group_of = F.pmod(F.xxhash64("q_block"), F.lit(groups)).cast("int").alias("group")
     order = Window.partitionBy("q_block", "place").orderBy(F.desc("score"), "vec_id")
     while low < max(len(lengths), 1):
         high = min(len(lengths), low + ROUND * max(1, low))
         if best is not None:
-            kth = best.filter(F.col("rank") == k).groupBy("q_block").agg(F.collect_list(F.struct("place", "score")).alias("seen"))  # a row per query of a block
+            kth = best.filter(F.col("rank") == more).groupBy("q_block").agg(F.collect_list(F.struct("place", "score")).alias("seen"))  # a row per query of a block
             asked = map_batches(asked.join(kth, "q_block", "left"), tightened, "q_block bigint, q_n int, q_ids binary, q_rows binary, bound binary")
         pruned = map_batches(asked, needed, "q_block bigint, q_n int, q_ids binary, q_rows binary, bound binary, upto int").filter(F.col("upto") > low)
-        sent = pruned.withColumn("chunk", F.explode(F.sequence(F.lit(low), F.least(F.col("upto"), F.lit(high)) - 1)))
-        found = map_batches(sent.join(dealt, "chunk"), score, "q_block bigint, place int, query_id bigint, vec_id bigint, score bigint")
+        sent = pruned.select("*", group_of, F.explode(F.sequence(F.lit(low), F.least(F.col("upto"), F.lit(high)) - 1)).alias("chunk"))
+        met = dealt.filter((F.col("chunk") >= low) & (F.col("chunk") < high)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        found = map_batches(sent.join(met, ["chunk", "group"]).drop("chunk", "group"), score, "q_block bigint, place int, query_id bigint, vec_id bigint, score bigint, own boolean")
         found = found if best is None else found.unionByName(best.drop("rank"))
-        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= more)
         low = high if high else 1
         if low < len(lengths):
             best, asked = checkpointed(best), checkpointed(asked)
-    return best.select("query_id", "rank", "vec_id", "score")
+    own = F.row_number().over(Window.partitionBy("q_block", "place", "own").orderBy(F.desc("score"), "vec_id"))
+    others = best.withColumn("nth", own).filter(~(F.col("own") & (F.col("nth") == 1))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return others.select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB form of op1.
 SQL = """
-with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+with e as (select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
            where vec_id is not null and embedding is not null
              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-p as (select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
-      from e q join e c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+p as (select q.place as q_place, q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
+      from e q join e c on c.place <> q.place where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by q_place order by score desc, vec_id)::int as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 5
 """

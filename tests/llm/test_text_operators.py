@@ -461,3 +461,17 @@ def test_license_lists_cost_little_and_names_are_told():
     assert names("# SPDX-License-Identifier: GPL-2.0-or-later\nimport os") == {"spdx-gpl-2.0-or-later"}
     assert names("// SPDX-License-Identifier: Apache-2.0") == {"spdx-apache-2.0"}
     assert names("the license of the software is under the terms of nobody") == set()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns with the names that the stages use themselves, beside repeated and null ids; and the same columns in an empty table."""
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text + " more", "b"), (None, text, None), (None, "other words here", "a"), (2, "", "a"), (3, None, "b"), (4, "alone", "a")]
+    own = ["__fp", "__kept", "__kept_fp", "__runs", "runs", "row", "__source", "__whole", "__cut", "__copies", "__salt"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", *[f"'{k}' as `{c}`" for k, c in enumerate(own)])
+    for stage in (lambda d: simhash_dedup.keep_one(d, similar=0.8), simhash_dedup.keep_one, suffix_dedup.remove, lambda d: mixing.mixed(d, [3.0, 1.0, 2.0])):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.count() > 0
+        assert all(r[c] == str(k) for r in got.collect() for k, c in enumerate(own))
+        assert stage(docs.limit(0)).count() == 0
+    assert simhash_dedup.keep_one(docs, similar=0.8).filter("doc_id = 4").count() == 1

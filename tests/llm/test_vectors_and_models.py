@@ -22,11 +22,11 @@ from stimfuse.llm import exact_topk, language_id, mixing, simhash_dedup, toxicit
 
 def brute_topk(vectors, queries, k, scale=256.0):
     ok = [(i, [int(np.floor(scale * np.float64(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    asked = {(i, tuple(v)): v for i, v in ok if any(i == q for q, _ in queries)}
     out = []
-    for (i, _), q in asked.items():
-        s = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i))[:k]  # noqa: B905
-        out += [(i, n + 1, j, -p) for n, (p, j) in enumerate(s)]
+    for own, (i, q) in enumerate(ok):  # queries holds every row of its ids
+        if any(i == x for x, _ in queries):
+            s = sorted((-sum(a * b for a, b in zip(q, v)), j) for n, (j, v) in enumerate(ok) if n != own)[:k]  # noqa: B905
+            out += [(i, n + 1, j, -p) for n, (p, j) in enumerate(s)]
     return sorted(out)
 
 
@@ -46,12 +46,22 @@ def test_topk_equals_brute_force(spark, kind, rounds, monkeypatch):
     if kind == "unit":
         m /= np.linalg.norm(m, axis=1)[:, None]
     rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in enumerate(m)]
-    rows += [(50, rows[50][1]), (1000, None), (1050, [None] * 12), (1100, [float("nan")] * 12), (1150, [float("inf")] * 12), (None, rows[1][1]), (1200, [1.0, 2.0]), (1250, [])]
+    rows += [(50, rows[50][1]), (50, rows[50][1]), (100, rows[7][1]), (7, rows[8][1]), (1000, None), (1050, [None] * 12), (1100, [float("nan")] * 12), (1150, [float("inf")] * 12), (None, rows[1][1]), (1200, [1.0, 2.0]), (1250, [])]
+    monkeypatch.setattr(exact_topk, "GROUP", 1 if rounds == 2 else 16)
     df = spark.createDataFrame(rows, "vec_id bigint, v array<float>")
     got = sorted(map(tuple, exact_topk.search(df, df.filter("vec_id % 50 = 0"), 5).collect()))
     assert got == brute_topk(rows, [x for x in rows if x[0] is not None and x[0] % 50 == 0], 5)
 
 
+def test_topk_of_repeated_ids(spark):
+    """The other row of a query's id is a candidate, and so is a second row with its vector; more columns and names don't matter."""
+    rows = [(0, [1.0, 0.0], 1), (0, [0.5, 0.5], 2), (1, [0.2, 0.1], 3), (50, [0.1, 0.9], 4), (50, [0.1, 0.9], 5)]
+    df = spark.createDataFrame(rows, "own bigint, score array<double>, rank int").select("own", "score")
+    got = sorted(map(tuple, exact_topk.search(df, df.filter("own % 50 = 0"), 2).collect()))
+    assert got == brute_topk([r[:2] for r in rows], [r[:2] for r in rows if r[0] % 50 == 0], 2)
+    assert (0, 1, 0, 32768) in got
+
+
 def test_topk_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id bigint, v array<float>")
     assert exact_topk.search(df, df).count() == 0
