@@ -2,7 +2,8 @@
 
 Each round replaces the links of every node by links to the smallest node it knows, first towards larger neighbours and then
 among smaller ones, until nothing changes; each round is a reliable checkpoint. The minimum of a node is a partial
-aggregation, so a node with very many links costs no more than its rows.
+aggregation, so a node with very many links costs no more than its rows. Links are few beside the rows they come from: each step
+is run by as many tasks as their counted number needs, so that exchanges don't leave files of every task for a handful of rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,15 @@ from pyspark.sql import functions as F
 from stimfuse.session import checkpointed
 
 
+#: Links that a task takes.
+TASK = 250_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as so many rows need."""
+    return df.coalesce(max(1, -(-rows // TASK)))
+
+
 def _to_smallest(links: DataFrame) -> DataFrame:
     """links (u, v): every v of u, and u itself, gets a link to the least of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -23,13 +33,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (u, v), of any orderable type: one row (node, component) per node that has a link; component is the least node that it reaches."""
     now = checkpointed(links.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds):
+        n = now.count()
+        now = few(now, n)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.filter("u <> v").distinct()
+        down = few(few(large.filter("u <> v"), n).distinct(), n)
         # among smaller neighbours: each, and the node itself, to the least
         small = _to_smallest(down)
-        next_links = small.select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        later = checkpointed(next_links)
+        next_links = small.select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        later = checkpointed(few(few(next_links, n).distinct(), n))
         # stars: every node has one link, and no target has a link of its own
         open_ends = later.select(F.col("v").alias("u")).distinct().join(later, "u", "left_semi").limit(1).count() + later.groupBy("u").count().filter("count > 1").limit(1).count()
         now = later

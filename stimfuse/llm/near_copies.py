@@ -113,8 +113,10 @@ def links(docs: DataFrame, rows: DataFrame, named: DataFrame, mark, size: int =
         out = similar_links(t.select(["component", "side", "found"]).to_pydict(), similar)
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    rows = texts.select("fp", "member", F.explode("keys").alias("key")).distinct()
-    rows = checkpointed(rows.join(named.select("fp", "component"), "fp").select("key", "member", "component"))
+    # a row per member, not per text and key, meets its component and is stored
+    members = texts.groupBy("member").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    members = checkpointed(members.join(named.select("fp", "component"), "fp").select("member", "component", "keys"))
+    rows = members.select(F.explode("keys").alias("key"), "member", "component")
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("member")).alias("who"), F.min("member").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
     one = groups.filter("low < high").groupBy("n", "who", "lead").agg(F.min("key").alias("key"))
     open_ = checkpointed(rows.join(one.select("key", "n", "lead"), "key").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")))
@@ -122,8 +124,9 @@ def links(docs: DataFrame, rows: DataFrame, named: DataFrame, mark, size: int =
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(one_of, one_of.count()))  # 2**ID_BITS bits at most
     held = map_batches(docs, sets, "member bigint, found binary").dropDuplicates(["member"])
     part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
-    dealt = open_.filter("member <> lead").withColumn("part", part).unionByName(open_.filter("member = lead").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    first = dealt.withColumn("side", F.lit(-1)).join(held, "member").select("key", "part", "component", "side", "found")
+    # the least member stands in every chunk, but meets its shingles once
+    parts = F.when(F.col("member") == F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    first = open_.join(held, "member").withColumn("part", F.explode(parts)).withColumn("side", F.lit(-1)).select("key", "part", "component", "side", "found")
     found = checkpointed(first.groupBy("key", "part").applyInArrow(compare, "u bigint, v bigint").distinct())
     # what chunks of large groups leave apart
     large = open_.filter("parts > 1")
@@ -136,8 +139,9 @@ def links(docs: DataFrame, rows: DataFrame, named: DataFrame, mark, size: int =
     state = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
     state = state.select("key", F.col("top.component").alias("base"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK).cast("int").alias("blocks")).filter("blocks > 0")
     cut = checkpointed(large.join(state, "key"))
-    every = cut.withColumn("low", part).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    rest = cut.filter("component <> base").withColumn("high", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
-    columns = ["key", "low", "high", "member", "component", "side"]
-    met = every.select(columns).unionByName(rest.select(columns)).join(held, "member").select("key", "low", "high", "component", "side", "found")
+    met = cut.join(held, "member")
+    every = met.withColumn("low", part).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    rest = met.filter("component <> base").withColumn("high", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    columns = ["key", "low", "high", "component", "side", "found"]
+    met = every.select(columns).unionByName(rest.select(columns))
     return found.union(met.groupBy("key", "low", "high").applyInArrow(compare, "u bigint, v bigint").distinct())
