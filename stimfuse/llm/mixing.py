@@ -13,7 +13,7 @@ sources, one row each, is broadcast if its counted bytes are at most BROADCAST,
 
 Edge cases: a null text has size 0; a text of any length is counted whole; a null source is a source of its own, last in order;
 a null id hashes as the empty text; a source without words has target 0; an empty table gives no rows; columns beyond id, text
-and source are not read by mix() and kept by mixed(), whatever their names (but for __source, __whole, __cut and __copies).
+and source are not read by mix() and kept by mixed(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import WORD
+from stimfuse.llm.common import WORD, free_name
 from stimfuse.session import checkpointed
 
 #: The hash has BITS bits; each histogram resolves STEP of them for the boundary bucket, before single hashes are compared.
@@ -70,8 +70,9 @@ def beside(rows: DataFrame, sources: DataFrame, key: str, spread: Column, small:
     """rows joined to sources by `key` without gathering a source's rows in one task; spread: any well spread number of a row."""
     if small:
         return rows.join(F.broadcast(sources), key)
-    salted = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+    salt = free_name("__salt", [*rows.columns, *sources.columns])
+    salted = sources.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, salt]).drop(salt)
 
 
 def fits(sources: DataFrame) -> bool:
@@ -124,13 +125,14 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: float
     """The mix itself: the rows of docs, all columns, each as many times as the mix takes it, where they stand: texts aren't shuffled.
     A row without words has nothing to take and stays once."""
     _, cuts, small = _cuts(docs, weights, share, most, id_col, text_col, source_col)
-    cuts = cuts.select(F.col("key").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    source, whole, cut, times = (free_name(n, docs.columns) for n in ("__source", "__whole", "__cut", "__copies"))
+    cuts = cuts.select(F.col("key").alias(source), F.col("whole").alias(whole), F.col("cut").alias(cut))
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     h = id_hash(F.col(id_col))
-    copies = F.col("__whole") + F.when(h <= F.col("__cut"), 1).otherwise(0)
+    copies = F.col(whole) + F.when(h <= F.col(cut), 1).otherwise(0)
     copies = F.when(word_count(F.col(text_col)) == 0, 1).otherwise(copies).cast("int")
-    found = beside(docs.withColumn("__source", key), cuts, "__source", F.struct(h, F.col(text_col)), small).withColumn("__copies", copies)
-    return found.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(docs.columns)
+    found = beside(docs.withColumn(source, key), cuts, source, F.struct(h, F.col(text_col)), small).withColumn(times, copies)
+    return found.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(docs.columns)
 
 
 #: DuckDB form of op3: the same hash as hex text, running sums instead of histograms.

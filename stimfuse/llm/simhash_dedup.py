@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stimfuse.llm import near_copies
-from stimfuse.llm.common import map_batches
+from stimfuse.llm.common import map_batches, free_name
 from stimfuse.llm.components import components
 from stimfuse.session import checkpointed
 
@@ -278,16 +278,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     unclear_ids = unclear.filter("id is not null").select(F.col("id").alias(id_col))
     plain = docs.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").join(unclear_ids, id_col, "left_anti")
     rest = docs.join(unclear_ids, id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    own, kept_id, kept_fp = (free_name(n, docs.columns) for n in ("__fp", "__kept", "__kept_fp"))
     fields = docs.schema.names
 
     def mark(b: pa.RecordBatch):
         fp = np.array([fingerprint(t.as_py(), size, seed) for t in b.column(text_col)], np.uint64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_signed(fp))], names=[*fields, "__fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_signed(fp))], names=[*fields, own])
 
-    marked_rest = map_batches(rest, mark, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    k = kept.select(F.col("id").alias("__kept"), F.col("fp").alias("__kept_fp"))
-    held = marked_rest.join(k, F.col(id_col).eqNullSafe(F.col("__kept")) & (F.col("__fp") == F.col("__kept_fp")), "left_semi")
-    return plain.unionByName(held.dropDuplicates([id_col, "__fp"]).drop("__fp"))
+    marked_rest = map_batches(rest, mark, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    k = kept.select(F.col("id").alias(kept_id), F.col("fp").alias(kept_fp))
+    held = marked_rest.join(k, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_fp)), "left_semi")
+    return plain.unionByName(held.dropDuplicates([id_col, own]).drop(own))
 
 
 def digits(fp) -> object:
