@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import subprocess
@@ -232,3 +233,87 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {i: np.array(library.encode_ordinary(t or ""), "<u4") for i, t in want.items()}
     assert got == sorted((i, len(ids[i]), sha(ids[i].tobytes()), sha((want[i] or "").encode())) for i, n in times.items() for _ in range(n))
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == got
+
+
+def test_language_model_equals_plain_python(spark):
+    """The whole of fit() and predict() again, with dictionaries and loops: n-grams, document frequencies, leaders, temperature."""
+    r = random.Random(4)
+    kinds = {"aa": ["ka", "to", "É", "mu"], "bb": ["sch", "ein", "12", "keit"]}
+    rows = [(i, words(r, kinds[k], r.randint(1, 6)), k) for i in range(40) for k in [r.choice(list(kinds))]] + [(90, None, "aa"), (91, "12 34", "bb"), (92, "einka", None)]
+    rows += [(93, rows[0][1], rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs, epochs=2)
+    bits = lambda x: x % 2**32
+
+    def features(text):
+        chars = [c if c.isalpha() else " " for c in (text or "").lower()]
+        kept = [c for k, c in enumerate(chars) if c != " " or (k and chars[k - 1] != " ")]
+        if not any(c != " " for c in chars):
+            return None
+        c, out = [32, *map(ord, kept), 32], {}
+        grams = [bits(a * 0x9E3779B1) >> 17 for a in c]
+        grams += [bits((bits(a * 0x85EBCA6B) ^ bits(b * 0xC2B2AE35)) * 0x9E3779B1) >> 17 for a, b in zip(c, c[1:], strict=False)]
+        grams += [bits((bits(a * 0x27D4EB2F) ^ bits(b * 0x85EBCA6B) ^ bits(d * 0x165667B1)) * 0x9E3779B1) >> 17 for a, b, d in zip(c, c[1:], c[2:], strict=False)]
+        for g in grams:
+            out[g] = out.get(g, 0) + 1
+        return out
+
+    learning = [x for x in rows if x[2] is not None]
+    df = {}
+    for _, text, _ in learning:
+        for g in features(text) or ():
+            df[g] = df.get(g, 0) + 1
+    idf = lambda g: math.log((1 + len(learning)) / (1 + df.get(g, 0))) + 1
+
+    def vector(text):
+        x = {g: math.log1p(n) * idf(g) for g, n in features(text).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {g: v / size for g, v in x.items()}
+
+    drawn = docs.filter("lang is not null and text rlike '\\\\p{L}'").selectExpr("lang", "text", "xxhash64(text) digest").distinct().selectExpr("*", "shiftrightunsigned(xxhash64(digest, lang), 11) o").collect()
+    order = []
+    for label in kinds:
+        mine = sorted((x for x in drawn if x.lang == label), key=lambda x: (x.o, x.digest))
+        order += [(k + 1, label, x.text) for k, x in enumerate(mine)]
+    order.sort()
+    labels = sorted(kinds)
+    z, n = [{} for _ in labels], [{} for _ in labels]
+    alpha, beta, l1, l2 = 1.0, 1.0, 0.02, 0.01
+
+    def weight(c, g):
+        v = z[c].get(g, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n[c].get(g, 0.0))) / alpha + l2)
+
+    def scored(x):
+        return [sum(v * weight(c, g) for g, v in x.items()) for c in range(len(labels))]
+
+    def probabilities(s):
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    every = round(1 / language_id.HELD)
+    for _ in range(2):
+        for place, label, text in order:
+            if place % every == 0:
+                continue
+            x = vector(text)
+            p = probabilities(scored(x))
+            w = {(c, g): weight(c, g) for c in range(len(labels)) for g in x}
+            for c, name in enumerate(labels):
+                for g, v in x.items():
+                    grad = (p[c] - (name == label)) * v
+                    old = n[c].get(g, 0.0)
+                    z[c][g] = z[c].get(g, 0.0) + grad - (math.sqrt(old + grad * grad) - math.sqrt(old)) / alpha * w[c, g]
+                    n[c][g] = old + grad * grad
+    assert model.labels == labels
+    for c in range(len(labels)):
+        seen = {g: weight(c, g) for g in z[c]}
+        assert all(abs(model.weights[g, c] - v) < 1e-5 for g, v in seen.items())
+        assert all(model.weights[g, c] == 0 for g in range(language_id.DIMENSIONS) if g not in seen)
+    got = {x.doc_id: x for x in language_id.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        if features(text) is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        p = probabilities([v / model.t for v in scored(vector(text))])
+        assert got[i].lang_pred == labels[p.index(max(p))] and abs(got[i].score - max(p)) < 1e-4
