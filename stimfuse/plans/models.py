@@ -1,5 +1,5 @@
 """Queries on regression models, with SQL for ridge: the inverse of each penalised Gram matrix by elimination, and leave-one-out
-errors from it. PCA and decoding have no SQL; tests hold them against brute force."""
+errors from it, and for decoding: Newton steps by elimination. PCA has no SQL; a test holds it against NumPy."""
 
 from __future__ import annotations
 
@@ -169,7 +169,21 @@ sig as (select half, condition, e[1:8] as x from hv), resp as (select half, cond
 STAGE1 = _ridge_sql("s1", "sig", "resp", "half", _alphas_sql(16, 20), 8) + ", " + _made_sql("m1", "s1_w", "sig")
 LAYERS = ", ".join(f"f{k} as (select half, condition, e[{first}:{first + 7}] as x from hv), " + _ridge_sql(f"l{k}", f"f{k}", "m1", "half", _alphas_sql(16, 20), 8) + ", " + _made_sql(f"n{k}", f"l{k}_w", f"f{k}") for k, first in enumerate((9, 17, 25)))
 COEF = "list_transform(coef, lambda c: round(c, 6) + 0.0) as coef"
+#: One Newton step of a linear machine over signed rows r with weights w: normal equations of the rows inside the margin, by elimination.
+STEP = """list_transform(list_reduce(list_prepend(
+      list_transform(range(1, 14), lambda a: list_concat(list_transform(range(1, 14), lambda b: coalesce(list_sum(list_transform(list_filter(r, lambda x: list_dot_product(x, w) < 1), lambda x: x[a] * x[b])), 0) + case when a = b then 0.5 else 0 end), [coalesce(list_sum(list_transform(list_filter(r, lambda x: list_dot_product(x, w) < 1), lambda x: x[a])), 0)])),
+      list_transform(range(1, 14), lambda s: [[s::double]])),
+    lambda m, s: list_transform(m, lambda row, i: case when i = s[1][1] then list_transform(row, lambda v: v / row[s[1][1]::int]) else list_transform(row, lambda v, k: v - row[s[1][1]::int] * m[s[1][1]::int][k] / m[s[1][1]::int][s[1][1]::int]) end)), lambda row: row[14])"""
+DECODING = VIEWS + f""", px as (select label, condition % 6 as fold, range as pos, avg(embedding[range + 1]::double) as v from features, range(12) group by all),
+pt as (select label, fold, list_append(list(v order by pos), 1.0::double) as x from px group by all),
+pc as (select label, list(x order by fold) as xs from pt group by label having count(*) = 6),
+pf as (select a.label as i, b.label as j, f.range as f, a.xs as p, b.xs as q,
+  list_concat(list_transform(list_filter(range(1, 7), lambda k: k <> f.range), lambda k: a.xs[k]), list_transform(list_filter(range(1, 7), lambda k: k <> f.range), lambda k: list_transform(b.xs[k], lambda e: -e))) as r
+  from pc a join pc b on a.label < b.label, range(1, 7) f),
+pw as (select i, j, f, p, q, list_reduce(list_transform(range(31), lambda k: list_transform(range(13), lambda e: 0.0::double)), lambda w, z: {STEP}) as w from pf)
+select 0 as t_idx, i, j, avg((case when list_dot_product(p[f], w) > 0 then 0.5 else 0 end) + (case when list_dot_product(q[f], w) <= 0 then 0.5 else 0 end)) as d from pw group by i, j"""
 SQL = {
+    "decoding_rdm": DECODING,
     "ridge_cv": f"{HALVED}, {_ridge_sql('s1', 'sig', 'resp', 'half', _alphas_sql(16, 20), 8)} select half, target, round(alpha, 6) as alpha, round(intercept, 6) + 0.0 as intercept, {COEF} from s1_w",
     "ridge_cv_single": HALVED + """, pr as (select a.label, a.condition * 1000000 + b.condition as condition, list_transform(range(1, 5), lambda k: (a.e[k] - b.e[k]) ** 2) as x,
         list_transform(a.e[33:48], lambda v: v - list_avg(a.e[33:48])) as p, list_transform(b.e[33:48], lambda v: v - list_avg(b.e[33:48])) as q from hv a join hv b on a.label = b.label and a.condition < b.condition),
