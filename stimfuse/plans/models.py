@@ -1,5 +1,5 @@
 """Queries on regression models, with SQL for ridge: the inverse of each penalised Gram matrix by elimination, and leave-one-out
-errors from it, and for decoding: Newton steps by elimination. PCA has no SQL; a test holds it against NumPy."""
+errors from it; for decoding, Newton steps by elimination; for principal components, seven sweeps of Jacobi rotations."""
 
 from __future__ import annotations
 
@@ -182,8 +182,22 @@ pf as (select a.label as i, b.label as j, f.range as f, a.xs as p, b.xs as q,
   from pc a join pc b on a.label < b.label, range(1, 7) f),
 pw as (select i, j, f, p, q, list_reduce(list_transform(range(31), lambda k: list_transform(range(13), lambda e: 0.0::double)), lambda w, z: {STEP}) as w from pf)
 select 0 as t_idx, i, j, avg((case when list_dot_product(p[f], w) > 0 then 0.5 else 0 end) + (case when list_dot_product(q[f], w) <= 0 then 0.5 else 0 end)) as d from pw group by i, j"""
+#: One Jacobi rotation z of m, a covariance matrix above the vectors turned so far: cosine and sine, then both columns and both rows.
+ANGLE = """list_transform([case when m[z[1][1]::int][z[1][2]::int] = 0 then 0.0::double else (m[z[1][2]::int][z[1][2]::int] - m[z[1][1]::int][z[1][1]::int]) / (2 * m[z[1][1]::int][z[1][2]::int]) end], lambda tau: list_transform([case when m[z[1][1]::int][z[1][2]::int] = 0 then 0.0::double else case when tau < 0 then -1 else 1 end / (abs(tau) + sqrt(1 + tau * tau)) end], lambda t: [1 / sqrt(1 + t * t), t / sqrt(1 + t * t), z[1][1], z[1][2]])[1])[1]"""
+TURN = f"""list_transform([{ANGLE}], lambda w: list_transform([list_transform(m, lambda r: list_transform(r, lambda v, k: case when k = w[3] then w[1] * r[w[3]::int] - w[2] * r[w[4]::int] when k = w[4] then w[2] * r[w[3]::int] + w[1] * r[w[4]::int] else v end))], lambda n:
+   list_transform(n, lambda r, i: case when i = w[3] then list_transform(n[w[3]::int], lambda v, k: w[1] * v - w[2] * n[w[4]::int][k]) when i = w[4] then list_transform(n[w[3]::int], lambda v, k: w[2] * v + w[1] * n[w[4]::int][k]) else r end))[1])[1]"""
+PCA = VIEWS + f""", x as (select condition, embedding::double[] as x from features),
+mean as (select list(m order by pos) as mu from (select pos.range as pos, avg(x[pos.range]) as m from x, range(1, 65) pos where condition % 2 = 0 group by 1)),
+cov as (select list(row order by a) as c from (select a, list(s order by b) as row from (select a.range as a, b.range as b, avg((x[a.range] - mu[a.range]) * (x[b.range] - mu[b.range])) as s from x, mean, range(1, 65) a, range(1, 65) b where condition % 2 = 0 group by 1, 2) group by a)),
+eig as (select list_reduce(list_concat([list_concat(c, list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: case when i = j then 1.0::double else 0.0::double end)))],
+   (select list([[p.range::double, q.range::double]] order by s.range, p.range, q.range) from range(7) s, range(1, 65) p, range(1, 65) q where p.range < q.range)), lambda m, z: {TURN}) as m from cov),
+val as (select k.range as k, m[k.range][k.range] as value, list_transform(range(65, 129), lambda i: m[i][k.range]) as vec from eig, range(1, 65) k),
+top as (select row_number() over (order by value desc) as nth, case when vec[list_position(list_transform(vec, lambda e: abs(e)), list_max(list_transform(vec, lambda e: abs(e))))] < 0 then list_transform(vec, lambda e: -e) else vec end as vec from val),
+five as (select list(vec order by nth) as w from top where nth <= 5)
+select condition, list_transform(w, lambda u: round(list_dot_product(list_transform(x, lambda e, k: e - mu[k]), u), 5)) as x from x, mean, five"""
 SQL = {
     "decoding_rdm": DECODING,
+    "pca_fit_apply": PCA,
     "ridge_cv": f"{HALVED}, {_ridge_sql('s1', 'sig', 'resp', 'half', _alphas_sql(16, 20), 8)} select half, target, round(alpha, 6) as alpha, round(intercept, 6) + 0.0 as intercept, {COEF} from s1_w",
     "ridge_cv_single": HALVED + """, pr as (select a.label, a.condition * 1000000 + b.condition as condition, list_transform(range(1, 5), lambda k: (a.e[k] - b.e[k]) ** 2) as x,
         list_transform(a.e[33:48], lambda v: v - list_avg(a.e[33:48])) as p, list_transform(b.e[33:48], lambda v: v - list_avg(b.e[33:48])) as q from hv a join hv b on a.label = b.label and a.condition < b.condition),
