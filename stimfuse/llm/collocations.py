@@ -7,7 +7,9 @@ order, so places merge), counts the longer phrases in its rows, and Spark sums t
 keeps the occurrences of phrases with at least `least` of them, and stores those that stand next to another.
 
 The semi-join asks a bitmap of bounded size, which may let rare phrases pass, never hold a frequent one back; their counts, which are
-always exact, drop them. So nothing that grows with the corpus is broadcast or collected, and no phrase is told by a hash alone.
+always exact, drop them. Before phrases are counted, their hashes are: occurrences are summed by bucket, and only phrases of buckets that
+hold `least` are counted by themselves, so that the many phrases that occur once or twice aren't shuffled. So nothing that grows with the
+corpus is broadcast or collected, and no phrase is told by a hash alone.
 
 Edge cases: a null text is empty, a null language is `und`; texts without words give nothing; long texts are taken whole; repeated rows
 count again; an empty table gives no rows; other columns are not read, whatever their names.
@@ -29,6 +31,10 @@ from stimfuse.session import shared_dir
 #: Fixed value of the contract: these end a piece. A byte that no text has stands for them, as a word of its own.
 ENDS, END = ".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes(255 if chr(b) in ENDS else b for b in range(256))
+#: Characters of the texts in a row of a relation; one text is never split.
+ROW = 600_000
+#: Bits of a bucket's number; bytes of a relation whose buckets a task sums.
+BITS, PART = 27, 4 << 20
 #: Groups of a language in which its best phrases are found before they meet.
 SALTS = 64
 
@@ -43,33 +49,69 @@ def pieces(text: str) -> bytes:
 class Occurrences:
     """Words of some pieces of one language, in order: `word` has their numbers, 0 for the end of a piece."""
 
-    def __init__(self, runs: bytes):
-        self.words = runs.split()  # what the table leaves of white space is spaces and tabs
-        number = {END: 0}
-        self.word = np.fromiter((number.setdefault(w, len(number)) for w in self.words), np.int64, len(self.words))
+    def __init__(self, words: list[bytes], word: np.ndarray):
+        self.words, self.word = words, word
+
+    @classmethod
+    def read(cls, runs: bytes) -> Occurrences:
+        words = runs.split()  # what the table leaves of white space is spaces and tabs
+        number = dict.fromkeys([END, *words])
+        number = dict(zip(number, range(len(number)), strict=True))
+        return cls(words, np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places of all phrases of k words, the number of the phrase at each, a place of each phrase)."""
         place = np.flatnonzero(self.word)
-        first, gram = np.unique(self.word[place], return_index=True, return_inverse=True)[1:]
+        gram = self.word[place]
+        one = np.full(int(gram.max(initial=0)) + 1, -1)
+        one[gram] = place
+        first = one[one >= 0]
+        gram = (np.cumsum(one >= 0) - 1)[gram]
         for n in range(1, k):
             # places of n words meet the word that follows, unless their piece ends there
             inside = place + n < len(self.word)
             inside[inside] = self.word[place[inside] + n] > 0
             place, gram = place[inside], gram[inside]
-            first, gram = np.unique(gram << 32 | self.word[place + n], return_index=True, return_inverse=True)[1:]
-        return place, gram, place[first] if len(place) else place
+            key = gram << 32 | self.word[place + n]
+            order = np.argsort(key)
+            key = key[order]
+            opens = np.concatenate([key[:1] >= 0, key[1:] != key[:-1]])
+            first, gram = order[opens], np.empty(len(key), np.int64)
+            gram[order] = np.cumsum(opens) - 1
+            first = place[first]
+        return place, gram, first
 
     def phrase(self, at: int, k: int) -> bytes:
         return b" ".join(self.words[at : at + k])
 
-    def runs(self, place: np.ndarray, k: int) -> bytes:
+    def runs(self, place: np.ndarray, k: int) -> Occurrences:
         """The relation of these places of phrases of k words, without those that have no neighbour."""
         cut = np.flatnonzero(np.diff(place) != 1) + 1
         begins = np.concatenate([place[:1], place[cut]])
         ends = np.concatenate([place[cut - 1], place[-1:]]) + k
         some = ends - begins > k
-        return b" \xff ".join([b" ".join(self.words[p:q]) for p, q in zip(begins[some].tolist(), ends[some].tolist(), strict=True)])
+        begins, size = begins[some], (ends - begins)[some] + 1  # with the end of the piece
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins, size)
+        last = np.cumsum(size) - 1
+        at[last] = 0
+        word = self.word[at] if len(at) else at
+        word[last] = 0
+        words = list(map(self.words.__getitem__, at.tolist()))
+        for x in last.tolist():
+            words[x] = END
+        return Occurrences(words, word)
+
+    def buckets(self, lang: str, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """grams(), and the bucket of each phrase, which follows from its language and words alone."""
+        place, gram, first = self.grams(k)
+        h = np.full(len(first), xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), k), np.uint64)
+        if len(first):
+            h_word, one = np.zeros(int(self.word.max()) + 1, np.uint64), self.grams(1)[2]
+            h_word[self.word[one]] = [xxhash.xxh64_intdigest(self.words[p], 42) for p in one.tolist()]
+            for n in range(k):
+                h = (h ^ h_word[self.word[first + n]]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+        return place, gram, first, (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _hashes(lang: str, phrases: list[bytes]) -> pa.Array:
@@ -86,7 +128,7 @@ def relation(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             if text:
                 by.setdefault(lang, []).append(text)
         for lang, texts in by.items():
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, ROW):
                 yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([b" \xff ".join(map(pieces, texts[lo:hi]))], pa.binary())], names=["lang", "runs"])
 
     return map_batches(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")), pack, RELATION)
@@ -94,16 +136,54 @@ def relation(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[str, Occurrences]]:
     for lang, runs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-        yield lang, Occurrences(runs.as_py())
+        yield lang, Occurrences.read(runs.as_py())
+
+
+def _bucket_rows(found: Occurrences, lang: str, k: int, least: int, shift: int) -> list[tuple]:
+    """(part, buckets, occurrences in each, at most `least`): the buckets of the phrases of k words, by ranges of 2**shift buckets."""
+    _, gram, first, bucket = found.buckets(lang, k, BITS)
+    n = np.minimum(np.bincount(gram, minlength=len(first)), least).astype("<u4")
+    order = np.argsort(bucket)
+    bucket, n = bucket[order].astype("<u4"), n[order]
+    cuts = np.flatnonzero(np.diff(bucket.astype(np.int64) >> shift, prepend=-1)).tolist()
+    return [(int(bucket[p] >> shift), bucket[p:q].tobytes(), n[p:q].tobytes()) for p, q in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+
+
+def heavy_buckets(rows: DataFrame, least: int, shift: int) -> np.ndarray:
+    """A bitmap of the buckets that hold at least `least` occurrences; rows (part, bucket, n) of _bucket_rows(), a part to a task."""
+
+    def add(key, t):
+        start = key[0].as_py() << shift
+        total = np.zeros(1 << shift, np.int64)
+        for bucket, n in zip(t.column("bucket"), t.column("n"), strict=True):
+            np.add.at(total, np.frombuffer(bucket.as_buffer(), "<u4").astype(np.int64) - start, np.frombuffer(n.as_buffer(), "<u4"))
+        heavy = np.flatnonzero(total >= least) + start
+        first = int(heavy[0] >> 3) if len(heavy) else 0
+        piece = np.zeros(int(heavy[-1] >> 3) - first + 1 if len(heavy) else 0, np.uint8)
+        np.bitwise_or.at(piece, (heavy >> 3) - first, (1 << (heavy & 7)).astype(np.uint8))
+        return pa.table({"first": pa.array([first], pa.int64()), "piece": pa.array([piece.tobytes()], pa.binary())})
 
+    bitmap = np.zeros(1 << BITS - 3, np.uint8)
+    for r in rows.select("part", "bucket", "n").groupBy("part").applyInArrow(add, "first bigint, piece binary").toLocalIterator():  # pieces of one bitmap
+        piece = np.frombuffer(r.piece, np.uint8)
+        bitmap[r.first : r.first + len(piece)] |= piece
+    return bitmap
 
-def counts(rel: DataFrame, k: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases of k words in a relation; for k = 1 the empty phrase has the number of all words."""
+
+def counts(rel: DataFrame, k: int, heavy: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, f) of the phrases of k words in a relation, of heavy buckets alone if they are given; for k = 1 the empty phrase has
+    the number of all words."""
+    shared = rel.sparkSession.sparkContext.broadcast(heavy)  # 2**BITS bits at most
 
     def count(b: pa.RecordBatch):
         for lang, found in _rows(b):
-            place, gram, first = found.grams(k)
-            n = np.bincount(gram, minlength=len(first))
+            if shared.value is None:
+                place, gram, first = found.grams(k)
+                n = np.bincount(gram, minlength=len(first))
+            else:
+                place, gram, first, bucket = found.buckets(lang, k, BITS)
+                some = np.flatnonzero(shared.value[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1)
+                n, first = np.bincount(gram, minlength=len(first))[some], first[some]
             phrases = [found.phrase(p, k) for p in first.tolist()]
             if k == 1:
                 phrases, n = [*phrases, b""], np.append(n, len(place))
@@ -112,8 +192,12 @@ def counts(rel: DataFrame, k: int) -> DataFrame:
     return map_batches(rel, count, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def frequent_places(rel: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
-    """The relation of the phrases of k words that are frequent (and of some others, which the bitmap lets pass)."""
+STORED = RELATION + ", part bigint, bucket binary, n binary"
+
+
+def frequent_places(rel: DataFrame, frequent: DataFrame, k: int, least: int, shift: int) -> DataFrame:
+    """STORED: the relation of the phrases of k words that are frequent (and of some others, which the bitmap lets pass), and beside it
+    the buckets of the phrases of k + 1 words that it holds, in rows of their own."""
 
     def hashed(b: pa.RecordBatch):
         by: dict[str, list[bytes]] = {}
@@ -131,26 +215,33 @@ def frequent_places(rel: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
             if not len(place):
                 continue
             kept = in_bitmap(_hashes(lang, [found.phrase(p, k) for p in first.tolist()]), *shared.value)
-            runs = found.runs(place[kept[gram]], k)
-            if runs:
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([runs], pa.binary())], names=["lang", "runs"])
+            found = found.runs(place[kept[gram]], k)
+            if not found.words:
+                continue
+            out = [(lang, b" ".join(found.words), None, None, None)] + [(None, None, *x) for x in _bucket_rows(found, lang, k + 1, least, shift)]
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["lang", "runs", "part", "bucket", "n"])
 
-    return map_batches(rel, keep, RELATION)
+    return map_batches(rel, keep, STORED)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang") -> list[DataFrame]:
     """For each length k up to `longest`, (lang, phrase, f) of the phrases with at least `least` occurrences; the first also has the empty
     phrase of each language, with the number of its words."""
-    spark, out = docs.sparkSession, []
+    spark, out, heavy = docs.sparkSession, [], None
     rel = relation(docs, text_col, lang_col)
     for k in range(1, longest + 1):
         at = shared_dir(spark, f"phrases-{k}")
-        counts(rel, k).filter((F.col("f") >= least) | (F.col("phrase") == "")).write.parquet(at)
+        counts(rel, k, heavy).filter((F.col("f") >= least) | (F.col("phrase") == "")).write.parquet(at)
         out.append(spark.read.schema(COUNTS).parquet(at))
         if k < longest:
             at = shared_dir(spark, f"occurrences-{k}")
-            frequent_places(rel, out[-1].filter("phrase <> ''"), k).write.option("compression", "zstd").parquet(at)
-            rel = spark.read.schema(RELATION).parquet(at)
+            size = rel.agg(F.sum(F.octet_length("runs"))).first()[0] or 0 if k > 1 else docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+            shift = BITS - int(np.ceil(np.log2(min(1 << BITS - 10, max(64, -(-size // PART))))))
+            frequent_places(rel, out[-1].filter("phrase <> ''"), k, least, shift).write.parquet(at)
+            stored = spark.read.schema(STORED).parquet(at)
+            heavy = heavy_buckets(stored.filter("part is not null"), least, shift)
+            rel = stored.filter("part is null").select("lang", "runs")
     return out
 
 
