@@ -171,6 +171,27 @@ def test_sinks(spark, tmp_path):
         readers.scan_split_labels(spark, f"{tmp_path}/labels", 4, 5)
 
 
+def test_score_map_of_small_blocks_is_few_files(spark, tmp_path):
+    """Many small blocks don't make a file each; a block lies in one file, and a read of some blocks is told to Parquet. Blocks of the usual
+    size, negative vertices and none keep their rows."""
+    ids = [*range(-20, 400), *range(8000, 8200), 20000, None]
+    scores = spark.createDataFrame([(s, h, t, v, 0.5 * t) for s in (1, 2) for h in "FV" for t in range(2) for v in ids], "subject int, hemi string, t_idx int, vertex int, score double")
+    for block in (8, 7802):
+        at = f"{tmp_path}/map-{block}"
+        sinks.write_score_map(scores, at, block)
+        files = list(Path(at).rglob("*.parquet"))
+        assert len(files) <= 4 * 5
+        got = spark.read.parquet(at)
+        assert sorted(map(repr, got.select("subject", "hemi", "t_idx", "vertex", "score").collect())) == sorted(map(repr, scores.withColumn("score", F.col("score").cast("float")).collect()))
+        assert got.filter(f"v_block is not null and v_block <> floor(vertex / {block}) + 1").count() == got.filter("v_block is null and vertex is not null").count() == 0
+        of = got.withColumn("file", F.input_file_name())
+        assert of.groupBy("subject", "hemi", "v_block").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).first()[0] == 1
+        some = readers.scan_partitioned(spark, at, hemi="F", v_block=[1, 2])
+        assert sorted({r.vertex for r in some.collect()}) == [v for v in ids if v is not None and 0 <= v < 2 * block]
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "v_block" in plan.split("PushedFilters")[1].split("]")[0]
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the given tables are not here")
 def test_apply_weights_predicts_every_condition(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
