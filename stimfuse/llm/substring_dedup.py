@@ -141,7 +141,7 @@ PACK = "shard bigint, salt int, done boolean, data binary"
 def _packed(shard: int, salt: int, done: bool, numbers: np.ndarray, texts: list[bytes]) -> tuple:
     """numbers: (columns, contexts). They are laid out byte by byte, so that their many zero bytes stand together."""
     head = np.array(numbers.shape[1], "<i8").tobytes()
-    return shard, salt, done, zlib.compress(head + np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(len(numbers), -1, 8).transpose(0, 2, 1).tobytes() + b"\n".join(texts), 1)
+    return shard, salt, done, zlib.compress(head + np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(len(numbers), -1, 8).transpose(0, 2, 1).tobytes() + b"\n".join(texts), 6)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -273,9 +273,9 @@ def spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: s
     return sent.groupBy("shard").applyInArrow(judge, suffix_dedup.SPANS)
 
 
-def _kept(text: str, runs: list | None) -> tuple[list[bytes], int, list[tuple[int, int]]]:
+def _kept(text: bytes, runs: list | None) -> tuple[list[bytes], int, list[tuple[int, int]]]:
     """Kept words, number of all words, removed runs."""
-    words = text.encode("utf-8", "surrogatepass").split()
+    words = text.split()
     cuts = suffix_dedup.merged([r["start"] for r in runs], [r["stop"] for r in runs]) if runs else []
     bounds = [0, *[x for c in cuts for x in c], len(words)]
     return [w for k in range(0, len(bounds), 2) for w in words[bounds[k] : bounds[k + 1]]], len(words), cuts
@@ -284,19 +284,24 @@ def _kept(text: str, runs: list | None) -> tuple[list[bytes], int, list[tuple[in
 def removal_digests(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
 
-    def run(b: pa.RecordBatch):
-        rows = []
-        for key, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+    def rows(ids: list, texts: list[bytes], every: list):
+        out = []
+        for key, text, runs in zip(ids, texts, every, strict=True):
             kept, n, _ = _kept(text, runs)
-            rows.append((key, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            out.append((key, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "n_words", "n_removed", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
-    whole, others = suffix_dedup.with_runs(docs.select(id_col, text_col), length, id_col, text_col, spans, **how)
-    others = others.select(F.col(f"row.`{id_col}`").alias(id_col), "text", "runs")
-    whole = whole.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast(others.schema["runs"].dataType).alias("runs"))
+    def untouched(b: pa.RecordBatch):
+        yield rows(b.column(0).to_pylist(), [x.as_buffer().to_pybytes() for x in b.column(1)], [None] * b.num_rows)
+
+    def cut(b: pa.RecordBatch):
+        yield rows(b.column(0).to_pylist(), [zlib.decompress(x.as_buffer()) for x in b.column(1)], b.column(2).to_pylist())
+
+    whole, others = suffix_dedup.with_runs(docs.select(id_col, text_col), length, id_col, text_col, spans, packed=True, **how)
+    whole = whole.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return map_batches(whole, run, schema).unionByName(map_batches(others, run, schema))
+    return map_batches(whole, untouched, schema).unionByName(map_batches(others, cut, schema))
 
 
 def remove(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -306,7 +311,7 @@ def remove(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col:
 
     def cut(b: pa.RecordBatch):
         texts, runs = b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-        out = [t if not r else b" ".join(_kept(t, r)[0]).decode("utf-8", "surrogatepass") for t, r in zip(texts, runs, strict=True)]
+        out = [t if not r else b" ".join(_kept(t.encode("utf-8", "surrogatepass"), r)[0]).decode("utf-8", "surrogatepass") for t, r in zip(texts, runs, strict=True)]
         columns = list(b.columns[:-1])
         columns[place] = pa.array(out, b.schema.field(place).type)
         yield pa.RecordBatch.from_arrays(columns, names=names)

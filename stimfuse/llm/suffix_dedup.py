@@ -407,9 +407,10 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder, **how) -> tuple[DataFrame, DataFrame]:
+def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder, packed: bool = False, **how) -> tuple[DataFrame, DataFrame]:
     """(rows of docs that surely lose nothing, the other rows as struct `row`, `text` and merged `runs`, null where nothing is removed).
 
+    With packed, the others are id, text as deflated UTF-8 (as their texts are shuffled), and runs.
     finder: spans() or another function of its kind. Only the other rows are shuffled to meet their runs. Which rows those are is told by a bitmap of ids of bounded size."""
     spark = docs.sparkSession
     repeated = ids_repeat(docs, id_col)
@@ -433,7 +434,17 @@ def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder,
         return map_batches(docs, run, docs.schema)
 
     # a text is in its row alone, so that it is shuffled once
-    others = keyed(rows(True), id_col, text_col, repeated).select("doc", "key", "row").join(runs, ["doc", "key"], "left")
+    others = keyed(rows(True), id_col, text_col, repeated).select("doc", "key", "row")
+    if packed:
+
+        def deflate(b: pa.RecordBatch):
+            small = [zlib.compress(x.as_buffer(), 6) for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(small, pa.binary())], names=["doc", "key", "id", "text"])
+
+        held = others.select("doc", "key", F.col(f"row.`{id_col}`").alias("id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
+        kind = held.schema["id"].dataType.simpleString()
+        return rows(False), map_batches(held, deflate, f"doc bigint, key bigint, id {kind}, text binary").join(runs, ["doc", "key"], "left").select("id", "text", "runs")
+    others = others.join(runs, ["doc", "key"], "left")
     return rows(False), others.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
 
 

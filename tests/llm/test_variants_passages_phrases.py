@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from stimfuse.llm import collocations, fm_index, spelling_variants, substring_dedup
+from stimfuse.llm import collocations, fm_index, spelling_variants, substring_dedup, suffix_dedup
 from stimfuse.llm.common import free_name
 
 
@@ -237,3 +237,12 @@ def test_rare_places_leave_the_relation(spark):
     assert runs == [b"a b", b"a b c", b"a b c", b"c a b c"]
     heavy = collocations.heavy_buckets(spark.createDataFrame([r for r in kept if r.part is not None], collocations.STORED), 3, 20)
     assert np.unpackbits(heavy).sum() == 2  # a b, four times, and b c, three times; c a is rare
+
+
+def test_passages_meet_their_runs_deflated(spark):
+    """Texts that lose words are shuffled small: a text that says much the same takes a fraction of its bytes."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{k % 400}" for k in range(3000)) + " é") for i in range(12)], "doc_id bigint, text string")
+    whole, others = suffix_dedup.with_runs(docs, 35, "doc_id", "text", substring_dedup.spans, packed=True)
+    rows = others.collect()
+    assert len(rows) + whole.count() == 12 and rows and all(len(r.text) < 0.3 * len(zlib.decompress(r.text)) for r in rows)
+    assert {r.id: zlib.decompress(r.text).decode() for r in rows}.items() <= {r.doc_id: r.text for r in docs.collect()}.items()
