@@ -17,7 +17,9 @@ count again; an empty table gives no rows; other columns are not read, whatever
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +57,8 @@ class Occurrences:
     @classmethod
     def read(cls, runs: bytes) -> Occurrences:
         words = runs.split()  # what the table leaves of white space is spaces and tabs
-        number = dict.fromkeys([END, *words])
-        number = dict(zip(number, range(len(number)), strict=True))
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        number[END]  # is 0
         return cls(words, np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,22 +103,34 @@ class Occurrences:
             words[x] = END
         return Occurrences(words, word)
 
-    def buckets(self, lang: str, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """grams(), and the bucket of each phrase, which follows from its language and words alone."""
+    def hashed(self, lang: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """grams(), and the hash of each phrase, which follows from its language and words alone."""
         place, gram, first = self.grams(k)
-        h = np.full(len(first), xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), k), np.uint64)
+        h_word = np.zeros(int(self.word.max(initial=0)) + 1, np.uint64)
         if len(first):
-            h_word, one = np.zeros(int(self.word.max()) + 1, np.uint64), self.grams(1)[2]
+            one = self.grams(1)[2]
             h_word[self.word[one]] = [xxhash.xxh64_intdigest(self.words[p], 42) for p in one.tolist()]
-            for n in range(k):
-                h = (h ^ h_word[self.word[first + n]]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
-        return place, gram, first, (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+        return place, gram, first, _mixed(lang, [h_word[self.word[first + n]] for n in range(k)])
+
+    def buckets(self, lang: str, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """grams(), and the bucket of each phrase, which follows from its language and words alone."""
+        place, gram, first, h = self.hashed(lang, k)
+        return place, gram, first, (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _mixed(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from those of their words: the first words' hashes, the second words', and so on."""
+    h = np.full(len(words[0]), xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), len(words)), np.uint64)
+    for w in words:
+        h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _hashes(lang: str, phrases: list[bytes]) -> pa.Array:
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
-    return pa.array(np.array([xxhash.xxh64_intdigest(p, seed) for p in phrases], np.uint64).view(np.int64))
+def _hashes(lang: str, phrases: list[bytes], k: int) -> pa.Array:
+    """Occurrences.hashed() of phrases of k words."""
+    words = np.array([xxhash.xxh64_intdigest(w, 42) for p in phrases for w in p.split(b" ")], np.uint64).reshape(-1, k)
+    return pa.array(_mixed(lang, list(words.T)).view(np.int64))
 
 
 def relation(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -204,17 +218,17 @@ def frequent_places(rel: DataFrame, frequent: DataFrame, k: int, least: int, shi
         for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             by.setdefault(lang, []).append(phrase)
         for lang, phrases in by.items():
-            yield pa.RecordBatch.from_arrays([_hashes(lang, phrases)], names=["id"])
+            yield pa.RecordBatch.from_arrays([_hashes(lang, phrases, k)], names=["id"])
 
     spark = rel.sparkSession
     shared = spark.sparkContext.broadcast(id_bitmap(map_batches(frequent.select("lang", "phrase"), hashed, "id bigint"), frequent.count()))  # 2**ID_BITS bits at most
 
     def keep(b: pa.RecordBatch):
         for lang, found in _rows(b):
-            place, gram, first = found.grams(k)
+            place, gram, _, h = found.hashed(lang, k)
             if not len(place):
                 continue
-            kept = in_bitmap(_hashes(lang, [found.phrase(p, k) for p in first.tolist()]), *shared.value)
+            kept = in_bitmap(pa.array(h.view(np.int64)), *shared.value)
             found = found.runs(place[kept[gram]], k)
             if not found.words:
                 continue

@@ -246,3 +246,14 @@ def test_passages_meet_their_runs_deflated(spark):
     rows = others.collect()
     assert len(rows) + whole.count() == 12 and rows and all(len(r.text) < 0.3 * len(zlib.decompress(r.text)) for r in rows)
     assert {r.id: zlib.decompress(r.text).decode() for r in rows}.items() <= {r.doc_id: r.text for r in docs.collect()}.items()
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_hashes_of_places_are_those_of_phrases(k):
+    """No phrase of a row is put together to ask for it: its words' hashes are mixed, as those of a frequent phrase are."""
+    found = collocations.Occurrences.read("a b a b c \xff a b é c".encode().replace("\xff".encode(), collocations.END))
+    assert found.words[5] == collocations.END and found.word.tolist() == [1, 2, 1, 2, 3, 0, 1, 2, 4, 3]
+    _, _, first, h = found.hashed("xx", k)
+    phrases = [found.phrase(p, k) for p in first.tolist()]
+    assert h.view(np.int64).tolist() == collocations._hashes("xx", phrases, k).to_pylist() and len(set(h.tolist())) == len(phrases)
+    assert not set(h.tolist()) & set(found.hashed("yy", k)[3].tolist())
