@@ -52,8 +52,8 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: Stands for a null id, and is larger than all others; bits of a bitmap of ids at most (as a power of two).
-NULL_ID, ID_BITS = 2**63 - 1, 27
+#: Stands for a null id, and is larger than all others; bits of a bitmap of ids at most (as a power of two); parts in which a bitmap comes to the driver, each by a job.
+NULL_ID, ID_BITS, BITMAP_PARTS = 2**63 - 1, 27, 16
 
 
 def id_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def id_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(k >> 5), pa.array(np.int64(1) << (k & 31))], names=["word", "bit"])
 
     table = np.zeros(1 << bits - 5, np.uint32)
-    for r in map_batches(ids, words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():  # words of one bitmap
+    for r in map_batches(ids, words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).coalesce(BITMAP_PARTS).toLocalIterator():  # words of one bitmap
         table[r["word"]] = r["bit"]
     return table, bits
 

@@ -114,13 +114,13 @@ def links(docs: DataFrame, rows: DataFrame, named: DataFrame, mark, size: int =
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     # a row per member, not per text and key, meets its component and is stored
-    members = texts.groupBy("member").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    members = checkpointed(members.join(named.select("fp", "component"), "fp").select("member", "component", "keys"))
+    members = texts.groupBy("member").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id"))
+    members = checkpointed(members.join(named.select("fp", "component"), "fp").select("member", "component", "keys", "id"))
     rows = members.select(F.explode("keys").alias("key"), "member", "component")
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("member")).alias("who"), F.min("member").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
     one = groups.filter("low < high").groupBy("n", "who", "lead").agg(F.min("key").alias("key"))
     open_ = checkpointed(rows.join(one.select("key", "n", "lead"), "key").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")))
-    one_of = checkpointed(texts.join(open_.select("member").distinct(), "member", "left_semi").groupBy("member").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id")).select("id"))
+    one_of = checkpointed(members.join(open_.select("member").distinct(), "member", "left_semi").select("id"))
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(one_of, one_of.count()))  # 2**ID_BITS bits at most
     held = map_batches(docs, sets, "member bigint, found binary").dropDuplicates(["member"])
     part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")

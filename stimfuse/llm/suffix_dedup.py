@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import NULL_ID, free_name, id_bitmap, in_bitmap, map_batches
-from stimfuse.session import shared_dir
+from stimfuse.llm.common import BITMAP_PARTS, NULL_ID, free_name, id_bitmap, in_bitmap, map_batches
+from stimfuse.session import checkpointed, shared_dir
 
 #: Bytes of an anchor gram; bytes of text per shard; bits of the bitmap at most (as a power of two); slices from which an anchor is dealt by content.
 GRAM, SHARD_BYTES, BITMAP, HOT = 16, 2 << 20, 27, 1 << 16
@@ -257,7 +257,9 @@ def repeated_hashes(texts: DataFrame, hashes, shards: int, bits: int, hot: int)
 
     sent = map_batches(texts, send, "shard bigint, hashes binary")
     bitmap, hots = np.zeros(1 << max(bits - 3, 0), np.uint8), []
-    for r in sent.groupBy("shard").applyInArrow(find, "first bigint, piece binary, hot array<bigint>").toLocalIterator():  # pieces of one bitmap, and a hash per `hot` slices
+    # shards are sorted by all tasks at once; only then their pieces come, a few parts after one another
+    found = checkpointed(sent.groupBy("shard").applyInArrow(find, "first bigint, piece binary, hot array<bigint>"))
+    for r in found.coalesce(BITMAP_PARTS).toLocalIterator():  # pieces of one bitmap, and a hash per `hot` slices
         piece = np.frombuffer(r.piece, np.uint8)
         bitmap[r.first : r.first + len(piece)] |= piece
         hots += r.hot

@@ -10,13 +10,14 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from stimfuse.llm import byte_bpe, components, license_scan, media_tiff, mixing, near_copies, simhash_dedup, suffix_dedup, token_counts
+from stimfuse.llm import byte_bpe, common, components, license_scan, media_tiff, mixing, near_copies, simhash_dedup, suffix_dedup, token_counts
 from stimfuse.session import shared_dir
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -475,3 +476,50 @@ def test_stages_keep_columns_of_any_name(spark):
         assert all(r[c] == str(k) for r in got.collect() for k, c in enumerate(own))
         assert stage(docs.limit(0)).count() == 0
     assert simhash_dedup.keep_one(docs, similar=0.8).filter("doc_id = 4").count() == 1
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """As where a cluster holds many shuffle partitions: they aren't merged."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def jobs_of(spark, name, step):
+    """What step() returns, and the stages of each job that it starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = step()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    return out, [len(tracker.getJobInfo(k).stageIds) for k in tracker.getJobIdsForGroup(name)]
+
+
+def test_bitmaps_come_in_few_jobs(spark, many_partitions):
+    ids = spark.range(3000).selectExpr("id * 7 as id")
+    (bitmap, bits), jobs = jobs_of(spark, "bitmap of ids", lambda: common.id_bitmap(ids, 3000))
+    assert common.in_bitmap(pa.array(range(0, 21000, 7)), bitmap, bits).all() and bitmap.any()
+    assert 0 < len(jobs) <= common.BITMAP_PARTS + 2
+    texts = spark.createDataFrame([(k, 0, random.Random(k % 40).randbytes(300).hex()) for k in range(400)], "doc bigint, key bigint, text string")
+    (found, _), jobs = jobs_of(spark, "bitmap of hashes", lambda: suffix_dedup.repeated_hashes(texts, lambda b: suffix_dedup._anchors(b, 50), 500, 16, 1 << 16))
+    assert any(found) and 0 < len(jobs) <= common.BITMAP_PARTS + 4
+
+
+@pytest.mark.parametrize("task", [components.TASK, 100])
+def test_rounds_of_few_links_need_no_exchanges(spark, many_partitions, monkeypatch, task):
+    monkeypatch.setattr(components, "TASK", task)
+    r = random.Random(4)
+    pairs = [(k, k + 1) for k in range(60)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(40)] + [(200, k) for k in range(201, 400)]
+    got, jobs = jobs_of(spark, "components", lambda: components.components(spark.createDataFrame(pairs, "u bigint, v bigint")))
+    assert task == 100 or sum(jobs) <= 60
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {(x.node, x.component) for x in got.collect()} == {(k, v) for k, v in root.items() if any(k in p and p[0] != p[1] for p in pairs)}
