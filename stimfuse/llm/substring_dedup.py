@@ -293,15 +293,14 @@ def removal_digests(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
     def untouched(b: pa.RecordBatch):
-        yield rows(b.column(0).to_pylist(), [x.as_buffer().to_pybytes() for x in b.column(1)], [None] * b.num_rows)
+        yield rows(b.column(0).to_pylist(), [x.as_buffer().to_pybytes() for x in b.column(1).fill_null("")], [None] * b.num_rows)
 
     def cut(b: pa.RecordBatch):
         yield rows(b.column(0).to_pylist(), [zlib.decompress(x.as_buffer()) for x in b.column(1)], b.column(2).to_pylist())
 
-    whole, others = suffix_dedup.with_runs(docs.select(id_col, text_col), length, id_col, text_col, spans, packed=True, **how)
-    whole = whole.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return map_batches(whole, untouched, schema).unionByName(map_batches(others, cut, schema))
+    whole, others = suffix_dedup.with_runs(docs.select(id_col, text_col), length, id_col, text_col, spans, packed=True, whole=(untouched, schema), **how)
+    return whole.unionByName(map_batches(others, cut, schema))
 
 
 def remove(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -409,10 +409,11 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder, packed: bool = False, **how) -> tuple[DataFrame, DataFrame]:
+def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder, packed: bool = False, whole: tuple | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """(rows of docs that surely lose nothing, the other rows as struct `row`, `text` and merged `runs`, null where nothing is removed).
 
-    With packed, the others are id, text as deflated UTF-8 (as their texts are shuffled), and runs.
+    With packed, the others are id, text as deflated UTF-8 (as their texts are shuffled), and runs. whole: a function of batches of the
+    first rows, and its schema. Rows are told apart where they are worked on: a Python step behind another one would keep two workers a task.
     finder: spans() or another function of its kind. Only the other rows are shuffled to meet their runs. Which rows those are is told by a bitmap of ids of bounded size."""
     spark = docs.sparkSession
     repeated = ids_repeat(docs, id_col)
@@ -428,26 +429,30 @@ def with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, finder,
     runs = spark.read.parquet(at)
     shared = spark.sparkContext.broadcast(id_bitmap(runs.select("doc"), runs.count()))  # 2**ID_BITS bits at most
     place = docs.columns.index(id_col)
+    same = lambda b: [b]
 
-    def rows(hit: bool):
+    def rows(df: DataFrame, place: int, hit: bool, then, schema) -> DataFrame:
         def run(b: pa.RecordBatch):
-            yield b.filter(pa.array(in_bitmap(b.column(place), *shared.value) == hit))
+            b = b.filter(pa.array(in_bitmap(b.column(place), *shared.value) == hit))
+            if b.num_rows:
+                yield from then(b)
 
-        return map_batches(docs, run, docs.schema)
+        return map_batches(df, run, schema)
 
-    # a text is in its row alone, so that it is shuffled once
-    others = keyed(rows(True), id_col, text_col, repeated).select("doc", "key", "row")
+    sure = rows(docs, place, False, *(whole or (same, docs.schema)))
     if packed:
 
         def deflate(b: pa.RecordBatch):
             small = [zlib.compress(x.as_buffer(), 6) for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(small, pa.binary())], names=["doc", "key", "id", "text"])
 
-        held = others.select("doc", "key", F.col(f"row.`{id_col}`").alias("id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
+        held = keyed(docs, id_col, text_col, repeated).select("doc", "key", F.col(f"row.`{id_col}`").alias("id"), "text")
         kind = held.schema["id"].dataType.simpleString()
-        return rows(False), map_batches(held, deflate, f"doc bigint, key bigint, id {kind}, text binary").join(runs, ["doc", "key"], "left").select("id", "text", "runs")
-    others = others.join(runs, ["doc", "key"], "left")
-    return rows(False), others.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
+        others = rows(held, 0, True, deflate, f"doc bigint, key bigint, id {kind}, text binary")
+        return sure, others.join(runs, ["doc", "key"], "left").select("id", "text", "runs")
+    # a text is in its row alone, so that it is shuffled once
+    others = keyed(rows(docs, place, True, same, docs.schema), id_col, text_col, repeated).select("doc", "key", "row").join(runs, ["doc", "key"], "left")
+    return sure, others.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
 
 
 def _kept(raw: bytes, runs: list | None) -> tuple[bytes, int, int]:
@@ -471,11 +476,13 @@ def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole, others = with_runs(docs.select(id_col, text_col), length, id_col, text_col, spans, **how)
-    others = others.select(F.col(f"row.`{id_col}`").alias(id_col), "text", "runs")
-    whole = whole.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast(others.schema["runs"].dataType).alias("runs"))
+    def untouched(b: pa.RecordBatch):
+        yield from run(pa.RecordBatch.from_arrays([b.column(0), b.column(1).fill_null(""), pa.nulls(b.num_rows)], names=["id", "text", "runs"]))
+
     schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return map_batches(whole, run, schema).unionByName(map_batches(others, run, schema))
+    whole, others = with_runs(docs.select(id_col, text_col), length, id_col, text_col, spans, whole=(untouched, schema), **how)
+    others = others.select(F.col(f"row.`{id_col}`").alias(id_col), "text", "runs")
+    return whole.unionByName(map_batches(others, run, schema))
 
 
 def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -257,3 +257,13 @@ def test_hashes_of_places_are_those_of_phrases(k):
     phrases = [found.phrase(p, k) for p in first.tolist()]
     assert h.view(np.int64).tolist() == collocations._hashes("xx", phrases, k).to_pylist() and len(set(h.tolist())) == len(phrases)
     assert not set(h.tolist()) & set(found.hashed("yy", k)[3].tolist())
+
+
+@pytest.mark.parametrize("digests", [substring_dedup.removal_digests, suffix_dedup.removal_digests])
+def test_texts_pass_one_python_worker_a_task(passages, digests):
+    """A Python step that feeds another one without an exchange would keep two workers a task, each with its memory."""
+    plan = digests(passages[0], 35)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    steps = [k for k, line in enumerate(plan) if "MapInArrow" in line]
+    assert len(steps) == 3
+    for a, b in zip(steps, steps[1:], strict=False):  # a step's own input stands below it
+        assert any("Join" in line or "Scan" in line or "Union" in line for line in plan[a + 1 : b])
