@@ -36,6 +36,8 @@ from stimfuse.session import checkpointed, shared_dir
 GRAM, SHARD_BYTES, BITMAP, HOT = 16, 2 << 20, 27, 1 << 16
 #: Bytes of a slice that is hashed at once; longer texts are cut with an overlap.
 SLICE = 1 << 20
+#: Hashes, and contexts, that a task deals to shards together.
+HASHES, CONTEXTS = 1 << 19, 1 << 18
 
 def suffix_array(text: bytes) -> np.ndarray:
     """Suffix array of one text by prefix doubling."""
@@ -218,6 +220,20 @@ def groups(shard: np.ndarray):
             yield int(shard[part[0]]), part
 
 
+def gathered(found, limit: int):
+    """Lists of what comes, each with about `limit` entries in all: what is dealt to shards together is a row per shard, and rows of
+    single slices would grow with slices times shards, so with the square of the texts."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x)
+        if n >= limit:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _unique(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Distinct hashes of a slice; the lowest bit says whether several ids hold it."""
     order = np.lexsort((ids, h))
@@ -237,10 +253,14 @@ def repeated_hashes(texts: DataFrame, hashes, shards: int, bits: int, hot: int)
     """The bitmap of hashes that occur in several slices, or are marked in one, by their first `bits` bits, and the hashes that very many
     slices hold. hashes: from a batch of texts to the distinct hashes of each slice, marked in the lowest bit."""
 
-    def send(b: pa.RecordBatch):
-        for u in hashes(b):
-            parts = [(s, u[part].astype("<u8").tobytes()) for s, part in groups(shard_of(u, shards))]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["shard", "hashes"])
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        u = np.concatenate(held)
+        parts = [(s, u[part].astype("<u8").tobytes()) for s, part in groups(shard_of(u, shards))]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["shard", "hashes"])
+
+    def send(batches):
+        for held in gathered((u for b in batches if b.num_rows for u in hashes(b)), HASHES):
+            yield dealt(held)
 
     def find(key, t):
         u = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]))
@@ -255,7 +275,7 @@ def repeated_hashes(texts: DataFrame, hashes, shards: int, bits: int, hot: int)
         np.bitwise_or.at(piece, (index >> 3) - first, (1 << (index & 7)).astype(np.uint8))
         return pa.table({"first": pa.array([first], pa.int64()), "piece": pa.array([piece.tobytes()], pa.binary()), "hot": pa.array([h[starts][counts > hot].view(np.int64).tolist()], pa.list_(pa.int64()))})
 
-    sent = map_batches(texts, send, "shard bigint, hashes binary")
+    sent = texts.mapInArrow(send, "shard bigint, hashes binary")
     bitmap, hots = np.zeros(1 << max(bits - 3, 0), np.uint8), []
     # shards are sorted by all tasks at once; only then their pieces come, a few parts after one another
     found = checkpointed(sent.groupBy("shard").applyInArrow(find, "first bigint, piece binary, hot array<bigint>"))
@@ -280,36 +300,20 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     bitmap, hots = repeated_hashes(texts, lambda b: _anchors(b, length), shards, bits, hot)
     shared = spark.sparkContext.broadcast((bitmap, sorted(hots)))  # 2**BITMAP bits at most, and a hash per `hot` slices
 
-    def send(b: pa.RecordBatch):
-        maps, hot_list = shared.value
-        seen, hot_hashes = np.frombuffer(maps, np.uint8), np.array(hot_list, np.int64).view(np.uint64)
-        for ids, keys, offset, joined, a in _slices(b, length):
-            h = a.h & ~np.uint64(1)
-            index = (h >> np.uint64(64 - bits)).astype(np.int64)
-            live = np.flatnonzero(seen[index >> 3] >> (index & 7).astype(np.uint8) & 1)
-            shard = shard_of(h, shards)
-            first: dict[bytes, tuple[int, int]] = {}
-            text = [bytes(joined[lo:hi]) for lo, hi in zip(a.lo[live].tolist(), a.hi[live].tolist(), strict=True)]
-            for i, c, d in zip(live.tolist(), text, ids[live].tolist(), strict=True):
-                if c not in first or d < first[c][0]:
-                    first[c] = d, i
-            done = [i for i, c, d in zip(live.tolist(), text, ids[live].tolist(), strict=True) if first[c][0] < d]
-            if done:
-                yield _packed(-1, ids[done], keys[done], (offset + a.lo)[done], (offset + a.hi)[done], [b""] * len(done), shards)
-            kept = np.array([i for i, c, d in zip(live.tolist(), text, ids[live].tolist(), strict=True) if first[c][0] == d], int)
-            if not len(kept):
-                continue
-            is_hot = np.isin(h[kept], hot_hashes)
-            for s, part in groups(shard[kept[~is_hot]]):
-                i = kept[~is_hot][part]
-                yield _packed(s, ids[i], keys[i], (offset + a.lo)[i], (offset + a.hi)[i], [joined[lo:hi] for lo, hi in zip(a.lo[i].tolist(), a.hi[i].tolist(), strict=True)], shards)
-            if is_hot.any():  # one string each, dealt by content
-                i = np.repeat(kept[is_hot], (a.hi - a.lo - length + 1)[kept[is_hot]])
-                lo = np.concatenate([np.arange(a.lo[k], a.hi[k] - length + 1) for k in kept[is_hot]])
-                strings = [bytes(joined[x : x + length]) for x in lo.tolist()]
-                by = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "big") % shards for x in strings])
-                for s, part in groups(by):
-                    yield _packed(s, ids[i[part]], keys[i[part]], (offset[i] + lo)[part], (offset[i] + lo)[part] + length, [strings[x] for x in part.tolist()], shards)
+    def live(batches):
+        """The contexts of each slice whose anchors the bitmap lets pass."""
+        seen = np.frombuffer(shared.value[0], np.uint8)
+        for b in batches:
+            for ids, keys, offset, joined, a in _slices(b, length) if b.num_rows else ():
+                index = ((a.h & ~np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
+                some = np.flatnonzero(seen[index >> 3] >> (index & 7).astype(np.uint8) & 1)
+                if len(some):
+                    yield Contexts(ids[some], keys[some], offset[some], joined, a, some)
+
+    def send(batches):
+        hot_hashes = np.array(shared.value[1], np.int64).view(np.uint64)
+        for held in gathered(live(batches), CONTEXTS):
+            yield from _rows(Gathered(held).dealt(shards, hot_hashes, length))
 
     def judge(key, t):
         doc, row, start, stop, texts = [], [], [], [], []
@@ -331,27 +335,109 @@ def spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         out = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
         return pa.table(dict(zip(("doc", "key", "start", "stop"), out, strict=True)))
 
-    sent = map_batches(texts, send, PACK)
+    sent = texts.mapInArrow(send, PACK)
     return sent.groupBy("shard").applyInArrow(judge, SPANS)
 
 
+class Contexts:
+    """Contexts of a slice: (ids, keys, starts) of each, its hash h, and lo and hi, where it lies in the bytes of the slice."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, offset: np.ndarray, joined: memoryview, a: Anchors, some: np.ndarray):
+        self.lo, self.hi, self.h, self.joined = a.lo[some], a.hi[some], a.h[some] & ~np.uint64(1), joined
+        self.numbers = np.stack([ids, keys, offset + self.lo])
+        eight = np.ndarray(shape=(len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
+        # equal contexts have equal signs; what has an equal sign is compared
+        self.sign = (self.h + (a.at[some] - self.lo).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + (self.hi - self.lo).astype(np.uint64)
+        for x in (eight[self.lo], eight[self.hi - 8]):
+            self.sign = (self.sign ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+            self.sign ^= self.sign >> np.uint64(32)
+
+    def __len__(self) -> int:
+        return len(self.lo)
+
+
+class Gathered:
+    """Contexts of several slices, which are dealt to shards together."""
+
+    def __init__(self, held: list[Contexts]):
+        self.joined = [x.joined for x in held]
+        self.of = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        self.lo, self.hi, self.h, sign = (np.concatenate([getattr(x, n) for x in held]) for n in ("lo", "hi", "h", "sign"))
+        self.sizes = self.hi - self.lo
+        self.numbers = np.concatenate([x.numbers for x in held], axis=1)
+        order = np.argsort(sign)
+        same = sign[order][1:] == sign[order][:-1]
+        self.alike = order[np.append(same, False) | np.concatenate([[False], same])[: len(order)]]
+
+    def texts(self, which: np.ndarray) -> list[memoryview]:
+        return [self.joined[k][p:q] for k, p, q in zip(self.of[which].tolist(), self.lo[which].tolist(), self.hi[which].tolist(), strict=True)]
+
+    def dealt(self, shards: int, hot: np.ndarray, length: int):
+        """Rows of PACK. Equal contexts become one, which goes to its shard, and those of larger ids are settled."""
+        done, ids = np.zeros(len(self.h), bool), self.numbers[0]
+        first: dict[bytes, int] = {}
+        text = list(map(bytes, self.texts(self.alike)))
+        mine = ids[self.alike].tolist()
+        for c, d in zip(text, mine, strict=True):
+            if d < first.get(c, d + 1):
+                first[c] = d
+        done[self.alike] = [first[c] < d for c, d in zip(text, mine, strict=True)]
+        some = np.flatnonzero(done)
+        if len(some):
+            yield _packed(-1, self.numbers[:, some], self.sizes[some], [], shards)
+        is_hot = np.isin(self.h, hot)
+        kept = np.flatnonzero(~done & ~is_hot)
+        for s, part in groups(shard_of(self.h[kept], shards)):
+            i = kept[part]
+            yield _packed(s, self.numbers[:, i], self.sizes[i], self.texts(i), shards)
+        kept = np.flatnonzero(~done & is_hot)
+        if len(kept):  # one string each, dealt by content
+            n = self.sizes[kept] - length + 1
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i = np.repeat(kept, n)
+            strings = [bytes(self.joined[k][p : p + length]) for k, p in zip(self.of[i].tolist(), (self.lo[i] + step).tolist(), strict=True)]
+            by = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "big") % shards for x in strings])
+            for s, part in groups(by):
+                numbers = self.numbers[:, i[part]]
+                numbers[2] += step[part]
+                yield _packed(s, numbers, np.full(len(part), length), [strings[x] for x in part.tolist()], shards)
+
+
 PACK = "shard bigint, done boolean, n int, data binary"
+#: Bytes of rows that leave a task together.
+ROWS = 1 << 22
+
+
+def _rows(packs):
+    """Packs as batches of some rows each."""
+    kinds = (("shard", pa.int64()), ("done", pa.bool_()), ("n", pa.int32()), ("data", pa.binary()))
+    made = lambda held: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*held, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+    held, size = [], 0
+    for x in packs:
+        held.append(x)
+        size += len(x[3])
+        if size >= ROWS:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
 
 
-def _packed(shard: int, ids, keys, starts, stops, texts: list[bytes], shards: int) -> pa.RecordBatch:
-    """One row of packed and compressed contexts; shard -1: runs that are settled, which only pass through a shard.
+def _packed(shard: int, numbers: np.ndarray, sizes: np.ndarray, texts: list, shards: int) -> tuple:
+    """One row of packed and compressed contexts, numbers being their ids, keys and starts; shard -1: runs that are settled, which only
+    pass through a shard.
 
     Numbers are laid out byte by byte, so that their many zero bytes stand together."""
     done = shard < 0
-    where = int(ids[0]) % shards if done else shard
-    numbers = np.stack([np.asarray(x).astype("<i8") for x in (ids, keys, starts, stops)])
-    data = zlib.compress(numbers.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes() + b"".join(texts), 1)
-    return pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), pa.array([done]), pa.array([len(ids)], pa.int32()), pa.array([data], pa.binary())], names=["shard", "done", "n", "data"])
+    where = int(numbers[0, 0]) % shards if done else shard
+    numbers = np.ascontiguousarray(np.concatenate([numbers, numbers[2:] + sizes]), "<i8")
+    raw = numbers.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes() + b"".join(texts)
+    return where, done, numbers.shape[1], len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, bytes]:
     """(ids, keys, starts, stops) and the texts of the contexts, joined."""
-    raw = zlib.decompress(data)
+    raw = pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     numbers = np.frombuffer(raw, np.uint8, 32 * n).reshape(4, 8, n).transpose(0, 2, 1).copy().view("<i8")[..., 0]
     return numbers, raw[32 * n :]
 

@@ -411,6 +411,32 @@ def test_suffix_dedup_equals_brute_force(spark, awkward, nothing, how):
     assert cut.columns == awkward.columns and cut.count() == awkward.count()
 
 
+def test_suffix_dedup_deals_slices_together(spark, monkeypatch):
+    """Rows that are sent grow with the shards, not with slices times shards; no context is lost and equal ones become one."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 500)
+    r = random.Random(8)
+    texts = ["".join(r.choices("abc ", k=300)) for _ in range(60)]
+    texts[40:50] = texts[:10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([0] * 60), pa.array(texts)], names=["doc", "key", "text"])
+    held = [suffix_dedup.Contexts(i, k, o, j, a, np.arange(len(i))) for i, k, o, j, a in suffix_dedup._slices(batch, 50)]
+    assert len(held) >= 30
+    rows = [r for b in suffix_dedup._rows(suffix_dedup.Gathered(held).dealt(16, np.zeros(0, np.uint64), 50)) for r in b.to_pylist()]
+    assert len(rows) <= 17 and [r["done"] for r in rows].count(True) == 1
+    sent, settled = Counter(), set()
+    for row in rows:
+        (doc, _, start, stop), joined = suffix_dedup._unpacked(row["n"], row["data"])
+        if row["done"]:
+            settled |= set(doc.tolist())
+            continue
+        ends = np.cumsum(stop - start)
+        for d, p, q, e in zip(doc.tolist(), start.tolist(), stop.tolist(), ends.tolist(), strict=True):
+            assert joined[e - (q - p) : e].decode() == texts[d][p:q]
+            sent[d] += 1
+    assert settled == set(range(40, 50)) and set(sent) == set(range(60)) - settled
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert Counter(map(tuple, suffix_dedup.removal_digests(docs, 50, shard_bytes=1000).collect())) == brute_removed(list(enumerate(texts)), 50)
+
+
 def test_suffix_dedup_cuts_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 700)
     r = random.Random(9)
