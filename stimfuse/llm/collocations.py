@@ -27,16 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stimfuse.llm.common import id_bitmap, in_bitmap, map_batches, slices
-from stimfuse.session import shared_dir
+from stimfuse.llm.common import BITMAP_PARTS, id_bitmap, in_bitmap, map_batches, slices
+from stimfuse.session import checkpointed, shared_dir
 
 #: Fixed value of the contract: these end a piece. A byte that no text has stands for them, as a word of its own.
 ENDS, END = ".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes(255 if chr(b) in ENDS else b for b in range(256))
 #: Characters of the texts in a row of a relation; one text is never split.
 ROW = 600_000
-#: Bits of a bucket's number; bytes of a relation whose buckets a task sums.
-BITS, PART = 27, 4 << 20
+#: Bits of a bucket's number; bytes of a relation whose buckets a task sums; buckets that a task deals to those tasks together.
+BITS, PART, HELD = 27, 4 << 20, 1 << 20
 #: Groups of a language in which its best phrases are found before they meet.
 SALTS = 64
 
@@ -153,14 +153,26 @@ def _rows(b: pa.RecordBatch) -> Iterator[tuple[str, Occurrences]]:
         yield lang, Occurrences.read(runs.as_py())
 
 
-def _bucket_rows(found: Occurrences, lang: str, k: int, least: int, shift: int) -> list[tuple]:
-    """(part, buckets, occurrences in each, at most `least`): the buckets of the phrases of k words, by ranges of 2**shift buckets."""
+def _buckets(found: Occurrences, lang: str, k: int, least: int) -> np.ndarray:
+    """(bucket, occurrences in it, at most `least`) of the phrases of k words."""
     _, gram, first, bucket = found.buckets(lang, k, BITS)
-    n = np.minimum(np.bincount(gram, minlength=len(first)), least).astype("<u4")
+    return _summed(bucket, np.bincount(gram, minlength=len(first)), least)
+
+
+def _summed(bucket: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Buckets in order and the sums of their n, at most `least`: only whether they reach it is asked."""
     order = np.argsort(bucket)
-    bucket, n = bucket[order].astype("<u4"), n[order]
-    cuts = np.flatnonzero(np.diff(bucket.astype(np.int64) >> shift, prepend=-1)).tolist()
-    return [(int(bucket[p] >> shift), bucket[p:q].tobytes(), n[p:q].tobytes()) for p, q in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+    bucket = bucket[order]
+    opens = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return np.stack([bucket[opens], np.minimum(np.add.reduceat(n[order], opens), least) if len(opens) else opens])
+
+
+def _bucket_rows(held: list[np.ndarray], least: int, shift: int) -> list[tuple]:
+    """(part, buckets, occurrences in each) of many rows of a relation together, by ranges of 2**shift buckets: rows of each by themselves
+    would grow with rows times ranges, so with the square of the texts."""
+    bucket, n = _summed(*np.concatenate(held, axis=1), least)
+    cuts = np.flatnonzero(np.diff(bucket >> shift, prepend=-1)).tolist()
+    return [(int(bucket[p] >> shift), bucket[p:q].astype("<u4").tobytes(), n[p:q].astype("<u4").tobytes()) for p, q in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
 
 
 def heavy_buckets(rows: DataFrame, least: int, shift: int) -> np.ndarray:
@@ -178,7 +190,9 @@ def heavy_buckets(rows: DataFrame, least: int, shift: int) -> np.ndarray:
         return pa.table({"first": pa.array([first], pa.int64()), "piece": pa.array([piece.tobytes()], pa.binary())})
 
     bitmap = np.zeros(1 << BITS - 3, np.uint8)
-    for r in rows.select("part", "bucket", "n").groupBy("part").applyInArrow(add, "first bigint, piece binary").toLocalIterator():  # pieces of one bitmap
+    # parts are summed by all tasks at once; only then their pieces come, a few tasks' after one another
+    found = checkpointed(rows.select("part", "bucket", "n").groupBy("part").applyInArrow(add, "first bigint, piece binary"))
+    for r in found.coalesce(BITMAP_PARTS).toLocalIterator():  # pieces of one bitmap
         piece = np.frombuffer(r.piece, np.uint8)
         bitmap[r.first : r.first + len(piece)] |= piece
     return bitmap
@@ -223,8 +237,14 @@ def frequent_places(rel: DataFrame, frequent: DataFrame, k: int, least: int, shi
     spark = rel.sparkSession
     shared = spark.sparkContext.broadcast(id_bitmap(map_batches(frequent.select("lang", "phrase"), hashed, "id bigint"), frequent.count()))  # 2**ID_BITS bits at most
 
-    def keep(b: pa.RecordBatch):
-        for lang, found in _rows(b):
+    def made(lang: str | None, runs: bytes | None, found: list[tuple]) -> pa.RecordBatch:
+        out = [(lang, runs, None, None, None)] if runs is not None else [(None, None, *x) for x in found]
+        kinds = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["lang", "runs", "part", "bucket", "n"])
+
+    def keep(batches):
+        held, size = [], 0
+        for lang, found in (x for b in batches if b.num_rows for x in _rows(b)):
             place, gram, _, h = found.hashed(lang, k)
             if not len(place):
                 continue
@@ -232,11 +252,16 @@ def frequent_places(rel: DataFrame, frequent: DataFrame, k: int, least: int, shi
             found = found.runs(place[kept[gram]], k)
             if not found.words:
                 continue
-            out = [(lang, b" ".join(found.words), None, None, None)] + [(None, None, *x) for x in _bucket_rows(found, lang, k + 1, least, shift)]
-            kinds = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["lang", "runs", "part", "bucket", "n"])
-
-    return map_batches(rel, keep, STORED)
+            yield made(lang, b" ".join(found.words), [])
+            held.append(_buckets(found, lang, k + 1, least))
+            size += held[-1].shape[1]
+            if size >= HELD:
+                yield made(None, None, _bucket_rows(held, least, shift))
+                held, size = [], 0
+        if size:
+            yield made(None, None, _bucket_rows(held, least, shift))
+
+    return rel.mapInArrow(keep, STORED)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang") -> list[DataFrame]:

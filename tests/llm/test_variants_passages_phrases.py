@@ -239,6 +239,42 @@ def test_rare_places_leave_the_relation(spark):
     assert np.unpackbits(heavy).sum() == 2  # a b, four times, and b c, three times; c a is rare
 
 
+def test_buckets_of_many_rows_are_dealt_together(spark, monkeypatch):
+    """Rows of buckets grow with their ranges, not with rows of the relation times ranges, and equal buckets of rows are summed."""
+    monkeypatch.setattr(collocations, "ROW", 200)
+    r = np.random.default_rng(4)
+    docs = spark.createDataFrame([("en", " ".join(map(str, r.integers(0, 40, 60)))) for _ in range(80)], "lang string, text string").coalesce(1)
+    rel = collocations.relation(docs)
+    shift = collocations.BITS - 5
+    first = collocations.counts(rel, 1).filter("phrase <> ''")
+    kept = collocations.frequent_places(rel, first, 1, 30, shift).collect()
+    assert sum(x.runs is not None for x in kept) >= 40 and sum(x.part is not None for x in kept) <= 32
+    heavy = np.unpackbits(collocations.heavy_buckets(spark.createDataFrame([x for x in kept if x.part is not None], collocations.STORED), 30, shift), bitorder="little")
+    two = collocations.counts(rel, 2).collect()
+    total = {}
+    for x in two:
+        words = collocations.Occurrences.read(x.phrase.encode())
+        at = int(words.buckets("en", 2, collocations.BITS)[3][0])
+        total[at] = total.get(at, 0) + x.f
+    assert len(two) > 1000 and set(np.flatnonzero(heavy).tolist()) == {k for k, n in total.items() if n >= 30}
+
+
+def test_parts_of_buckets_are_summed_at_once(spark):
+    """No job per part, which would sum them one after another."""
+    rows = spark.createDataFrame([(p, (np.array([p << 20], "<u4")).tobytes(), np.array([5], "<u4").tobytes()) for p in range(64)], "part bigint, bucket binary, n binary").repartition(64, "part")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        spark.sparkContext.setJobGroup("parts", "parts of buckets")
+        assert np.unpackbits(collocations.heavy_buckets(rows, 5, 20)).sum() == 64
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("parts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) < 30
+
+
 def test_passages_meet_their_runs_deflated(spark):
     """Texts that lose words are shuffled small: a text that says much the same takes a fraction of its bytes."""
     docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{k % 400}" for k in range(3000)) + " é") for i in range(12)], "doc_id bigint, text string")
